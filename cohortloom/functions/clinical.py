@@ -41,7 +41,7 @@ def within_days(ts: Column, first: Column, last: Column, strict_upper: bool = Fa
 
 def parse_code_list(text: Column) -> Column:
     """Comma list to an array: trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(text, ","), F.trim), lambda item: item != "")
+    return F.filter(F.transform(F.split(text, ","), lambda item: F.trim(item)), lambda item: item != "")
 
 
 def range_interpretation(value: Column, low: Column, high: Column) -> Column:

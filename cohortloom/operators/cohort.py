@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Mapping
 
 from pyspark.sql import Column, DataFrame
@@ -89,15 +88,13 @@ def events_around_index(
 ) -> DataFrame:
     """Events of members within look-back and follow-up days of their index date; None is open."""
 
-    def days(value) -> Column | None:
-        return F.lit(value) if isinstance(value, int) else value
-
     joined = members.select("patient_sk", "index_date").join(events, "patient_sk")
-    before, after = days(lookback), days(follow_up)
-    if before is not None:
-        joined = joined.filter(event_day >= F.coalesce(F.date_sub("index_date", before), F.lit(dt.date(1, 1, 1))))
-    if after is not None:
-        joined = joined.filter(event_day <= F.coalesce(F.date_add("index_date", after), F.lit(dt.date(9999, 12, 31))))
+    if lookback is not None:
+        days = F.lit(lookback) if isinstance(lookback, int) else lookback
+        joined = joined.filter(days.isNull() | (F.datediff("index_date", event_day) <= days))
+    if follow_up is not None:
+        days = F.lit(follow_up) if isinstance(follow_up, int) else follow_up
+        joined = joined.filter(days.isNull() | (F.datediff(event_day, "index_date") <= days))
     return joined
 
 

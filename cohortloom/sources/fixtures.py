@@ -116,7 +116,7 @@ SELECT doc_id * 3 + k AS entity_sk, doc_id AS note_sk, doc_id % (SELECT count(*)
        CASE WHEN doc_id % 13 = 0 THEN 'family' WHEN doc_id % 6 = 0 THEN 'historical' ELSE 'current' END AS temporality,
        CASE WHEN doc_id % 13 = 0 THEN 'family' ELSE 'patient' END AS subject,
        round(CAST(n_chars % 100 AS DOUBLE) / 100, 2) AS confidence
-FROM (SELECT doc_id, n_chars, {mentions_per_doc} AS k FROM {documents}) AS d""",
+FROM (SELECT doc_id, n_chars, {zero_to_two} AS k FROM {documents}) AS d""",
     "cohort_definition": """
 SELECT r_regionkey AS cohort_sk, concat('cohort ', r_name) AS name,
        CASE r_regionkey WHEN 0 THEN 'condition' WHEN 1 THEN 'exposure' WHEN 2 THEN 'control' ELSE 'operational' END AS cohort_type,
@@ -168,10 +168,74 @@ SELECT concat('note-', CAST(doc_id AS STRING)) AS custom_id,
                         CAST(n_chars % 9 + 1 AS STRING),
                         '}}, {{"entity_type": "medication", "covered_text": "metformin", "span_start": null}}]}}') END AS body
 FROM {documents}""",
+    # Opening and closing entries of runs, one run per conversation: turn 0 opens it, later turns close it.
+    "run_log": """
+SELECT conv_id AS nlp_run_sk,
+       CASE WHEN turn = 0 THEN CAST(DATE '2024-01-01' + CAST(conv_id % 300 AS INT) AS TIMESTAMP) END AS run_started_at,
+       CASE WHEN turn > 0 THEN CAST(DATE '2024-01-02' + CAST(conv_id % 300 + turn AS INT) AS TIMESTAMP) END AS run_finished_at,
+       CASE WHEN turn = 0 THEN length(text) END AS note_count
+FROM {conversations}""",
+    # Versions of notes: up to three per note, some of them not signed.
+    "note_version": """
+SELECT CAST(floor(doc_id / 3) AS BIGINT) AS note_id, doc_id AS version_id,
+       CASE doc_id % 4 WHEN 0 THEN 'preliminary' WHEN 1 THEN 'addended' ELSE 'signed' END AS status,
+       CAST(DATE '1999-01-01' + CAST(doc_id * 7 % 11 AS INT) AS TIMESTAMP) AS filed_at, n_chars
+FROM {documents}""",
+    # Encounter diagnoses under internal ids, and the crosswalk of these ids to ICD codes (many-to-many).
+    "diagnosis_entry": """
+SELECT l_orderkey AS encounter_sk, l_partkey AS dx_id, l_linenumber AS line FROM {lineitem}""",
+    "dx_crosswalk": """
+SELECT p_partkey AS dx_id,
+       CASE p_partkey % 4 WHEN 0 THEN 'E11.9' WHEN 1 THEN 'I10' WHEN 2 THEN 'I25.10' ELSE 'E78.5' END AS icd10
+FROM {part}
+UNION ALL
+SELECT p_partkey AS dx_id, CASE WHEN p_partkey % 2 = 0 THEN 'I10' ELSE 'J06.9' END AS icd10 FROM {part} WHERE p_size > 25""",
+    "identifier": """
+SELECT c_custkey AS source_key, 'MRN' AS identifier_type, concat('practice ', CAST(c_nationkey AS STRING)) AS assigning_authority,
+       CAST(c_custkey AS STRING) AS identifier_value
+FROM {customer}
+UNION ALL
+SELECT c_custkey, 'enterprise_id', 'all', CAST(CAST(floor(c_acctbal) AS BIGINT) AS STRING) FROM {customer}
+UNION ALL
+SELECT c_custkey, 'member_id', c_mktsegment, CAST(c_custkey % 997 AS STRING) FROM {customer}""",
+    "administration": f"""
+SELECT {LINE_SK} AS med_order_sk, k AS line,
+       CASE CAST(l_quantity AS INT) % 3 WHEN 0 THEN 'given' WHEN 1 THEN CASE WHEN k = 1 THEN 'given' ELSE 'held' END
+            ELSE 'refused' END AS admin_action,
+       l_shipdate + INTERVAL '6' HOUR AS admin_datetime
+FROM (SELECT *, {{zero_to_two}} AS k FROM {{lineitem}} WHERE l_linenumber IN (4, 5)) AS l""",
+    "diagnostic_report": """
+SELECT o_orderkey AS diagnostic_report_sk, o_custkey AS patient_sk,
+       CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN o_orderkey % 1500 END AS narrative_note_sk
+FROM {orders}""",
+    "billed_procedure": """
+SELECT o_custkey AS patient_sk,
+       CASE l_partkey % 4 WHEN 0 THEN '99213' WHEN 1 THEN '93000' WHEN 2 THEN '80053' ELSE '27447' END AS procedure_code,
+       CAST(l_shipdate AS DATE) AS performed_date
+FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey
+WHERE l_linenumber >= 6 AND l_returnflag <> 'A'""",
+    "appointment": """
+SELECT o_orderkey AS appointment_id, o_custkey AS patient_sk, o_orderdate AS period_start,
+       CASE o_orderstatus WHEN 'F' THEN 'finished' WHEN 'O' THEN 'booked' ELSE 'cancelled' END AS status
+FROM {orders}""",
+    # Raw laboratory results: text values, and a sentinel number where the text is none.
+    "lab_result": """
+SELECT event_id AS result_id, user_id AS patient_sk,
+       CASE event_type WHEN 'purchase' THEN 9999999.0 WHEN 'click' THEN 9999999.0 ELSE round(value, 1) END AS ord_num_value,
+       CASE event_type WHEN 'purchase' THEN 'Positive' WHEN 'click' THEN concat(' ', CAST(event_id % 90 AS STRING), ' ')
+            ELSE CAST(event_id % 90 AS STRING) END AS ord_value
+FROM {events}""",
+    # Blood pressure as typed text; some entries are no reading.
+    "bp_text": """
+SELECT event_id AS observation_sk, user_id AS patient_sk,
+       CASE event_type WHEN 'signup' THEN concat(CAST(90 + event_id % 80 AS STRING), '/', CAST(50 + event_id % 50 AS STRING))
+            WHEN 'view' THEN concat(' ', CAST(100 + event_id % 60 AS STRING), ' / ', CAST(60 + event_id % 30 AS STRING))
+            WHEN 'click' THEN 'refused' WHEN 'error' THEN '120' END AS value_string
+FROM {events}""",
 }
 
-# The note_nlp_entity view has three mentions per document; only this expression differs by engine.
-MENTIONS = {"spark": "explode(array(0, 1, 2))", "duckdb": "unnest([0, 1, 2])"}
+# Views with three rows per source row; only this expression differs by engine.
+ZERO_TO_TWO = {"spark": "explode(array(0, 1, 2))", "duckdb": "unnest([0, 1, 2])"}
 
 
 def read_driver_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -184,7 +248,7 @@ def _names_in(text: str) -> list[str]:
 
 def clinical_view(spark: SparkSession, sf_dir: str, view: str) -> DataFrame:
     """The clinical table as a DataFrame over the driver tables."""
-    text = VIEWS[view].replace("{mentions_per_doc}", MENTIONS["spark"])
+    text = VIEWS[view].replace("{zero_to_two}", ZERO_TO_TWO["spark"])
     frames = {name: read_driver_table(spark, sf_dir, name) for name in _names_in(text)}
     return spark.sql(text, **frames)
 
@@ -195,7 +259,7 @@ def load(spark: SparkSession, sf_dir: str, *views: str) -> dict[str, DataFrame]:
 
 @cache
 def duckdb_text(view: str) -> str:
-    text = VIEWS[view].replace("{mentions_per_doc}", MENTIONS["duckdb"])
+    text = VIEWS[view].replace("{zero_to_two}", ZERO_TO_TWO["duckdb"])
     for name in _names_in(text):
         text = text.replace("{" + name + "}", name)
     return text.replace("{{", "{").replace("}}", "}").strip()
