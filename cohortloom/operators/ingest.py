@@ -219,7 +219,7 @@ def conform_notes(raw: DataFrame) -> DataFrame:
         F.col("id").cast("long").alias("note_sk"), _key("subject.reference").alias("patient_sk"),
         _first_category().alias("note_category"), F.col("date").alias("service_date"),
         attachment["contentType"].alias("content_type"),
-        F.decode(F.unbase64(attachment["data"]), F.lit("UTF-8")).alias("_body"),
+        F.decode(F.unbase64(attachment["data"]), "UTF-8").alias("_body"),
     )
     is_html = F.col("content_type") == "text/html"
     return decoded.select(

@@ -16,6 +16,8 @@ from cohortloom.schemas import MENTION, PAGE_SIZE, RESPONSE_BODY
 DEFAULT_CONFIDENCE = 0.8
 # Up to this many terms the lexicon is matched as one pattern; a longer one is joined on word windows.
 PATTERN_TERMS = 2000
+# Up to this many terms (some tens of MB) the joined lexicon is broadcast.
+BROADCAST_TERMS = 500_000
 
 
 # --- which notes, and what is asked -----------------------------------------------------------------
@@ -206,13 +208,14 @@ _WORD = "[A-Za-z0-9]+"
 def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The same mentions for a lexicon of any length: words joined to the first word of the terms.
 
-    The lexicon side is broadcast only where Spark's size estimate allows it. Overlapping candidates are
+    The terms are broadcast up to a counted limit and shuffled beyond it. Overlapping candidates are
     settled per sentence from left to right, longest first.
     """
     first_word = lambda text: F.regexp_extract(text, _WORD, 0)
     terms = lexicon.select(F.lower("term").alias("_term"), first_word(F.lower("term")).alias("_first")).distinct()
-    words = F.regexp_extract_all("sentence", F.lit(_WORD), 0)
-    gaps = F.split("sentence", _WORD, -1)
+    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
+        terms = F.broadcast(terms)
+    words, gaps = F.col("_words"), F.col("_gaps")
     placed = F.aggregate(
         _indexes(words),
         F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<_first:string,offset:int>>").alias("out")),
@@ -225,7 +228,9 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
         ),
     )["out"]
     candidates = (
-        sentences(notes).filter(F.regexp_like("sentence", F.lit(_WORD)))
+        sentences(notes)
+        .withColumns({"_words": F.regexp_extract_all("sentence", F.lit(_WORD), 0), "_gaps": F.split("sentence", _WORD, -1)})
+        .filter(F.size("_words") > 0)
         .select("note_sk", "section", "sentence_start", "sentence", F.inline(placed))
         .join(terms, "_first")
         .withColumn("_end", F.col("offset") + F.length("_term"))

@@ -28,6 +28,7 @@ def local_session(cores: str | int = 8, app: str = "cohortloom", warehouse: str
         .config("spark.driver.bindAddress", "127.0.0.1")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g"))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.warehouse.dir", warehouse or tempfile.mkdtemp(prefix="run-warehouse-", dir="/tmp"))
     )
     spark = builder.getOrCreate()

@@ -41,6 +41,17 @@ def rows_of(columns: list[str], rows) -> Counter:
     return Counter(tuple(_plain(row[i]) for i in order) for row in rows)
 
 
+_FAMILIES = {
+    "tinyint": "int", "smallint": "int", "int": "int", "integer": "int", "bigint": "int", "hugeint": "int", "ubigint": "int",
+    "double": "double", "float": "double", "string": "text", "varchar": "text", "boolean": "boolean", "date": "date",
+    "timestamp": "time", "timestamp_ntz": "time", "timestamp with time zone": "time",
+}
+
+
+def type_families(columns: list[str], types: list[str]) -> dict[str, str]:
+    return {name: _FAMILIES.get(kind.lower(), kind.lower()) for name, kind in zip(columns, types)}
+
+
 def differences(spark_df, con, sql: str) -> tuple[int, str | None]:
     """Number of Spark rows, and a description of what differs (None when equal)."""
     got = rows_of(spark_df.columns, [tuple(row) for row in spark_df.collect()])
@@ -48,6 +59,11 @@ def differences(spark_df, con, sql: str) -> tuple[int, str | None]:
     want = rows_of(rel.columns, rel.fetchall())
     if sorted(spark_df.columns) != sorted(rel.columns):
         return sum(got.values()), f"columns {sorted(spark_df.columns)} / {sorted(rel.columns)}"
+    ours = type_families(spark_df.columns, [f.dataType.simpleString() for f in spark_df.schema.fields])
+    theirs = type_families(rel.columns, [str(t) for t in rel.types])
+    odd = {name: (ours[name], theirs[name]) for name in ours if ours[name] != theirs[name]}
+    if odd:
+        return sum(got.values()), f"types {odd}"
     if got != want:
         extra, missing = list((got - want).items())[:2], list((want - got).items())[:2]
         return sum(got.values()), f"{sum(got.values())} / {sum(want.values())} rows; only Spark {extra}; only SQL {missing}"
