@@ -142,43 +142,41 @@ def _pieces(text: Column, pattern: str, mark: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, "$1" + mark), mark, -1)
 
 
-def _starts(pieces: Column, positions: Column) -> Column:
-    """Offset of each wanted piece in the text."""
-    return F.transform(
-        positions,
-        lambda i: F.struct(
-            F.get(pieces, i).alias("piece"),
-            F.aggregate(F.slice(pieces, 1, i), F.lit(0), lambda total, piece: total + F.length(piece)).alias("start"),
-        ),
-    )
+def _with_starts(pieces: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Pieces of a text with their offset in it, in one pass; with `wanted`, only the pieces it holds for."""
+    nothing = F.array().cast("array<struct<piece:string,start:int>>")
+
+    def step(state: Column, piece: Column) -> Column:
+        out = F.array_append(state["out"], F.struct(piece.alias("piece"), state["at"].alias("start")))
+        if wanted is not None:
+            out = F.when(wanted(piece), out).otherwise(state["out"])
+        return F.struct((state["at"] + F.length(piece)).alias("at"), out.alias("out"))
+
+    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step)["out"]
 
 
 def _indexes(array: Column) -> Column:
     return F.sequence(F.lit(0), F.size(array) - 1)
 
 
+def _total_length(pieces: Column, n: Column) -> Column:
+    """Length of the first n pieces together."""
+    return F.aggregate(F.slice(pieces, 1, n), F.lit(0), lambda total, piece: total + F.length(piece))
+
+
 def sentences(notes: DataFrame, containing: str | None = None) -> DataFrame:
     """Sentences of each note with their offset and section heading.
 
     With `containing`, only sentences that match the pattern (their offsets are those in the whole note).
     """
-    keys = ["note_sk"]
-    mark = F.lit(ctx.SECTION_MARK)
     sections = F.split(F.regexp_replace("note_text", ctx.HEADING, ctx.SECTION_MARK + "$1"), ctx.SECTION_MARK, -1)
-    by_section = (
-        notes.select(*keys, sections.alias("_sections"))
-        .select(*keys, F.inline(_starts(F.col("_sections"), _indexes(F.col("_sections")))))
-        .select(
-            *keys, F.col("start").alias("section_start"),
-            F.trim(F.regexp_extract("piece", ctx.HEADING, 1)).alias("section"),
-            _pieces(F.col("piece"), ctx.SENTENCE_END, ctx.SENTENCE_MARK).alias("_sentences"),
-        )
+    by_section = notes.select("note_sk", F.inline(_with_starts(sections))).select(
+        "note_sk", F.col("start").alias("section_start"), F.trim(F.regexp_extract("piece", ctx.HEADING, 1)).alias("section"),
+        _pieces(F.col("piece"), ctx.SENTENCE_END, ctx.SENTENCE_MARK).alias("_sentences"),
     )
-    wanted = _indexes(F.col("_sentences"))
-    if containing is not None:
-        wanted = F.filter(wanted, lambda i: F.regexp_like(F.get(F.col("_sentences"), i), F.lit(containing)))
-    return by_section.select(*keys, "section", "section_start", F.inline(_starts(F.col("_sentences"), wanted))).select(
-        *keys, "section", (F.col("section_start") + F.col("start")).alias("sentence_start"), F.col("piece").alias("sentence")
+    wanted = None if containing is None else (lambda sentence: F.regexp_like(sentence, F.lit(containing)))
+    return by_section.select("note_sk", "section", "section_start", F.inline(_with_starts(F.col("_sentences"), wanted))).select(
+        "note_sk", "section", (F.col("section_start") + F.col("start")).alias("sentence_start"), F.col("piece").alias("sentence")
     )
 
 
@@ -189,14 +187,10 @@ def _found_by_pattern(notes: DataFrame, pattern: str) -> DataFrame:
         "_found": F.regexp_extract_all("sentence", F.lit(pattern), 0), "_gaps": F.split("sentence", pattern, -1),
     })
     found, gaps = F.col("_found"), F.col("_gaps")
-
-    def total_length(array: Column, n: Column) -> Column:
-        return F.aggregate(F.slice(array, 1, n), F.lit(0), lambda total, piece: total + F.length(piece))
-
     place = F.transform(
         _indexes(found),
         lambda i: F.struct(
-            F.get(found, i).alias("found"), (total_length(gaps, i + 1) + total_length(found, i)).alias("offset")
+            F.get(found, i).alias("found"), (_total_length(gaps, i + 1) + _total_length(found, i)).alias("offset")
         ),
     )
     return pieces.select("note_sk", "section", "sentence_start", "sentence", F.inline(place))
@@ -215,24 +209,13 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     terms = lexicon.select(F.lower("term").alias("_term"), first_word(F.lower("term")).alias("_first")).distinct()
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    words, gaps = F.col("_words"), F.col("_gaps")
-    placed = F.aggregate(
-        _indexes(words),
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<_first:string,offset:int>>").alias("out")),
-        lambda state, i: F.struct(
-            (state["at"] + F.length(F.get(gaps, i)) + F.length(F.get(words, i))).alias("at"),
-            F.array_append(
-                state["out"],
-                F.struct(F.lower(F.get(words, i)).alias("_first"), (state["at"] + F.length(F.get(gaps, i))).alias("offset")),
-            ).alias("out"),
-        ),
-    )["out"]
+    words = F.regexp_extract_all("sentence", F.lit(_WORD), 0)
     candidates = (
         sentences(notes)
-        .withColumns({"_words": F.regexp_extract_all("sentence", F.lit(_WORD), 0), "_gaps": F.split("sentence", _WORD, -1)})
-        .filter(F.size("_words") > 0)
-        .select("note_sk", "section", "sentence_start", "sentence", F.inline(placed))
-        .join(terms, "_first")
+        .select("note_sk", "section", "sentence_start", "sentence", F.posexplode(words).alias("_place", "_word"))
+        .join(terms, F.lower("_word") == F.col("_first"))
+        .withColumns({"_words": words, "_gaps": F.split("sentence", _WORD, -1)})
+        .withColumn("offset", _total_length(F.col("_gaps"), F.col("_place") + 1) + _total_length(F.col("_words"), F.col("_place")))
         .withColumn("_end", F.col("offset") + F.length("_term"))
         .filter(
             (F.lower(F.substring("sentence", F.col("offset") + 1, F.length("_term"))) == F.col("_term"))

@@ -188,8 +188,8 @@ def patient_features(spark, sf_dir):
 
 
 @query("patient_trends", with_views("patient", "encounter", "condition", "observation", then=f"""
-SELECT p.patient_sk, round(o.slope, 6) AS a1c_slope_per_day,
-       round(e.n / (greatest(date_diff('day', e.first, {DAY}), 1) / 365.25), 6) AS encounters_per_year,
+SELECT p.patient_sk, round(o.slope, 8) AS a1c_slope_per_day,
+       round(e.n / (greatest(date_diff('day', e.first, {DAY}), 1) / 365.25), 8) AS encounters_per_year,
        coalesce(c.n, 0) AS chronic_condition_count
 FROM patient AS p
 LEFT JOIN (SELECT patient_sk, regr_slope(value_numeric, CAST(date_diff('day', DATE '2000-01-01', CAST(effective_datetime AS DATE)) AS DOUBLE)) AS slope
@@ -201,7 +201,7 @@ LEFT JOIN (SELECT patient_sk, count(DISTINCT condition_code) AS n FROM condition
            WHERE is_chronic AND recorded_date <= {DAY} GROUP BY 1) AS c ON p.patient_sk = c.patient_sk"""))
 def patient_trends(spark, sf_dir):
     trends = features.patient_trends(load(spark, sf_dir, "patient", "encounter", "condition", "observation"), AS_OF)
-    return trends.withColumns({name: F.round(name, 6) for name in ("a1c_slope_per_day", "encounters_per_year")})
+    return trends.withColumns({name: F.round(name, 8) for name in ("a1c_slope_per_day", "encounters_per_year")})
 
 
 @query("cardiovascular_risk", with_views("condition", "medication_order", then="""

@@ -85,8 +85,8 @@ SELECT event_id AS observation_sk, user_id AS patient_sk,
        CASE WHEN event_type IN ('purchase') THEN 'laboratory' ELSE 'vital-signs' END AS category,
        CASE event_type WHEN 'purchase' THEN '4548-4' WHEN 'click' THEN '8480-6' WHEN 'view' THEN '8462-4'
             WHEN 'error' THEN '39156-5' ELSE '85354-9' END AS observation_code,
-       CASE event_type WHEN 'purchase' THEN round(4.5 + value / 40, 1) WHEN 'click' THEN round(90 + value / 5, 1)
-            WHEN 'view' THEN round(55 + value / 6, 1) WHEN 'error' THEN round(17 + value / 12, 1) END AS value_numeric,
+       CASE event_type WHEN 'purchase' THEN floor(45 + value / 4) / 10 WHEN 'click' THEN floor(900 + value * 2) / 10
+            WHEN 'view' THEN floor(550 + value * 10 / 6) / 10 WHEN 'error' THEN floor(170 + value * 10 / 12) / 10 END AS value_numeric,
        CASE WHEN event_type = 'signup' THEN '120/80' END AS value_string,
        ts - INTERVAL '24' YEAR AS effective_datetime,
        CASE WHEN event_type IN ('click', 'view') THEN event_id - 1 END AS parent_observation_sk
