@@ -30,13 +30,12 @@ def within_days(ts: Column, first: Column, last: Column, strict_upper: bool = Fa
     """Is the time inside the date window?
 
     By default the whole last day counts. `strict_upper` ends the window at midnight at the start of
-    the last day, which is what comparing a timestamp with a bare date does.
+    the last day, which is what comparing a timestamp with a bare date does. The time column itself is
+    compared, not a cast of it, so the window reaches the file scan.
     """
-    stamp = ts.cast("timestamp_ntz")
-    start, end = first.cast("timestamp_ntz"), last.cast("timestamp_ntz")
     if strict_upper:
-        return stamp.between(start, end)
-    return (stamp >= start) & (stamp < F.date_add(last, 1).cast("timestamp_ntz"))
+        return ts.between(first, last)
+    return (ts >= first) & (ts < F.date_add(last, 1))
 
 
 def parse_code_list(text: Column) -> Column:

@@ -16,16 +16,19 @@ MEMBER_COLUMNS = ("patient_sk", "mrn", "birth_date", "sex", "race")
 Tables = Mapping[str, DataFrame]
 
 
-def evaluate(tables: Tables, spec: CohortSpec) -> DataFrame:
+def evaluate(tables: Tables, spec: CohortSpec, state: DataFrame | None = None) -> DataFrame:
     """Patients that meet the cohort, with their criterion state.
 
+    `state` may come from stored evidence rows; else the clinical tables are scanned for it.
+
     Patients without any evidence are kept in only where the expression can hold without it (for
     example a cohort of exclusions); otherwise an inner join lets the small side drive.
     """
     patients = tables["patient"].filter(spec.patient_filter)
     if not spec.criteria:
         return patients
-    state = criterion_state(tables, spec.criteria)
+    if state is None:
+        state = criterion_state(tables, spec.criteria)
     how = "left" if spec.expression.met_without_evidence() else "inner"
     return patients.join(state, "patient_sk", how).filter(spec.expression.met())
 
@@ -57,11 +60,11 @@ def qualifying_source(spec: CohortSpec) -> Column:
     return F.when(met("coded") & met("nlp"), "both").when(met("nlp"), "nlp").otherwise("coded")
 
 
-def qualified_members(tables: Tables, spec: CohortSpec) -> DataFrame:
+def qualified_members(tables: Tables, spec: CohortSpec, state: DataFrame | None = None) -> DataFrame:
     """Members with the date on which all entry criteria first held and how they qualified."""
     first = spec.expression.first_met()
     index_date = F.lit(None).cast("date") if first is None else first
-    return evaluate(tables, spec).select(
+    return evaluate(tables, spec, state).select(
         "patient_sk", index_date.alias("index_date"),
         (qualifying_source(spec) if spec.criteria else F.lit("coded")).alias("qualifying_source"),
     )

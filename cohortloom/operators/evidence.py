@@ -64,6 +64,16 @@ def criterion_state(tables: Mapping[str, DataFrame], criteria: list[Criterion])
     return rows.groupBy("patient_sk").agg(*measures)
 
 
+def state_of_rows(rows: DataFrame, criteria: list[Criterion]) -> DataFrame:
+    """The same state from stored evidence rows."""
+    measures = []
+    for criterion in criteria:
+        hit = F.col("criterion") == criterion.id
+        measures.append(F.count_if(hit).alias(f"n_{criterion.id}"))
+        measures.append(F.min(F.when(hit, F.col("event_date"))).alias(f"first_{criterion.id}"))
+    return rows.groupBy("patient_sk").agg(*measures)
+
+
 def evidence_rows(tables: Mapping[str, DataFrame], criteria: list[Criterion]) -> DataFrame:
     """Every row that meets a criterion: one output row per row and criterion it meets."""
     parts = []

@@ -17,8 +17,9 @@ LATEST_VALUE_CODES = {
 }
 
 
-def _until(ts: str, as_of: Column) -> Column:
-    return F.col(ts).cast("date") <= as_of
+def _until(column: str, as_of: Column) -> Column:
+    """Up to and including the day; works on dates and times without casting the column."""
+    return F.col(column) < F.date_add(as_of, 1)
 
 
 def patient_features(tables: Mapping[str, DataFrame], as_of) -> DataFrame:

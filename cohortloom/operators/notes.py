@@ -23,12 +23,13 @@ BROADCAST_TERMS = 500_000
 # --- which notes, and what is asked -----------------------------------------------------------------
 
 
-def unprocessed_notes(notes: DataFrame, *processed: DataFrame, limit: int | None = None) -> DataFrame:
-    """Notes with text whose key is in none of the tables of processed notes, in key order.
+def unprocessed_keys(notes: DataFrame, *processed: DataFrame, limit: int | None = None) -> DataFrame:
+    """Keys of notes with text that are in none of the tables of processed notes; the first by key with a limit.
 
-    Keys are made distinct before the join: many mentions of one note become one row per task.
+    Only keys are joined, never texts. They are made distinct before: many mentions of one note become
+    one row per task.
     """
-    todo = notes.filter(F.col("note_text").isNotNull())
+    todo = notes.filter(F.col("note_text").isNotNull()).select("note_sk")
     if processed:
         done = processed[0].select("note_sk")
         for more in processed[1:]:
@@ -37,6 +38,11 @@ def unprocessed_notes(notes: DataFrame, *processed: DataFrame, limit: int | None
     return todo if limit is None else todo.orderBy("note_sk").limit(limit)
 
 
+def unprocessed_notes(notes: DataFrame, *processed: DataFrame, limit: int | None = None) -> DataFrame:
+    """The notes of these keys, with their texts."""
+    return notes.join(unprocessed_keys(notes, *processed, limit=limit), "note_sk", "left_semi")
+
+
 def request_text(category: Column, note_text: Column) -> Column:
     shown = F.when(F.coalesce(category, F.lit("")) == "", "unknown").otherwise(category)
     return F.concat(F.lit("NOTE CATEGORY: "), shown, F.lit("\n\nNOTE TEXT:\n"), note_text)

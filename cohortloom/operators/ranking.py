@@ -16,32 +16,24 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -
     return df.withColumn("_position", position).filter(F.col("_position") <= k).drop("_position")
 
 
-def numbered(
-    df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str, descending_buckets: bool = False
-) -> DataFrame:
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """row_number() within each group, without sorting a whole group in one task.
 
-    `bucket` must follow the order (a month of the ordering date, leading digits of a hash). Rows are
-    numbered within (group, bucket); the number of rows in earlier buckets is added. Counting them
-    needs one small row per group and bucket.
+    `bucket` must be a text that follows the order (the month of the ordering date, leading digits of
+    a hash); rows without one come first. Rows are numbered within (group, bucket); the number of rows
+    in earlier buckets is added. Counting them needs one small row per group and bucket, and the join
+    runs on the partitioning the numbering already made. Keys must not be null.
     """
-    rows = df.withColumn("_bucket", bucket)
+    rows = df.withColumn("_bucket", F.coalesce(bucket.cast("string"), F.lit("")))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
-    bucket_order = F.col("_bucket").desc_nulls_last() if descending_buckets else F.col("_bucket").asc_nulls_first()
-    before = Window.partitionBy(*keys).orderBy(bucket_order).rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(*keys, "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    offsets = offsets.select(
-        *[F.col(key).alias(f"_o_{key}") for key in keys], F.col("_bucket").alias("_o_bucket"), "_before"
-    )
-    same = F.col("_bucket").eqNullSafe(F.col("_o_bucket"))
-    for key in keys:
-        same = same & F.col(key).eqNullSafe(F.col(f"_o_{key}"))
     local = F.row_number().over(Window.partitionBy(*keys, "_bucket").orderBy(*order))
     return (
         rows.withColumn("_local", local)
-        .join(offsets, same)
+        .join(offsets, [*keys, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_local")).cast("long"))
-        .drop("_bucket", "_local", "_before", "_o_bucket", *[f"_o_{key}" for key in keys])
+        .drop("_bucket", "_local", "_before")
     )
 
 
@@ -75,8 +67,13 @@ def encounter_index(encounters: DataFrame) -> DataFrame:
 
 
 def diagnosis_rank(conditions: DataFrame, background: list[str]) -> DataFrame:
-    """Rank of a diagnosis within its encounter: 1 is primary; background findings share the last place."""
-    is_background = F.col("condition_code").isin(background)
+    """Rank of a diagnosis within its encounter: 1 is primary; background findings share the last place.
+
+    Diagnoses outside any encounter have no rank.
+    """
+    is_background = F.coalesce(F.col("condition_code").isin(background), F.lit(False))
+    outside = conditions.filter(F.col("encounter_sk").isNull()).withColumn("diagnosis_rank", F.lit(None).cast("long"))
+    conditions = conditions.filter(F.col("encounter_sk").isNotNull())
     primary = numbered(
         conditions.filter(~is_background), ["encounter_sk"], F.trunc("recorded_date", "month"),
         [F.col("recorded_date").asc_nulls_first(), F.col("condition_sk")], "diagnosis_rank",
@@ -84,7 +81,7 @@ def diagnosis_rank(conditions: DataFrame, background: list[str]) -> DataFrame:
     n_primary = conditions.filter(~is_background).groupBy("encounter_sk").agg((F.count("*") + 1).alias("diagnosis_rank"))
     others = conditions.filter(is_background).join(n_primary, "encounter_sk", "left")
     others = others.withColumn("diagnosis_rank", F.coalesce("diagnosis_rank", F.lit(1)).cast("long"))
-    return primary.unionByName(others)
+    return primary.unionByName(others).unionByName(outside)
 
 
 def latest_values(observations: DataFrame, codes: dict[str, str], extra_keys: tuple[str, ...] = ()) -> DataFrame:

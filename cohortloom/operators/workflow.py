@@ -16,17 +16,23 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import analysis, cohort, features, ingest, notes, review
 from cohortloom.operators.criteria import CriteriaRecord, cohort_spec, primary_concept
-from cohortloom.operators.evidence import qualifying_evidence, trigger_rows, with_note_date
+from cohortloom.operators.evidence import (
+    evidence_rows, qualifying_evidence, state_of_rows, trigger_rows, with_note_date,
+)
 from cohortloom.session import checkpoint_folder
 from cohortloom.sources.lake import Lake, export_folder, hash_key, new_key
 
 CLINICAL = ("patient", "condition", "medication_order", "observation", "note_nlp_entity")
 
 
-def _cut_lineage(df: DataFrame) -> DataFrame:
-    """Compute once into the shared checkpoint folder; survives the loss of executors."""
-    df.sparkSession.sparkContext.setCheckpointDir(checkpoint_folder(df.sparkSession))
-    return df.checkpoint()
+def _staged(df: DataFrame) -> DataFrame:
+    """Compute once into files in the shared checkpoint folder and go on from there.
+
+    The files survive the loss of executors, and Spark knows their size when it chooses joins.
+    """
+    path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def _clinical_tables(lake: Lake) -> dict[str, DataFrame]:
@@ -70,11 +76,18 @@ def run_cohort(lake: Lake, cohort_sk: int, record: CriteriaRecord, as_of=None) -
     run_id = uuid.uuid4().hex
     tables, spec = _clinical_tables(lake), cohort_spec(record, as_of)
     labels = {"cohort_sk": F.lit(cohort_sk), "run_id": F.lit(run_id)}
-    members = _cut_lineage(cohort.qualified_members(tables, spec))
-    if spec.expression.required():
-        lake.append(cohort.member_evidence(tables, spec, members).withColumns(labels), "cohort_evidence", ordered=True)
-        rows = lake.table("cohort_evidence").filter(F.col("run_id") == run_id)
-        members = members.join(qualifying_evidence(trigger_rows(rows)), "patient_sk", "left")
+    if spec.criteria:
+        rows = _staged(evidence_rows(tables, spec.criteria))  # the only pass over the clinical tables
+        members = _staged(cohort.qualified_members(tables, spec, state_of_rows(rows, spec.criteria)))
+        wanted = rows.filter(F.col("criterion").isin(spec.expression.required()))
+        lake.append(
+            wanted.join(members.select("patient_sk"), "patient_sk", "left_semi").withColumns(labels), "cohort_evidence",
+            ordered=True,
+        )
+        kept = lake.table("cohort_evidence").filter(F.col("run_id") == run_id)
+        members = members.join(qualifying_evidence(trigger_rows(kept)), "patient_sk", "left")
+    else:
+        members = cohort.qualified_members(tables, spec)
     members = members.withColumns(labels).withColumn("cohort_member_sk", hash_key("run_id", "cohort_sk", "patient_sk"))
     n_members = lake.append(members, "cohort_member", ordered=True)
     lake.append_record("cohort_run", cohort_sk=cohort_sk, run_id=run_id, n_members=n_members)
@@ -104,7 +117,7 @@ def change_status(lake: Lake, cohort_sk: int, status: str) -> None:
 def refresh_cohort(lake: Lake, cohort_sk: int, as_of=None) -> DataFrame:
     """Re-run the stored logic of a cohort; returns who was added, dropped and kept against the prior run."""
     stored = review.definition_detail(lake.table("cohort_definition"), cohort_sk).select("definition_logic").first()
-    prior = _cut_lineage(current_members(lake).filter(F.col("cohort_sk") == cohort_sk).select("patient_sk"))
+    prior = _staged(current_members(lake).filter(F.col("cohort_sk") == cohort_sk).select("patient_sk"))
     run_id = run_cohort(lake, cohort_sk, CriteriaRecord.from_json(stored["definition_logic"]), as_of)
     members = lake.table("cohort_member").filter((F.col("cohort_sk") == cohort_sk) & (F.col("run_id") == run_id))
     return analysis.membership_difference(prior, members.select("patient_sk"))
@@ -149,11 +162,13 @@ def run_extraction(
     started = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     run_sk = new_key(model_name, model_version, uuid.uuid4().hex)
     done = lake.table("note_nlp_outcome").filter(F.col("outcome") == "ok")
-    todo = notes.unprocessed_notes(lake.table("clinical_note"), lake.table("note_nlp_entity"), done, limit=max_notes)
+    texts = lake.table("clinical_note")
+    keys = _staged(notes.unprocessed_keys(texts, lake.table("note_nlp_entity"), done, limit=max_notes))
+    todo = texts.join(keys, "note_sk", "left_semi")  # few new keys are broadcast, so texts are not shuffled
     lake.append_record("nlp_run", nlp_run_sk=run_sk, model_name=model_name, model_version=model_version, run_started_at=started)
-    answers = _cut_lineage(extractor(todo))
+    answers = _staged(extractor(todo))
     totals = notes.check_outcomes(notes.outcome_counts(answers))
-    entities = notes.with_note_keys(notes.entities_of(answers), lake.table("clinical_note")).withColumns({
+    entities = notes.with_note_keys(notes.entities_of(answers), texts).withColumns({
         "nlp_run_sk": F.lit(run_sk), "entity_sk": hash_key("note_sk", F.lit(run_sk), "mention_no"),
     })
     lake.append(entities.drop("mention_no"), "note_nlp_entity", ordered=True)

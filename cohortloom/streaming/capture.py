@@ -7,12 +7,11 @@ Membership is a batch query over the captured evidence.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from cohortloom.operators.cohort import MEMBER_COLUMNS, qualifying_source
+from cohortloom.operators.cohort import qualified_members
 from cohortloom.operators.criteria import CohortSpec, Criterion
-from cohortloom.operators.evidence import evidence_rows
+from cohortloom.operators.evidence import evidence_rows, state_of_rows
 from cohortloom.schemas import TABLES
 
 
@@ -35,18 +34,4 @@ def capture_evidence(
 
 def members_from_evidence(evidence: DataFrame, patients: DataFrame, spec: CohortSpec) -> DataFrame:
     """Members, index date and source from captured evidence rows."""
-    measures = []
-    for criterion in spec.criteria:
-        hit = F.col("criterion") == criterion.id
-        measures.append(F.count_if(hit).alias(f"n_{criterion.id}"))
-        measures.append(F.min(F.when(hit, F.col("event_date"))).alias(f"first_{criterion.id}"))
-    state = evidence.groupBy("patient_sk").agg(*measures)
-    first = spec.expression.first_met()
-    how = "left" if spec.expression.met_without_evidence() else "inner"
-    return (
-        patients.filter(spec.patient_filter).join(state, "patient_sk", how).filter(spec.expression.met())
-        .select(
-            *MEMBER_COLUMNS, (F.lit(None).cast("date") if first is None else first).alias("index_date"),
-            qualifying_source(spec).alias("qualifying_source"),
-        )
-    )
+    return qualified_members({"patient": patients}, spec, state_of_rows(evidence, spec.criteria))
