@@ -54,14 +54,18 @@ IDENTIFIERS = (
     ("phone", r"(?:\+\d{1,3} ?)?\(?\b\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b"),
     ("id", r"\b(?:MRN-)?\d{6,}\b"),
 )
+# A text without this cannot hold the identifier, so the pattern is not run over it.
+_NEEDS = {"url": "://", "email": "@", "phone": "[0-9]{3}[ .-][0-9]{4}", "id": "[0-9]{6}"}
 
 
 def deidentify(text: Column) -> tuple[Column, dict[str, Column]]:
     """The text with identifiers replaced by [KIND], and the number of replacements per kind."""
     counts: dict[str, Column] = {}
     for kind, pattern in IDENTIFIERS:
-        counts[kind] = F.regexp_count(text, F.lit(pattern))
-        text = F.regexp_replace(text, pattern, f"[{kind.upper()}]")
+        needed = F.lit(_NEEDS[kind])
+        possible = F.contains(text, needed) if kind in ("url", "email") else F.regexp_like(text, needed)
+        counts[kind] = F.when(possible, F.regexp_count(text, F.lit(pattern))).when(text.isNotNull(), 0)
+        text = F.when(possible, F.regexp_replace(text, pattern, f"[{kind.upper()}]")).otherwise(text)
     return text, counts
 
 

@@ -80,8 +80,7 @@ def kept_visits(appointments: DataFrame) -> DataFrame:
 def land_resources(lines: DataFrame, source_system: str, bundle_id: str, ingested_at: Column) -> DataFrame:
     """Raw landing of NDJSON lines: type and id beside the untouched payload."""
     return lines.select(
-        F.get_json_object("value", "$.resourceType").alias("resource_type"),
-        F.get_json_object("value", "$.id").alias("resource_id"),
+        F.json_tuple("value", "resourceType", "id").alias("resource_type", "resource_id"),
         F.lit(source_system).alias("source_system"), F.col("value").alias("payload"),
         F.lit(bundle_id).alias("bundle_id"), ingested_at.alias("ingested_at"),
     )

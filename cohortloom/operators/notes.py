@@ -202,7 +202,9 @@ def _found_by_pattern(notes: DataFrame, pattern: str) -> DataFrame:
     return pieces.select("note_sk", "section", "sentence_start", "sentence", F.inline(place))
 
 
-_WORD = "[A-Za-z0-9]+"
+# Letters and digits of any script, as the word boundary of the pattern sees them.
+_WORD_CHARACTER = r"[\p{L}\p{Nd}_]"
+_WORD = _WORD_CHARACTER + "+"
 
 
 def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
@@ -225,7 +227,7 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
         .withColumn("_end", F.col("offset") + F.length("_term"))
         .filter(
             (F.lower(F.substring("sentence", F.col("offset") + 1, F.length("_term"))) == F.col("_term"))
-            & ~F.regexp_like(F.substring("sentence", F.col("_end") + 1, F.lit(1)), F.lit("[A-Za-z0-9_]"))
+            & ~F.regexp_like(F.substring("sentence", F.col("_end") + 1, F.lit(1)), F.lit(_WORD_CHARACTER))
         )
     )
     ordered = F.array_sort(F.collect_list(F.struct("offset", (-F.col("_end")).alias("_negative_end"))))
