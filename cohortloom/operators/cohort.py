@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import clinical, codes
-from cohortloom.operators.criteria import CohortSpec, CriteriaRecord, Has, Not, cohort_spec
+from cohortloom.operators.criteria import AllOf, CohortSpec, CriteriaRecord, Has, Not, cohort_spec
 from cohortloom.operators.evidence import criterion_state, evidence_rows, qualifying_evidence, trigger_rows
 from cohortloom.schemas import PAGE_SIZE
 
@@ -113,15 +113,14 @@ def of_age_at_index(members: DataFrame, patients: DataFrame, min_age: float | No
     return aged.drop("birth_date")
 
 
-def control_cohort(tables: Tables, record: CriteriaRecord, as_of=None) -> DataFrame:
+def control_spec(record: CriteriaRecord, as_of=None) -> CohortSpec:
     """Patients of the same demographics without any of the conditions and exposures of the case cohort."""
-    spec = cohort_spec(record, as_of)
-    if not spec.criteria:
-        return tables["patient"].filter(spec.patient_filter).select(*MEMBER_COLUMNS)
-    free_of_all = Not(Has(spec.criteria[0].id))
-    for criterion in spec.criteria[1:]:
-        free_of_all = free_of_all & Not(Has(criterion.id))
-    return build_cohort(tables, CohortSpec(spec.criteria, free_of_all, spec.patient_filter))
+    case = cohort_spec(record, as_of)
+    return CohortSpec(case.criteria, AllOf(*[Not(Has(criterion.id)) for criterion in case.criteria]), case.patient_filter)
+
+
+def control_cohort(tables: Tables, record: CriteriaRecord, as_of=None) -> DataFrame:
+    return build_cohort(tables, control_spec(record, as_of))
 
 
 def three_way_cohort(conditions: DataFrame, medications: DataFrame, as_of, days: int = 730) -> DataFrame:

@@ -121,9 +121,22 @@ def _resources(raw: DataFrame, kind: str) -> DataFrame:
     return parsed.select("r.*")
 
 
+def _own_key(kind: str) -> Column:
+    return _key_of(kind, F.col("id"))
+
+
+def _key_of(kind: str, identifier: Column) -> Column:
+    """Key of a resource: its id where that is a number, else a hash of type and id."""
+    return F.when(identifier.isNotNull(), F.coalesce(identifier.try_cast("long"), F.xxhash64(F.lit(kind), identifier)))
+
+
 def _key(reference: str) -> Column:
-    """Numeric key at the end of a reference such as Patient/17."""
-    return F.element_at(F.split(F.col(reference), "/"), -1).cast("long")
+    """Key of the resource a reference such as Patient/17 points to."""
+    parts = F.split(F.col(reference), "/")
+    kind, identifier = F.element_at(parts, -2), F.element_at(parts, -1)
+    return F.when(
+        F.size(parts) >= 2, F.coalesce(identifier.try_cast("long"), F.xxhash64(kind, identifier))
+    )
 
 
 def _coding(concept: str) -> Column:
@@ -138,7 +151,7 @@ def conform_patients(raw: DataFrame) -> DataFrame:
     r = _resources(raw, "Patient")
     first_address = F.get("address", F.lit(0))
     return r.select(
-        F.col("id").cast("long").alias("patient_sk"),
+        _own_key("Patient").alias("patient_sk"),
         F.get(F.filter("identifier", lambda i: i["system"] == "mrn"), F.lit(0))["value"].alias("mrn"),
         F.col("birthDate").alias("birth_date"), F.col("gender").alias("sex"),
         F.coalesce("deceasedBoolean", F.lit(False)).alias("deceased_flag"), first_address["state"].alias("state"),
@@ -148,7 +161,7 @@ def conform_patients(raw: DataFrame) -> DataFrame:
 def conform_encounters(raw: DataFrame) -> DataFrame:
     classes = F.create_map(*[F.lit(v) for pair in ENCOUNTER_CLASSES.items() for v in pair])
     return _resources(raw, "Encounter").select(
-        F.col("id").cast("long").alias("encounter_sk"), _key("subject.reference").alias("patient_sk"),
+        _own_key("Encounter").alias("encounter_sk"), _key("subject.reference").alias("patient_sk"),
         classes[F.col("class.code")].alias("encounter_class"), F.get("type", F.lit(0))["text"].alias("encounter_type"),
         "status", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"),
     )
@@ -156,7 +169,7 @@ def conform_encounters(raw: DataFrame) -> DataFrame:
 
 def conform_conditions(raw: DataFrame) -> DataFrame:
     return _resources(raw, "Condition").select(
-        F.col("id").cast("long").alias("condition_sk"), _key("subject.reference").alias("patient_sk"),
+        _own_key("Condition").alias("condition_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"), _first_category().alias("category"),
         _coding("code")["code"].alias("condition_code"), _coding("clinicalStatus")["code"].alias("clinical_status"),
         F.col("onsetDateTime").alias("onset_date"), F.col("recordedDate").alias("recorded_date"),
@@ -164,8 +177,8 @@ def conform_conditions(raw: DataFrame) -> DataFrame:
 
 
 def conform_observations(raw: DataFrame) -> DataFrame:
-    """Observations; components of a panel become rows that point to it, with keys derived from its key."""
-    r = _resources(raw, "Observation").withColumn("_sk", F.col("id").cast("long"))
+    """Observations; components of a panel become rows that point to it, with keys hashed from its key."""
+    r = _resources(raw, "Observation").withColumn("_sk", _own_key("Observation"))
     common = [
         _key("subject.reference").alias("patient_sk"), _first_category().alias("category"),
     ]
@@ -182,10 +195,10 @@ def conform_observations(raw: DataFrame) -> DataFrame:
     )
     rows = r.select("_sk", *common, "effectiveDateTime", F.inline(F.concat(F.array(own), parts)))
     return rows.select(
-        (F.col("_sk") * 100 + F.col("no")).alias("observation_sk"), "patient_sk", "category",
+        F.when(F.col("no") == 0, F.col("_sk")).otherwise(F.xxhash64("_sk", "no")).alias("observation_sk"), "patient_sk", "category",
         F.col("code").alias("observation_code"), F.col("value").alias("value_numeric"),
         F.col("string").alias("value_string"), F.col("effectiveDateTime").alias("effective_datetime"),
-        F.when(F.col("no") > 0, F.col("_sk") * 100).alias("parent_observation_sk"),
+        F.when(F.col("no") > 0, F.col("_sk")).alias("parent_observation_sk"),
     )
 
 
@@ -195,7 +208,7 @@ def _component_type() -> T.DataType:
 
 def conform_medication_orders(raw: DataFrame) -> DataFrame:
     return _resources(raw, "MedicationRequest").select(
-        F.col("id").cast("long").alias("med_order_sk"), _key("subject.reference").alias("patient_sk"),
+        _own_key("MedicationRequest").alias("med_order_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"),
         _coding("medicationCodeableConcept")["code"].alias("med_code"),
         F.when(F.col("status") == "stopped", "discontinued").otherwise(F.col("status")).alias("order_status"),
@@ -205,7 +218,7 @@ def conform_medication_orders(raw: DataFrame) -> DataFrame:
 
 def conform_procedures(raw: DataFrame) -> DataFrame:
     return _resources(raw, "Procedure").select(
-        F.col("id").cast("long").alias("procedure_sk"), _key("subject.reference").alias("patient_sk"),
+        _own_key("Procedure").alias("procedure_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"), _coding("code")["code"].alias("procedure_code"), "status",
         F.col("performedDateTime").alias("performed_datetime"),
     )
@@ -215,7 +228,7 @@ def conform_notes(raw: DataFrame) -> DataFrame:
     """Document references with inline attachments: base64 to text; HTML is stripped, plain text kept."""
     attachment = F.get("content", F.lit(0))["attachment"]
     decoded = _resources(raw, "DocumentReference").select(
-        F.col("id").cast("long").alias("note_sk"), _key("subject.reference").alias("patient_sk"),
+        _own_key("DocumentReference").alias("note_sk"), _key("subject.reference").alias("patient_sk"),
         _first_category().alias("note_category"), F.col("date").alias("service_date"),
         attachment["contentType"].alias("content_type"),
         F.decode(F.unbase64(attachment["data"]), "UTF-8").alias("_body"),
@@ -228,6 +241,13 @@ def conform_notes(raw: DataFrame) -> DataFrame:
     ).withColumn("text_char_length", F.length("note_text"))
 
 
+CONFORMED = {
+    "patient": conform_patients, "encounter": conform_encounters, "condition": conform_conditions,
+    "observation": conform_observations, "medication_order": conform_medication_orders,
+    "procedure": conform_procedures, "clinical_note": conform_notes,
+}
+
+
 def cohort_bundles(members: DataFrame, patients: DataFrame) -> DataFrame:
     """One FHIR Bundle per member: the patient and the rows that triggered membership.
 

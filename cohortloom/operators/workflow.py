@@ -15,7 +15,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators import analysis, cohort, features, ingest, notes, review
-from cohortloom.operators.criteria import CriteriaRecord, cohort_spec, primary_concept
+from cohortloom.operators.criteria import CohortSpec, CriteriaRecord, cohort_spec, primary_concept
+from cohortloom.operators.criteria_sql import cohort_sql
 from cohortloom.operators.evidence import (
     evidence_rows, qualifying_evidence, state_of_rows, trigger_rows, with_note_date,
 )
@@ -49,7 +50,11 @@ def save_cohort(
     description: str = "", as_of=None, comparison_cohort_sk: int | None = None,
     lookback_days: int | None = None, follow_up_days: int | None = None,
 ) -> int:
-    """Store a definition (the next version of its name; older versions are archived) and its members."""
+    """Store a definition (the next version of its name; older versions are archived) and its members.
+
+    A control cohort that names its case cohort in `comparison_cohort_sk` holds the patients who meet
+    none of the record's criteria.
+    """
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     same_name = lake.table("cohort_definition").filter(F.col("name") == name)
     version = (same_name.agg(F.max("version")).first()[0] or 0) + 1
@@ -67,14 +72,30 @@ def save_cohort(
         follow_up_days=follow_up_days, min_age_years=record.min_age, max_age_years=record.max_age,
         comparison_cohort_sk=comparison_cohort_sk, status="active", version=version, created_by=created_by, created_at=now,
     )
-    run_cohort(lake, cohort_sk, record, as_of)
+    run_cohort(lake, cohort_sk, as_of)
     return cohort_sk
 
 
-def run_cohort(lake: Lake, cohort_sk: int, record: CriteriaRecord, as_of=None) -> str:
-    """Evaluate a cohort and store evidence rows, members and the finished run; returns the run id."""
+def save_control(lake: Lake, case_cohort_sk: int, name: str, as_of=None, created_by: str = "unknown") -> int:
+    """The control cohort of a stored case cohort, linked to it."""
+    case = review.definition_detail(lake.table("cohort_definition"), case_cohort_sk).first()
+    return save_cohort(
+        lake, CriteriaRecord.from_json(case["definition_logic"]), name, "control", case["cohort_category"], created_by,
+        f"Patients without the criteria of {case['name']}", as_of, comparison_cohort_sk=case_cohort_sk,
+    )
+
+
+def _stored_spec(lake: Lake, cohort_sk: int, as_of) -> CohortSpec:
+    stored = review.definition_detail(lake.table("cohort_definition"), cohort_sk).first()
+    record = CriteriaRecord.from_json(stored["definition_logic"])
+    is_control = stored["cohort_type"] == "control" and stored["comparison_cohort_sk"] is not None
+    return cohort.control_spec(record, as_of) if is_control else cohort_spec(record, as_of)
+
+
+def run_cohort(lake: Lake, cohort_sk: int, as_of=None) -> str:
+    """Evaluate a stored cohort and store evidence rows, members and the finished run; returns the run id."""
     run_id = uuid.uuid4().hex
-    tables, spec = _clinical_tables(lake), cohort_spec(record, as_of)
+    tables, spec = _clinical_tables(lake), _stored_spec(lake, cohort_sk, as_of)
     labels = {"cohort_sk": F.lit(cohort_sk), "run_id": F.lit(run_id)}
     if spec.criteria:
         rows = _staged(evidence_rows(tables, spec.criteria))  # the only pass over the clinical tables
@@ -116,9 +137,8 @@ def change_status(lake: Lake, cohort_sk: int, status: str) -> None:
 
 def refresh_cohort(lake: Lake, cohort_sk: int, as_of=None) -> DataFrame:
     """Re-run the stored logic of a cohort; returns who was added, dropped and kept against the prior run."""
-    stored = review.definition_detail(lake.table("cohort_definition"), cohort_sk).select("definition_logic").first()
     prior = _staged(current_members(lake).filter(F.col("cohort_sk") == cohort_sk).select("patient_sk"))
-    run_id = run_cohort(lake, cohort_sk, CriteriaRecord.from_json(stored["definition_logic"]), as_of)
+    run_id = run_cohort(lake, cohort_sk, as_of)
     members = lake.table("cohort_member").filter((F.col("cohort_sk") == cohort_sk) & (F.col("run_id") == run_id))
     return analysis.membership_difference(prior, members.select("patient_sk"))
 
@@ -136,6 +156,23 @@ def export_bundles(lake: Lake, cohort_sk: int, folder: str) -> str:
     return lake.export_lines(ingest.cohort_bundles(members, lake.table("patient")), folder)
 
 
+def preview(lake: Lake, record: CriteriaRecord, as_of=None) -> tuple[int, DataFrame, str]:
+    """Size of a cohort, a sample page, and the query as readable SQL text."""
+    members = _staged(cohort.build_cohort(_clinical_tables(lake), cohort_spec(record, as_of)))
+    return members.count(), cohort.preview(members), cohort_sql(record, as_of)[0]
+
+
+# --- sources -------------------------------------------------------------------------------------------
+
+
+def load_resources(lake: Lake, folder: str, source_system: str, bundle_id: str) -> dict[str, int]:
+    """Land the NDJSON files of a folder and conform them into the clinical tables; rows per table."""
+    lines = lake.spark.read.text(folder)
+    lake.append(ingest.land_resources(lines, source_system, bundle_id, F.current_timestamp()), "raw_fhir_resource")
+    raw = lake.table("raw_fhir_resource").filter(F.col("bundle_id") == bundle_id)
+    return {table: lake.append(conform(raw), table, ordered=True) for table, conform in ingest.CONFORMED.items()}
+
+
 # --- extraction runs -----------------------------------------------------------------------------------
 
 

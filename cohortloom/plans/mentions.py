@@ -219,20 +219,27 @@ def cohort_from_notes(spark, sf_dir):
     return cohort.evaluate(tables, CohortSpec([wanted], AllOf(Has("dm")), F.lit(True))).select("patient_sk")
 
 
-def find_metformin(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
-    """A user function over batches of notes, in place of a model."""
-    word = re.compile("metformin")
-    for batch in batches:
-        entities = [
-            [
-                {"entity_type": "medication", "covered_text": m.group(), "span_start": m.start(), "span_end": m.end(),
-                 "concept_code": "860975", "concept_system": "RxNorm", "concept_display": None, "negation": False,
-                 "certainty": None, "temporality": None, "subject": None, "confidence": None}
-                for m in word.finditer(note)
+def word_finder(word: str, code: str):
+    """A user function over batches of notes, in place of a model.
+
+    It is made inside a function, so it travels to the workers by value and they need not have this package.
+    """
+
+    def find(batches: Iterable[pd.DataFrame]) -> Iterable[pd.DataFrame]:
+        pattern = re.compile(re.escape(word))
+        for batch in batches:
+            entities = [
+                [
+                    {"entity_type": "medication", "covered_text": m.group(), "span_start": m.start(), "span_end": m.end(),
+                     "concept_code": code, "concept_system": "RxNorm", "concept_display": None, "negation": False,
+                     "certainty": None, "temporality": None, "subject": None, "confidence": None}
+                    for m in pattern.finditer(note)
+                ]
+                for note in batch["note_text"]
             ]
-            for note in batch["note_text"]
-        ]
-        yield pd.DataFrame({"note_sk": batch["note_sk"], "outcome": "ok", "entities": entities})
+            yield pd.DataFrame({"note_sk": batch["note_sk"], "outcome": "ok", "entities": entities})
+
+    return find
 
 
 @query("user_function_mentions", with_views("clinical_note", then="""
@@ -240,6 +247,6 @@ SELECT note_sk, len(regexp_extract_all(note_text, 'metformin')) AS n_mentions,
        CAST(min(strpos(note_text, 'metformin')) - 1 AS INT) AS first_start
 FROM clinical_note WHERE contains(note_text, 'metformin') GROUP BY ALL"""))
 def user_function_mentions(spark, sf_dir):
-    answers = notes.run_user_function(clinical_view(spark, sf_dir, "clinical_note"), find_metformin)
+    answers = notes.run_user_function(clinical_view(spark, sf_dir, "clinical_note"), word_finder("metformin", "860975"))
     mentions = notes.entities_of(answers)
     return mentions.groupBy("note_sk").agg(F.count("*").alias("n_mentions"), F.min("span_start").alias("first_start"))

@@ -235,12 +235,12 @@ def fhir_conditions(spark, sf_dir):
 
 
 @query("fhir_observations", with_views("observation", then="""
-SELECT observation_sk * 100 AS observation_sk, patient_sk, category, observation_code,
+SELECT observation_sk AS panel_sk, patient_sk, category, observation_code,
        CASE WHEN observation_code <> '85354-9' THEN value_numeric END AS value_numeric, value_string, effective_datetime,
        CAST(NULL AS BIGINT) AS parent_observation_sk FROM observation
-UNION ALL SELECT observation_sk * 100 + 1, patient_sk, category, '8480-6', 120.0, NULL, effective_datetime, observation_sk * 100
+UNION ALL SELECT observation_sk, patient_sk, category, '8480-6', 120.0, NULL, effective_datetime, observation_sk
 FROM observation WHERE observation_code = '85354-9'
-UNION ALL SELECT observation_sk * 100 + 2, patient_sk, category, '8462-4', 80.0, NULL, effective_datetime, observation_sk * 100
+UNION ALL SELECT observation_sk, patient_sk, category, '8462-4', 80.0, NULL, effective_datetime, observation_sk
 FROM observation WHERE observation_code = '85354-9'"""))
 def fhir_observations(spark, sf_dir):
     """Panels carry components, which become rows of their own that point to the panel."""
@@ -253,7 +253,8 @@ def fhir_observations(spark, sf_dir):
         valueString=F.col("value_string"), effectiveDateTime=F.date_format("effective_datetime", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"),
         component=F.when(F.col("observation_code") == "85354-9", F.array(part("8480-6", systolic), part("8462-4", diastolic))),
     )
-    return ingest.conform_observations(_landed(lines))
+    conformed = ingest.conform_observations(_landed(lines))
+    return conformed.withColumn("panel_sk", F.coalesce("parent_observation_sk", "observation_sk")).drop("observation_sk")
 
 
 @query("fhir_medication_orders", with_views("medication_order", then="""

@@ -10,7 +10,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from cohortloom.operators import criteria, notes, workflow
+from cohortloom.operators.cohort import build_cohort, qualified_members
 from cohortloom.operators.criteria import AllOf, CohortSpec, Criterion, CriteriaRecord, Has, Not, cohort_spec
+from cohortloom.operators.criteria_sql import cohort_sql
 from cohortloom.plans.cohorts import FIRST, LAST
 from cohortloom.schemas import TABLES
 from cohortloom.sources.fixtures import load
@@ -209,13 +211,75 @@ def test_streaming_capture_equals_batch(lake, spark):
         rows = capture.new_rows(spark, "condition", f"{root}/in")
         capture.capture_evidence(rows, "condition", spec.criteria, f"{root}/evidence", f"{root}/checkpoint").awaitTermination()
     streamed = capture.members_from_evidence(spark.read.parquet(f"{root}/evidence"), lake.table("patient"), spec)
-    from cohortloom.operators.cohort import qualified_members
-
     batch = qualified_members({"patient": lake.table("patient"), "condition": conditions}, spec)
     same = streamed.select("patient_sk", "index_date", "qualifying_source")
     assert same.count() > 0 and same.exceptAll(batch).count() == 0 and batch.exceptAll(same).count() == 0
 
 
+def test_control_cohort_is_linked_and_disjoint(lake, saved):
+    control = workflow.save_control(lake, saved, "no T2DM", AS_OF)
+    definition = workflow.current_definitions(lake).filter(F.col("cohort_sk") == control).first()
+    assert (definition.cohort_type, definition.comparison_cohort_sk) == ("control", saved)
+    members = workflow.current_members(lake)
+    cases, controls = members.filter(F.col("cohort_sk") == saved), members.filter(F.col("cohort_sk") == control)
+    assert controls.count() > 0 and cases.join(controls, "patient_sk").count() == 0
+    assert {r.change for r in workflow.refresh_cohort(lake, control, AS_OF).collect()} == {"kept"}
+
+
+def test_preview_shows_size_sample_and_query(lake):
+    record = CriteriaRecord(
+        icd_codes="e11.9, I10", icd_status=["active", "resolved"], med_codes="860975", lab_code="", nlp_terms="it's, 50%", nlp_concept="E11.9",
+        exc_icd="I63.9", exc_meds="617312", date_from=FIRST, date_to=LAST, min_age=18, max_age=95, sex_filter=["male"],
+    )
+    n, sample, text = workflow.preview(lake, record, AS_OF)
+    assert sample.count() == min(n, 50) and "NOT IN" in text and "it's" not in text
+    for changed in (record, CriteriaRecord(lab_code="4548-4", lab_min=6.5, date_from=FIRST, date_to=LAST), RECORD):
+        text, parameters = cohort_sql(changed, AS_OF)
+        by_sql = lake.query(text, **parameters)
+        by_builder = build_cohort(workflow._clinical_tables(lake), cohort_spec(changed, AS_OF))
+        assert by_sql.exceptAll(by_builder).count() == 0 and by_builder.exceptAll(by_sql).count() == 0
+
+
+def test_filters_and_columns_reach_the_scan(lake):
+    lake.spark.conf.set("spark.sql.maxMetadataStringLength", "5000")
+    tables = lake.tables("patient", "condition", "medication_order", "observation")
+    record = CriteriaRecord(icd_codes="E11.9", med_codes="860975", lab_code="4548-4", lab_min=6.5, date_from=FIRST, date_to=LAST)
+    plan = build_cohort(tables, cohort_spec(record, AS_OF))._jdf.queryExecution().executedPlan().toString()
+    scans = {name: next(line for line in plan.splitlines() if "FileScan" in line and f".{name}[" in line) for name in tables}
+    assert "In(condition_code" in scans["condition"] or "EqualTo(condition_code" in scans["condition"]
+    assert "GreaterThanOrEqual(recorded_date" in scans["condition"]
+    assert "GreaterThanOrEqual(start_datetime" in scans["medication_order"] and "LessThan(start_datetime" in scans["medication_order"]
+    assert "GreaterThanOrEqual(value_numeric,6.5)" in scans["observation"] and "GreaterThanOrEqual(effective_datetime" in scans["observation"]
+    assert "condition_display" not in scans["condition"] and "unit" not in scans["observation"].split("ReadSchema")[1]
+
+
+def test_resources_are_landed_and_conformed(lake, spark):
+    other = Lake(spark, {"bronze": "fhir_bronze", "silver": "fhir_silver", "gold": "fhir_gold"})
+    other.create()
+    folder = tempfile.mkdtemp(prefix="run-fhir-", dir="/tmp")
+    lines = [
+        {"resourceType": "Patient", "id": "p-1", "identifier": [{"system": "mrn", "value": "M1"}], "birthDate": "1950-02-03", "gender": "female"},
+        {"resourceType": "Encounter", "id": "e-1", "subject": {"reference": "Patient/p-1"}, "status": "finished", "class": {"code": "IMP"}, "period": {"start": "2001-01-02T03:04:05"}},
+        {"resourceType": "Condition", "id": "c-1", "subject": {"reference": "Patient/p-1"}, "encounter": {"reference": "Encounter/e-1"}, "code": {"coding": [{"code": "E11.9"}]}, "clinicalStatus": {"coding": [{"code": "active"}]}, "recordedDate": "2001-01-02"},
+        {"resourceType": "Observation", "id": "o-1", "subject": {"reference": "Patient/p-1"}, "code": {"coding": [{"code": "85354-9"}]}, "category": [{"coding": [{"code": "vital-signs"}]}], "component": [{"code": {"coding": [{"code": "8480-6"}]}, "valueQuantity": {"value": 120}}]},
+        {"resourceType": "MedicationRequest", "id": "m-1", "subject": {"reference": "Patient/p-1"}, "status": "stopped", "medicationCodeableConcept": {"coding": [{"code": "860975"}]}},
+        {"resourceType": "Procedure", "id": "x-1", "subject": {"reference": "Patient/p-1"}, "code": {"coding": [{"code": "93000"}]}, "status": "completed"},
+        {"resourceType": "DocumentReference", "id": "d-1", "subject": {"reference": "Patient/p-1"}, "content": [{"attachment": {"contentType": "text/plain", "data": "Tm8gZmV2ZXIu"}}]},
+    ]
+    with open(f"{folder}/a.ndjson", "w") as file:
+        file.write("\n".join(map(json.dumps, lines)))
+    counts = workflow.load_resources(other, folder, "clinic", "b1")
+    assert counts == {"patient": 1, "encounter": 1, "condition": 1, "observation": 2, "medication_order": 1, "procedure": 1, "clinical_note": 1}
+    patient_sk = other.table("patient").first().patient_sk
+    for table in ("encounter", "condition", "observation", "medication_order", "procedure", "clinical_note"):
+        assert other.table(table).filter(F.col("patient_sk") != patient_sk).count() == 0
+    assert other.table("condition").join(other.table("encounter"), "encounter_sk").count() == 1
+    panel = other.table("observation").filter("observation_code = '85354-9'").first().observation_sk
+    assert other.table("observation").filter("value_numeric = 120").first().parent_observation_sk == panel
+    assert other.table("medication_order").first().order_status == "discontinued"
+    assert other.table("clinical_note").first().note_text == "No fever."
+
+
 def test_empty_criteria_list(lake):
     spec = cohort_spec(CriteriaRecord(min_age=60, max_age=75), AS_OF)
     assert spec.criteria == []
