@@ -27,15 +27,16 @@ def resolve_category(df: DataFrame, column: str, lookup: DataFrame, name: str) -
 def link_identities(identifiers: DataFrame) -> DataFrame:
     """One patient key per source patient: the lowest source key it shares an identifier with.
 
-    Linkage is single-hop. The lowest key per identifier is found by an aggregation, so a placeholder
-    identifier on very many rows is never paired with itself.
+    Linkage is single-hop; a patient without any usable identifier is linked to itself. The lowest key
+    per identifier is found by an aggregation, so a placeholder identifier on very many rows is never
+    paired with itself.
     """
     identifier = ["identifier_type", "assigning_authority", "identifier_value"]
-    lowest = identifiers.groupBy(*identifier).agg(F.min("source_key").alias("_lowest"))
-    return (
-        identifiers.join(lowest, identifier)
-        .groupBy("source_key").agg(F.min("_lowest").alias("patient_sk"))
-    )
+    usable = identifiers.dropna(subset=identifier)
+    lowest = usable.groupBy(*identifier).agg(F.min("source_key").alias("_lowest"))
+    shared = usable.join(lowest, identifier).select("source_key", "_lowest")
+    own = identifiers.select("source_key", F.col("source_key").alias("_lowest"))
+    return shared.unionByName(own).groupBy("source_key").agg(F.min("_lowest").alias("patient_sk"))
 
 
 def drugs_given(orders: DataFrame, administrations: DataFrame) -> DataFrame:

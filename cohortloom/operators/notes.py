@@ -258,7 +258,7 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern
     spark = notes.sparkSession
     if lexicon is None:
         lexicon = spark.createDataFrame(ctx.LEXICON, ctx.LEXICON_SCHEMA)
-    terms = [row["term"] for row in lexicon.select(F.lower("term").alias("term")).distinct().limit(pattern_terms + 1).collect()]
+    terms = [row["term"] for row in lexicon.select(F.lower("term").alias("term")).limit(pattern_terms + 1).collect()]
     concepts = lexicon.select(
         F.lower("term").alias("_term"), "entity_type", "concept_code", "concept_system", "concept_display"
     )

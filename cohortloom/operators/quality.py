@@ -18,19 +18,29 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 def referential_integrity(tables: Mapping[str, DataFrame]) -> DataFrame:
     """Orphans per declared foreign key among the given tables: rows and distinct missing keys.
 
-    Child keys are counted before the join, so a key on very many rows is one row there.
+    All foreign keys to one parent are checked in one join. Child keys are counted before it, so a key
+    on very many rows is one row there.
     """
+    present = [
+        key for key in FOREIGN_KEYS if key[0] in tables and key[2] in tables and key[1] in tables[key[0]].columns
+    ]
     parts = []
-    for child, column, parent, parent_column in FOREIGN_KEYS:
-        if child not in tables or parent not in tables or column not in tables[child].columns:
-            continue
-        keys = tables[child].filter(F.col(column).isNotNull()).groupBy(F.col(column).alias("_key")).agg(F.count("*").alias("_n"))
+    for parent, parent_column in dict.fromkeys((key[2], key[3]) for key in present):
+        children = [
+            tables[child].filter(F.col(column).isNotNull())
+            .select(F.lit(f"{child}.{column}").alias("foreign_key"), F.col(column).alias("_key"))
+            for child, column, *to in present if to == [parent, parent_column]
+        ]
+        keys = _union(children).groupBy("foreign_key", "_key").agg(F.count("*").alias("_n"))
         known = tables[parent].select(F.col(parent_column).alias("_key"))
-        orphans = keys.join(known, "_key", "left_anti").agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"), F.count("*").alias("n_keys")
-        )
-        parts.append(orphans.select(F.lit(f"{child}.{column}").alias("foreign_key"), F.lit(parent).alias("parent"), "n_rows", "n_keys"))
-    return _union(parts)
+        orphans = keys.join(known, "_key", "left_anti").select("foreign_key", F.lit(parent).alias("parent"), "_n", F.lit(1).alias("_k"))
+        parts.append(orphans)
+    spark = next(iter(tables.values())).sparkSession
+    labels = [(f"{child}.{column}", parent, 0, 0) for child, column, parent, _ in present]
+    none = spark.createDataFrame(labels, "foreign_key string, parent string, _n long, _k int")
+    return _union([*parts, none]).groupBy("foreign_key", "parent").agg(
+        F.sum("_n").alias("n_rows"), F.sum("_k").alias("n_keys")
+    )
 
 
 def key_checks(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -19,7 +19,7 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -
 def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
     """row_number() within each group, without sorting a whole group in one task.
 
-    `bucket` must be a text that follows the order (the month of the ordering date, leading digits of
+    `bucket` must be a text that follows the order (the day of the ordering time, leading digits of
     a hash); rows without one come first. Rows are numbered within (group, bucket); the number of rows
     in earlier buckets is added. Counting them needs one small row per group and bucket, and the join
     runs on the partitioning the numbering already made. Keys must not be null.
@@ -56,7 +56,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 def encounter_index(encounters: DataFrame) -> DataFrame:
     """Position of each encounter in its patient's history from 0, and whether it is the first."""
     ordered = numbered(
-        encounters, ["patient_sk"], F.trunc(F.col("period_start").cast("date"), "month"),
+        encounters, ["patient_sk"], F.col("period_start").cast("date"),
         [F.col("period_start").asc_nulls_first(), F.col("encounter_sk")], "_position",
     )
     return (
@@ -75,7 +75,7 @@ def diagnosis_rank(conditions: DataFrame, background: list[str]) -> DataFrame:
     outside = conditions.filter(F.col("encounter_sk").isNull()).withColumn("diagnosis_rank", F.lit(None).cast("long"))
     conditions = conditions.filter(F.col("encounter_sk").isNotNull())
     primary = numbered(
-        conditions.filter(~is_background), ["encounter_sk"], F.trunc("recorded_date", "month"),
+        conditions.filter(~is_background), ["encounter_sk"], F.col("recorded_date"),
         [F.col("recorded_date").asc_nulls_first(), F.col("condition_sk")], "diagnosis_rank",
     )
     n_primary = conditions.filter(~is_background).groupBy("encounter_sk").agg((F.count("*") + 1).alias("diagnosis_rank"))

@@ -170,7 +170,8 @@ def load_resources(lake: Lake, folder: str, source_system: str, bundle_id: str)
     lines = lake.spark.read.text(folder)
     lake.append(ingest.land_resources(lines, source_system, bundle_id, F.current_timestamp()), "raw_fhir_resource")
     raw = lake.table("raw_fhir_resource").filter(F.col("bundle_id") == bundle_id)
-    return {table: lake.append(conform(raw), table, ordered=True) for table, conform in ingest.CONFORMED.items()}
+    # Staged, as putting rows in order reads them twice and they should be parsed once.
+    return {table: lake.append(_staged(conform(raw)), table, ordered=True) for table, conform in ingest.CONFORMED.items()}
 
 
 # --- extraction runs -----------------------------------------------------------------------------------

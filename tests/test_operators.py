@@ -396,8 +396,8 @@ def test_crosswalk_fan_out(spark):
 
 
 def test_identity_linkage(spark):
-    ids = spark.createDataFrame([(5, "MRN", "A", "1"), (3, "MRN", "A", "1"), (3, "MRN", "B", "2"), (9, "MRN", "B", "9"), (9, "SSN", "x", None)], "source_key int, identifier_type string, assigning_authority string, identifier_value string")
-    assert rows(ingest.link_identities(ids)) == [(3, 3), (5, 3), (9, 9)]
+    ids = spark.createDataFrame([(5, "MRN", "A", "1"), (3, "MRN", "A", "1"), (3, "MRN", "B", "2"), (9, "MRN", "B", "9"), (9, "SSN", "x", None), (4, "SSN", "x", None)], "source_key int, identifier_type string, assigning_authority string, identifier_value string")
+    assert rows(ingest.link_identities(ids)) == [(3, 3), (4, 4), (5, 3), (9, 9)]
 
 
 def test_billed_flag(spark):
