@@ -50,7 +50,7 @@ class Lake:
 
     spark: SparkSession
     schemas: Mapping[str, str] = field(
-        default_factory=lambda: {"bronze": "bronze_ehr", "silver": "silver_ehr_clinical", "gold": "gold_ehr_cohort"}
+        default_factory=lambda: {"bronze": "landing", "silver": "clinical", "gold": "cohorts"}
     )
 
     def name(self, table: str) -> str:
