@@ -61,15 +61,15 @@ def compare_cohorts(arms: DataFrame, patients: DataFrame, conditions: DataFrame,
     )
 
 
-def membership_difference(old: DataFrame, new: DataFrame) -> DataFrame:
+def membership_difference(old: DataFrame, new: DataFrame, keys: tuple[str, ...] = ("patient_sk",)) -> DataFrame:
     """Patients added, dropped and kept between two member lists (two versions, or two runs of one)."""
     sides = (
-        old.select("patient_sk", F.lit(True).alias("was"), F.lit(False).alias("is_now"))
-        .unionByName(new.select("patient_sk", F.lit(False).alias("was"), F.lit(True).alias("is_now")))
-        .groupBy("patient_sk").agg(F.bool_or("was").alias("was"), F.bool_or("is_now").alias("is_now"))
+        old.select(*keys, F.lit(True).alias("was"), F.lit(False).alias("is_now"))
+        .unionByName(new.select(*keys, F.lit(False).alias("was"), F.lit(True).alias("is_now")))
+        .groupBy(*keys).agg(F.bool_or("was").alias("was"), F.bool_or("is_now").alias("is_now"))
     )
     change = F.when(F.col("was") & F.col("is_now"), "kept").when(F.col("is_now"), "added").otherwise("dropped")
-    return sides.select("patient_sk", change.alias("change"))
+    return sides.select(*keys, change.alias("change"))
 
 
 def matched_controls(cases: DataFrame, pool: DataFrame, patients: DataFrame, as_of, k: int) -> DataFrame:

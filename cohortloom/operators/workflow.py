@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.operators import analysis, cohort, features, ingest, notes, review
-from cohortloom.operators.criteria import CohortSpec, CriteriaRecord, cohort_spec, primary_concept
+from cohortloom.operators.criteria import CohortSpec, Criterion, CriteriaRecord, cohort_spec, primary_concept
 from cohortloom.operators.criteria_sql import cohort_sql
 from cohortloom.operators.evidence import (
     evidence_rows, qualifying_evidence, state_of_rows, trigger_rows, with_note_date,
@@ -26,13 +26,13 @@ from cohortloom.sources.lake import Lake, export_folder, hash_key, new_key
 CLINICAL = ("patient", "condition", "medication_order", "observation", "note_nlp_entity")
 
 
-def _staged(df: DataFrame) -> DataFrame:
+def _staged(df: DataFrame, *partition_columns: str) -> DataFrame:
     """Compute once into files in the shared checkpoint folder and go on from there.
 
     The files survive the loss of executors, and Spark knows their size when it chooses joins.
     """
     path = f"{checkpoint_folder(df.sparkSession)}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*partition_columns).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -92,15 +92,37 @@ def _stored_spec(lake: Lake, cohort_sk: int, as_of) -> CohortSpec:
     return cohort.control_spec(record, as_of) if is_control else cohort_spec(record, as_of)
 
 
+def run_cohorts(lake: Lake, cohort_sks: list[int], as_of=None) -> dict[int, str]:
+    """Evaluate stored cohorts and store evidence rows, members and the finished runs; returns the run ids.
+
+    However many cohorts are run, every clinical table is read once: the criteria of all of them are
+    matched in that pass and the evidence is staged by cohort.
+    """
+    tables = _clinical_tables(lake)
+    specs = {cohort_sk: _stored_spec(lake, cohort_sk, as_of) for cohort_sk in cohort_sks}
+    criteria = [
+        Criterion(f"{cohort_sk}/{c.id}", c.table, c.matches, c.source) for cohort_sk, spec in specs.items() for c in spec.criteria
+    ]
+    rows = None
+    if criteria:
+        label = F.split("criterion", "/", 2)
+        rows = _staged(
+            evidence_rows(tables, criteria).withColumns({"cohort_sk": label[0].cast("long"), "criterion": label[1]}), "cohort_sk"
+        )
+    return {cohort_sk: _store_run(lake, cohort_sk, spec, tables, rows) for cohort_sk, spec in specs.items()}
+
+
 def run_cohort(lake: Lake, cohort_sk: int, as_of=None) -> str:
-    """Evaluate a stored cohort and store evidence rows, members and the finished run; returns the run id."""
+    return run_cohorts(lake, [cohort_sk], as_of)[cohort_sk]
+
+
+def _store_run(lake: Lake, cohort_sk: int, spec: CohortSpec, tables: dict[str, DataFrame], rows: DataFrame | None) -> str:
     run_id = uuid.uuid4().hex
-    tables, spec = _clinical_tables(lake), _stored_spec(lake, cohort_sk, as_of)
     labels = {"cohort_sk": F.lit(cohort_sk), "run_id": F.lit(run_id)}
     if spec.criteria:
-        rows = _staged(evidence_rows(tables, spec.criteria))  # the only pass over the clinical tables
-        members = _staged(cohort.qualified_members(tables, spec, state_of_rows(rows, spec.criteria)))
-        wanted = rows.filter(F.col("criterion").isin(spec.expression.required()))
+        own = rows.filter(F.col("cohort_sk") == cohort_sk).drop("cohort_sk")
+        members = _staged(cohort.qualified_members(tables, spec, state_of_rows(own, spec.criteria)))
+        wanted = own.filter(F.col("criterion").isin(spec.expression.required()))
         lake.append(
             wanted.join(members.select("patient_sk"), "patient_sk", "left_semi").withColumns(labels), "cohort_evidence",
             ordered=True,
@@ -135,12 +157,22 @@ def change_status(lake: Lake, cohort_sk: int, status: str) -> None:
     lake.append_record("cohort_status_change", cohort_sk=cohort_sk, status=status)
 
 
+def refresh_cohorts(lake: Lake, cohort_sks: list[int], as_of=None) -> DataFrame:
+    """Re-run the stored logic of cohorts; per cohort who was added, dropped and kept against the prior run."""
+    prior = _staged(current_members(lake).filter(F.col("cohort_sk").isin(cohort_sks)).select("cohort_sk", "patient_sk"))
+    runs = run_cohorts(lake, cohort_sks, as_of)
+    members = lake.table("cohort_member").filter(F.col("run_id").isin(list(runs.values()))).select("cohort_sk", "patient_sk")
+    return analysis.membership_difference(prior, members, ("cohort_sk", "patient_sk"))
+
+
 def refresh_cohort(lake: Lake, cohort_sk: int, as_of=None) -> DataFrame:
-    """Re-run the stored logic of a cohort; returns who was added, dropped and kept against the prior run."""
-    prior = _staged(current_members(lake).filter(F.col("cohort_sk") == cohort_sk).select("patient_sk"))
-    run_id = run_cohort(lake, cohort_sk, as_of)
-    members = lake.table("cohort_member").filter((F.col("cohort_sk") == cohort_sk) & (F.col("run_id") == run_id))
-    return analysis.membership_difference(prior, members.select("patient_sk"))
+    return refresh_cohorts(lake, [cohort_sk], as_of)
+
+
+def refresh_prospective(lake: Lake, as_of=None) -> DataFrame:
+    """The nightly job: all active prospective cohorts, whose criteria capture new data over time."""
+    chosen = review.filter_definitions(current_definitions(lake), categories=("prospective",), statuses=("active",))
+    return refresh_cohorts(lake, [row["cohort_sk"] for row in chosen.select("cohort_sk").collect()], as_of)
 
 
 def export_members(lake: Lake, cohort_sk: int, folder: str) -> str:

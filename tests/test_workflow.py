@@ -125,6 +125,20 @@ def test_refresh_sees_gains_and_losses(lake, spark):
     assert changes.get("added", 0) > 0
 
 
+def test_nightly_refresh_reads_each_table_once(lake, spark):
+    other = CriteriaRecord(icd_codes="I10", exc_icd="I50.9", date_from=FIRST, date_to=LAST)
+    first = workflow.save_cohort(lake, RECORD, "nightly 1", "condition", "prospective", as_of=AS_OF)
+    second = workflow.save_cohort(lake, other, "nightly 2", "condition", "prospective", as_of=AS_OF)
+    workflow.change_status(lake, workflow.save_cohort(lake, other, "asleep", "condition", "prospective", as_of=AS_OF), "draft")
+    before = {sk: workflow.current_members(lake).filter(F.col("cohort_sk") == sk).count() for sk in (first, second)}
+    changes = workflow.refresh_prospective(lake, AS_OF).groupBy("cohort_sk", "change").count().collect()
+    done = {(r.cohort_sk, r.change): r["count"] for r in changes}
+    assert done[(first, "kept")] == before[first] and done[(second, "kept")] == before[second]
+    assert lake.table("cohort_run").filter(F.col("cohort_sk") == second).count() == 2
+    sizes = {r.name: r.n for r in workflow.current_definitions(lake).join(lake.table("cohort_run"), "cohort_sk").groupBy("name").agg(F.count("*").alias("n")).collect()}
+    assert sizes["asleep"] == 1
+
+
 def test_csv_export(lake, saved):
     folder = tempfile.mkdtemp(prefix="run-export-", dir="/tmp")
     path = workflow.export_members(lake, saved, folder)
