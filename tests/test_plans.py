@@ -57,7 +57,7 @@ def test_extraction_shuffles_nothing(spark, sf_dir, no_broadcast):
 
 
 def test_numbering_joins_on_its_own_partitioning(spark, no_broadcast):
-    rows = spark.range(100).select((F.col("id") % 9).alias("patient_sk"), F.col("id").alias("encounter_sk"), F.current_date().alias("period_start"))
+    rows = spark.range(100).select((F.col("id") % 9).alias("patient_sk"), F.col("id").alias("encounter_sk"), F.date_add(F.current_date(), F.col("id").cast("int")).alias("period_start"))
     plan = physical(ranking.encounter_index(rows))
     # Rows by (patient, day) once for numbering and join; their counts by the same, by patient, and back.
     assert plan.count("Exchange hashpartitioning") == 4
