@@ -69,6 +69,9 @@ SECTION_MARK = "\u0002"
 SENTENCE_END = r"([.!?;][ \t\n]|\n)"
 SENTENCE_MARK = "\u0001"
 
+# A cue acts within its sentence, and over at most this many characters of it.
+SCOPE = 1000
+
 # Cue words. A clause word ends the scope of any cue before it.
 CLAUSE = r"(?i)\b(?:but|however|although|though|except|apart from|aside from)\b"
 # Verbs that assert something end the scope of an earlier negation only.

@@ -97,17 +97,17 @@ RESOURCE_SCHEMAS: dict[str, str] = {
     "Patient": "id string, identifier array<struct<system:string,value:string>>, birthDate date, gender string, "
     "deceasedBoolean boolean, address array<struct<city:string,state:string,postalCode:string>>",
     "Encounter": f"id string, subject {_REF}, status string, class struct<code:string>, type array<{_CONCEPT}>, "
-    "period struct<start:timestamp_ntz,end:timestamp_ntz>",
+    "period struct<start:timestamp,end:timestamp>",
     "Condition": f"id string, subject {_REF}, encounter {_REF}, category array<{_CONCEPT}>, code {_CONCEPT}, "
     f"clinicalStatus {_CONCEPT}, verificationStatus {_CONCEPT}, onsetDateTime date, recordedDate date",
     "Observation": f"id string, subject {_REF}, encounter {_REF}, category array<{_CONCEPT}>, code {_CONCEPT}, "
-    f"valueQuantity {_QUANTITY}, valueString string, referenceRange {_RANGE}, effectiveDateTime timestamp_ntz, "
+    f"valueQuantity {_QUANTITY}, valueString string, referenceRange {_RANGE}, effectiveDateTime timestamp, "
     f"component array<struct<code:{_CONCEPT},valueQuantity:{_QUANTITY}>>",
     "MedicationRequest": f"id string, subject {_REF}, encounter {_REF}, status string, "
-    f"medicationCodeableConcept {_CONCEPT}, authoredOn timestamp_ntz",
+    f"medicationCodeableConcept {_CONCEPT}, authoredOn timestamp",
     "Procedure": f"id string, subject {_REF}, encounter {_REF}, status string, code {_CONCEPT}, "
-    "performedDateTime timestamp_ntz",
-    "DocumentReference": f"id string, subject {_REF}, type {_CONCEPT}, category array<{_CONCEPT}>, date timestamp_ntz, "
+    "performedDateTime timestamp",
+    "DocumentReference": f"id string, subject {_REF}, type {_CONCEPT}, category array<{_CONCEPT}>, date timestamp, "
     "content array<struct<attachment:struct<contentType:string,data:string>>>",
 }
 

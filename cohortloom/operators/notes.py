@@ -59,8 +59,8 @@ def requests(notes: DataFrame) -> DataFrame:
 
 
 def note_key(custom_id: Column) -> Column:
-    """Key of the note an answer belongs to, from a custom id such as note-42."""
-    return F.split(custom_id, "-", 2)[1].cast("long")
+    """Key of the note an answer belongs to, from a custom id such as note-42; null for any other id."""
+    return F.get(F.split(custom_id, "-", 2), F.lit(1)).try_cast("long")
 
 
 def classified(responses: DataFrame) -> DataFrame:
@@ -148,26 +148,41 @@ def _pieces(text: Column, pattern: str, mark: str) -> Column:
     return F.split(F.regexp_replace(text, pattern, "$1" + mark), mark, -1)
 
 
-def _with_starts(pieces: Column, wanted: Callable[[Column], Column] | None = None) -> Column:
-    """Pieces of a text with their offset in it, in one pass; with `wanted`, only the pieces it holds for."""
-    nothing = F.array().cast("array<struct<piece:string,start:int>>")
+# Pieces are numbered in chunks of this many, so the work grows with the number of pieces, not its square.
+_CHUNK = 256
+
+
+def _with_starts(pieces: Column, element: str, length: Callable[[Column], Column], wanted: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (piece, start): every piece with the total length before it, or only the wanted ones."""
+    nothing = F.array().cast(f"array<struct<piece:{element},start:int>>")
 
     def step(state: Column, piece: Column) -> Column:
         out = F.array_append(state["out"], F.struct(piece.alias("piece"), state["at"].alias("start")))
         if wanted is not None:
             out = F.when(wanted(piece), out).otherwise(state["out"])
-        return F.struct((state["at"] + F.length(piece)).alias("at"), out.alias("out"))
+        return F.struct((state["at"] + length(piece)).alias("at"), out.alias("out"))
 
     return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step)["out"]
 
 
-def _indexes(array: Column) -> Column:
-    return F.sequence(F.lit(0), F.size(array) - 1)
-
-
-def _total_length(pieces: Column, n: Column) -> Column:
-    """Length of the first n pieces together."""
-    return F.aggregate(F.slice(pieces, 1, n), F.lit(0), lambda total, piece: total + F.length(piece))
+def _placed(
+    df: DataFrame, keep: list[str], pieces: str, element: str = "string", length: Callable[[Column], Column] = F.length,
+    wanted: Callable[[Column], Column] | None = None,
+) -> DataFrame:
+    """One row per piece (or per wanted piece) of the array column `pieces`, with its start."""
+    all_pieces = F.col(pieces)
+    firsts = F.sequence(F.lit(1), F.size(all_pieces), F.lit(_CHUNK))
+    chunks = F.transform(firsts, lambda first: F.slice(all_pieces, first, _CHUNK))
+    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda so_far, piece: so_far + length(piece))
+    sized = F.transform(F.col("_chunks"), lambda chunk: F.struct(chunk.alias("chunk"), total(chunk).alias("size")))
+    by_chunk = (
+        df.select(*keep, chunks.alias("_chunks")).select(*keep, sized.alias("_sized"))
+        .select(*keep, F.inline(_with_starts(F.col("_sized"), f"struct<chunk:array<{element}>,size:int>", lambda c: c["size"])))
+        .select(*keep, F.col("piece.chunk").alias("_chunk"), F.col("start").alias("_chunk_start"))
+    )
+    return by_chunk.select(
+        *keep, "_chunk_start", F.inline(_with_starts(F.col("_chunk"), element, length, wanted))
+    ).select(*keep, "piece", (F.col("_chunk_start") + F.col("start")).alias("start"))
 
 
 def sentences(notes: DataFrame, containing: str | None = None) -> DataFrame:
@@ -176,30 +191,40 @@ def sentences(notes: DataFrame, containing: str | None = None) -> DataFrame:
     With `containing`, only sentences that match the pattern (their offsets are those in the whole note).
     """
     sections = F.split(F.regexp_replace("note_text", ctx.HEADING, ctx.SECTION_MARK + "$1"), ctx.SECTION_MARK, -1)
-    by_section = notes.select("note_sk", F.inline(_with_starts(sections))).select(
+    by_section = _placed(notes.select("note_sk", sections.alias("_sections")), ["note_sk"], "_sections").select(
         "note_sk", F.col("start").alias("section_start"), F.trim(F.regexp_extract("piece", ctx.HEADING, 1)).alias("section"),
         _pieces(F.col("piece"), ctx.SENTENCE_END, ctx.SENTENCE_MARK).alias("_sentences"),
     )
     wanted = None if containing is None else (lambda sentence: F.regexp_like(sentence, F.lit(containing)))
-    return by_section.select("note_sk", "section", "section_start", F.inline(_with_starts(F.col("_sentences"), wanted))).select(
+    return _placed(by_section, ["note_sk", "section", "section_start"], "_sentences", wanted=wanted).select(
         "note_sk", "section", (F.col("section_start") + F.col("start")).alias("sentence_start"), F.col("piece").alias("sentence")
     )
 
 
+_PAIR = "struct<found:string,gap:string>"
+
+
+def _pairs(text: str, pattern: str) -> Column:
+    """Each match with the text before it; the text after the last match comes with an empty match."""
+    return F.zip_with(
+        F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1),
+        lambda found, gap: F.struct(F.coalesce(found, F.lit("")).alias("found"), gap.alias("gap")),
+    )
+
+
+def _pair_length(pair: Column) -> Column:
+    return F.length(pair["gap"]) + F.length(pair["found"])
+
+
 def _found_by_pattern(notes: DataFrame, pattern: str) -> DataFrame:
     """Mentions by one pattern over all terms: (note_sk, section, sentence_start, sentence, offset, found)."""
     hits = sentences(notes.filter(F.regexp_like("note_text", F.lit(pattern))), pattern)
-    pieces = hits.withColumns({
-        "_found": F.regexp_extract_all("sentence", F.lit(pattern), 0), "_gaps": F.split("sentence", pattern, -1),
-    })
-    found, gaps = F.col("_found"), F.col("_gaps")
-    place = F.transform(
-        _indexes(found),
-        lambda i: F.struct(
-            F.get(found, i).alias("found"), (_total_length(gaps, i + 1) + _total_length(found, i)).alias("offset")
-        ),
+    keep = ["note_sk", "section", "sentence_start", "sentence"]
+    placed = _placed(
+        hits.withColumn("_pairs", _pairs("sentence", pattern)), keep, "_pairs", _PAIR, _pair_length,
+        lambda pair: pair["found"] != "",
     )
-    return pieces.select("note_sk", "section", "sentence_start", "sentence", F.inline(place))
+    return placed.select(*keep, "piece.found", (F.col("start") + F.length("piece.gap")).alias("offset"))
 
 
 # Letters and digits of any script, as the word boundary of the pattern sees them.
@@ -217,13 +242,18 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     terms = lexicon.select(F.lower("term").alias("_term"), first_word(F.lower("term")).alias("_first")).distinct()
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
+    keep = ["note_sk", "section", "sentence_start", "sentence"]
     words = F.regexp_extract_all("sentence", F.lit(_WORD), 0)
+    before = F.slice(F.col("_pairs"), 1, F.col("_place"))
     candidates = (
-        sentences(notes)
-        .select("note_sk", "section", "sentence_start", "sentence", F.posexplode(words).alias("_place", "_word"))
+        sentences(notes).select(*keep, F.posexplode(words).alias("_place", "_word"))
         .join(terms, F.lower("_word") == F.col("_first"))
-        .withColumns({"_words": words, "_gaps": F.split("sentence", _WORD, -1)})
-        .withColumn("offset", _total_length(F.col("_gaps"), F.col("_place") + 1) + _total_length(F.col("_words"), F.col("_place")))
+        .withColumn("_pairs", _pairs("sentence", _WORD))
+        .withColumn(
+            "offset",
+            F.aggregate(before, F.lit(0), lambda total, pair: total + _pair_length(pair))
+            + F.length(F.get(F.col("_pairs"), F.col("_place"))["gap"]),
+        )
         .withColumn("_end", F.col("offset") + F.length("_term"))
         .filter(
             (F.lower(F.substring("sentence", F.col("offset") + 1, F.length("_term"))) == F.col("_term"))
@@ -267,8 +297,9 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern
         concepts = F.broadcast(concepts)
     else:
         found = _found_by_join(notes, lexicon)
-    before = F.substring("sentence", F.lit(1), F.col("offset"))
-    after = F.substring("sentence", F.col("offset") + F.length("found") + 1, F.length("sentence"))
+    reach = F.least(F.col("offset"), F.lit(ctx.SCOPE))
+    before = F.substring("sentence", F.col("offset") - reach + 1, reach)
+    after = F.substring("sentence", F.col("offset") + F.length("found") + 1, F.lit(ctx.SCOPE))
     scoped = found.withColumns({
         "_left": ctx.after_last(before, ctx.CLAUSE), "_right": ctx.before_first(after, ctx.CLAUSE)
     })

@@ -507,3 +507,20 @@ def test_cohort_without_members_counts_zero(spark):
         definitions = definitions.withColumn(column, F.lit(1))
     listed = review.cohort_list(definitions, spark.createDataFrame([(1, 7), (1, 8)], "cohort_sk long, patient_sk long"))
     assert {r.cohort_sk: r.member_count for r in listed.collect()} == {1: 2, 2: 0}
+
+
+def test_long_notes_take_time_in_proportion(spark):
+    """A note of half a megabyte, also without any sentence end, with thousands of mentions."""
+    import time
+
+    line = "Patient has type 2 diabetes, takes metformin. Nothing else was noted that day. No fever but cough persists.\n"
+    note = line * 5000
+    df = spark.createDataFrame([(1, note), (2, note.replace(".", "").replace("\n", " "))], "note_sk long, note_text string")
+    start = time.time()
+    found = notes.extract_mentions(df).groupBy("note_sk", "covered_text").count().collect()
+    assert time.time() - start < 60
+    assert {(r.note_sk, r.covered_text): r["count"] for r in found} == {
+        (n, term): 5000 for n in (1, 2) for term in ("type 2 diabetes", "metformin", "fever", "cough")
+    }
+    spans = notes.extract_mentions(df.filter("note_sk = 1")).filter("covered_text = 'fever'").select(F.max("span_start")).first()[0]
+    assert spans == note.rindex("fever")

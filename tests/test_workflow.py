@@ -273,7 +273,7 @@ def test_resources_are_landed_and_conformed(lake, spark):
     folder = tempfile.mkdtemp(prefix="run-fhir-", dir="/tmp")
     lines = [
         {"resourceType": "Patient", "id": "p-1", "identifier": [{"system": "mrn", "value": "M1"}], "birthDate": "1950-02-03", "gender": "female"},
-        {"resourceType": "Encounter", "id": "e-1", "subject": {"reference": "Patient/p-1"}, "status": "finished", "class": {"code": "IMP"}, "period": {"start": "2001-01-02T03:04:05"}},
+        {"resourceType": "Encounter", "id": "e-1", "subject": {"reference": "Patient/p-1"}, "status": "finished", "class": {"code": "IMP"}, "period": {"start": "2001-01-02T03:04:05+02:00", "end": "2001-01-02T03:04:05Z"}},
         {"resourceType": "Condition", "id": "c-1", "subject": {"reference": "Patient/p-1"}, "encounter": {"reference": "Encounter/e-1"}, "code": {"coding": [{"code": "E11.9"}]}, "clinicalStatus": {"coding": [{"code": "active"}]}, "recordedDate": "2001-01-02"},
         {"resourceType": "Observation", "id": "o-1", "subject": {"reference": "Patient/p-1"}, "code": {"coding": [{"code": "85354-9"}]}, "category": [{"coding": [{"code": "vital-signs"}]}], "component": [{"code": {"coding": [{"code": "8480-6"}]}, "valueQuantity": {"value": 120}}]},
         {"resourceType": "MedicationRequest", "id": "m-1", "subject": {"reference": "Patient/p-1"}, "status": "stopped", "medicationCodeableConcept": {"coding": [{"code": "860975"}]}},
@@ -288,6 +288,8 @@ def test_resources_are_landed_and_conformed(lake, spark):
     for table in ("encounter", "condition", "observation", "medication_order", "procedure", "clinical_note"):
         assert other.table(table).filter(F.col("patient_sk") != patient_sk).count() == 0
     assert other.table("condition").join(other.table("encounter"), "encounter_sk").count() == 1
+    visit = other.table("encounter").select(F.date_format("period_start", "HH:mm"), F.date_format("period_end", "HH:mm")).first()
+    assert tuple(visit) == ("01:04", "03:04")
     panel = other.table("observation").filter("observation_code = '85354-9'").first().observation_sk
     assert other.table("observation").filter("value_numeric = 120").first().parent_observation_sk == panel
     assert other.table("medication_order").first().order_status == "discontinued"
