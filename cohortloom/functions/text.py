@@ -50,7 +50,8 @@ def html_to_text(html: Column) -> Column:
 # Identifiers in free text, in the order they are replaced.
 IDENTIFIERS = (
     ("url", r"https?://[^\s<>]+"),
-    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+"),
+    # A host name has at most 127 labels.
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+){1,126}"),
     ("phone", r"(?:\+\d{1,3} ?)?\(?\b\d{3}\)?[ .-]\d{3}[ .-]\d{4}\b"),
     ("id", r"\b(?:MRN-)?\d{6,}\b"),
 )

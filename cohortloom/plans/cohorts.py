@@ -7,8 +7,12 @@ from pyspark.sql import functions as F
 
 from cohortloom.operators import cohort, criteria, evidence, review
 from cohortloom.operators.criteria import AllOf, AnyOf, CohortSpec, Criterion, CriteriaRecord, Has, Not
+from cohortloom.operators.criteria_sql import cohort_sql
 from cohortloom.plans.registry import AS_OF, query
+from cohortloom.schemas import TABLES
 from cohortloom.sources.fixtures import clinical_view, load, with_views
+from cohortloom.sources.lake import conform
+from cohortloom.streaming import capture
 
 CLINICAL = ("patient", "condition", "medication_order", "observation", "note_nlp_entity")
 FIRST, LAST = "1998-01-01", "2001-12-31"
@@ -109,6 +113,13 @@ def stored_definition_cohort(spark, sf_dir):
     return _record_members(spark, sf_dir, CriteriaRecord.from_json(RECORD.to_json()))
 
 
+@query("cohort_by_sql", with_views("patient", "condition", "medication_order", "note_nlp_entity", then=RECORD_SQL))
+def cohort_by_sql(spark, sf_dir):
+    """The readable SQL of a record, run with named parameters."""
+    text, parameters = cohort_sql(RECORD, AS_OF)
+    return spark.sql(text, args=parameters, **load(spark, sf_dir, "patient", "condition", "medication_order", "note_nlp_entity"))
+
+
 # --- single criteria -------------------------------------------------------------------------------------
 
 
@@ -302,6 +313,30 @@ def cohort_evidence_triggers(spark, sf_dir):
     return members.select("patient_sk", F.inline("qualifying_evidence"))
 
 
+@query("stored_member_rows", with_views(*_NESTED_VIEWS, then=_NESTED_SQL + _EVIDENCE_SQL + """
+SELECT 7 AS cohort_sk, q.patient_sk, q.index_date, q.qualifying_source, count(DISTINCT k.criterion) AS n_triggers,
+       count(k.ref_sk) AS n_rows
+FROM qualified AS q JOIN kept AS k ON q.patient_sk = k.patient_sk GROUP BY ALL"""))
+def stored_member_rows(spark, sf_dir):
+    """Member rows in the form they are stored in: typed by the table's schema, evidence as an array."""
+    members = cohort.members_with_evidence(_nested_tables(spark, sf_dir), nested_spec())
+    stored = conform(members.withColumns({"cohort_sk": F.lit(7), "run_id": F.lit("run")}), TABLES["cohort_member"])
+    n_rows = F.aggregate("qualifying_evidence", F.lit(0).cast("long"), lambda total, e: total + e["n_rows"])
+    return stored.select(
+        "cohort_sk", "patient_sk", "index_date", "qualifying_source", F.size("qualifying_evidence").alias("n_triggers"),
+        n_rows.alias("n_rows"),
+    )
+
+
+@query("members_from_captured_evidence", with_views(*_NESTED_VIEWS, then=_NESTED_SQL + """
+SELECT patient_sk, index_date, qualifying_source FROM qualified"""))
+def members_from_captured_evidence(spark, sf_dir):
+    """The same members from evidence rows alone, as a prospective cohort captures them."""
+    tables = _nested_tables(spark, sf_dir)
+    rows = evidence.evidence_rows(tables, nested_spec().criteria)
+    return capture.members_from_evidence(rows, tables["patient"], nested_spec())
+
+
 @query("three_way_cohort", with_views("condition", "medication_order", then=f"""
 SELECT patient_sk FROM condition WHERE condition_code = 'E11.9'
 INTERSECT SELECT patient_sk FROM medication_order WHERE med_code IN ('860975', '861007')

@@ -9,7 +9,9 @@ from cohortloom.functions import clinical, codes, text
 from cohortloom.operators import cohort, enrich, ingest
 from cohortloom.plans.cohorts import _EVIDENCE_SQL, _NESTED_SQL, _NESTED_VIEWS, _nested_tables, nested_spec
 from cohortloom.plans.registry import query, sql_text, values_view
+from cohortloom.schemas import TABLES
 from cohortloom.sources.fixtures import clinical_view, load, read_driver_table, with_views
+from cohortloom.sources.lake import conform, without_internal_columns
 
 # --- text --------------------------------------------------------------------------------------------
 
@@ -156,6 +158,19 @@ def conformed_with_provenance(spark, sf_dir):
     )
 
 
+@query("conformed_patients", with_views("patient", then="""
+SELECT patient_sk, mrn, birth_date, sex, CAST(NULL AS VARCHAR) AS gender_identity, race, ethnicity, deceased_flag,
+       CAST(NULL AS DATE) AS deceased_date, CAST(NULL AS VARCHAR) AS city, state, CAST(NULL AS VARCHAR) AS zip,
+       CASE WHEN sex = 'male' THEN 'Spanish' ELSE 'English' END AS primary_language, CAST(NULL AS VARCHAR) AS marital_status
+FROM patient"""))
+def conformed_patients(spark, sf_dir):
+    """Rows as the overwrite sink writes them: internal columns dropped, types and defaults of the table."""
+    rows = clinical_view(spark, sf_dir, "patient").withColumns({
+        "_phenotype": F.lit("general"), "city": F.lit(None), "primary_language": F.when(F.col("sex") == "male", "Spanish"),
+    })
+    return conform(without_internal_columns(rows), TABLES["patient"]).drop("loaded_at")
+
+
 @query("cleaned_lab_results", with_views("lab_result", then="""
 SELECT result_id, coalesce(nullif(ord_num_value, 9999999.0), try_cast(trim(ord_value) AS DOUBLE)) AS value_numeric, ord_value AS value_string
 FROM lab_result"""))
