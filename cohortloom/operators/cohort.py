@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from cohortloom.functions import clinical, codes
 from cohortloom.operators.criteria import AllOf, CohortSpec, CriteriaRecord, Has, Not, cohort_spec
-from cohortloom.operators.evidence import criterion_state, evidence_rows, qualifying_evidence, trigger_rows
-from cohortloom.schemas import PAGE_SIZE
+from cohortloom.operators.evidence import criterion_state, evidence_rows, state_and_evidence, trigger_rows
+from cohortloom.schemas import PAGE_SIZE, TRIGGER
 
 MEMBER_COLUMNS = ("patient_sk", "mrn", "birth_date", "sex", "race")
 Tables = Mapping[str, DataFrame]
@@ -77,13 +77,21 @@ def member_evidence(tables: Tables, spec: CohortSpec, members: DataFrame) -> Dat
     return evidence_rows(tables, criteria).join(members.select("patient_sk"), "patient_sk", "left_semi")
 
 
-def members_with_evidence(tables: Tables, spec: CohortSpec) -> DataFrame:
-    """Members with index date, source and the array of triggering rows."""
-    members = qualified_members(tables, spec)
-    if not spec.expression.required():
-        return members.withColumn("qualifying_evidence", F.lit(None))
-    triggers = trigger_rows(member_evidence(tables, spec, members))
-    return members.join(qualifying_evidence(triggers), "patient_sk", "left")
+def members_with_evidence(tables: Tables, spec: CohortSpec, rows: DataFrame | None = None) -> DataFrame:
+    """Members with index date, source and the array of triggering rows.
+
+    The triggers (one row per patient and criterion) say all that membership needs, so the evidence is
+    read once. `rows` may be stored evidence rows of all criteria.
+    """
+    if not spec.criteria:
+        return qualified_members(tables, spec).withColumn("qualifying_evidence", F.lit(None).cast(TRIGGER))
+    triggers = trigger_rows(evidence_rows(tables, spec.criteria) if rows is None else rows)
+    state = state_and_evidence(triggers, spec.criteria, spec.expression.required())
+    first = spec.expression.first_met()
+    return evaluate(tables, spec, state).select(
+        "patient_sk", (F.lit(None).cast("date") if first is None else first).alias("index_date"),
+        qualifying_source(spec).alias("qualifying_source"), "qualifying_evidence",
+    )
 
 
 def events_around_index(

@@ -110,12 +110,25 @@ def trigger_rows(rows: DataFrame, keys: tuple[str, ...] = ("patient_sk",)) -> Da
     )
 
 
-def qualifying_evidence(triggers: DataFrame, keys: tuple[str, ...] = ("patient_sk",)) -> DataFrame:
-    """The triggers of a patient as one sorted array: its length is the number of criteria."""
-    entry = F.struct("criterion", "source", "table", "ref_sk", "code", "event_date", "n_rows")
-    return triggers.groupBy(*keys).agg(F.sort_array(F.collect_list(entry)).alias("qualifying_evidence"))
+def state_and_evidence(triggers: DataFrame, criteria: list[Criterion], required: list[str]) -> DataFrame:
+    """Criterion state and sorted array of the required triggers per patient, from the trigger rows.
+
+    A patient has at most one trigger per criterion, so the array's length follows the definition.
+    """
+    measures = []
+    for criterion in criteria:
+        own = F.col("criterion") == criterion.id
+        measures.append(F.coalesce(F.max(F.when(own, F.col("n_rows"))), F.lit(0)).alias(f"n_{criterion.id}"))
+        measures.append(F.max(F.when(own, F.col("event_date"))).alias(f"first_{criterion.id}"))
+    entry = F.when(
+        F.col("criterion").isin(required), F.struct("criterion", "source", "table", "ref_sk", "code", "event_date", "n_rows")
+    )
+    return triggers.groupBy("patient_sk").agg(*measures, F.sort_array(F.collect_list(entry)).alias("qualifying_evidence"))
 
 
 def with_note_date(entities: DataFrame, notes: DataFrame) -> DataFrame:
-    """Give mentions the service date of their note, so that they take part in date logic."""
-    return entities.join(notes.select("note_sk", "service_date"), "note_sk")
+    """Give mentions the service date of their note, so that they take part in date logic.
+
+    Mentions whose note is not there stay, without a date.
+    """
+    return entities.join(notes.select("note_sk", "service_date"), "note_sk", "left")

@@ -17,9 +17,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import analysis, cohort, features, ingest, notes, review
 from cohortloom.operators.criteria import CohortSpec, Criterion, CriteriaRecord, cohort_spec, primary_concept
 from cohortloom.operators.criteria_sql import cohort_sql
-from cohortloom.operators.evidence import (
-    evidence_rows, qualifying_evidence, state_of_rows, trigger_rows, with_note_date,
-)
+from cohortloom.operators.evidence import event_date, evidence_rows, with_note_date
 from cohortloom.session import checkpoint_folder
 from cohortloom.sources.lake import Lake, export_folder, hash_key, new_key
 
@@ -119,18 +117,11 @@ def run_cohort(lake: Lake, cohort_sk: int, as_of=None) -> str:
 def _store_run(lake: Lake, cohort_sk: int, spec: CohortSpec, tables: dict[str, DataFrame], rows: DataFrame | None) -> str:
     run_id = uuid.uuid4().hex
     labels = {"cohort_sk": F.lit(cohort_sk), "run_id": F.lit(run_id)}
-    if spec.criteria:
-        own = rows.filter(F.col("cohort_sk") == cohort_sk).drop("cohort_sk")
-        members = _staged(cohort.qualified_members(tables, spec, state_of_rows(own, spec.criteria)))
-        wanted = own.filter(F.col("criterion").isin(spec.expression.required()))
-        lake.append(
-            wanted.join(members.select("patient_sk"), "patient_sk", "left_semi").withColumns(labels), "cohort_evidence",
-            ordered=True,
-        )
-        kept = lake.table("cohort_evidence").filter(F.col("run_id") == run_id)
-        members = members.join(qualifying_evidence(trigger_rows(kept)), "patient_sk", "left")
-    else:
-        members = cohort.qualified_members(tables, spec)
+    own = rows.filter(F.col("cohort_sk") == cohort_sk).drop("cohort_sk") if spec.criteria else None
+    members = _staged(cohort.members_with_evidence(tables, spec, own))
+    if required := spec.expression.required():
+        wanted = own.filter(F.col("criterion").isin(required)).join(members.select("patient_sk"), "patient_sk", "left_semi")
+        lake.append(wanted.withColumns(labels), "cohort_evidence", ordered=True)
     members = members.withColumns(labels).withColumn("cohort_member_sk", hash_key("run_id", "cohort_sk", "patient_sk"))
     n_members = lake.append(members, "cohort_member", ordered=True)
     lake.append_record("cohort_run", cohort_sk=cohort_sk, run_id=run_id, n_members=n_members)
@@ -175,6 +166,14 @@ def refresh_prospective(lake: Lake, as_of=None) -> DataFrame:
     return refresh_cohorts(lake, [row["cohort_sk"] for row in chosen.select("cohort_sk").collect()], as_of)
 
 
+def member_events(lake: Lake, cohort_sk: int, table: str) -> DataFrame:
+    """Rows of a clinical table for the members, within the definition's look-back and follow-up days."""
+    days = review.definition_detail(lake.table("cohort_definition"), cohort_sk).select("lookback_days", "follow_up_days").first()
+    members = current_members(lake).filter(F.col("cohort_sk") == cohort_sk)
+    rows = lake.table(table)
+    return cohort.events_around_index(members, rows, event_date(table, rows), days["lookback_days"], days["follow_up_days"])
+
+
 def export_members(lake: Lake, cohort_sk: int, folder: str) -> str:
     """CSV of the member list by MRN, named after the cohort."""
     name = review.definition_detail(lake.table("cohort_definition"), cohort_sk).select("name").first()["name"]
@@ -258,4 +257,5 @@ def build_features(lake: Lake, as_of) -> int:
     """Assemble patient_feature as of a day; returns the number of patients."""
     tables = lake.tables("patient", "encounter", "condition", "medication_order", "observation", "note_nlp_entity")
     tables["note_nlp_entity"] = with_note_date(tables["note_nlp_entity"], lake.table("clinical_note"))
-    return lake.overwrite(features.patient_features(tables, as_of), "patient_feature")
+    # The joins leave the rows sorted by patient within files, so they are not ordered again.
+    return lake.overwrite(features.patient_features(tables, as_of), "patient_feature", ordered=False)

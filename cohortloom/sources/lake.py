@@ -89,7 +89,10 @@ class Lake:
         return seen.get["n"]
 
     def overwrite(self, df: DataFrame, table: str, ordered: bool = True) -> int:
-        """Replace a table; the number of rows written comes from the write itself."""
+        """Replace a table; the number of rows written comes from the write itself.
+
+        Ordering reads the input twice (once to find the ranges): stage an input that is costly to compute.
+        """
         return self._write(df, table, "overwrite", ordered)
 
     def append(self, df: DataFrame, table: str, ordered: bool = False) -> int:

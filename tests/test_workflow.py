@@ -139,6 +139,14 @@ def test_nightly_refresh_reads_each_table_once(lake, spark):
     assert sizes["asleep"] == 1
 
 
+def test_events_within_the_windows_of_the_definition(lake):
+    cohort_sk = workflow.save_cohort(lake, RECORD, "windows", "condition", "retrospective", as_of=AS_OF, lookback_days=30)
+    events = workflow.member_events(lake, cohort_sk, "medication_order")
+    assert events.count() > 0
+    assert events.filter("datediff(index_date, CAST(start_datetime AS DATE)) > 30").count() == 0
+    assert events.filter("datediff(CAST(start_datetime AS DATE), index_date) > 365").count() > 0  # follow-up is open
+
+
 def test_csv_export(lake, saved):
     folder = tempfile.mkdtemp(prefix="run-export-", dir="/tmp")
     path = workflow.export_members(lake, saved, folder)
