@@ -117,13 +117,17 @@ def term_pattern(terms: list[str]) -> str:
     """Pattern for any of the terms as whole words; the longest term at a place wins.
 
     Terms are grouped by their first letter, so at most words only one letter is compared per group.
+    Case is ignored, beyond ASCII only where a term needs it. Without terms nothing matches.
     """
+    if not terms:
+        return r"[^\s\S]"
     groups: dict[str, list[str]] = {}
     for term in sorted(set(terms), key=lambda t: (-len(t), t)):
         plain = [re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", part) for part in (term[0], term[1:])]
         groups.setdefault(plain[0], []).append(plain[1])
     alternatives = [first + "(?:" + "|".join(rest) + ")" for first, rest in sorted(groups.items())]
-    return r"(?i)\b(?:" + "|".join(alternatives) + r")\b"
+    flags = "(?i)" if all(term.isascii() for term in terms) else "(?iu)"
+    return flags + r"\b(?:" + "|".join(alternatives) + r")\b"
 
 
 def after_last(text: Column, pattern: str) -> Column:

@@ -270,10 +270,11 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
         ).otherwise(state),
     )["out"]
     return (
-        candidates.groupBy("note_sk", "section", "sentence_start", "sentence").agg(ordered.alias("_candidates"))
-        .select("note_sk", "section", "sentence_start", "sentence", F.inline(kept))
+        candidates.groupBy("note_sk", "sentence_start")
+        .agg(F.first("section").alias("section"), F.first("sentence").alias("sentence"), ordered.alias("_candidates"))
+        .select(*keep, F.inline(kept))
         .select(
-            "note_sk", "section", "sentence_start", "sentence",
+            *keep,
             F.substring("sentence", F.col("offset") + 1, -F.col("_negative_end") - F.col("offset")).alias("found"), "offset",
         )
     )
@@ -288,6 +289,7 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern
     spark = notes.sparkSession
     if lexicon is None:
         lexicon = spark.createDataFrame(ctx.LEXICON, ctx.LEXICON_SCHEMA)
+    lexicon = lexicon.filter(F.trim("term") != "")
     terms = [row["term"] for row in lexicon.select(F.lower("term").alias("term")).limit(pattern_terms + 1).collect()]
     concepts = lexicon.select(
         F.lower("term").alias("_term"), "entity_type", "concept_code", "concept_system", "concept_display"

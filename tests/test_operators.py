@@ -509,6 +509,19 @@ def test_cohort_without_members_counts_zero(spark):
     assert {r.cohort_sk: r.member_count for r in listed.collect()} == {1: 2, 2: 0}
 
 
+def test_own_lexicons(spark):
+    schema = assertion.LEXICON_SCHEMA
+    df = spark.createDataFrame([(1, "No ÉPILEPSIE today. Bêta-bloquant, (HTA)."), (2, None), (3, "")], "note_sk long, note_text string")
+    lexicon = spark.createDataFrame([
+        ("épilepsie", "problem", "G40", "x", "a"), ("bêta-bloquant", "medication", "B", "x", "b"), ("HTA", "problem", "I10", "x", "c"),
+        ("hta", "problem", "I10.0", "x", "d"), (None, "problem", "?", "x", "e"), ("  ", "problem", "?", "x", "f"),
+    ], schema)
+    for limit in (2000, 0):
+        got = rows(notes.extract_mentions(df, lexicon, limit).select("covered_text", "span_start", "concept_code", "certainty"))
+        assert got == [("Bêta-bloquant", 20, "B", "positive"), ("HTA", 36, "I10", "positive"), ("HTA", 36, "I10.0", "positive"), ("ÉPILEPSIE", 3, "G40", "negated")]
+    assert notes.extract_mentions(df, lexicon.limit(0)).count() == 0
+
+
 def test_long_notes_take_time_in_proportion(spark):
     """A note of half a megabyte, also without any sentence end, with thousands of mentions."""
     import time
