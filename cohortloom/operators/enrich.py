@@ -76,21 +76,25 @@ def notes_from_templates(
     """Render a note for each encounter from the template of its note category and phenotype.
 
     `encounters` has encounter_sk, note_category and phenotype; `templates` is a list of (note category,
-    phenotype, template). A missing combination falls back to the progress note of the general
-    phenotype. Among several templates the encounter key decides.
+    phenotype, template). A category without any template uses those of progress notes, and a missing
+    combination the progress note of the general phenotype. Among several templates the encounter key
+    decides.
     """
     pools: dict[tuple[str, str], list[str]] = {}
     for category, phenotype, template in templates:
         pools.setdefault((category, phenotype), []).append(template)
     library = encounters.sparkSession.createDataFrame(
-        [(*key, pool) for key, pool in pools.items()], "note_category string, phenotype string, _own array<string>"
+        [(*key, pool) for key, pool in pools.items()], "_category string, phenotype string, _own array<string>"
     )
+    known = F.col("note_category").isin(sorted({category for category, _ in pools}))
     fallback = F.array(*[F.lit(template) for template in pools[("progress", "general")]])
-    chosen = encounters.join(F.broadcast(library), ["note_category", "phenotype"], "left").withColumn(
-        "_pool", F.coalesce("_own", fallback)
+    chosen = (
+        encounters.withColumn("_category", F.when(known, F.col("note_category")).otherwise("progress"))
+        .join(F.broadcast(library), ["_category", "phenotype"], "left")
+        .withColumn("_pool", F.coalesce("_own", fallback))
     )
     template = F.get(F.col("_pool"), F.pmod(F.col("encounter_sk"), F.size("_pool")).cast("int"))
-    return chosen.withColumn("note_text", text.render_template(template, values)).drop("_own", "_pool")
+    return chosen.withColumn("note_text", text.render_template(template, values)).drop("_category", "_own", "_pool")
 
 
 def with_provenance(df: DataFrame, source_system: str, source_id: Column, source_table: str, ingested_at: Column, loaded_at: Column) -> DataFrame:

@@ -96,6 +96,15 @@ def test_template_keeps_unknown_keys(spark):
     assert out == "Ann he {he_she.capitalize()} {other} MRN-000000"
 
 
+def test_template_choice(spark):
+    library = [("progress", "general", "pg0"), ("progress", "general", "pg1"), ("progress", "t2dm", "pt {name}"), ("hp", "t2dm", "ht")]
+    df = spark.createDataFrame([
+        (0, "hp", "t2dm"), (1, "hp", "general"), (2, "hp", "other"), (3, "consult", "t2dm"), (4, "consult", "other"), (5, None, "t2dm"),
+    ], "encounter_sk long, note_category string, phenotype string")
+    out = {r.encounter_sk: r.note_text for r in enrich.notes_from_templates(df, library, {"name": F.lit("Ann")}).collect()}
+    assert out == {0: "ht", 1: "pg1", 2: "pg0", 3: "pt Ann", 4: "pg0", 5: "pt Ann"}
+
+
 def test_html(spark):
     html = '<html><style>p{x}</style><script>var a="</p>";</script><!-- c --><h1>A &amp; B</h1><p>x&nbsp;<b>y</b><br>z</p></html>'
     assert one(spark, text.html_to_text(F.lit(html))) == "A & B\nx y\nz"
