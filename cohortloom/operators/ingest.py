@@ -87,6 +87,22 @@ def land_resources(lines: DataFrame, source_system: str, bundle_id: str, ingeste
     )
 
 
+def land_rows(rows: DataFrame, source_table: str, key: list[str], batch_id: str, ingested_at: Column) -> DataFrame:
+    """Raw landing of extracted rows: source table and natural key beside the whole row as JSON."""
+    return rows.select(
+        F.lit(source_table).alias("source_table"),
+        F.concat_ws("|", *[F.col(name).cast("string") for name in key]).alias("natural_key"),
+        F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("payload"),
+        F.lit(batch_id).alias("extract_batch_id"), ingested_at.alias("ingested_at"),
+    )
+
+
+def landed_rows(raw: DataFrame, source_table: str, schema: str) -> DataFrame:
+    """Rows of one source table again, from their landed JSON."""
+    parsed = raw.filter(F.col("source_table") == source_table).select(F.from_json("payload", schema).alias("row"))
+    return parsed.select("row.*")
+
+
 _CODING = "array<struct<system:string,code:string,display:string>>"
 _CONCEPT = f"struct<coding:{_CODING},text:string>"
 _REF = "struct<reference:string>"

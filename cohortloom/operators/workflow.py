@@ -205,6 +205,11 @@ def load_resources(lake: Lake, folder: str, source_system: str, bundle_id: str)
     return {table: lake.append(_staged(conform(raw)), table, ordered=True) for table, conform in ingest.CONFORMED.items()}
 
 
+def load_extract(lake: Lake, rows: DataFrame, source_table: str, key: list[str], batch_id: str) -> int:
+    """Land rows extracted from a relational source; returns their number."""
+    return lake.append(ingest.land_rows(rows, source_table, key, batch_id, F.current_timestamp()), "raw_extract_row")
+
+
 # --- extraction runs -----------------------------------------------------------------------------------
 
 

@@ -225,6 +225,21 @@ def landed_resources(spark, sf_dir):
     return raw.groupBy("resource_type").agg(F.count("*").alias("n"), F.countDistinct("resource_id").alias("n_ids"))
 
 
+@query("landed_extract_rows", """
+SELECT concat(CAST(l_orderkey AS VARCHAR), '|', CAST(l_linenumber AS VARCHAR)) AS natural_key, 'lineitem' AS source_table,
+       l_partkey, l_quantity, l_returnflag FROM lineitem""")
+def landed_extract_rows(spark, sf_dir):
+    """Rows of a source table to landed JSON and back."""
+    raw = ingest.land_rows(
+        read_driver_table(spark, sf_dir, "lineitem"), "lineitem", ["l_orderkey", "l_linenumber"], "batch-1", F.current_timestamp()
+    )
+    rows = ingest.landed_rows(raw, "lineitem", "l_orderkey long, l_linenumber int, l_partkey long, l_quantity double, l_returnflag string")
+    return rows.select(
+        F.concat_ws("|", "l_orderkey", "l_linenumber").alias("natural_key"), F.lit("lineitem").alias("source_table"),
+        "l_partkey", "l_quantity", "l_returnflag",
+    )
+
+
 @query("fhir_patients", with_views("patient", then="\nSELECT patient_sk, mrn, birth_date, sex, deceased_flag, state FROM patient"))
 def fhir_patients(spark, sf_dir):
     return ingest.conform_patients(_landed(_patient_lines(spark, sf_dir)))

@@ -188,6 +188,12 @@ TABLES: dict[str, Table] = {
         ),
         "resource_id", (), {"ingested_at": NOW},
     ),
+    # Raw landing of rows extracted from a relational source, whatever their table.
+    "raw_extract_row": Table(
+        "bronze",
+        _struct(source_table=STRING, natural_key=STRING, payload=STRING, extract_batch_id=STRING, ingested_at=TS),
+        "natural_key", (), {"ingested_at": NOW},
+    ),
 }
 
 # Foreign keys: (child table, child column, parent table, parent column).

@@ -9,7 +9,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import criteria, notes, workflow
+from cohortloom.operators import criteria, ingest, notes, workflow
 from cohortloom.operators.cohort import build_cohort, qualified_members
 from cohortloom.operators.criteria import AllOf, CohortSpec, Criterion, CriteriaRecord, Has, Not, cohort_spec
 from cohortloom.operators.criteria_sql import cohort_sql
@@ -304,6 +304,15 @@ def test_resources_are_landed_and_conformed(lake, spark):
     assert other.table("clinical_note").first().note_text == "No fever."
 
 
+def test_extracted_rows_are_landed(lake, spark):
+    rows = spark.createDataFrame([(1, 2, "a", None), (1, 3, None, 2.5)], "id int, line int, text string, value double")
+    assert workflow.load_extract(lake, rows, "NOTE_LINE", ["id", "line"], "b1") == 2
+    raw = lake.table("raw_extract_row")
+    assert sorted(r.natural_key for r in raw.collect()) == ["1|2", "1|3"]
+    back = ingest.landed_rows(raw, "NOTE_LINE", "id int, line int, text string, value double")
+    assert back.exceptAll(rows).count() == 0 and rows.exceptAll(back).count() == 0
+
+
 def test_empty_criteria_list(lake):
     spec = cohort_spec(CriteriaRecord(min_age=60, max_age=75), AS_OF)
     assert spec.criteria == []
