@@ -62,8 +62,10 @@ LEXICON = [
 ]
 LEXICON_SCHEMA = "term string, entity_type string, concept_code string, concept_system string, concept_display string"
 
-# A line that opens with a heading in capitals starts a section; it runs to the next such line.
-HEADING = r"(?m)^([A-Z][A-Z /&()]{3,})"
+# A line that opens with a heading in capitals starts a section, and so does a blank line, but for blank
+# lines right below a heading.
+SECTION_START = r"(?m)(^[A-Z][A-Z /&()]{3,}(?::?[ \t\r]*\n\s*)?|^[ \t\r]*\n)"
+HEADING = r"^([A-Z][A-Z /&()]{3,})"
 SECTION_MARK = "\u0002"
 # A sentence ends with its mark and the blank after it, or with the line.
 SENTENCE_END = r"([.!?;][ \t\n]|\n)"

@@ -190,7 +190,7 @@ def sentences(notes: DataFrame, containing: str | None = None) -> DataFrame:
 
     With `containing`, only sentences that match the pattern (their offsets are those in the whole note).
     """
-    sections = F.split(F.regexp_replace("note_text", ctx.HEADING, ctx.SECTION_MARK + "$1"), ctx.SECTION_MARK, -1)
+    sections = F.split(F.regexp_replace("note_text", ctx.SECTION_START, ctx.SECTION_MARK + "$1"), ctx.SECTION_MARK, -1)
     by_section = _placed(notes.select("note_sk", sections.alias("_sections")), ["note_sk"], "_sections").select(
         "note_sk", F.col("start").alias("section_start"), F.trim(F.regexp_extract("piece", ctx.HEADING, 1)).alias("section"),
         _pieces(F.col("piece"), ctx.SENTENCE_END, ctx.SENTENCE_MARK).alias("_sentences"),

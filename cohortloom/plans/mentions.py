@@ -149,7 +149,7 @@ def _re(pattern: str) -> str:
 # Whole notes: sections, sentences, then every match of the term pattern with its place.
 _FOUND_SQL = ", " + values_view("lexicon", "term, entity_type, concept_code, concept_system, concept_display", ctx.LEXICON) + f""", section AS (
   SELECT note_sk, pieces, unnest(range(len(pieces))) AS i
-  FROM (SELECT note_sk, string_split(regexp_replace(note_text, {_re(ctx.HEADING)}, chr(2) || '\\1', 'g'), chr(2)) AS pieces
+  FROM (SELECT note_sk, string_split(regexp_replace(note_text, {_re(ctx.SECTION_START)}, chr(2) || '\\1', 'g'), chr(2)) AS pieces
         FROM clinical_note) AS s),
 sentence AS (
   SELECT note_sk, section_start, section, parts, unnest(range(len(parts))) AS j

@@ -172,6 +172,12 @@ GOLDEN = [
     ("FAMILY HISTORY\n- Father: type 2 diabetes\nMEDICATIONS\n1. Metformin daily", "Metformin", P, "current", "patient"),
     ("REVIEW OF SYSTEMS\nPOSITIVE: Fatigue.\nNEGATIVE: Chest pain. Dyspnea.", "Dyspnea", N, "current", "patient"),
     ("REVIEW OF SYSTEMS\nPOSITIVE: Fatigue.\nNEGATIVE: Chest pain. Dyspnea.", "Fatigue", P, "current", "patient"),
+    ("NEGATIVE: Chest pain. Dyspnea.\n\nPatient has diabetes.", "diabetes", P, "current", "patient"),
+    ("NEGATIVE: Chest pain. Dyspnea.\n\nPatient has diabetes.", "Dyspnea", N, "current", "patient"),
+    ("FAMILY HISTORY:\n\n  - Father: stroke\n  - Mother: well\n \nHas polyuria.", "stroke", P, "family", "family"),
+    ("FAMILY HISTORY:\n\n  - Father: stroke\n  - Mother: well\n \nHas polyuria.", "polyuria", P, "current", "patient"),
+    ("PLAN\n1. Hypertension, at goal.\n2. If creatinine rises, hold metformin.", "Hypertension", P, "current", "patient"),
+    ("PLAN\n1. Hypertension, at goal.\n2. If creatinine rises, hold metformin.", "metformin", H, "current", "patient"),
     ("Her husband has diabetes.", "diabetes", P, "current", "other"),
     ("Possible pneumonia on the film.", "pneumonia", U, "current", "patient"),
     ("No change in heart failure.", "heart failure", P, "current", "patient"),
