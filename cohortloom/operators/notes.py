@@ -288,7 +288,7 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern
     """
     spark = notes.sparkSession
     if lexicon is None:
-        lexicon = spark.createDataFrame(ctx.LEXICON, ctx.LEXICON_SCHEMA)
+        lexicon = spark.createDataFrame(ctx.LEXICON, ctx.LEXICON_SCHEMA).coalesce(1)
     lexicon = lexicon.filter(F.trim("term") != "")
     terms = [row["term"] for row in lexicon.select(F.lower("term").alias("term")).limit(pattern_terms + 1).collect()]
     concepts = lexicon.select(

@@ -32,7 +32,7 @@ def conform(df: DataFrame, table: Table) -> DataFrame:
         value = F.col(f.name) if f.name in df.columns else F.lit(None)
         if f.name in table.defaults:
             default = table.defaults[f.name]
-            value = F.coalesce(value, F.current_timestamp() if default is NOW else F.lit(default))
+            value = F.coalesce(value, F.current_timestamp() if default == NOW else F.lit(default))
         columns.append(value.cast(f.dataType).alias(f.name))
     return df.select(*columns)
 
@@ -102,7 +102,7 @@ class Lake:
         """One new record from plain values; columns that are not named take their default."""
         spec = TABLES[table]
         schema = T.StructType([spec.schema[name] for name in values])
-        self.append(self.spark.createDataFrame([tuple(values.values())], schema), table)
+        self.append(self.spark.createDataFrame([tuple(values.values())], schema).coalesce(1), table)
 
     def export_csv(self, df: DataFrame, folder: str) -> str:
         """One CSV file with a header; for exports of bounded size, whose order is kept."""
