@@ -25,10 +25,10 @@ def chunks(text: Column) -> Column:
 
 def recipes(docs: DataFrame) -> DataFrame:
     """doc_id, n_points, text_sha256 of the normalised text, and its chunks as (id, sha) in order."""
-    rows = documents(docs).select("doc_id", F.char_length("text").alias("n_points"), without_spaces(F.col("text")).alias("norm"))
-    rows = rows.select("doc_id", "n_points", F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256"), chunks(F.col("norm")).alias("parts"))
+    rows = documents(docs).select("doc_id", F.char_length("text").alias("n_points"), F.xxhash64("text").alias("text_hash"), without_spaces(F.col("text")).alias("norm"))
+    rows = rows.select("doc_id", "n_points", "text_hash", F.sha2(F.encode("norm", "utf-8"), 256).alias("text_sha256"), chunks(F.col("norm")).alias("parts"))
     part = lambda c: F.struct(F.xxhash64(c).alias("id"), F.unhex(F.sha2(F.encode(c, "utf-8"), 256)).alias("sha"))
-    return rows.select("doc_id", "n_points", "text_sha256", F.transform("parts", part).alias("parts"))
+    return rows.select("doc_id", "n_points", "text_hash", "text_sha256", F.transform("parts", part).alias("parts"))
 
 
 def verified(rows: DataFrame) -> DataFrame:
@@ -37,14 +37,14 @@ def verified(rows: DataFrame) -> DataFrame:
     shared = staged(distinct.groupBy("id").agg(F.count("*").alias("contents")).where("contents > 1").select("id"))
     recipe = F.transform("parts", lambda p: p["id"])
     if shared.isEmpty():
-        return rows.select("doc_id", "n_points", "text_sha256", recipe.alias("recipe"))
+        return rows.select("doc_id", "n_points", "text_hash", "text_sha256", recipe.alias("recipe"))
     # One row per document that uses an identifier of several contents; those take the digest into their recipe.
     rows = rows.withColumn("plain", recipe)
     used = rows.select("plain", F.explode("plain").alias("id")).join(shared, "id", "left_semi").select("plain").distinct().withColumn("clash", F.lit(True))
     finer = F.transform("parts", lambda p: F.xxhash64(p["id"], p["sha"]))
     rows = rows.join(used, "plain", "left")
     return rows.select(
-        "doc_id", "n_points", "text_sha256",
+        "doc_id", "n_points", "text_hash", "text_sha256",
         F.when(F.col("clash"), F.concat(F.array(F.lit(0).cast("long")), finer)).otherwise(F.col("plain")).alias("recipe"),
     )
 
@@ -65,5 +65,18 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     return rows.join(groups, "recipe").select(
         "doc_id", "keep_id", F.col("group_size").cast("long").alias("group_size"),
         (F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("n_points") == F.col("most"))).alias("kept"),
-        "text_sha256", F.size("recipe").alias("n_chunks"), "n_points",
+        "text_sha256", F.size("recipe").alias("n_chunks"), "n_points", "text_hash",
     )
+
+
+def without_copies(docs: DataFrame) -> DataFrame:
+    """The rows of docs that stay, with all their columns; of rows that repeat a whole (id and text), one."""
+    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("s_id"), F.col("n_points").alias("s_points"), F.col("text_hash").alias("s_hash")).distinct()
+    own = {c: f"d_{i}" for i, c in enumerate(docs.columns)}
+    text = F.coalesce(F.col(own["text"]), F.lit(""))
+    rows = docs.toDF(*own.values())
+    rows = rows.withColumns({"r_id": F.coalesce(F.col(own["doc_id"]).cast("long"), F.lit(0)), "r_null": F.col(own["doc_id"]).isNull(), "r_points": F.char_length(text), "r_hash": F.xxhash64(text)})
+    stay = stay.select(F.coalesce("s_id", F.lit(0)).alias("r_id"), F.col("s_id").isNull().alias("r_null"), F.col("s_points").alias("r_points"), F.col("s_hash").alias("r_hash"))
+    key = ["r_id", "r_null", "r_points", "r_hash"]
+    rows = rows.join(stay, key, "left_semi").dropDuplicates(key)
+    return rows.select(*(F.col(new).alias(old) for old, new in own.items()))

@@ -19,6 +19,8 @@ MOST_REPEATS = 3
 # Hash bits, and how many of them each histogram resolves.
 BITS = 60
 LEVELS = (12, 12, 36)
+# Plans of at most so many sources are broadcast (under 1 MB); larger ones are joined by a shuffle.
+BROADCAST_SOURCES = 10_000
 
 
 def words(text: Column) -> Column:
@@ -87,8 +89,35 @@ def _thresholds(rows: DataFrame, budgets: DataFrame) -> DataFrame:
     return known.select("source", "below")
 
 
+def mix_plan(slim: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """source, source_size, target, whole, below of staged (source, size, hash) rows: a document is taken `whole` times, and once more
+    (never above `most`) if its hash lies under `below`. One row per source."""
+    plan = staged(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
+    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
+    plan = plan.withColumn("whole", F.least(whole, F.lit(most)).cast("long"))
+    budgets = plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
+    edges = _thresholds(slim, budgets)
+    return staged(plan.alias("p").join(edges.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.*", "e.below"))
+
+
+def with_plan(rows: DataFrame, plan: DataFrame, source: str, hashed: str, most: int = MOST_REPEATS) -> DataFrame:
+    """rows joined with their source's plan as p_size, p_target, p_repeats. The plan is broadcast only if it is known to be small."""
+    plan = plan.select(*(F.col(c).alias(f"p_{c}") for c in plan.columns))
+    if plan.count() <= BROADCAST_SOURCES:
+        plan = F.broadcast(plan)
+    once_more = F.when(F.col(hashed) < F.col("p_below"), 1).otherwise(0)
+    rows = rows.join(plan, F.col(source).eqNullSafe(F.col("p_source")))
+    return rows.withColumn("p_repeats", F.least(F.col("p_whole") + once_more, F.lit(most)).cast("long"))
+
+
+def _slim(docs: DataFrame) -> DataFrame:
+    return documents(docs, "source").select(
+        "doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"), mix_hash(F.col("doc_id"), F.col("text")).alias("hash")
+    )
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken (words the mix takes; size times the repeats), repeats.
+    """doc_id, source, size, source_size, target, taken (words the mix takes: size times the repeats), repeats.
 
     A source gets every document as often as its target holds its size, and of the rest, by hash, the documents whose
     words fit: the words taken fall short of the target by less than one document (more where equal rows share a hash:
@@ -96,18 +125,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_RE
     nothing; a source without words has target 0. Null sources form one source, after all others; its weight is the next one.
     An empty table gives an empty result.
     """
-    rows = documents(docs, "source").select(
-        "doc_id", F.col("source").cast("string").alias("source"), words(F.col("text")).alias("size"),
-        mix_hash(F.col("doc_id"), F.col("text")).alias("hash"),
-    )
-    slim = staged(rows)
-    plan = staged(targets(slim.groupBy("source").agg(F.sum("size").alias("source_size")), weights, most))
-    whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0))
-    plan = plan.withColumn("whole", F.least(whole, F.lit(most)).cast("long"))
-    budgets = plan.select("source", (F.col("target") - F.col("whole") * F.col("source_size")).alias("budget"))
-    edges = _thresholds(slim, budgets)
-    plan = plan.alias("p").join(edges.alias("e"), F.col("p.source").eqNullSafe(F.col("e.source"))).select("p.*", "e.below")
-    repeats = F.least(F.col("p.whole") + F.when(F.col("d.hash") < F.col("p.below"), 1).otherwise(0), F.lit(most)).cast("long")
-    return slim.alias("d").join(plan.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source"))).select(
-        "d.doc_id", "d.source", "d.size", "p.source_size", "p.target", (F.col("d.size") * repeats).alias("taken"), repeats.alias("repeats"),
+    slim = staged(_slim(docs))
+    rows = with_plan(slim, mix_plan(slim, weights, most), "source", "hash", most)
+    return rows.select(
+        "doc_id", "source", "size", F.col("p_source_size").alias("source_size"), F.col("p_target").alias("target"),
+        (F.col("size") * F.col("p_repeats")).alias("taken"), F.col("p_repeats").alias("repeats"),
     )
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_REPEATS) -> DataFrame:
+    """The mix itself: the rows of docs with all their columns, each as often as it is taken. Texts are not shuffled."""
+    plan = mix_plan(staged(_slim(docs)), weights, most)
+    own = {c: f"d_{i}" for i, c in enumerate(docs.columns)}
+    rows = docs.toDF(*own.values())
+    rows = rows.withColumn("m_source", F.col(own["source"]).cast("string")).withColumn(
+        "m_hash", mix_hash(F.col(own["doc_id"]).cast("long"), F.coalesce(F.col(own["text"]), F.lit(""))))
+    rows = with_plan(rows, plan, "m_source", "m_hash", most).where("p_repeats > 0")
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("p_repeats"))))
+    return rows.select(*(F.col(new).alias(old) for old, new in own.items()))

@@ -8,7 +8,7 @@ from cohortloom.llm import stages
 from cohortloom.llm.shared import new_folder, table
 
 STAGES = [
-    ("exact_dedup", stages.without_copies),
+    ("exact_dedup", stages.exact),
     ("mixing", stages.mixed),
     ("packing", stages.packed),
 ]
