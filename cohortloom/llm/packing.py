@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.shared import documents, staged
+from cohortloom.llm.shared import documents, send_code, staged
 from cohortloom.llm.tokens import crc, default_tokenizer, encoder, slices, texts_of
 
 CAPACITY, END_ID = 4096, 1
@@ -29,6 +29,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int = CAPACI
     than the capacity are cut; their last piece may be shorter.
     """
     path = tokenizer or default_tokenizer()
+    send_code(docs.sparkSession)
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids
     names = [part.split()[0] for part in schema.split(", ")]
 
@@ -111,6 +112,7 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PI
     Sequence ids are unique, not dense: block number times 2^32 plus bin number. A block's bins depend on its rows only (in the order of doc_id, piece,
     checksum), so a task that runs again gives the same. Repeated rows are pieces of their own. Empty input: empty result.
     """
+    send_code(rows.sparkSession)
     blocks = rows.count() // block_pieces + 1
     rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("block")), F.lit(blocks)).cast("int"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"

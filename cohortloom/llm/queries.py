@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import exact_dedup, mixing, packing, sharding, token_counts, token_files
+from cohortloom.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, sharding, token_counts, token_files
 from cohortloom.llm.shared import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -24,10 +24,18 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS).withColumn("law", F.lit("key"))
 
 
+def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.packed(table(spark, sf_dir, "documents"))
 
 
+def op7_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -78,6 +86,6 @@ FROM placed
 """
 
 QUERIES: dict[str, Job] = {
-    job.__name__: job for job in (op1_token_files, op2_sharding, op6_best_two_fit, op8_exact_dedup, op9_token_counts, op10_mixing)
+    job.__name__: job for job in (op1_token_files, op2_sharding, op4_bag_minhash, op6_best_two_fit, op7_itq, op8_exact_dedup, op9_token_counts, op10_mixing)
 }
 ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}

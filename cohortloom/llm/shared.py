@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,6 +14,23 @@ from pyspark.sql import functions as F
 SPACES = (" ", "\t", "\n", "\x0b", "\x0c", "\r")
 
 
+_SENT: set[str] = set()
+
+
+def send_code(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package (as --py-files would), once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    package = Path(__file__).resolve().parents[1]
+    archive = Path(context._temp_dir) / f"{package.name}.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SENT.add(context.applicationId)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir, which driver and executors share.
 

@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.shared import documents, staged
+from cohortloom.llm.shared import documents, send_code, staged
 from cohortloom.llm.tokens import default_tokenizer, encoder, slices, texts_of
 
 # Lengths that one task sums at a time.
@@ -18,6 +18,7 @@ SPAN = 4096
 def token_lengths(docs: DataFrame, tokenizer: str | None = None, end_tokens: int = 0) -> DataFrame:
     """doc_id, n_tokens of every whole text (null: empty) plus end_tokens."""
     path = tokenizer or default_tokenizer()
+    send_code(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)

@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from cohortloom.llm.shared import documents, new_folder, staged
+from cohortloom.llm.shared import documents, new_folder, send_code, staged
 from cohortloom.llm.tokens import crc, default_tokenizer, encoder, slices, texts_of
 
 MAGIC, HEADER = b"TOKPACK1", struct.Struct("<8sIIQQQ")
@@ -145,7 +145,7 @@ def write_tokens(
     doesn't fill one file, and sorted within; null ids come first. The manifest has no row for an empty table.
     """
     path = tokenizer or default_tokenizer()
-    spark = docs.sparkSession
+    send_code(docs.sparkSession)
     rows = documents(docs).withColumn("tie", F.xxhash64("text"))
     rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
     store, at = _store(folder)
