@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, secrets, sharding, token_counts, token_files
+from cohortloom.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, secret_scan, sharding, token_counts, token_files, toxicity
 from cohortloom.llm.shared import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +24,16 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), SHARDS).withColumn("law", F.lit("key"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_bag_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.near_classes(table(spark, sf_dir, "documents"))
 
 
 def op5_randomness_battery(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digests(secrets.find_secrets(table(spark, sf_dir, "documents")))
+    return secret_scan.digests(secret_scan.find_secrets(table(spark, sf_dir, "documents")))
 
 
 def op6_best_two_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,6 +94,6 @@ FROM placed
 """
 
 QUERIES: dict[str, Job] = {
-    job.__name__: job for job in (op1_token_files, op2_sharding, op4_bag_minhash, op5_randomness_battery, op6_best_two_fit, op7_itq, op8_exact_dedup, op9_token_counts, op10_mixing)
+    job.__name__: job for job in (op1_token_files, op2_sharding, op3_toxicity, op4_bag_minhash, op5_randomness_battery, op6_best_two_fit, op7_itq, op8_exact_dedup, op9_token_counts, op10_mixing)
 }
 ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}

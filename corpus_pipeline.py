@@ -8,7 +8,9 @@ from cohortloom.llm import stages
 from cohortloom.llm.shared import new_folder, table
 
 STAGES = [
+    ("toxicity", stages.untoxic),
     ("exact_dedup", stages.exact),
+    ("near_dedup", stages.near),
     ("mixing", stages.mixed),
     ("packing", stages.packed),
 ]
