@@ -31,6 +31,8 @@ SAMPLE, MOST_TERMS = 24_000, 20_000
 # A term is learned if this many toxic texts hold it and its odds are this many times those of other texts.
 LEAST_TEXTS, LEAST_ODDS = 4, 7.0
 TREES, DEPTH = 20, 4
+# Part of the score that the uncalibrated margin has.
+TIE = 1e-3
 # Beginnings of words that are terms of their own: their lengths (words must be two characters longer).
 BEGINNINGS = (4, 5, 6)
 # Words between a second-person word and a lexicon word that still count as near.
@@ -198,8 +200,10 @@ class Scorer:
             self.trees = trees.fit(learned.where("part = 1"))
             n, bad = sums.get(2, (0, 0.0))
             if 0 < bad < n:
+                # One made-up row of the other label at either end: k toxic rows at the top count as k / (k + 1), so few rows claim little.
+                ends = docs.sparkSession.createDataFrame([(1.0, 0.0), (0.0, 1.0)], "f_margin double, f_label double")
                 curve = IsotonicRegression(featuresCol="f_margin", labelCol="f_label", predictionCol="f_score")
-                self.curve = curve.fit(self._margins(learned.where("part = 2")))
+                self.curve = curve.fit(self._margins(learned.where("part = 2")).select("f_margin", "f_label").unionByName(ends))
 
     def _margins(self, rows: DataFrame) -> DataFrame:
         return self.trees.transform(rows).withColumn("f_margin", vector_to_array("probability")[1]).drop("rawPrediction", "probability", "f_class")
@@ -210,8 +214,11 @@ class Scorer:
             return rows.withColumn("f_score", F.lit(self.share))
         rows = rows.withColumn("f_values", _features(F.col(text), self.lexicon)).withColumn("f_vector", array_to_vector("f_values")).drop("f_values")
         rows = self._margins(rows).drop("f_vector")
-        rows = self.curve.transform(rows) if self.curve is not None else rows.withColumn("f_score", F.col("f_margin"))
-        return rows.withColumn("f_score", F.least(F.greatest("f_score", F.lit(0.0)), F.lit(1.0))).drop("f_margin")
+        if self.curve is None:  # no calibration without both labels: half-way to the share of toxic rows
+            return rows.withColumn("f_score", (F.col("f_margin") + self.share) / 2).drop("f_margin")
+        rows = self.curve.transform(rows)
+        # Margins break the ties of the curve's steps.
+        return rows.withColumn("f_score", F.col("f_score") * (1 - TIE) + F.col("f_margin") * TIE).drop("f_margin")
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD, sample: int = SAMPLE) -> DataFrame:
