@@ -71,10 +71,7 @@ SECTION_MARK = "\u0002"
 SENTENCE_END = r"([.!?;][ \t\n]|\n)"
 SENTENCE_MARK = "\u0001"
 
-# A cue acts within its sentence, and over at most this many characters of it.
-SCOPE = 1000
-
-# Cue words. A clause word ends the scope of any cue before it.
+# Cue words. A cue acts within its clause, however long that is. A clause word ends the scope of any cue before it.
 CLAUSE = r"(?i)\b(?:but|however|although|though|except|apart from|aside from)\b"
 # Verbs that assert something end the scope of an earlier negation only.
 ASSERTING = r"(?i)\b(?:has|have|had|reports|presents|complains|takes|continues)\b"
@@ -85,51 +82,58 @@ NEGATED_BEFORE = (
     r"contraindicated)\b"
 )
 NEGATED_AFTER = (
-    r"(?i)^[^.,]{0,40}\b(?:ruled out|not initiated|not restarted|not started|not present|not seen|is absent|"
+    r"(?i)^[^.,]*\b(?:ruled out|not initiated|not restarted|not started|not present|not seen|is absent|"
     r"was negative|were negative|is contraindicated|contraindicated)\b"
 )
 UNCERTAIN_BEFORE = (
     r"(?i)\b(?:rule out|r/o|possible|possibly|probable|suspected|suspicion of|suspicious for|cannot exclude|"
     r"may represent|may be|may have|concern for|differential includes|questionable)\b"
 )
-UNCERTAIN_AFTER = r"(?i)^[^.,]{0,40}\b(?:suspected|cannot be excluded|is possible|not excluded|rule-out)\b"
+UNCERTAIN_AFTER = r"(?i)^[^.,]*\b(?:suspected|cannot be excluded|is possible|not excluded|rule-out)\b"
 HYPOTHETICAL_BEFORE = (
     r"(?i)\b(?:if|should|will consider|would consider|consider|in case of|risk of|risk for|progression to|"
     r"warning signs of|signs of|to screen for|to prevent|defined as)\b"
 )
-HYPOTHETICAL_AFTER = r"(?i)^[^.,]{0,20}\b(?:develops|develop|defined as)\b"
+HYPOTHETICAL_AFTER = r"(?i)^[^.,]*\b(?:develops|develop|defined as)\b"
 # "Signs of" is hypothetical in advice ("warning signs of") and a finding in "no signs of": negation wins anyway.
 # A history that still runs: these are taken out before the past is looked for.
 STILL_CURRENT = r"(?i)(?:\b\d+[- ]year history of|\bknown history of|\blong history of|\bhistory of present illness)"
 HISTORICAL_BEFORE = (
     r"(?i)\b(?:history of|remote history|past|prior|previous|previously|former|formerly|years ago|status post)\b"
 )
-HISTORICAL_AFTER = r"(?i)^[^.,]{0,40}\b(?:in the past|years ago|years prior|resolved|fully healed)\b"
+HISTORICAL_AFTER = r"(?i)^[^.,]*\b(?:in the past|years ago|years prior|resolved|fully healed)\b"
 FAMILY = (
     r"(?i)\b(?:family history|family|mother|father|brother|sister|sibling|aunt|uncle|maternal|paternal|"
     r"grandmother|grandfather|cousin|parents)\b"
 )
-FAMILY_AFTER = r"(?i)^[^.]{0,40}\bin (?:his|her|their) (?:mother|father|brother|sister|aunt|uncle|family)\b"
+FAMILY_AFTER = r"(?i)^[^.]*\bin (?:his|her|their) (?:mother|father|brother|sister|aunt|uncle|family)\b"
 OTHER_PERSON = r"(?i)\b(?:spouse|husband|wife|partner|roommate|friend|donor)\b"
 FAMILY_SECTION = "FAMILY"
 NEGATIVE_SECTION = "NEGATIVE"
 
 
+def is_word_character(character: str) -> bool:
+    return character.isalnum() or character == "_"
+
+
 def term_pattern(terms: list[str]) -> str:
-    """Pattern for any of the terms as whole words; the longest term at a place wins.
+    """Pattern for any of the terms; the longest term at a place wins.
 
-    Terms are grouped by their first letter, so at most words only one letter is compared per group.
+    Where a term begins or ends with a letter or digit, none may stand next to it; a term's edge of another kind needs no boundary.
+    Terms are grouped by their first letter, so at most words only one letter is compared per group. Terms without any letter or digit are left out.
     Case is ignored, beyond ASCII only where a term needs it. Without terms nothing matches.
     """
-    if not terms:
-        return r"[^\s\S]"
     groups: dict[str, list[str]] = {}
     for term in sorted(set(terms), key=lambda t: (-len(t), t)):
-        plain = [re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", part) for part in (term[0], term[1:])]
-        groups.setdefault(plain[0], []).append(plain[1])
+        if any(map(is_word_character, term)):
+            plain = [re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", part) for part in (term[0], term[1:])]
+            first = (r"\b" if is_word_character(term[0]) else "") + plain[0]
+            groups.setdefault(first, []).append(plain[1] + (r"\b" if is_word_character(term[-1]) else ""))
+    if not groups:
+        return r"[^\s\S]"
     alternatives = [first + "(?:" + "|".join(rest) + ")" for first, rest in sorted(groups.items())]
     flags = "(?i)" if all(term.isascii() for term in terms) else "(?iu)"
-    return flags + r"\b(?:" + "|".join(alternatives) + r")\b"
+    return flags + "(?:" + "|".join(alternatives) + ")"
 
 
 def after_last(text: Column, pattern: str) -> Column:

@@ -34,8 +34,8 @@ def evaluate(tables: Tables, spec: CohortSpec, state: DataFrame | None = None) -
 
 
 def build_cohort(tables: Tables, spec: CohortSpec) -> DataFrame:
-    """Member list: key, MRN, birth date, sex, race."""
-    return evaluate(tables, spec).select(*MEMBER_COLUMNS)
+    """Member list: key, MRN, birth date, sex, race; one row for a patient whose row repeats."""
+    return evaluate(tables, spec).select(*MEMBER_COLUMNS).distinct()
 
 
 def cohort_size(members: DataFrame) -> DataFrame:

@@ -216,6 +216,10 @@ class Expression:
         """Criteria that speak for membership (those under a Not do not)."""
         raise NotImplementedError
 
+    def normal(self, negated: bool = False) -> Expression:
+        """The same expression, or its negation, with every Not moved down to a single criterion."""
+        raise NotImplementedError
+
     def __and__(self, other: Expression) -> Expression:
         return AllOf(self, other)
 
@@ -242,6 +246,9 @@ class Has(Expression):
     def required(self):
         return [self.id]
 
+    def normal(self, negated=False):
+        return Not(self) if negated else self
+
 
 class Not(Expression):
     def __init__(self, inner: Expression):
@@ -259,6 +266,9 @@ class Not(Expression):
     def required(self):
         return []
 
+    def normal(self, negated=False):
+        return self.inner.normal(not negated)
+
 
 class _Group(Expression):
     def __init__(self, *parts: Expression):
@@ -267,6 +277,10 @@ class _Group(Expression):
     def required(self):
         return [criterion for part in self.parts for criterion in part.required()]
 
+    def normal(self, negated=False):
+        group = ({AllOf: AnyOf, AnyOf: AllOf} if negated else {AllOf: AllOf, AnyOf: AnyOf})[type(self)]
+        return group(*[part.normal(negated) for part in self.parts])
+
     def _dates(self) -> list[Column]:
         return [date for date in (part.first_met() for part in self.parts) if date is not None]
 
@@ -303,12 +317,18 @@ class AnyOf(_Group):
 
 @dataclass(frozen=True)
 class CohortSpec:
-    """A cohort: criteria, the expression over them, and a filter on the patient row."""
+    """A cohort: criteria, the expression over them, and a filter on the patient row.
+
+    The expression is kept with its negations at the criteria, so that dates, sources and evidence don't depend on how it was written.
+    """
 
     criteria: list[Criterion]
     expression: Expression
     patient_filter: Column
 
+    def __post_init__(self):
+        object.__setattr__(self, "expression", self.expression.normal())
+
 
 def cohort_spec(
     record: CriteriaRecord, as_of: str | dt.date | Column | None = None, strict_upper: bool = False

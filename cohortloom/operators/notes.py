@@ -238,8 +238,11 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     The terms are broadcast up to a counted limit and shuffled beyond it. Overlapping candidates are
     settled per sentence from left to right, longest first.
     """
-    first_word = lambda text: F.regexp_extract(text, _WORD, 0)
-    terms = lexicon.select(F.lower("term").alias("_term"), first_word(F.lower("term")).alias("_first")).distinct()
+    term = F.lower("term")
+    terms = lexicon.select(
+        term.alias("_term"), F.regexp_extract(term, _WORD, 0).alias("_first"), F.length(F.split(term, _WORD, 2)[0]).alias("_lead"),
+        F.regexp_like(F.substring(term, -1, 1), F.lit(_WORD_CHARACTER)).alias("_closed"),
+    ).filter("_first <> ''").distinct()
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
     keep = ["note_sk", "section", "sentence_start", "sentence"]
@@ -252,12 +255,13 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
         .withColumn(
             "offset",
             F.aggregate(before, F.lit(0), lambda total, pair: total + _pair_length(pair))
-            + F.length(F.get(F.col("_pairs"), F.col("_place"))["gap"]),
+            + F.length(F.get(F.col("_pairs"), F.col("_place"))["gap"]) - F.col("_lead"),
         )
+        .filter("offset >= 0")
         .withColumn("_end", F.col("offset") + F.length("_term"))
         .filter(
             (F.lower(F.substring("sentence", F.col("offset") + 1, F.length("_term"))) == F.col("_term"))
-            & ~F.regexp_like(F.substring("sentence", F.col("_end") + 1, F.lit(1)), F.lit(_WORD_CHARACTER))
+            & ~(F.col("_closed") & F.regexp_like(F.substring("sentence", F.col("_end") + 1, F.lit(1)), F.lit(_WORD_CHARACTER)))
         )
     )
     ordered = F.array_sort(F.collect_list(F.struct("offset", (-F.col("_end")).alias("_negative_end"))))
@@ -299,9 +303,8 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern
         concepts = F.broadcast(concepts)
     else:
         found = _found_by_join(notes, lexicon)
-    reach = F.least(F.col("offset"), F.lit(ctx.SCOPE))
-    before = F.substring("sentence", F.col("offset") - reach + 1, reach)
-    after = F.substring("sentence", F.col("offset") + F.length("found") + 1, F.lit(ctx.SCOPE))
+    before = F.substring("sentence", F.lit(1), F.col("offset"))
+    after = F.substring("sentence", F.col("offset") + F.length("found") + 1, F.length("sentence"))
     scoped = found.withColumns({
         "_left": ctx.after_last(before, ctx.CLAUSE), "_right": ctx.before_first(after, ctx.CLAUSE)
     })

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortloom.schemas import MAX_EXPORT, PAGE_SIZE
+from cohortloom.schemas import PAGE_SIZE
 
 
 def row_counts(tables: Mapping[str, DataFrame]) -> DataFrame:
@@ -75,20 +75,21 @@ def member_page(members: DataFrame, patients: DataFrame, cohort_sk: int, rows: i
     return cohort_members(members, patients, cohort_sk).orderBy("mrn", "patient_sk").limit(rows)
 
 
-def export_rows(members: DataFrame, patients: DataFrame, cohort_sk: int) -> DataFrame:
-    """Rows of the CSV export: by MRN, at most the documented export size."""
-    return member_page(members, patients, cohort_sk, MAX_EXPORT)
+def export_rows(members: DataFrame, patients: DataFrame, cohort_sk: int, limit: int | None = None) -> DataFrame:
+    """Rows of the CSV export: all members, or the first by MRN where a limit is asked for."""
+    if limit is not None:
+        return member_page(members, patients, cohort_sk, limit)
+    return cohort_members(members, patients, cohort_sk)
 
 
 def condition_listing(members: DataFrame, patients: DataFrame, conditions: DataFrame, cohort_sk: int, rows: int = 200) -> DataFrame:
     """All conditions of the members, newest first."""
-    chosen = members.filter(F.col("cohort_sk") == cohort_sk).select("patient_sk")
-    return (
-        chosen.join(patients.select("patient_sk", "mrn"), "patient_sk")
-        .join(conditions, "patient_sk")
-        .orderBy(F.col("recorded_date").desc_nulls_last(), F.col("condition_sk").desc())
-        .limit(rows)
-        .select("mrn", "condition_code", "clinical_status", "recorded_date", "category")
+    order = [F.col("recorded_date").desc_nulls_last(), F.col("condition_sk").desc()]
+    chosen = members.filter(F.col("cohort_sk") == cohort_sk).select("patient_sk").join(patients.select("patient_sk"), "patient_sk", "left_semi")
+    newest = conditions.join(chosen, "patient_sk", "left_semi").orderBy(*order).limit(rows)
+    # MRNs are joined to the rows that are shown only.
+    return newest.join(patients.select("patient_sk", "mrn"), "patient_sk").orderBy(*order).limit(rows).select(
+        "mrn", "condition_code", "clinical_status", "recorded_date", "category"
     )
 
 

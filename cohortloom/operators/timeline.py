@@ -58,6 +58,24 @@ def find_patient(patients: DataFrame, mrn: str) -> DataFrame:
     return patients.filter(F.col("mrn") == mrn.strip()).limit(1)
 
 
+def patient_key(patients: DataFrame, mrn: str) -> int | None:
+    """Key of the patient of an MRN; None where there is none."""
+    row = find_patient(patients, mrn).select("patient_sk").first()
+    return row["patient_sk"] if row else None
+
+
+def rows_of_patient(df: DataFrame, patient_sk: int | None) -> DataFrame:
+    """Rows of one patient by key: the filter reaches the scan, which skips the files and row groups of others."""
+    return df.filter(F.lit(False) if patient_sk is None else F.col("patient_sk") == patient_sk)
+
+
+def section_by_mrn(patients: DataFrame, df: DataFrame, table: str, mrn: str) -> DataFrame:
+    """The newest rows of one table of the patient with this MRN, with the key."""
+    what, key = SECTIONS[table], patient_key(patients, mrn)
+    rows = _top_level(rows_of_patient(df, key), table)
+    return rows.select("patient_sk", *_shown(df, what)).orderBy(*_newest_first(what)).limit(what.limit)
+
+
 def _newest_first(section: Section) -> list[Column]:
     return [F.col(section.time).desc_nulls_last(), F.col(section.key).desc()]
 

@@ -60,8 +60,11 @@ def save_cohort(
     code, system = lake.spark.range(1).select(
         *primary_concept(*[F.lit(text) for text in (record.icd_codes, record.med_codes, record.lab_code, record.nlp_concept, record.nlp_terms)])
     ).first()
-    if version > 1:
-        lake.append(same_name.select("cohort_sk", F.lit("archived").alias("status")), "cohort_status_change")
+    older = _staged(same_name.select("cohort_sk", F.lit("archived").alias("status")))
+    is_control = cohort_type == "control" and comparison_cohort_sk is not None
+    spec = cohort.control_spec(record, as_of) if is_control else cohort_spec(record, as_of)
+    # Members first, then the definition, then the end of the older versions: a save that dies leaves those as they were.
+    _run_specs(lake, {cohort_sk: spec})
     lake.append_record(
         "cohort_definition", cohort_sk=cohort_sk, name=name, description=description, cohort_type=cohort_type,
         cohort_category=cohort_category, primary_concept_code=code, primary_concept_system=system,
@@ -70,7 +73,8 @@ def save_cohort(
         follow_up_days=follow_up_days, min_age_years=record.min_age, max_age_years=record.max_age,
         comparison_cohort_sk=comparison_cohort_sk, status="active", version=version, created_by=created_by, created_at=now,
     )
-    run_cohort(lake, cohort_sk, as_of)
+    if version > 1:
+        lake.append(older, "cohort_status_change")
     return cohort_sk
 
 
@@ -96,8 +100,11 @@ def run_cohorts(lake: Lake, cohort_sks: list[int], as_of=None) -> dict[int, str]
     However many cohorts are run, every clinical table is read once: the criteria of all of them are
     matched in that pass and the evidence is staged by cohort.
     """
+    return _run_specs(lake, {cohort_sk: _stored_spec(lake, cohort_sk, as_of) for cohort_sk in cohort_sks})
+
+
+def _run_specs(lake: Lake, specs: dict[int, CohortSpec]) -> dict[int, str]:
     tables = _clinical_tables(lake)
-    specs = {cohort_sk: _stored_spec(lake, cohort_sk, as_of) for cohort_sk in cohort_sks}
     criteria = [
         Criterion(f"{cohort_sk}/{c.id}", c.table, c.matches, c.source) for cohort_sk, spec in specs.items() for c in spec.criteria
     ]
@@ -174,11 +181,11 @@ def member_events(lake: Lake, cohort_sk: int, table: str) -> DataFrame:
     return cohort.events_around_index(members, rows, event_date(table, rows), days["lookback_days"], days["follow_up_days"])
 
 
-def export_members(lake: Lake, cohort_sk: int, folder: str) -> str:
-    """CSV of the member list by MRN, named after the cohort."""
+def export_members(lake: Lake, cohort_sk: int, folder: str, limit: int | None = None) -> str:
+    """CSV of the member list by MRN, named after the cohort: all members unless a limit is given."""
     name = review.definition_detail(lake.table("cohort_definition"), cohort_sk).select("name").first()["name"]
-    rows = review.export_rows(current_members(lake), lake.table("patient"), cohort_sk)
-    return lake.export_csv(rows, f"{folder}/{export_folder(cohort_sk, name)}")
+    rows = review.export_rows(current_members(lake), lake.table("patient"), cohort_sk, limit)
+    return lake.export_csv(rows, f"{folder}/{export_folder(cohort_sk, name)}", "mrn", "patient_sk")
 
 
 def export_bundles(lake: Lake, cohort_sk: int, folder: str) -> str:

@@ -169,8 +169,8 @@ mention AS (
          list_sum(list_transform(gaps[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k], lambda x: length(x))), 0) AS place
   FROM place),
 scoped AS (
-  SELECT *, string_split_regex(substr(sentence, CAST(greatest(place - {ctx.SCOPE}, 0) AS BIGINT) + 1, CAST(least(place, {ctx.SCOPE}) AS BIGINT)), {_re(ctx.CLAUSE)})[-1] AS lft,
-         string_split_regex(substr(sentence, CAST(place AS BIGINT) + length(covered_text) + 1, {ctx.SCOPE}), {_re(ctx.CLAUSE)})[1] AS rgt
+  SELECT *, string_split_regex(substr(sentence, 1, CAST(place AS BIGINT)), {_re(ctx.CLAUSE)})[-1] AS lft,
+         string_split_regex(substr(sentence, CAST(place AS BIGINT) + length(covered_text) + 1), {_re(ctx.CLAUSE)})[1] AS rgt
   FROM mention),
 flagged AS (
   SELECT *, regexp_matches(regexp_replace(string_split_regex(lft, {_re(ctx.ASSERTING)})[-1], {_re(ctx.NOT_A_NEGATION)}, ' ', 'g'), {_re(ctx.NEGATED_BEFORE)})
@@ -197,12 +197,10 @@ def extracted_mentions(spark, sf_dir):
     return notes.extract_mentions(clinical_view(spark, sf_dir, "clinical_note"))
 
 
-@query("mentions_of_long_lexicon", with_views("clinical_note", then=_FOUND_SQL + """
-SELECT note_sk, covered_text, span_start, span_end, certainty FROM extracted"""))
+@query("mentions_of_long_lexicon", with_views("clinical_note", then=_FOUND_SQL + "\nSELECT * FROM extracted"))
 def mentions_of_long_lexicon(spark, sf_dir):
     """The same mentions by joining words to terms, as is done for a lexicon too long for one pattern."""
-    found = notes.extract_mentions(clinical_view(spark, sf_dir, "clinical_note"), pattern_terms=0)
-    return found.select("note_sk", "covered_text", "span_start", "span_end", "certainty")
+    return notes.extract_mentions(clinical_view(spark, sf_dir, "clinical_note"), pattern_terms=0)
 
 
 @query("cohort_from_notes", with_views("clinical_note", "patient", then=_FOUND_SQL + """

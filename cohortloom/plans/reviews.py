@@ -70,7 +70,7 @@ def cohort_member_page(spark, sf_dir):
     return review.member_page(tables["cohort_member"], tables["patient"], 2)
 
 
-@query("cohort_export", with_views("cohort_member", "patient", then=_MEMBER_SQL + "10000"))
+@query("cohort_export", with_views("cohort_member", "patient", then=_MEMBER_SQL.removesuffix(" LIMIT ")))
 def cohort_export(spark, sf_dir):
     tables = load(spark, sf_dir, "cohort_member", "patient")
     return review.export_rows(tables["cohort_member"], tables["patient"], 2)
@@ -122,8 +122,8 @@ ORDER BY {what.time} DESC NULLS LAST, {what.key} DESC LIMIT {what.limit}"""))
     def one_patient(spark, sf_dir):
         """Newest rows of one table for the patient with this MRN."""
         tables = load(spark, sf_dir, "patient", table)
-        patient = timeline.find_patient(tables["patient"], MRN)
-        return timeline.section_for_patients(tables[table], table, patient)
+        rows = timeline.section_by_mrn(tables["patient"], tables[table], table, MRN)
+        return rows.select("patient_sk", *[column for column in SECTIONS[table].columns if column in rows.columns])
 
     @query(f"timelines_{table}", with_views(table, then=f"""
 SELECT patient_sk, {_SECTION_COLUMNS[table]}
@@ -185,8 +185,8 @@ WHERE value_numeric IS NOT NULL
 def lab_trend(spark, sf_dir):
     """Trend of the code of the patient's newest lab result."""
     tables = load(spark, sf_dir, "patient", "observation")
-    patient = timeline.find_patient(tables["patient"], MRN).select("patient_sk")
-    return timeline.lab_trend(tables["observation"].join(patient, "patient_sk", "left_semi"))
+    key = timeline.patient_key(tables["patient"], MRN)
+    return timeline.lab_trend(timeline.rows_of_patient(tables["observation"], key))
 
 
 @query("note_entities", with_views("note_nlp_entity", then="""

@@ -241,7 +241,6 @@ VALUE_SETS: dict[tuple[str, str], tuple[str, ...]] = {
 }
 
 PAGE_SIZE = 50
-MAX_EXPORT = 10_000
 
 # Entities of one note as a model returns them: body = {"entities": [...]}.
 MENTION = _struct(

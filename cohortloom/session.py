@@ -39,10 +39,16 @@ def local_session(cores: str | int = 8, app: str = "cohortloom", warehouse: str
 def checkpoint_folder(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only where the setting is missing (tests on one machine) is a folder of our own set.
+    Only where the setting is missing in a local session (tests on one machine) is a folder of our own made; on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", folder)
+    if folder:
+        return folder
+    current = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if current.isDefined():
+        return current.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    folder = "file://" + tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp")
+    spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cohortloom.functions import assertion, clinical, codes, text
 from cohortloom.operators import analysis, cohort, criteria, enrich, evidence, ingest, notes, profile, quality, ranking, review, timeline
 from cohortloom.operators.criteria import AllOf, AnyOf, CohortSpec, Criterion, CriteriaRecord, Has
+from cohortloom.sources.fixtures import load
 
 D = dt.date
 
@@ -552,3 +553,54 @@ def test_long_notes_take_time_in_proportion(spark):
     }
     spans = notes.extract_mentions(df.filter("note_sk = 1")).filter("covered_text = 'fever'").select(F.max("span_start")).first()[0]
     assert spans == note.rindex("fever")
+
+
+# --- the whole sentence counts, for every lexicon and every way an expression is written ----------------------------
+
+
+def found_by_both(spark, text, lexicon=None):
+    frame = None if lexicon is None else spark.createDataFrame([(t, "x", t, "own", t) for t in lexicon], assertion.LEXICON_SCHEMA)
+    rows = spark.createDataFrame([(1, text)], "note_sk long, note_text string")
+    both = [sorted(map(tuple, notes.extract_mentions(rows, frame, n).collect()), key=str) for n in (2000, 0)]
+    assert both[0] == both[1]
+    return both[0]
+
+
+def test_a_cue_acts_over_a_whole_sentence_however_long(spark):
+    for items in (1, 80):
+        text = "Patient denies " + ", ".join(f"complaint number {i}" for i in range(items)) + ", chest pain and fever."
+        found = found_by_both(spark, text)
+        assert len(found) == 2 and all(row[8] for row in found)
+    after = "Pneumonia " + "as it was thought of at the time of the first visit to the ward by the doctor " * 2 + "was negative"
+    assert found_by_both(spark, after)[0][8]
+
+
+def test_terms_with_edges_that_are_no_letters(spark):
+    text = "On vitamin b12 (cyanocobalamin), hba1c % high, (hiv) and coughs, cough."
+    found = found_by_both(spark, text, ["vitamin b12 (cyanocobalamin)", "hba1c %", "(hiv)", "cough", "%%"])
+    assert [(row[2], text[row[3]:row[4]]) for row in found] == [(row[2], row[2]) for row in found]
+    assert sorted(row[2] for row in found) == ["(hiv)", "cough", "hba1c %", "vitamin b12 (cyanocobalamin)"]
+
+
+def test_negations_written_twice_change_nothing(spark, sf_dir):
+    from cohortloom.plans.cohorts import CLINICAL
+    tables = load(spark, sf_dir, *CLINICAL)
+    wanted = criteria.Criterion("dm", "condition", F.col("condition_code").startswith("E11"))
+    other = criteria.Criterion("ht", "condition", F.col("condition_code") == "I10")
+    dm, ht = criteria.Has("dm"), criteria.Has("ht")
+
+    def members(expression):
+        spec = criteria.CohortSpec([wanted, other], expression, F.lit(True))
+        return sorted(map(tuple, cohort.qualified_members(tables, spec).collect()))
+
+    plain = members(dm)
+    assert plain and plain == members(~~dm) and any(row[1] for row in plain)
+    assert members(~(~dm & ~ht)) == members(dm | ht) and members(~(~dm | ~ht)) == members(dm & ht)
+
+
+def test_a_patient_row_that_repeats_is_one_member(spark, sf_dir):
+    from cohortloom.plans.cohorts import CLINICAL
+    tables = load(spark, sf_dir, *CLINICAL)
+    spec = criteria.CohortSpec([criteria.Criterion("dm", "condition", F.col("condition_code").startswith("E11"))], criteria.Has("dm"), F.lit(True))
+    once = cohort.build_cohort(tables, spec).count()
+    assert once == cohort.build_cohort({**tables, "patient": tables["patient"].unionByName(tables["patient"])}, spec).count() > 0
