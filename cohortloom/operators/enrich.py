@@ -71,7 +71,7 @@ def interpreted(observations: DataFrame) -> DataFrame:
 
 
 def notes_from_templates(
-    encounters: DataFrame, templates: list[tuple[str, str, str]], values: dict[str, Column]
+    encounters: DataFrame, templates: list[tuple[str, str, str]], values: dict[str, Column], defaults: dict[str, str] | None = None
 ) -> DataFrame:
     """Render a note for each encounter from the template of its note category and phenotype.
 
@@ -94,7 +94,7 @@ def notes_from_templates(
         .withColumn("_pool", F.coalesce("_own", fallback))
     )
     template = F.get(F.col("_pool"), F.pmod(F.col("encounter_sk"), F.size("_pool")).cast("int"))
-    return chosen.withColumn("note_text", text.render_template(template, values)).drop("_category", "_own", "_pool")
+    return chosen.withColumn("note_text", text.render_template(template, values, defaults)).drop("_category", "_own", "_pool")
 
 
 def with_provenance(df: DataFrame, source_system: str, source_id: Column, source_table: str, ingested_at: Column, loaded_at: Column) -> DataFrame:

@@ -87,6 +87,18 @@ def land_resources(lines: DataFrame, source_system: str, bundle_id: str, ingeste
     )
 
 
+def newest_resources(raw: DataFrame) -> DataFrame:
+    """Of every resource the version landed last (equal times: the larger payload, so reruns agree); those without an id all stay."""
+    named = raw.filter(F.col("resource_id").isNotNull())
+    newest = named.groupBy("resource_type", "resource_id").agg(
+        F.max_by(F.struct("source_system", "payload", "bundle_id", "ingested_at"), F.struct("ingested_at", "payload")).alias("newest")
+    )
+    columns = ["resource_type", "resource_id", "source_system", "payload", "bundle_id", "ingested_at"]
+    return newest.select("resource_type", "resource_id", "newest.*").select(*columns).unionByName(
+        raw.filter(F.col("resource_id").isNull()).select(*columns)
+    )
+
+
 def land_rows(rows: DataFrame, source_table: str, key: list[str], batch_id: str, ingested_at: Column) -> DataFrame:
     """Raw landing of extracted rows: source table and natural key beside the whole row as JSON."""
     return rows.select(
@@ -111,11 +123,11 @@ _RANGE = "array<struct<low:struct<value:double>,high:struct<value:double>>>"
 
 RESOURCE_SCHEMAS: dict[str, str] = {
     "Patient": "id string, identifier array<struct<system:string,value:string>>, birthDate date, gender string, "
-    "deceasedBoolean boolean, address array<struct<city:string,state:string,postalCode:string>>",
+    "deceasedBoolean boolean, deceasedDateTime timestamp, address array<struct<city:string,state:string,postalCode:string>>",
     "Encounter": f"id string, subject {_REF}, status string, class struct<code:string>, type array<{_CONCEPT}>, "
     "period struct<start:timestamp,end:timestamp>",
     "Condition": f"id string, subject {_REF}, encounter {_REF}, category array<{_CONCEPT}>, code {_CONCEPT}, "
-    f"clinicalStatus {_CONCEPT}, verificationStatus {_CONCEPT}, onsetDateTime date, recordedDate date",
+    f"clinicalStatus {_CONCEPT}, verificationStatus {_CONCEPT}, onsetDateTime date, recordedDate date, abatementDateTime timestamp",
     "Observation": f"id string, subject {_REF}, encounter {_REF}, category array<{_CONCEPT}>, code {_CONCEPT}, "
     f"valueQuantity {_QUANTITY}, valueString string, referenceRange {_RANGE}, effectiveDateTime timestamp, "
     f"component array<struct<code:{_CONCEPT},valueQuantity:{_QUANTITY}>>",
@@ -124,7 +136,7 @@ RESOURCE_SCHEMAS: dict[str, str] = {
     "Procedure": f"id string, subject {_REF}, encounter {_REF}, status string, code {_CONCEPT}, "
     "performedDateTime timestamp",
     "DocumentReference": f"id string, subject {_REF}, type {_CONCEPT}, category array<{_CONCEPT}>, date timestamp, "
-    "content array<struct<attachment:struct<contentType:string,data:string>>>",
+    f"content array<struct<attachment:struct<contentType:string,data:string>>>, context struct<encounter:array<{_REF}>>",
 }
 
 # Encounter class codes of the interchange standard.
@@ -171,7 +183,9 @@ def conform_patients(raw: DataFrame) -> DataFrame:
         _own_key("Patient").alias("patient_sk"),
         F.get(F.filter("identifier", lambda i: i["system"] == "mrn"), F.lit(0))["value"].alias("mrn"),
         F.col("birthDate").alias("birth_date"), F.col("gender").alias("sex"),
-        F.coalesce("deceasedBoolean", F.lit(False)).alias("deceased_flag"), first_address["state"].alias("state"),
+        F.coalesce("deceasedBoolean", F.col("deceasedDateTime").isNotNull()).alias("deceased_flag"),
+        F.to_date("deceasedDateTime").alias("deceased_date"), first_address["city"].alias("city"),
+        first_address["state"].alias("state"), first_address["postalCode"].alias("zip"),
     )
 
 
@@ -190,6 +204,8 @@ def conform_conditions(raw: DataFrame) -> DataFrame:
         _key("encounter.reference").alias("encounter_sk"), _first_category().alias("category"),
         _coding("code")["code"].alias("condition_code"), _coding("clinicalStatus")["code"].alias("clinical_status"),
         F.col("onsetDateTime").alias("onset_date"), F.col("recordedDate").alias("recorded_date"),
+        F.to_date("abatementDateTime").alias("resolved_date"), _coding("code")["display"].alias("condition_display"),
+        _coding("verificationStatus")["code"].alias("verification_status"),
     )
 
 
@@ -197,17 +213,22 @@ def conform_observations(raw: DataFrame) -> DataFrame:
     """Observations; components of a panel become rows that point to it, with keys hashed from its key."""
     r = _resources(raw, "Observation").withColumn("_sk", _own_key("Observation"))
     common = [
-        _key("subject.reference").alias("patient_sk"), _first_category().alias("category"),
+        _key("subject.reference").alias("patient_sk"), _key("encounter.reference").alias("encounter_sk"), _first_category().alias("category"),
     ]
+    first_range = F.get("referenceRange", F.lit(0))
+    no_limit = F.lit(None).cast("double")
     own = F.struct(
         F.lit(0).alias("no"), _coding("code")["code"].alias("code"),
-        F.col("valueQuantity.value").alias("value"), F.col("valueString").alias("string"),
+        _coding("code")["display"].alias("display"), F.col("valueQuantity.value").alias("value"), F.col("valueString").alias("string"),
+        F.col("valueQuantity.unit").alias("unit"), first_range["low"]["value"].alias("low"), first_range["high"]["value"].alias("high"),
     )
     parts = F.transform(
         F.coalesce("component", F.array().cast(T.ArrayType(_component_type()))),
         lambda part, i: F.struct(
             (i + 1).alias("no"), F.get(part["code"]["coding"], F.lit(0))["code"].alias("code"),
+            F.get(part["code"]["coding"], F.lit(0))["display"].alias("display"),
             part["valueQuantity"]["value"].alias("value"), F.lit(None).cast("string").alias("string"),
+            part["valueQuantity"]["unit"].alias("unit"), no_limit.alias("low"), no_limit.alias("high"),
         ),
     )
     rows = r.select("_sk", *common, "effectiveDateTime", F.inline(F.concat(F.array(own), parts)))
@@ -216,6 +237,8 @@ def conform_observations(raw: DataFrame) -> DataFrame:
         F.col("code").alias("observation_code"), F.col("value").alias("value_numeric"),
         F.col("string").alias("value_string"), F.col("effectiveDateTime").alias("effective_datetime"),
         F.when(F.col("no") > 0, F.col("_sk")).alias("parent_observation_sk"),
+        "encounter_sk", F.col("display").alias("observation_display"), "unit", F.col("low").alias("reference_range_low"),
+        F.col("high").alias("reference_range_high"),
     )
 
 
@@ -229,7 +252,7 @@ def conform_medication_orders(raw: DataFrame) -> DataFrame:
         _key("encounter.reference").alias("encounter_sk"),
         _coding("medicationCodeableConcept")["code"].alias("med_code"),
         F.when(F.col("status") == "stopped", "discontinued").otherwise(F.col("status")).alias("order_status"),
-        F.col("authoredOn").alias("start_datetime"),
+        F.col("authoredOn").alias("start_datetime"), _coding("medicationCodeableConcept")["display"].alias("med_display"),
     )
 
 
@@ -237,22 +260,24 @@ def conform_procedures(raw: DataFrame) -> DataFrame:
     return _resources(raw, "Procedure").select(
         _own_key("Procedure").alias("procedure_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"), _coding("code")["code"].alias("procedure_code"), "status",
-        F.col("performedDateTime").alias("performed_datetime"),
+        F.col("performedDateTime").alias("performed_datetime"), _coding("code")["display"].alias("procedure_display"),
     )
 
 
 def conform_notes(raw: DataFrame) -> DataFrame:
     """Document references with inline attachments: base64 to text; HTML is stripped, plain text kept."""
     attachment = F.get("content", F.lit(0))["attachment"]
-    decoded = _resources(raw, "DocumentReference").select(
+    resources = _resources(raw, "DocumentReference").withColumn("_encounter", F.get("context.encounter", F.lit(0))["reference"])
+    decoded = resources.select(
         _own_key("DocumentReference").alias("note_sk"), _key("subject.reference").alias("patient_sk"),
         _first_category().alias("note_category"), F.col("date").alias("service_date"),
-        attachment["contentType"].alias("content_type"),
+        attachment["contentType"].alias("content_type"), _coding("type")["code"].alias("note_type_code"),
+        _coding("type")["display"].alias("note_type_display"), _key("_encounter").alias("encounter_sk"),
         F.decode(F.unbase64(attachment["data"]), "UTF-8").alias("_body"),
     )
     is_html = F.col("content_type") == "text/html"
     return decoded.select(
-        "note_sk", "patient_sk", "note_category", "service_date", "content_type",
+        "note_sk", "patient_sk", "encounter_sk", "note_category", "note_type_code", "note_type_display", "service_date", "content_type",
         F.when(is_html, html_to_text(F.col("_body"))).otherwise(F.col("_body")).alias("note_text"),
         F.when(is_html, "html_stripped").otherwise("structured_text").alias("text_extraction_method"),
     ).withColumn("text_char_length", F.length("note_text"))

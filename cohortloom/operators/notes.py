@@ -185,19 +185,20 @@ def _placed(
     ).select(*keep, "piece", (F.col("_chunk_start") + F.col("start")).alias("start"))
 
 
-def sentences(notes: DataFrame, containing: str | None = None) -> DataFrame:
-    """Sentences of each note with their offset and section heading.
+def sentences(notes: DataFrame, containing: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
+    """Sentences of each note with their offset and section heading, and the note columns to carry along.
 
     With `containing`, only sentences that match the pattern (their offsets are those in the whole note).
     """
     sections = F.split(F.regexp_replace("note_text", ctx.SECTION_START, ctx.SECTION_MARK + "$1"), ctx.SECTION_MARK, -1)
-    by_section = _placed(notes.select("note_sk", sections.alias("_sections")), ["note_sk"], "_sections").select(
-        "note_sk", F.col("start").alias("section_start"), F.trim(F.regexp_extract("piece", ctx.HEADING, 1)).alias("section"),
+    keys = ["note_sk", *carry]
+    by_section = _placed(notes.select(*keys, sections.alias("_sections")), keys, "_sections").select(
+        *keys, F.col("start").alias("section_start"), F.trim(F.regexp_extract("piece", ctx.HEADING, 1)).alias("section"),
         _pieces(F.col("piece"), ctx.SENTENCE_END, ctx.SENTENCE_MARK).alias("_sentences"),
     )
     wanted = None if containing is None else (lambda sentence: F.regexp_like(sentence, F.lit(containing)))
-    return _placed(by_section, ["note_sk", "section", "section_start"], "_sentences", wanted=wanted).select(
-        "note_sk", "section", (F.col("section_start") + F.col("start")).alias("sentence_start"), F.col("piece").alias("sentence")
+    return _placed(by_section, [*keys, "section", "section_start"], "_sentences", wanted=wanted).select(
+        *keys, "section", (F.col("section_start") + F.col("start")).alias("sentence_start"), F.col("piece").alias("sentence")
     )
 
 
@@ -216,10 +217,10 @@ def _pair_length(pair: Column) -> Column:
     return F.length(pair["gap"]) + F.length(pair["found"])
 
 
-def _found_by_pattern(notes: DataFrame, pattern: str) -> DataFrame:
+def _found_by_pattern(notes: DataFrame, pattern: str, carry: tuple[str, ...]) -> DataFrame:
     """Mentions by one pattern over all terms: (note_sk, section, sentence_start, sentence, offset, found)."""
-    hits = sentences(notes.filter(F.regexp_like("note_text", F.lit(pattern))), pattern)
-    keep = ["note_sk", "section", "sentence_start", "sentence"]
+    hits = sentences(notes.filter(F.regexp_like("note_text", F.lit(pattern))), pattern, carry)
+    keep = ["note_sk", *carry, "section", "sentence_start", "sentence"]
     placed = _placed(
         hits.withColumn("_pairs", _pairs("sentence", pattern)), keep, "_pairs", _PAIR, _pair_length,
         lambda pair: pair["found"] != "",
@@ -232,7 +233,7 @@ _WORD_CHARACTER = r"[\p{L}\p{Nd}_]"
 _WORD = _WORD_CHARACTER + "+"
 
 
-def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
+def _found_by_join(notes: DataFrame, lexicon: DataFrame, carry: tuple[str, ...]) -> DataFrame:
     """The same mentions for a lexicon of any length: words joined to the first word of the terms.
 
     The terms are broadcast up to a counted limit and shuffled beyond it. Overlapping candidates are
@@ -245,11 +246,11 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     ).filter("_first <> ''").distinct()
     if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
         terms = F.broadcast(terms)
-    keep = ["note_sk", "section", "sentence_start", "sentence"]
+    keep = ["note_sk", *carry, "section", "sentence_start", "sentence"]
     words = F.regexp_extract_all("sentence", F.lit(_WORD), 0)
     before = F.slice(F.col("_pairs"), 1, F.col("_place"))
     candidates = (
-        sentences(notes).select(*keep, F.posexplode(words).alias("_place", "_word"))
+        sentences(notes, carry=carry).select(*keep, F.posexplode(words).alias("_place", "_word"))
         .join(terms, F.lower("_word") == F.col("_first"))
         .withColumn("_pairs", _pairs("sentence", _WORD))
         .withColumn(
@@ -274,7 +275,7 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
         ).otherwise(state),
     )["out"]
     return (
-        candidates.groupBy("note_sk", "sentence_start")
+        candidates.groupBy("note_sk", *carry, "sentence_start")
         .agg(F.first("section").alias("section"), F.first("sentence").alias("sentence"), ordered.alias("_candidates"))
         .select(*keep, F.inline(kept))
         .select(
@@ -284,8 +285,10 @@ def _found_by_join(notes: DataFrame, lexicon: DataFrame) -> DataFrame:
     )
 
 
-def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern_terms: int = PATTERN_TERMS) -> DataFrame:
-    """Mentions of lexicon terms with offsets, code and assertion attributes.
+def extract_mentions(
+    notes: DataFrame, lexicon: DataFrame | None = None, pattern_terms: int = PATTERN_TERMS, carry: tuple[str, ...] = ()
+) -> DataFrame:
+    """Mentions of lexicon terms with offsets, code and assertion attributes, and the note columns in `carry` (such as patient_sk).
 
     Longest term first, left to right, within sentences. All work is per note: nothing is shuffled
     unless the lexicon is too long for one pattern.
@@ -299,10 +302,10 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern
         F.lower("term").alias("_term"), "entity_type", "concept_code", "concept_system", "concept_display"
     )
     if len(terms) <= pattern_terms:
-        found = _found_by_pattern(notes, ctx.term_pattern(terms))
+        found = _found_by_pattern(notes, ctx.term_pattern(terms), carry)
         concepts = F.broadcast(concepts)
     else:
-        found = _found_by_join(notes, lexicon)
+        found = _found_by_join(notes, lexicon, carry)
     before = F.substring("sentence", F.lit(1), F.col("offset"))
     after = F.substring("sentence", F.col("offset") + F.length("found") + 1, F.length("sentence"))
     scoped = found.withColumns({
@@ -313,7 +316,7 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, pattern
         scoped.withColumns(ctx.assertion(F.col("_left"), F.col("_right"), F.col("section")))
         .join(concepts, F.lower("found") == F.col("_term"))
         .select(
-            "note_sk", "entity_type", F.col("found").alias("covered_text"), start.cast("int").alias("span_start"),
+            "note_sk", *carry, "entity_type", F.col("found").alias("covered_text"), start.cast("int").alias("span_start"),
             (start + F.length("found")).cast("int").alias("span_end"), "concept_code", "concept_system",
             "concept_display", "negation", "certainty", "temporality", "subject",
             F.lit(DEFAULT_CONFIDENCE).alias("confidence"),

@@ -18,8 +18,9 @@ from cohortloom.operators import analysis, cohort, features, ingest, notes, revi
 from cohortloom.operators.criteria import CohortSpec, Criterion, CriteriaRecord, cohort_spec, primary_concept
 from cohortloom.operators.criteria_sql import cohort_sql
 from cohortloom.operators.evidence import event_date, evidence_rows, with_note_date
+from cohortloom.schemas import TABLES
 from cohortloom.session import checkpoint_folder
-from cohortloom.sources.lake import Lake, export_folder, hash_key, new_key
+from cohortloom.sources.lake import Lake, conform, export_folder, hash_key, new_key
 
 CLINICAL = ("patient", "condition", "medication_order", "observation", "note_nlp_entity")
 
@@ -207,9 +208,28 @@ def load_resources(lake: Lake, folder: str, source_system: str, bundle_id: str)
     """Land the NDJSON files of a folder and conform them into the clinical tables; rows per table."""
     lines = lake.spark.read.text(folder)
     lake.append(ingest.land_resources(lines, source_system, bundle_id, F.current_timestamp()), "raw_fhir_resource")
-    raw = lake.table("raw_fhir_resource").filter(F.col("bundle_id") == bundle_id)
-    # Staged, as putting rows in order reads them twice and they should be parsed once.
-    return {table: lake.append(_staged(conform(raw)), table, ordered=True) for table, conform in ingest.CONFORMED.items()}
+    raw = _staged(ingest.newest_resources(lake.table("raw_fhir_resource").filter(F.col("bundle_id") == bundle_id)))
+    return {table: _merge(lake, conform_resources(raw), table) for table, conform_resources in ingest.CONFORMED.items()}
+
+
+def _merge(lake: Lake, rows: DataFrame, table: str) -> int:
+    """Rows whose key is new are added, rows that changed take the place of the stored ones, equal rows are left; returns how many were written.
+
+    A load that is repeated therefore changes nothing, and one that died half-way is completed by starting it again. Only a changed row makes
+    the table be written anew.
+    """
+    spec = TABLES[table]
+    columns = [name for name in spec.schema.names if name != "loaded_at"]
+    digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
+    rows = conform(rows, spec).withColumn("_digest", digest)
+    there = lake.table(table).select(spec.key, digest.alias("_digest"))
+    fresh = _staged(rows.join(there, [spec.key, "_digest"], "left_anti").drop("_digest"))
+    keys = fresh.select(spec.key)
+    if not there.join(keys, spec.key, "left_semi").isEmpty():
+        kept = _staged(lake.table(table).join(keys, spec.key, "left_anti"))
+        lake.overwrite(kept.unionByName(fresh), table)
+        return fresh.count()
+    return lake.append(fresh, table, ordered=True)
 
 
 def load_extract(lake: Lake, rows: DataFrame, source_table: str, key: list[str], batch_id: str) -> int:

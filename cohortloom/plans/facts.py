@@ -340,6 +340,8 @@ def note_categories(spark, sf_dir):
     )
 
 
+# What the templates below show where a row supplies nothing.
+TEMPLATE_DEFAULTS = {"provider": "the doctor on duty", "facility": "the clinic", "systolic": "n/a", "diastolic": "n/a", "hba1c": "n/a", "glucose": "n/a"}
 # Own short templates: note category, phenotype, template.
 TEMPLATES = [
     ("progress", "general", "Progress note for {name}, seen by {provider}. BP {systolic}/{diastolic}."),
@@ -359,8 +361,10 @@ def _rendered_sql(template: str) -> str:
         "service_date": "strftime(period_start, '%Y-%m-%d')", "disch_date": "strftime(period_start + INTERVAL 2 DAY, '%Y-%m-%d')",
     }
     out = template
-    for key, default in text.TEMPLATE_DEFAULTS.items():
-        out = f"replace({out}, '{{{key}}}', {given.get(key, sql_text(default))})"
+    for key in {**given, **TEMPLATE_DEFAULTS}:
+        default = sql_text(TEMPLATE_DEFAULTS.get(key, "{" + key + "}"))
+        value = f"coalesce({given[key]}, {default})" if key in given else default
+        out = f"replace({out}, '{{{key}}}', {value})"
     return out
 
 
@@ -388,7 +392,7 @@ def rendered_notes(spark, sf_dir):
         "provider": F.col("attending_provider_name"), "facility": F.col("facility_name"), "sex": F.col("sex"),
         "admit_date": day, "service_date": day, "disch_date": clinical.discharge_day(F.col("period_start")),
     }
-    return enrich.notes_from_templates(encounters, TEMPLATES, values).select("encounter_sk", "note_category", "phenotype", "note_text")
+    return enrich.notes_from_templates(encounters, TEMPLATES, values, TEMPLATE_DEFAULTS).select("encounter_sk", "note_category", "phenotype", "note_text")
 
 
 @query("clamped_values", """

@@ -211,7 +211,7 @@ WHERE (covered_text ILIKE '%diabetes%' OR concept_display ILIKE '%diabetes%') AN
 def cohort_from_notes(spark, sf_dir):
     """Notes to mentions to cohort: patients whose notes assert diabetes of their own."""
     tables = load(spark, sf_dir, "clinical_note", "patient")
-    tables["note_nlp_entity"] = notes.with_note_keys(notes.extract_mentions(tables["clinical_note"]), tables["clinical_note"])
+    tables["note_nlp_entity"] = notes.extract_mentions(tables["clinical_note"], carry=("patient_sk",))
     wanted = Criterion("dm", "note_nlp_entity", criteria.mention_matches(["diabetes"], "", patient_only=True), "nlp")
     tables["note_nlp_entity"] = tables["note_nlp_entity"].withColumn("entity_sk", F.xxhash64("note_sk", "span_start"))
     return cohort.evaluate(tables, CohortSpec([wanted], AllOf(Has("dm")), F.lit(True))).select("patient_sk")

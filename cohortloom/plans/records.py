@@ -242,7 +242,7 @@ def landed_extract_rows(spark, sf_dir):
 
 @query("fhir_patients", with_views("patient", then="\nSELECT patient_sk, mrn, birth_date, sex, deceased_flag, state FROM patient"))
 def fhir_patients(spark, sf_dir):
-    return ingest.conform_patients(_landed(_patient_lines(spark, sf_dir)))
+    return ingest.conform_patients(_landed(_patient_lines(spark, sf_dir))).select("patient_sk", "mrn", "birth_date", "sex", "deceased_flag", "state")
 
 
 @query("fhir_encounters", with_views("encounter", then="""
@@ -261,7 +261,7 @@ def fhir_encounters(spark, sf_dir):
 @query("fhir_conditions", with_views("condition", then="""
 SELECT condition_sk, patient_sk, encounter_sk, category, condition_code, clinical_status, onset_date, recorded_date FROM condition"""))
 def fhir_conditions(spark, sf_dir):
-    return ingest.conform_conditions(_landed(_condition_lines(spark, sf_dir)))
+    return ingest.conform_conditions(_landed(_condition_lines(spark, sf_dir))).select("condition_sk", "patient_sk", "encounter_sk", "category", "condition_code", "clinical_status", "onset_date", "recorded_date")
 
 
 @query("fhir_observations", with_views("observation", then="""
@@ -284,7 +284,10 @@ def fhir_observations(spark, sf_dir):
         component=F.when(F.col("observation_code") == "85354-9", F.array(part("8480-6", systolic), part("8462-4", diastolic))),
     )
     conformed = ingest.conform_observations(_landed(lines))
-    return conformed.withColumn("panel_sk", F.coalesce("parent_observation_sk", "observation_sk")).drop("observation_sk")
+    return conformed.select(
+        F.coalesce("parent_observation_sk", "observation_sk").alias("panel_sk"), "patient_sk", "category", "observation_code", "value_numeric",
+        "value_string", "effective_datetime", "parent_observation_sk",
+    )
 
 
 @query("fhir_medication_orders", with_views("medication_order", then="""
@@ -295,7 +298,7 @@ def fhir_medication_orders(spark, sf_dir):
         encounter=_ref("Encounter", "encounter_sk"), status=F.col("order_status"),
         medicationCodeableConcept=_concept(F.col("med_code")), authoredOn=F.col("start_datetime"),
     )
-    return ingest.conform_medication_orders(_landed(lines))
+    return ingest.conform_medication_orders(_landed(lines)).select("med_order_sk", "patient_sk", "encounter_sk", "med_code", "order_status", "start_datetime")
 
 
 @query("fhir_procedures", with_views("procedure", then="""
@@ -306,7 +309,7 @@ def fhir_procedures(spark, sf_dir):
         encounter=_ref("Encounter", "encounter_sk"), status=F.col("status"), code=_concept(F.col("procedure_code")),
         performedDateTime=F.col("performed_datetime"),
     )
-    return ingest.conform_procedures(_landed(lines))
+    return ingest.conform_procedures(_landed(lines)).select("procedure_sk", "patient_sk", "encounter_sk", "procedure_code", "status", "performed_datetime")
 
 
 @query("fhir_notes", with_views("clinical_note", then="""
@@ -322,7 +325,7 @@ def fhir_notes(spark, sf_dir):
         content=F.array(F.struct(attachment.alias("attachment"))),
     )
     decoded = ingest.conform_notes(_landed(lines))
-    return decoded.withColumn("text_md5", F.md5("note_text")).drop("note_text")
+    return decoded.withColumn("text_md5", F.md5("note_text")).drop("note_text", "encounter_sk", "note_type_code", "note_type_display")
 
 
 @query("cohort_bundles", with_views(*_NESTED_VIEWS, then=_NESTED_SQL + _EVIDENCE_SQL + """

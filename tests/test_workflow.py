@@ -302,6 +302,19 @@ def test_resources_are_landed_and_conformed(lake, spark):
     assert other.table("observation").filter("value_numeric = 120").first().parent_observation_sk == panel
     assert other.table("medication_order").first().order_status == "discontinued"
     assert other.table("clinical_note").first().note_text == "No fever."
+    before = {table: other.table(table).count() for table in counts}
+    assert set(workflow.load_resources(other, folder, "clinic", "b1").values()) == {0}  # the same load again changes nothing
+    lines[0]["gender"], lines[2]["verificationStatus"] = "male", {"coding": [{"code": "confirmed"}]}
+    lines[3] |= {"encounter": {"reference": "Encounter/e-1"}, "valueQuantity": {"value": 1.5, "unit": "mg"}, "referenceRange": [{"low": {"value": 1}, "high": {"value": 2}}]}
+    with open(f"{folder}/a.ndjson", "w") as file:
+        file.write("\n".join(map(json.dumps, lines)))
+    again = workflow.load_resources(other, folder, "clinic", "b1")
+    assert again["patient"] == again["condition"] == 1 and again["observation"] == 2 and again["procedure"] == 0
+    assert before == {table: other.table(table).count() for table in counts}
+    assert other.table("patient").first().sex == "male" and other.table("condition").first().verification_status == "confirmed"
+    own = other.table("observation").filter("observation_code = '85354-9'").first()
+    assert (own.unit, own.reference_range_low, own.reference_range_high) == ("mg", 1.0, 2.0)
+    assert own.encounter_sk == other.table("encounter").first().encounter_sk
 
 
 def test_extracted_rows_are_landed(lake, spark):
