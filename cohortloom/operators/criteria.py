@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import json
 from dataclasses import asdict, dataclass, field, fields
 from functools import reduce
@@ -100,9 +101,42 @@ def all_of(conditions: list[Column]) -> Column:
     return reduce(lambda a, b: a & b, conditions) if conditions else F.lit(True)
 
 
+@dataclass(frozen=True)
+class CodeList:
+    """A list too long for a predicate: rows get the column `flag` by a join with it (see with_code_flags)."""
+
+    column: str
+    codes: tuple[str, ...]
+
+    @property
+    def flag(self) -> str:
+        digest = hashlib.sha256("\n".join((self.column, *sorted(self.codes))).encode()).hexdigest()
+        return f"_in_{digest[:16]}"
+
+
+def long_list(column: str, codes: list[str]) -> CodeList | None:
+    return CodeList(column, tuple(dict.fromkeys(codes))) if len(codes) > INLINE_CODES else None
+
+
+def has_code(column: str, codes: list[str]) -> Column:
+    """Whether a row has one of the codes: a predicate when the list is short, the flag of the list when it is long."""
+    listed = long_list(column, codes)
+    return F.col(column).isin(codes) if listed is None else F.coalesce(F.col(listed.flag), F.lit(False))
+
+
+def with_code_flags(df: DataFrame, lists: list[CodeList | None]) -> DataFrame:
+    """df with a column for each long list, true in rows that have one of its codes. Codes are distinct, so no row repeats."""
+    for listed in {x.flag: x for x in lists if x is not None}.values():
+        wanted = df.sparkSession.createDataFrame([(code, True) for code in listed.codes], f"_code string, {listed.flag} boolean")
+        if len(listed.codes) <= BROADCAST_CODES:
+            wanted = F.broadcast(wanted)
+        df = df.join(wanted, F.col(listed.column) == F.col("_code"), "left").drop("_code")
+    return df
+
+
 def condition_matches(codes: list[str], status: list[str], date_from, date_to) -> Column:
     return all_of([
-        F.col("condition_code").isin(codes),
+        has_code("condition_code", codes),
         F.col("clinical_status").isin(status or ["active"]),
         F.col("recorded_date").between(clinical.as_date(date_from), clinical.as_date(date_to)),
     ])
@@ -110,7 +144,7 @@ def condition_matches(codes: list[str], status: list[str], date_from, date_to) -
 
 def medication_matches(codes: list[str], status: list[str], date_from, date_to, strict_upper: bool = False) -> Column:
     return all_of([
-        F.col("med_code").isin(codes),
+        has_code("med_code", codes),
         F.col("order_status").isin(status or ["active"]),
         clinical.within_days(
             F.col("start_datetime"), clinical.as_date(date_from), clinical.as_date(date_to), strict_upper
@@ -197,6 +231,7 @@ class Criterion:
     table: str
     matches: Column
     source: str = "coded"
+    codes: CodeList | None = None
 
 
 class Expression:
@@ -348,9 +383,10 @@ def cohort_spec(
         parts.append(Not(Has(criterion.id)))
 
     if codes := split_codes(record.icd_codes, upper=True):
-        include(Criterion("icd", "condition", condition_matches(codes, record.icd_status, *window)))
+        include(Criterion("icd", "condition", condition_matches(codes, record.icd_status, *window), codes=long_list("condition_code", codes)))
     if codes := split_codes(record.med_codes):
-        include(Criterion("med", "medication_order", medication_matches(codes, record.med_status, *window, strict_upper)))
+        matches = medication_matches(codes, record.med_status, *window, strict_upper)
+        include(Criterion("med", "medication_order", matches, codes=long_list("med_code", codes)))
     if record.lab_code.strip():
         include(Criterion("lab", "observation", lab_matches(record.lab_code, record.lab_min, record.lab_max, *window, strict_upper)))
     if record.uses_notes:
@@ -364,9 +400,9 @@ def cohort_spec(
             "nlp",
         ))
     if codes := split_codes(record.exc_icd, upper=True):
-        exclude(Criterion("exc_icd", "condition", F.col("condition_code").isin(codes)))
+        exclude(Criterion("exc_icd", "condition", has_code("condition_code", codes), codes=long_list("condition_code", codes)))
     if codes := split_codes(record.exc_meds):
-        exclude(Criterion("exc_med", "medication_order", F.col("med_code").isin(codes)))
+        exclude(Criterion("exc_med", "medication_order", has_code("med_code", codes), codes=long_list("med_code", codes)))
 
     demographics = patient_matches(record.min_age, record.max_age, record.sex_filter, as_of)
     return CohortSpec(criteria, AllOf(*parts), demographics)

@@ -12,7 +12,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.operators.criteria import Criterion, any_of
+from cohortloom.operators.criteria import Criterion, any_of, with_code_flags
 
 # Clinical table -> (key, code, date). Mentions carry no date of their own.
 EVIDENCE_COLUMNS: dict[str, tuple[str, str, str | None]] = {
@@ -43,7 +43,7 @@ def criterion_state(tables: Mapping[str, DataFrame], criteria: list[Criterion])
     """One row per patient with any evidence: n_<id> and first_<id> for each criterion."""
     parts = []
     for table, own in _by_table(criteria).items():
-        df = tables[table]
+        df = with_code_flags(tables[table], [criterion.codes for criterion in own])
         own_ids = {criterion.id: criterion for criterion in own}
         hits = [
             (F.coalesce(own_ids[c.id].matches, F.lit(False)) if c.id in own_ids else F.lit(False)).alias(f"_{c.id}")
@@ -78,7 +78,7 @@ def evidence_rows(tables: Mapping[str, DataFrame], criteria: list[Criterion]) ->
     """Every row that meets a criterion: one output row per row and criterion it meets."""
     parts = []
     for table, own in _by_table(criteria).items():
-        df = tables[table]
+        df = with_code_flags(tables[table], [criterion.codes for criterion in own])
         key, code, _ = EVIDENCE_COLUMNS[table]
         label = {c.id: F.struct(F.lit(c.id).alias("criterion"), F.lit(c.source).alias("source")) for c in own}
         matched = F.array_compact(F.array(*[F.when(c.matches, label[c.id]) for c in own]))

@@ -107,7 +107,7 @@ def run_cohorts(lake: Lake, cohort_sks: list[int], as_of=None) -> dict[int, str]
 def _run_specs(lake: Lake, specs: dict[int, CohortSpec]) -> dict[int, str]:
     tables = _clinical_tables(lake)
     criteria = [
-        Criterion(f"{cohort_sk}/{c.id}", c.table, c.matches, c.source) for cohort_sk, spec in specs.items() for c in spec.criteria
+        Criterion(f"{cohort_sk}/{c.id}", c.table, c.matches, c.source, c.codes) for cohort_sk, spec in specs.items() for c in spec.criteria
     ]
     rows = None
     if criteria:

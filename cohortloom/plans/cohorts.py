@@ -107,6 +107,28 @@ def cohort_preview(spark, sf_dir):
     return cohort.preview(_record_members(spark, sf_dir, WIDE_RECORD))
 
 
+def _padded(code: str, n: int = 5000) -> str:
+    """A list as typed of one code among n that no row has."""
+    return ", ".join([*(f"{code}-{i:05d}" for i in range(n)), code])
+
+
+LONG_RECORD = CriteriaRecord(
+    icd_codes=_padded("E11.9"), icd_status=["active", "resolved"], date_from=FIRST, date_to=LAST, exc_icd=_padded("I63.9"), exc_meds=_padded("617312")
+)
+
+
+@query("cohort_of_long_code_lists", with_views("patient", "condition", "medication_order", then=f"""
+SELECT patient_sk, mrn, birth_date, sex, race FROM patient
+WHERE patient_sk IN (SELECT patient_sk FROM condition WHERE condition_code = 'E11.9' AND clinical_status IN ('active', 'resolved')
+                     AND recorded_date BETWEEN DATE '{FIRST}' AND DATE '{LAST}')
+  AND {AGE} BETWEEN 0 AND 120
+  AND patient_sk NOT IN (SELECT patient_sk FROM condition WHERE condition_code = 'I63.9')
+  AND patient_sk NOT IN (SELECT patient_sk FROM medication_order WHERE med_code = '617312')"""))
+def cohort_of_long_code_lists(spark, sf_dir):
+    """Lists of 5,000 codes for inclusion and exclusion: joined as tables, not written into the plan."""
+    return _record_members(spark, sf_dir, LONG_RECORD)
+
+
 @query("stored_definition_cohort", with_views("patient", "condition", "medication_order", "note_nlp_entity", then=RECORD_SQL))
 def stored_definition_cohort(spark, sf_dir):
     """Re-run of a cohort from the JSON it was stored as."""

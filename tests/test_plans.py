@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from cohortloom import plans
 from cohortloom.operators import cohort, criteria, notes, ranking
 from cohortloom.operators.criteria import CriteriaRecord
+from cohortloom.plans import cohorts
 from cohortloom.plans.cohorts import CLINICAL
 from cohortloom.sources.fixtures import clinical_view, load
 
@@ -61,3 +62,8 @@ def test_numbering_joins_on_its_own_partitioning(spark, no_broadcast):
     plan = physical(ranking.encounter_index(rows))
     # Rows by (patient, day) once for numbering and join; their counts by the same, by patient, and back.
     assert plan.count("Exchange hashpartitioning") == 4
+
+
+def test_long_code_lists_are_joined(spark, sf_dir):
+    plan = cohorts.cohort_of_long_code_lists(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    assert "E11.9-04999" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan
