@@ -101,9 +101,13 @@ def matched_controls(cases: DataFrame, pool: DataFrame, patients: DataFrame, as_
 
 
 def time_to_event(members: DataFrame, events: DataFrame, censor_date: Column) -> DataFrame:
-    """Days from index date to the first event on or after it, or to the censoring date."""
+    """Days from index date to the first event on or after it, or to the censoring date.
+
+    Events are cut to one row per patient and day before the join, so a patient with very many events sends few.
+    """
+    days = events.filter(F.col("event_date") <= censor_date).select("patient_sk", "event_date").distinct()
     first = (
-        members.select("patient_sk", "index_date").join(events.select("patient_sk", "event_date"), "patient_sk")
+        members.select("patient_sk", "index_date").join(days, "patient_sk")
         .filter((F.col("event_date") >= F.col("index_date")) & (F.col("event_date") <= censor_date))
         .groupBy("patient_sk").agg(F.min("event_date").alias("_first"))
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import codes
@@ -46,9 +46,10 @@ def counts_by(df: DataFrame, column: str) -> DataFrame:
 
 
 def histogram(df: DataFrame, column: str) -> DataFrame:
-    """Rows per value and their share of all rows in percent; the total comes from the counts themselves."""
+    """Rows per value and their share of all rows in percent; the total is an aggregate of its own, so no task holds all values."""
     counts = df.groupBy(column).agg(F.count("*").alias("n"))
-    return counts.withColumn("pct", F.round(F.col("n") / F.sum("n").over(Window.partitionBy()) * 100, 1)).orderBy(
+    total = counts.agg(F.sum("n").alias("total")).scalar()
+    return counts.withColumn("pct", F.round(F.col("n") / total * 100, 1)).orderBy(
         F.col("n").desc(), column
     )
 
