@@ -10,6 +10,7 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -17,10 +18,23 @@ import pyarrow.compute as pc
 
 # Characters that str.split() takes for white space and the tokenizer's pattern doesn't.
 _UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f")
-# Units a worker remembers before it starts anew (about 200 MB), and units encoded by one call.
-REMEMBERED, TOGETHER = 800_000, 512
+# Units a worker remembers before it starts anew (about 250 MB), and units encoded by one call.
+REMEMBERED, TOGETHER = 1_200_000, 512
 # Characters of text handled at a time.
-SLICE_CHARS = 4_000_000
+SLICE_CHARS = 1_000_000
+
+
+class _Units(dict):
+    """Numbers units in the order they are first asked for."""
+
+    def __init__(self):
+        super().__init__()
+        self.new: list[str] = []
+
+    def __missing__(self, unit: str) -> int:
+        number = self[unit] = len(self)
+        self.new.append(unit)
+        return number
 
 
 class WordEncoder:
@@ -35,54 +49,95 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = _Units()
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts = np.zeros(1 << 18, np.int64)  # starts[i + 1] is the end of unit i
-
-    def _learn(self, units: list[str]) -> None:
-        for at in range(0, len(units), TOGETHER):
-            part = units[at : at + TOGETHER]
+        self.starts, self.counts = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.stops = {}  # ids of a comma and a full stop, where they are one each
+        for mark in ",.":
+            ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
+            if len(ids) == 1:
+                self.stops[mark] = ids[0]
+
+    def _reserve(self, ids: int) -> None:
+        while self.used + ids > len(self.ids):
+            self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
+        while len(self.known) > len(self.starts):
+            self.starts, self.counts = (np.concatenate([x, np.zeros_like(x)]) for x in (self.starts, self.counts))
+
+    def _learn(self) -> None:
+        """Finds the ids of the units that were asked for and have none yet.
+
+        The tokenizer lower-cases, and a stop behind a letter is a token of its own: a unit of ASCII characters has the ids of its lower-case form,
+        and one that ends with a stop those of what stands before it and the stop's.
+        """
+        new, number = self.known.new, len(self.known) - len(self.known.new)
+        plain, alike = [], []  # numbers of units to encode; (number, number of the simpler unit, stop)
+        for at, unit in enumerate(new):  # simpler units that are new are appended meanwhile
+            simple, stop = unit, -1
+            if "<|" in unit:  # may hold a special token, which is never folded
+                plain.append(at)
+                continue
+            if unit.isascii():
+                simple = unit.lower()
+            if simple[-1] in self.stops and simple[-2:-1].isalpha():
+                stop = self.stops[simple[-1]]
+                simple = simple[:-1]
+            if stop < 0 and simple == unit:
+                plain.append(at)
+            else:
+                alike.append((number + at, self.known[simple], stop))
+        self.known.new = []
+        self._reserve(0)
+        for low in range(0, len(plain), TOGETHER):
+            rows = plain[low : low + TOGETHER]
+            part = [new[i] for i in rows]
             encoding = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
             ids = np.array(encoding.ids, np.uint32)
-            first = np.cumsum([0, *(len(u) + 1 for u in part)])
-            owner = np.searchsorted(first, [a for a, _ in encoding.offsets], side="right") - 1
-            ends = self.used + np.cumsum(np.bincount(owner, minlength=len(part))[: len(part)])
-            while self.used + len(ids) > len(self.ids):
-                self.ids = np.concatenate([self.ids, np.zeros_like(self.ids)])
-            n = len(self.known)
-            while n + len(part) + 1 > len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            places = np.cumsum([0, *map(len, part)]) + np.arange(len(part) + 1)
+            owner = np.searchsorted(places, [a for a, _ in encoding.offsets], side="right") - 1
+            counts = np.bincount(owner, minlength=len(part))[: len(part)]
+            self._reserve(len(ids))
             self.ids[self.used : self.used + len(ids)] = ids
-            self.starts[n + 1 : n + 1 + len(part)] = ends
+            rows = np.array(rows) + number
+            self.starts[rows], self.counts[rows] = self.used + np.cumsum(counts) - counts, counts
             self.used += len(ids)
-            self.known.update(zip(part, range(n, n + len(part))))
-
-    def encode(self, text: str) -> np.ndarray:
-        """Ids of one text as unsigned 32-bit integers."""
-        if any(c in text for c in _UNSURE):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
-        units = text.split()
-        if not units:
-            return np.zeros(0, np.uint32)
-        if len(self.known) > REMEMBERED:
-            self._forget()
-        known = self.known
-        new = [u for u in dict.fromkeys(units) if u not in known]
-        if new:
-            self._learn(new)
-        index = np.fromiter(map(known.__getitem__, units), np.int64, len(units))
-        start, end = self.starts[index], self.starts[index + 1]
-        lengths = end - start
-        ends = np.cumsum(lengths)
-        return self.ids[np.arange(ends[-1]) + np.repeat(start - (ends - lengths), lengths)]
+        if alike:
+            own, simple, stop = np.array(alike, np.int64).T
+            order = np.argsort(stop < 0, kind="stable")[::-1]  # units that only differ in case first: stops may follow them
+            own, simple, stop = own[order], simple[order], stop[order]
+            same = stop < 0
+            self.starts[own[same]], self.counts[own[same]] = self.starts[simple[same]], self.counts[simple[same]]
+            own, simple, stop = own[~same], simple[~same], stop[~same]
+            counts = self.counts[simple]
+            ends = np.cumsum(counts + 1)
+            self._reserve(int(ends[-1]) if len(ends) else 0)
+            first = self.used + ends - counts - 1
+            into = np.arange(counts.sum()) + np.repeat(first - np.cumsum(counts) + counts, counts)
+            self.ids[into] = self.ids[np.arange(counts.sum()) + np.repeat(self.starts[simple] - np.cumsum(counts) + counts, counts)]
+            self.ids[first + counts] = stop
+            self.starts[own], self.counts[own] = first, counts + 1
+            self.used += int(ends[-1]) if len(ends) else 0
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
-        """As encode() for each text; units new to the worker are encoded together."""
+        """Ids of each text as unsigned 32-bit integers."""
         if len(self.known) > REMEMBERED:
             self._forget()
-        new = dict.fromkeys(u for t in texts if not any(c in t for c in _UNSURE) for u in t.split())
-        self._learn([u for u in new if u not in self.known])
-        return [self.encode(t) for t in texts]
+        unsure = [any(c in t for c in _UNSURE) for t in texts]
+        units = [[] if odd else t.split() for t, odd in zip(texts, unsure)]
+        sizes = np.fromiter(map(len, units), np.int64, len(units))
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(units)), np.int64, int(sizes.sum()))
+        if self.known.new:
+            self._learn()
+        start, lengths = self.starts[index], self.counts[index]
+        upto = np.concatenate([[0], np.cumsum(lengths)])
+        ids = self.ids[np.repeat(start - upto[:-1], lengths) + np.arange(upto[-1])]
+        out = np.split(ids, upto[np.cumsum(sizes)[:-1]])
+        for i in np.flatnonzero(unsure):
+            out[i] = np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+        return out
+
+    def encode(self, text: str) -> np.ndarray:
+        return self.encode_many([text])[0]
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
