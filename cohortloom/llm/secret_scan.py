@@ -29,7 +29,7 @@ HEX = "[0-9a-f]{24,}"
 LEAST = 20
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 # Of true random data, this share is rejected by the battery; of what is reported, this share may be ordinary text.
-REJECTED, FALSE_SHARE = 0.01, 0.01
+REJECTED, FALSE_SHARE = 1e-4, 0.01
 # The symbols of each encoding in the order of their values.
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 ALPHABETS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base64": UPPER + LOWER + DIGITS + "+/"}
@@ -119,13 +119,24 @@ def _measured(c: Column) -> Column:
 
 
 def _summed(c: Column) -> Column:
+    """The sums over the values, each in one pass: values, squares, products of neighbours, first and last."""
     v, n = c["values"], c["n"].cast("int")
-    mean = F.aggregate(v, F.lit(0.0), lambda t, x: t + x) / c["n"]
-    spread = F.aggregate(v, F.lit(0.0), lambda t, x: t + (x - mean) * (x - mean))
-    ahead = F.zip_with(F.slice(v, 1, n - 1), F.slice(v, 2, n - 1), lambda x, y: (x - mean) * (y - mean))
-    together = F.aggregate(ahead, F.lit(0.0), lambda t, x: t + x)
+    total = F.aggregate(v, F.lit(0.0), lambda t, x: t + x)
+    squared = F.aggregate(v, F.lit(0.0), lambda t, x: t + x * x)
+    ahead = F.zip_with(F.slice(v, 1, n - 1), F.slice(v, 2, n - 1), lambda x, y: x * y)
+    product = F.aggregate(ahead, F.lit(0.0), lambda t, x: t + x)
+    ends = F.element_at(v, 1) + F.element_at(v, -1)
     names = ("start", "end", "code", "n", "squares", "runs")
-    return F.struct(*(c[x].alias(x) for x in names), F.when(spread > 0, together / spread).otherwise(F.lit(1.0)).alias("serial"))
+    return F.struct(*(c[x].alias(x) for x in names), total.alias("total"), squared.alias("squared"), product.alias("product"), ends.alias("ends"))
+
+
+def _correlated(c: Column) -> Column:
+    """The serial correlation of neighbours from the sums; 1 where all values are equal."""
+    mean = c["total"] / c["n"]
+    spread = c["squared"] - c["total"] * mean
+    together = c["product"] - mean * (2 * c["total"] - c["ends"]) + (c["n"] - 1) * mean * mean
+    names = ("start", "end", "code", "n", "squares", "runs")
+    return F.struct(*(c[x].alias(x) for x in names), F.when(spread > 1e-9, together / spread).otherwise(F.lit(1.0)).alias("serial"))
 
 
 def _scored(c: Column) -> Column:
@@ -184,7 +195,7 @@ def find_secrets(docs: DataFrame, share: float = FALSE_SHARE) -> DataFrame:
     rows = rows.select("doc_id", *(_placed(text, F.col(f"f_{k}"), p).alias(k) for k, p in patterns.items()))
     group = lambda s: F.regexp_extract(s["match"], ASSIGN, 2)
     rows = rows.withColumn("assign", F.filter("assign", lambda s: F.char_length(group(s)) >= ASSIGN_LEAST))
-    for step in (_judged, _measured, _summed, _scored):
+    for step in (_judged, _measured, _summed, _correlated, _scored):
         rows = rows.withColumn("random", F.transform("random", step))
     base = F.array_sort(F.concat(*(_spans(F.col(k), i) for i, k in enumerate(KINDS[:3]))))
     rows = staged(rows.select("doc_id", *(F.size(k).cast("long").alias(f"n_{k}") for k in KINDS[:3]), base.alias("base_spans"), "random"))
