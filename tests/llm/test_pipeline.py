@@ -32,7 +32,7 @@ def test_names():
 def test_each_stage_works_on_what_is_left(spark, sf_dir, steps):
     before, clean, unique, apart, mixed, packed = steps
     toxic = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
-    assert set(clean) <= set(before)
+    assert {r[0] for r in clean} <= {r[0] for r in before} and {hash(r) for r in clean} <= {hash(r) for r in before}
     gone = {r[0] for r in before} - {r[0] for r in clean}
     assert all(toxic.get(i, 1) for i in gone)  # no document that is labelled clean
     longest = {}

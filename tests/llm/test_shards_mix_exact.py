@@ -115,16 +115,18 @@ def test_exact_groups(spark, odd_docs, no_docs):
     assert exact_dedup.exact_groups(no_docs).collect() == []
     left = exact_dedup.without_copies(odd_docs)
     assert left.columns == odd_docs.columns
-    assert Counter(normalised(r.text) for r in left.collect()) == Counter(want)
+    assert sorted(hash(normalised(r.text)) for r in left.collect()) == sorted(map(hash, want))
 
 
-def test_chunks_restore_the_text_and_are_content_defined(spark):
-    body = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(30_000))
+def test_chunks_restore_the_text_and_are_content_defined(spark, sf_dir):
+    texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(30).collect()]
+    body = normalised("".join(texts))
     rows = spark.createDataFrame([(0, body), (1, "zq" + body), (2, "漢字😀" * 5000), (3, "")], "id int, t string")
     cut = {r.id: r.c for r in rows.select("id", exact_dedup.chunks(F.col("t")).alias("c")).collect()}
-    assert ["".join(cut[i]) for i in range(3)] == [body, "zq" + body, "漢字😀" * 5000] and cut[3] == []
+    assert [hash("".join(cut[i])) for i in range(3)] == [hash(body), hash("zq" + body), hash("漢字😀" * 5000)] and cut[3] == []
     assert max(map(len, cut[0])) <= exact_dedup.MOST
-    assert len(set(cut[0]) & set(cut[1])) >= len(cut[0]) - 3
+    shared = len(set(cut[0]) & set(cut[1]))
+    assert shared >= len(set(cut[0])) - 3
 
 
 def test_an_identifier_of_two_contents_is_told_apart(spark):
