@@ -13,10 +13,11 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm.shared import documents, staged, without_spaces
 
-# A chunk ends behind one of these pairs of characters once it has LEAST characters, and at MOST in any case.
-ENDS = "he|en|ti|es|r[aeiou]|[0-9][a-z]|[^\\x00-\\x7f][^\\x00-\\x7f]"
-LEAST, MOST = 512, 4096
-CHUNK = f"(?s).{{{LEAST},{MOST - 2}}}?(?:{ENDS})|.{{1,{MOST}}}"
+# A chunk ends behind one of these runs of characters once it has LEAST characters (about 500 on average in prose), and at MOST in any case:
+# text in which no such run occurs is cut by length.
+ENDS = "[aiou0-4][nhvz5-9][et][hrs][aeo0-9][nlrs0-9]|[^\\x00-\\x7f][aeo][^\\x00-\\x7f]"
+LEAST, MOST = 64, 4096
+CHUNK = f"(?s).{{{LEAST},{MOST - 6}}}?(?:{ENDS})|.{{1,{MOST}}}"
 
 
 def chunks(text: Column) -> Column:
