@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.shared import staged
+from cohortloom.llm.shared import release, staged
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,6 +22,7 @@ def components(edges: DataFrame) -> DataFrame:
     edges = staged(edges)
     while not _stars(edges):
         edges = staged(_small_star(_large_star(edges)))
+        release(edges.sparkSession)
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 

@@ -1,10 +1,14 @@
 """Near-duplicate documents: BagMinHash bands find candidates, the multiset overlap of their five-word shingles decides.
 
 Bands put alike documents into common buckets. A bucket isn't turned into all its pairs: in each round a few of its members (pivots) are
-compared with the members that no link ties to them yet, and leave the bucket; members that are already in one class needn't be
+compared with the members that no link ties to them yet (by the first bucket two documents share), and leave the bucket; members that are already in one class needn't be
 compared any more, so a bucket of near copies is done after a round or two, and a bucket of unlike documents shrinks
 by ever more pivots a round. The rounds end when no bucket holds two classes: then every pair of a bucket has been compared or is
 tied by links.
+
+Pairs that can't be similar enough are left out before their texts are fetched: by size, and by a sketch of 1,024 bits, each the parity of
+the number of shingles in one part of the hash space. Each shingle that two bags don't share changes one bit, so the bits that
+differ are never more than the bags' difference: an exact bound.
 """
 
 from __future__ import annotations
@@ -19,30 +23,41 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm import bag_minhash
 from cohortloom.llm.components import components
-from cohortloom.llm.shared import documents, new_folder, send_code, staged
+from cohortloom.llm.shared import documents, new_folder, release, send_code, staged
 from cohortloom.llm.shingles import bags, similarity
 from cohortloom.llm.tokens import slices, texts_of
 
 # A pair of similarity 0.8 shares at least one of 20 bands of 5 rows with probability 0.9996, one of 0.3 with 0.05.
 LEAST, BANDS, ROWS = 0.8, 20, 5
 # Pivots of a bucket grow by this factor each round.
-GROWTH = 4
+GROWTH = 32
+# 64-bit words of a bag's parity sketch.
+SKETCH = 16
+
+
+_WORDS = tuple(f"s{i}" for i in range(SKETCH))
 
 
 def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """doc_id, n_shingles (0: no words), print (128-bit digest of the bag), keys (one for each band) of every whole text."""
+    """doc_id, n_shingles (0: no words), print (128-bit digest of the bag), keys (one for each band), sketch of every whole text."""
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            sizes, prints, keys = [], [], []
+            sizes, prints, keys, sketches = [], [], [], []
             for elements, weights in bags(texts_of(batch)):
+                odd = elements[weights % 2 == 1] % np.uint64(64 * SKETCH)
+                bits = np.bincount(odd.astype(np.int64), minlength=64 * SKETCH) % 2
+                sketches.append(np.packbits(bits.astype(np.uint8), bitorder="little").view("<i8"))
                 sizes.append(int(weights.sum()))
                 prints.append(hashlib.blake2b(elements.tobytes() + weights.astype("<i8").tobytes(), digest_size=16).digest())
                 keys.append(bag_minhash.bands(bag_minhash.signature(elements, weights, bands * rows), rows))
-            lists = pa.ListArray.from_arrays(np.arange(0, len(keys) * bands + 1, bands, dtype=np.int32), pa.array(np.concatenate(keys)))
-            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), lists]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "keys"])
+            lists = (
+                pa.ListArray.from_arrays(np.arange(0, len(rows) * width + 1, width, dtype=np.int32), pa.array(np.concatenate(rows)))
+                for rows, width in ((keys, bands), (sketches, SKETCH))
+            )
+            columns = [batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(prints, pa.binary()), *lists]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_shingles", "print", "keys", "sketch"])
 
-    return documents(docs).mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>")
+    return documents(docs).mapInArrow(sign, "doc_id long, n_shingles long, print binary, keys array<long>, sketch array<long>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
@@ -67,12 +82,12 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
 
 
 def _links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(node, component) of the members (band, key, node, size) of all buckets, by the rounds described above."""
+    """(node, component) of the members (band, key, node, size, sketch words) of all buckets, by the rounds described above."""
     links, labels, pivots_each, number = None, None, 1, 0
     while True:
         if labels is not None:
             members = members.drop("label").join(labels, "node", "left").select(
-                "band", "key", "node", "size", F.coalesce("component", "node").alias("label"))
+                "band", "key", "node", "size", "keys", *_WORDS, F.coalesce("component", "node").alias("label"))
         else:
             members = members.withColumn("label", F.col("node"))
         mixed = members.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
@@ -80,18 +95,22 @@ def _links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         if members.isEmpty():
             return labels if labels is not None else members.select("node", F.col("label").alias("component"))
         slot = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(pivots_each))
-        pivots = members.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("node", "size", "label")).alias("p"))
+        pivots = members.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("node", "size", "label", "keys", *_WORDS)).alias("p"))
         pivots = staged(pivots.select("band", "key", "p.*"))
-        p = pivots.select("band", "key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"))
+        p = pivots.select("band", "key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"), F.col("keys").alias("a_keys"), *(F.col(w).alias(f"a_{w}") for w in _WORDS))
         near = F.least("size", "a_size") >= F.lit(least - 1e-9) * F.greatest("size", "a_size")
-        pairs = members.join(p, ["band", "key"]).where((F.col("label") != F.col("a_label")) & near)
-        # A pair found from both ends, or in several buckets, is compared once.
+        differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in _WORDS), F.lit(0))
+        near = near & (differing <= F.lit((1 - least) / (1 + least) + 1e-9) * (F.col("size") + F.col("a_size")))
+        # The first band that two documents share is in charge of them: keys differ between bands, so earlier ones must have none in common.
+        first = ~F.arrays_overlap(F.slice("keys", 1, F.col("band")), F.slice("a_keys", 1, F.col("band")))
+        pairs = members.join(p, ["band", "key"]).where((F.col("label") != F.col("a_label")) & near & first)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
         found = staged(verified(pairs, texts, least))
         links = found if links is None else links.unionByName(found)
-        labels = staged(components(links))
+        labels = components(links)
         members = members.join(pivots.select("band", "key", "node"), ["band", "key", "node"], "left_anti")
         pivots_each, number = pivots_each * GROWTH, number + 1
+        release(members.sparkSession)
 
 
 def near_classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -106,14 +125,18 @@ def near_classes(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows
     send_code(spark)
     signed = staged(signatures(docs, bands, rows))
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
-    bag = named.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"))
+    bag = named.groupBy("print").agg(F.min("doc_id").alias("node"), F.count("*").alias("copies"), F.first("n_shingles").alias("size"), F.first("keys").alias("keys"), F.first("sketch").alias("sketch"))
     bag = staged(bag)
-    members = bag.select("node", "size", F.posexplode("keys").alias("band", "key"))
-    several = members.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
-    members = staged(members.join(several, ["band", "key"], "left_semi"))
+    # Only (node, band, key) of all documents is shuffled; size and sketch join those that share a bucket.
+    places = bag.select("node", F.posexplode("keys").alias("band", "key"))
+    several = places.groupBy("band", "key").agg(F.count("*").alias("n")).where("n > 1").select("band", "key")
+    places = places.join(several, ["band", "key"], "left_semi")
+    sketches = bag.select("node", "size", "keys", *(F.col("sketch")[i].alias(w) for i, w in enumerate(_WORDS)))
+    members = staged(places.join(sketches, "node").select("band", "key", "node", "size", "keys", *_WORDS))
     folder = new_folder(spark, "texts")
     candidates = members.select(F.col("node").alias("doc_id")).distinct()
     documents(docs).join(candidates, "doc_id", "left_semi").select(F.col("doc_id").alias("node"), "text").write.parquet(folder)
+    release(spark)
     labels = _links(members, spark.read.parquet(folder), least)
     # Ties of equal bags: a document may have several rows and so several bags, which its id ties together.
     ties = named.select("doc_id", "print").join(bag.select("print", "node"), "print").where("doc_id <> node").select(F.col("doc_id").alias("a"), F.col("node").alias("b"))

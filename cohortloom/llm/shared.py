@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -60,6 +61,15 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets Spark's cleaner delete the shuffle and checkpoint files that nothing refers to any more.
+
+    Spark does so when the driver's garbage is collected, which a loop of many small jobs may not bring about for a long time.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def new_folder(spark: SparkSession, label: str) -> str:
     """A path below the shared folder that nothing has used yet."""
     return f"{shared_folder(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
