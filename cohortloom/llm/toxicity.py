@@ -31,6 +31,8 @@ SAMPLE, MOST_TERMS = 24_000, 20_000
 # A term is learned if this many toxic texts hold it and its odds are this many times those of other texts.
 LEAST_TEXTS, LEAST_ODDS = 4, 7.0
 TREES, DEPTH = 20, 4
+# Tasks that hold the learning rows, whose number `sample` bounds, while trees grow.
+FIT_TASKS = 8
 # Part of the score that the uncalibrated margin has.
 TIE = 1e-3
 # Beginnings of words that are terms of their own: their lengths (words must be two characters longer).
@@ -187,7 +189,7 @@ class Scorer:
         rows = staged(_learning_rows(docs, labels, sample))
         self.lexicon = _lexicon(rows.where("part = 0"))
         learned = staged(rows.select("toxic", "part", _features(F.col("text"), self.lexicon).alias("f_values")))
-        learned = learned.select("part", F.col("toxic").cast("double").alias("f_label"), array_to_vector("f_values").alias("f_vector"))
+        learned = learned.coalesce(FIT_TASKS).select("part", F.col("toxic").cast("double").alias("f_label"), array_to_vector("f_values").alias("f_vector"))
         sums = {r["part"]: (r["n"], r["bad"]) for r in learned.groupBy("part").agg(F.count("*").alias("n"), F.sum("f_label").alias("bad")).collect()}
         n, bad = sums.get(1, (0, 0.0))
         self.trees = self.curve = None
