@@ -67,8 +67,9 @@ class WordEncoder:
     def _learn(self) -> None:
         """Finds the ids of the units that were asked for and have none yet.
 
-        The tokenizer lower-cases, and a stop behind a letter is a token of its own: a unit of ASCII characters has the ids of its lower-case form,
-        and one that ends with a stop those of what stands before it and the stop's.
+        The tokenizer composes (NFC), lower-cases and takes letters apart from stops: a unit of ASCII characters has the ids of its lower-case form,
+        and one that ends with an ASCII letter and a stop those of what stands before the stop and the stop's. Other letters may become ones that
+        end in a combining mark (U+0130, U+0958), which is one piece with the stop: behind them the whole unit is encoded.
         """
         new, number = self.known.new, len(self.known) - len(self.known.new)
         plain, alike = [], []  # numbers of units to encode; (number, number of the simpler unit, stop)
@@ -79,7 +80,7 @@ class WordEncoder:
                 continue
             if unit.isascii():
                 simple = unit.lower()
-            if simple[-1] in self.stops and simple[-2:-1].isalpha():
+            if simple[-1] in self.stops and simple[-2:-1].isalpha() and simple[-2:-1].isascii():
                 stop = self.stops[simple[-1]]
                 simple = simple[:-1]
             if stop < 0 and simple == unit:

@@ -1,5 +1,7 @@
 """Token files, counts and packing against the tokenizer itself."""
 
+import sys
+import unicodedata
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -24,6 +26,15 @@ def test_ids_are_the_tokenizers(text):
     assert ENCODER.encode(text).tolist() == ids_of(text)
 
 
+def test_stops_behind_letters_that_end_in_a_mark():
+    """NFC and lower-casing turn these letters into ones that end in a combining mark, which is one piece with the stop."""
+    letters = [c for c in map(chr, range(sys.maxunicode + 1)) if c.isalpha() and not unicodedata.normalize("NFC", c).lower()[-1].isalpha()]
+    assert len(letters) >= 60 and "\u0130" in letters and "\u09df" in letters
+    units = [f"{before}{c}{stop}" for c in letters for before in ("a", "\u09b9", "") for stop in (",", ".")]
+    got = ENCODER.encode_many(units)
+    assert [u for u, ids in zip(units, got) if ids.tolist() != ids_of(u)] == []
+
+
 def test_ids_after_the_memory_is_cleared(monkeypatch):
     monkeypatch.setattr(tokens, "REMEMBERED", 3)
     encoder = tokens.WordEncoder(tokens.default_tokenizer())
