@@ -1,8 +1,10 @@
 """Secrets by fixed patterns and by a battery of randomness tests. DataFrame functions only.
 
-Every run of 20 or more key characters is a candidate. Its encoding (hex, base32, base64) is inferred from its characters, and three tests ask
-whether it could be uniform random data in it: the chi-squared statistic of its symbols, the number of runs of a character class
-(upper, lower, digit, other), and the serial correlation of its symbols. Candidates the battery doesn't reject are
+Every run of 20 or more key characters is a candidate. Dashes and underscores are taken out (uniform data without one of its symbols is uniform
+over the others, so base64url loses nothing but those), and its encoding is the smallest alphabet that holds the rest: hex, letters, base32 (three
+alphabets) and base36 of either case, letters of both cases, base58, base62, base64. Three tests ask whether it could be uniform random data in
+it: the chi-squared statistic of its symbols, the number of runs of a character class (upper, lower, digit, other; not asked of letters of one
+case), and the serial correlation of its symbols. Candidates the battery doesn't reject are
 secrets unless they may as well be ordinary text: against the coincidences and class changes that text of the same length has,
 each gets a p-value, and within each encoding and band of lengths the Benjamini-Hochberg rule keeps the share of false
 discoveries below a level. Short candidates thus need to look more random than long ones.
@@ -30,11 +32,17 @@ LEAST = 20
 CANDIDATE = f"[A-Za-z0-9+/_-]{{{LEAST},}}={{0,2}}"
 # Of true random data, this share is rejected by the battery; of what is reported, this share may be ordinary text.
 REJECTED, FALSE_SHARE = 1e-4, 0.01
-# The symbols of each encoding in the order of their values.
+# The symbols of each encoding in the order of their values, smaller alphabets first. The first CASELESS hold either case, folded to lower.
 UPPER, LOWER, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
-ALPHABETS = {"hex": DIGITS + "abcdef", "base32": UPPER + "234567", "base64": UPPER + LOWER + DIGITS + "+/"}
-# Rate of class changes between neighbours of uniform data: 1 - sum of the squared shares of the classes.
-CLASS_SIZES = {"hex": (6, 10), "base32": (26, 6), "base64": (26, 26, 10, 2)}
+ALPHABETS = {
+    "hex": DIGITS + "abcdef", "base26": LOWER, "base32": LOWER + "234567", "base32hex": DIGITS + LOWER[:22], "crockford": DIGITS + "abcdefghjkmnpqrstvwxyz",
+    "base36": DIGITS + LOWER, "base52": UPPER + LOWER, "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": DIGITS + UPPER + LOWER, "base64": UPPER + LOWER + DIGITS + "+/",
+}
+CASELESS = 6
+# Symbols of each class (upper, lower, digit, other) in an encoding, and from them the rate of class changes between neighbours of uniform data.
+CLASS_SIZES = {code: [sum(x in part for x in symbols) for part in (UPPER, LOWER, DIGITS, "+/")] for code, symbols in ALPHABETS.items()}
+CLASS_CHANGES = {code: 1 - sum((x / sum(sizes)) ** 2 for x in sizes) for code, sizes in CLASS_SIZES.items()}
 # Ordinary text: sums of the squared and cubed shares of its symbols, and its rate of class changes.
 TEXT_SQUARES, TEXT_CUBES, TEXT_CHANGES = 0.066, 0.0056, 0.08
 # Bands of length (half powers of two from LEAST), and steps of -log10 p of a histogram: both bounded.
@@ -89,14 +97,28 @@ def _fisher(*ps: Column) -> Column:
 
 
 def _by_code(code: Column, values: dict) -> Column:
-    return F.when(code == "hex", F.lit(values["hex"])).when(code == "base32", F.lit(values["base32"])).otherwise(F.lit(values["base64"]))
+    *others, last = values
+    chosen = F
+    for name in others:
+        chosen = chosen.when(code == name, F.lit(values[name]))
+    return chosen.otherwise(F.lit(values[last]))
 
 
 def _judged(c: Column) -> Column:
-    """A candidate's body without padding, in the symbols of its encoding."""
-    body = F.translate(F.rtrim(c["match"], F.lit("=")), "-_", "+/")
-    code = F.when(body.rlike("^([0-9a-f]+|[0-9A-F]+)$"), "hex").when(body.rlike("^[A-Z2-7]+$"), "base32").otherwise("base64")
-    return F.struct(c["start"].alias("start"), c["end"].alias("end"), code.alias("code"), F.when(code == "hex", F.lower(body)).otherwise(body).alias("body"))
+    """A candidate's body without padding and separators, in the symbols of its encoding.
+
+    Dashes and underscores stay as symbols where they are more than a third, as there is no key between them.
+    """
+    whole = F.rtrim(c["match"], F.lit("="))
+    bare = F.translate(whole, "-_", "")
+    body = F.when(3 * F.char_length(bare) >= 2 * F.char_length(whole), bare).otherwise(F.translate(whole, "-_", "+/"))
+    code = F
+    for i, (name, symbols) in enumerate(list(ALPHABETS.items())[:-1]):
+        pattern = f"[{symbols}]+" + f"|[{symbols.upper()}]+" * (i < CASELESS)
+        code = code.when(body.rlike(f"^({pattern})$"), name)
+    code = code.otherwise(list(ALPHABETS)[-1])
+    folded = F.when(code.isin(list(ALPHABETS)[:CASELESS]), F.lower(body)).otherwise(body)
+    return F.struct(c["start"].alias("start"), c["end"].alias("end"), code.alias("code"), folded.alias("body"))
 
 
 def _measured(c: Column) -> Column:
@@ -141,16 +163,17 @@ def _correlated(c: Column) -> Column:
 
 def _scored(c: Column) -> Column:
     """start, end, code, band of length, uniform (p-value of the battery), text (-log10 of the p-value as text, in steps)."""
-    n, change = c["n"], _by_code(c["code"], {k: 1 - sum((x / sum(v)) ** 2 for x in v) for k, v in CLASS_SIZES.items()})
+    n, change = c["n"], _by_code(c["code"], CLASS_CHANGES)
     size = _by_code(c["code"], {k: float(len(v)) for k, v in ALPHABETS.items()})
     chi = (size / n * c["squares"] - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
     changes = c["runs"] - 1
 
     def rate(expected: Column | float, shift: float) -> Column:
-        return (changes + shift - (n - 1) * expected) / F.sqrt((n - 1) * expected * (1 - expected))
+        return (changes + shift - (n - 1) * expected) / F.sqrt(F.greatest((n - 1) * expected * (1 - expected), F.lit(1e-9)))
 
     serial = (c["serial"] + 1 / n) * F.sqrt(n)
-    uniform = _fisher(_two_sided(chi), _two_sided(rate(change, 0.0)), _two_sided(serial))
+    symbols, runs, neighbours = _two_sided(chi), _two_sided(rate(change, 0.0)), _two_sided(serial)
+    uniform = F.when(change > 0, _fisher(symbols, runs, neighbours)).otherwise(_fisher(symbols, neighbours))
     pairs, same = n * (n - 1) / 2, (c["squares"] - n) / 2
     spread = pairs * (TEXT_SQUARES - TEXT_SQUARES**2) + n * (n - 1) * (n - 2) * (TEXT_CUBES - TEXT_SQUARES**2)
     text = _fisher(_left((same + 0.5 - pairs * TEXT_SQUARES) / F.sqrt(spread)), _left(-rate(F.lit(TEXT_CHANGES), -0.5)))

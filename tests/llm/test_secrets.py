@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from cohortloom.llm import queries, secret_scan
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -62,6 +64,38 @@ def test_random_tokens_are_found_and_words_are_not(spark):
     assert all(got[len(keys) + i].n_random == 0 for i in range(len(words)))
 
 
+LOWER, DIGITS = "abcdefghijklmnopqrstuvwxyz", "0123456789"
+KEY_ALPHABETS = {
+    "hex": "0123456789abcdef", "base26": LOWER, "base32": LOWER + "234567", "base32hex": DIGITS + LOWER[:22], "crockford": "0123456789abcdefghjkmnpqrstvwxyz",
+    "base36": DIGITS + LOWER, "base52": LOWER + LOWER.upper(), "base58": "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz",
+    "base62": DIGITS + LOWER + LOWER.upper(), "base64": BASE64, "base64url": BASE64[:-2] + "-_",
+}
+
+
+def test_random_keys_of_every_alphabet(spark):
+    """The battery rejects few of them, whatever their case, length and grouping; long ones are found whole."""
+    rng, keys = random.Random(11), []
+    for name, symbols in KEY_ALPHABETS.items():
+        for n in (24, 48, 96, 512, 4000):
+            for i in range(6):
+                key = "".join(rng.choice(symbols) for _ in range(n))
+                if symbols == symbols.lower():
+                    key = key.upper() if i % 2 else key
+                    key = "-_"[i % 2].join(key[a : a + 8] for a in range(0, n, 8)) if i % 3 == 0 else key
+                keys.append((name, n, key))
+    judged = spark.createDataFrame([(i, k) for i, (_, _, k) in enumerate(keys)], "i int, match string")
+    judged = judged.withColumn("c", F.struct(F.lit(0).alias("start"), F.char_length("match").alias("end"), "match"))
+    one = F.array("c")
+    for step in (secret_scan._judged, secret_scan._measured, secret_scan._summed, secret_scan._correlated, secret_scan._scored):
+        judged = judged.withColumn("c", F.transform(one, step)[0])
+    lost = [keys[r.i][:2] for r in judged.where(F.col("c.uniform") < secret_scan.REJECTED).select("i").collect()]
+    assert len(lost) <= 0.005 * len(keys), lost
+    long = [k for _, n, k in keys if n >= 512]
+    rows = {r.n: r.all_spans for r in secret_scan.find_secrets(spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")).withColumnRenamed("doc_id", "n").collect()}
+    missed = [k[:40] for i, k in enumerate(long) if not any(s["start"] == 0 and s["end"] == len(k) for s in rows[i])]
+    assert len(missed) <= 0.01 * len(long), missed
+
+
 def test_short_tokens_need_more_evidence_among_many_words(spark):
     rng = random.Random(5)
     key = "".join(rng.choice(BASE64) for _ in range(40))
