@@ -59,7 +59,7 @@ def _prepared(vectors: DataFrame, key: str, embedding: str) -> DataFrame:
             prints, raws = [], []
             for row in batch.column("embedding").to_pylist():
                 values = np.array([np.nan if x is None else x for x in row], "<f8") if row else np.zeros(0)
-                if len(values) and np.isfinite(values).all() and 0 < (values @ values) < np.inf:
+                if len(values) and np.isfinite(values).all() and values.any():
                     raw = (np.trim_zeros(values, "b") + 0.0).tobytes()
                     prints.append(hashlib.blake2b(raw, digest_size=16).digest())
                     raws.append(raw)

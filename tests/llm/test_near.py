@@ -144,6 +144,15 @@ def test_vectors_that_link(spark):
     assert embedding_dedup.near_duplicates(frame.limit(0)).collect() == []
 
 
+def test_vectors_of_any_finite_length_link(spark):
+    """Squares of these components underflow or overflow; the directions are alike nevertheless."""
+    ones, other = [1.0] * 24, [1.0, -1.0] * 12
+    scales = (1e-200, 1e-170, 5e-324, 1.0, 1e160, 1e308)
+    rows = [(i, [x * s for x in ones]) for i, s in enumerate(scales)] + [(10 + i, [x * s for x in other]) for i, s in enumerate(scales)] + [(20, [0.0] * 24)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == {i: (0, 20) if i == 20 else (len(scales) - 1, i // 10 * 10) for i, _ in rows}
+
+
 def test_tables_of_the_index_reach_the_recall():
     for n in (10, 10**4, 10**9):
         bits, tables = embedding_dedup.table_plan(n)
