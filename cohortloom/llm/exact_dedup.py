@@ -71,8 +71,12 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 
 def without_copies(docs: DataFrame) -> DataFrame:
-    """The rows of docs that stay, with all their columns; of rows that repeat a whole (id and text), one."""
-    stay = exact_groups(docs).where("kept").select(F.col("doc_id").alias("s_id"), F.col("n_points").alias("s_points"), F.col("text_hash").alias("s_hash")).distinct()
+    """The rows of docs that stay, with all their columns; one of each group.
+
+    Kept rows of a group share id and length; of those with other white space, the one with the smallest hash of the text stays.
+    """
+    kept = exact_groups(docs).where("kept").groupBy("text_sha256", F.col("doc_id").alias("s_id"), F.col("n_points").alias("s_points"))
+    stay = kept.agg(F.min("text_hash").alias("s_hash"))
     own = {c: f"d_{i}" for i, c in enumerate(docs.columns)}
     text = F.coalesce(F.col(own["text"]), F.lit(""))
     rows = docs.toDF(*own.values())

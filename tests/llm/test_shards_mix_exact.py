@@ -118,6 +118,14 @@ def test_exact_groups(spark, odd_docs, no_docs):
     assert sorted(hash(normalised(r.text)) for r in left.collect()) == sorted(map(hash, want))
 
 
+def test_one_row_stays_of_rows_that_share_id_and_length(spark):
+    rows = [(7, "a bc d"), (7, "ab c d"), (7, "ab cd "), (7, "ab c d"), (8, "ab cd"), (None, "x y"), (None, "xy "), (None, "x  y z"), (None, "xy  z ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = exact_dedup.without_copies(docs).collect()
+    assert sorted(((r.doc_id or 0), normalised(r.text)) for r in left) == [(0, "xy"), (0, "xyz"), (7, "abcd")]
+    assert {tuple(r) for r in left} == {tuple(r) for r in exact_dedup.without_copies(docs.repartition(4)).collect()}
+
+
 def test_chunks_restore_the_text_and_are_content_defined(spark, sf_dir):
     texts = [r.text or "" for r in spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").limit(30).collect()]
     body = normalised("".join(texts))
