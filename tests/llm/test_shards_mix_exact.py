@@ -100,6 +100,19 @@ def test_mixed_documents_are_taken_as_often_as_the_mix_says(odd_docs, no_docs):
     assert mixing.mix(no_docs).collect() == [] and mixing.mixed_documents(no_docs).collect() == []
 
 
+def test_equal_rows_at_the_threshold_are_split(spark):
+    """A third of a source is one row repeated: the mix takes as many of them as its target holds, whichever hash is the last to fit."""
+    rows = [(f"{s}", 1000 * s + i, "w " * 20) for s in range(9) for i in range(40)] + [(f"{s}", 9000 + s, "v " * 30) for s in range(9) for _ in range(400)]
+    docs = spark.createDataFrame(rows, "source string, doc_id long, text string").repartition(5)
+    taken, target = Counter(), {}
+    for r in mixing.mix(docs).collect():
+        taken[r.source] += r.taken
+        target[r.source] = r.target
+    assert all(-1e-6 <= target[s] - taken[s] <= 30 for s in target), (taken, target)
+    mixed = mixing.mixed_documents(docs)
+    assert Counter(taken) == Counter({r.source: r.n for r in mixed.groupBy("source").agg(F.sum(mixing.words(F.col("text"))).alias("n")).collect()})
+
+
 def plain_groups(rows):
     groups = defaultdict(list)
     for doc_id, text in rows:
