@@ -1,4 +1,4 @@
-"""The ten operators as registered queries over whole tables, and SQL for those that SQL can express."""
+"""The operators as registered queries over whole tables, and SQL for those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import embedding_dedup, exact_dedup, mixing, near_dedup, packing, secret_scan, sharding, token_counts, token_files, toxicity
+from cohortloom.llm import centroids, embedding_dedup, exact_dedup, mixing, near_dedup, packing, secret_scan, sharding, token_counts, token_files, toxicity
 from cohortloom.llm.shared import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op13_walsh_hadamard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
 OP8_SQL = """
 WITH rows AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\\x20\\x09-\\x0D]', '', 'g')) AS text_sha256
@@ -94,6 +98,6 @@ FROM placed
 """
 
 QUERIES: dict[str, Job] = {
-    job.__name__: job for job in (op1_token_files, op2_sharding, op3_toxicity, op4_bag_minhash, op5_randomness_battery, op6_best_two_fit, op7_itq, op8_exact_dedup, op9_token_counts, op10_mixing)
+    job.__name__: job for job in (op1_token_files, op2_sharding, op3_toxicity, op4_bag_minhash, op5_randomness_battery, op6_best_two_fit, op7_itq, op8_exact_dedup, op9_token_counts, op10_mixing, op13_walsh_hadamard)
 }
-ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL}
+ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op13_walsh_hadamard": centroids.SQL}
