@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cohortloom.llm import centroids, chat, embedding_dedup, exact_dedup, mixing, near_dedup, packing, secret_scan, sharding, token_counts, token_files, toxicity
+from cohortloom.llm import centroids, chat, collocations, embedding_dedup, exact_dedup, mixing, near_dedup, packing, secret_scan, sharding, token_counts, token_files, toxicity
 from cohortloom.llm.shared import table
 
 Job = Callable[[SparkSession, str], DataFrame]
@@ -57,6 +57,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op11_fm_index_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
 def op12_event_sourced_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     planted = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -105,6 +109,6 @@ FROM placed
 """
 
 QUERIES: dict[str, Job] = {
-    job.__name__: job for job in (op1_token_files, op2_sharding, op3_toxicity, op4_bag_minhash, op5_randomness_battery, op6_best_two_fit, op7_itq, op8_exact_dedup, op9_token_counts, op10_mixing, op12_event_sourced_chat, op13_walsh_hadamard)
+    job.__name__: job for job in (op1_token_files, op2_sharding, op3_toxicity, op4_bag_minhash, op5_randomness_battery, op6_best_two_fit, op7_itq, op8_exact_dedup, op9_token_counts, op10_mixing, op11_fm_index_collocations, op12_event_sourced_chat, op13_walsh_hadamard)
 }
-ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op12_event_sourced_chat": chat.SQL, "op13_walsh_hadamard": centroids.SQL}
+ORACLE: dict[str, str] = {"op8_exact_dedup": OP8_SQL, "op10_mixing": OP10_SQL, "op11_fm_index_collocations": collocations.SQL, "op12_event_sourced_chat": chat.SQL, "op13_walsh_hadamard": centroids.SQL}
