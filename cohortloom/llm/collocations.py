@@ -1,8 +1,9 @@
 """Collocations of a corpus: phrases that occur together more often than their parts would let one expect.
 
 Every task cuts its texts into shards of some megabytes and builds a bidirectional FM-index over the word ids of each shard and language;
-extending intervals lists a shard's phrases with their counts, which are summed across shards. A phrase can only be frequent
-if it begins with a frequent shorter one: phrases of each length are matched with the frequent ones a word shorter before they are summed.
+extending intervals lists a shard's phrases with their counts. They are handed on in packets, one row for all phrases of a shard that
+fall into the same bucket by their hash, and summed across shards packet by packet. A phrase comes once from a shard at most, however frequent
+it is, so packets are of even size; their number follows from the size of the corpus.
 
 Counts are exact: nothing is sampled or cut off, and sums and scores are computed in integers and decimals.
 """
@@ -10,6 +11,7 @@ Counts are exact: nothing is sampled or cut off, and sums and scores are compute
 from __future__ import annotations
 
 import string
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,11 +21,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.llm.fm_index import FmIndex
-from cohortloom.llm.shared import release, send_code, staged
+from cohortloom.llm.shared import send_code, staged
 
 LEAST, LONGEST, PERCENT, TOP = 10, 3, 50, 2000
-# UTF-8 bytes of text in a shard (and the rest of the text that fills it); rows handed on at a time.
-SHARD_BYTES, ROWS = 12_000_000, 100_000
+# UTF-8 bytes of text in a shard (and the rest of the text that fills it), and of text whose phrases make a packet; the least number of packets.
+SHARD_BYTES, PACKET_BYTES, LEAST_PACKETS = 8_000_000, 4_000_000, 256
 # Parts into which a language's phrases are dealt before the best are taken from the best of all parts.
 PARTS = 256
 SEPARATORS = ".,;:!?\n\x0b\x0c\r"
@@ -54,76 +56,97 @@ def word_ids(texts: list[bytes]) -> tuple[np.ndarray, pa.Array]:
     return text, coded.dictionary.take(pa.array(order))
 
 
-def _joined(words: pa.Array, ids: np.ndarray) -> pa.Array:
-    """The words of each row of ids, joined with blanks."""
-    columns = [words.take(pa.array(ids[:, k] - 1)) for k in range(ids.shape[1])]
-    joined = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))
-    return joined.cast(pa.large_string()).cast(pa.string())
+def _hashes(words: pa.Array) -> np.ndarray:
+    """64 bits of each word (two CRCs), the same in every shard."""
+    return np.array([zlib.crc32(w) << 32 | zlib.crc32(w, 1) for w in words.to_pylist()], np.uint64)
 
 
-def _rows(lang: str, words: pa.Array, ids: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """lang, head (all words but the last), word, n."""
-    for at in range(0, len(ids), ROWS):
-        some = ids[at : at + ROWS]
-        head = _joined(words, some[:, :-1]) if some.shape[1] > 1 else pa.repeat(pa.scalar("", pa.string()), len(some))
-        yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(some)), head, _joined(words, some[:, -1:]), pa.array(count[at : at + ROWS])], ["lang", "head", "word", "n"])
+def _packets(words: pa.Array, hashes: np.ndarray, ids: np.ndarray, count: np.ndarray, number: int) -> Iterator[tuple[int, bytes, bytes]]:
+    """(packet, phrases divided by line ends, counts) of a shard's phrases; words hold neither blanks nor line ends."""
+    mixed = np.zeros(len(ids), np.uint64)
+    for k in range(ids.shape[1]):
+        mixed = (mixed + hashes[ids[:, k] - 1]) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    packet = (mixed >> np.uint64(16)) % np.uint64(number)
+    order = np.argsort(packet, kind="stable")
+    ids, count, packet = ids[order], count[order].astype("<i8"), packet[order]
+    columns = [words.take(pa.array(ids[:, k] - 1)) for k in range(ids.shape[1])]
+    joined = columns[0] if len(columns) == 1 else pc.binary_join_element_wise(*columns, pa.scalar(b" ", pa.large_binary()))
+    lines = pc.binary_join_element_wise(joined, pa.scalar(b"", pa.large_binary()), pa.scalar(b"\n", pa.large_binary()))
+    _, offsets, data = lines.buffers()
+    offsets, data = np.frombuffer(offsets, np.int64)[: len(ids) + 1], memoryview(data)
+    cuts = np.flatnonzero(np.diff(packet, prepend=packet[:1] + np.uint64(1), append=packet[-1:] + np.uint64(1)))
+    for start, end in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        yield int(packet[start]), bytes(data[offsets[start] : offsets[end]]), count[start:end].tobytes()
 
 
-def _shard_rows(texts: dict[str, list[bytes]], sizes: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
-    """Phrases of the sizes asked for, and for single words a row without a word: the number of all words."""
+def _shard_rows(texts: dict[str, list[bytes]], longest: int, number: int) -> Iterator[pa.RecordBatch]:
     for lang, own in texts.items():
         text, words = word_ids(own)
         if not len(words):
             continue
-        index = FmIndex(text, max(sizes))
+        index, hashes = FmIndex(text, max(longest, 2)), _hashes(words)
         found = index.single_words()
-        for size in range(1, max(sizes) + 1):
+        for size in range(1, longest + 1):
             if size > 1:
                 found = index.right(found)
-            if size == 1 and 1 in sizes:
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([""]), pa.array([""]), pa.array([int(found.count.sum())])], ["lang", "head", "word", "n"])
-            if size in sizes:
-                yield from _rows(lang, words, found.words, found.count)
+            if len(found.count):
+                rows = list(zip(*_packets(words, hashes, found.words, found.count, number)))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(rows[0], pa.int64()), pa.repeat(pa.scalar(lang), len(rows[0])), pa.repeat(pa.scalar(size, pa.int32()), len(rows[0])), pa.array(rows[1], pa.binary()), pa.array(rows[2], pa.binary())],
+                    ["packet", "lang", "size", "phrases", "counts"])
+
+
+def _lines(blobs: list[bytes]) -> pa.Array:
+    """The lines of all blobs, each of which ends with a line end."""
+    raw = np.frombuffer(b"".join(blobs), np.uint8)
+    ends = np.flatnonzero(raw == 10)
+    offsets = np.zeros(len(ends) + 1, np.int64)
+    offsets[1:] = ends - np.arange(len(ends))
+    return pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(offsets), pa.py_buffer(raw[raw != 10])])
 
 
-def phrases(docs: DataFrame, sizes: tuple[int, ...], text: str = "text", lang: str = "lang", shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """lang, head (all words but the last, blank between them), word, n: the phrases of each shard, not summed yet. A null lang is `und`, a null text is empty."""
+def frequent(
+    docs: DataFrame, longest: int = LONGEST, least: int = LEAST, text: str = "text", lang: str = "lang", shard_bytes: int = SHARD_BYTES, packet_bytes: int = PACKET_BYTES
+) -> tuple[DataFrame, DataFrame]:
+    """(lang, phrase, size, n) of every phrase of up to `longest` words that occurs `least` times or more in its language; and (lang, n): all words.
+
+    A null lang is `und`, a null text is empty.
+    """
+    rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text")).where("text IS NOT NULL AND octet_length(text) > 0")
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    number = max(LEAST_PACKETS, -(-size // packet_bytes))
+
     def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts, size = {}, 0
+        texts, held = {}, 0
         for batch in batches:
             for one_lang, one in zip(batch.column(0).to_pylist(), batch.column(1)):
                 one = one.as_buffer().to_pybytes()
                 texts.setdefault(one_lang, []).append(one)
-                size += len(one) + 1
-                if size >= shard_bytes:
-                    yield from _shard_rows(texts, sizes)
-                    texts, size = {}, 0
-        yield from _shard_rows(texts, sizes)
+                held += len(one) + 1
+                if held >= shard_bytes:
+                    yield from _shard_rows(texts, longest, number)
+                    texts, held = {}, 0
+        yield from _shard_rows(texts, longest, number)
+
+    def summed(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phrases, counts = [], []
+        for batch in batches:
+            phrases += batch.column("phrases").to_pylist()
+            counts += batch.column("counts").to_pylist()
+        table = pa.table({"phrase": _lines(phrases), "n": np.frombuffer(b"".join(counts), "<i8")}).group_by("phrase").aggregate([("n", "sum")])
+        one_lang, words = key[1].as_py(), key[2].as_py()
+        total = pc.sum(table["n_sum"]).as_py() if words == 1 else 0
+        table = table.filter(pc.greater_equal(table["n_sum"], least))
+        found = [*table["phrase"].cast(pa.large_string()).to_pylist(), ""]  # the line without a phrase has the number of all words
+        yield pa.RecordBatch.from_arrays(
+            [pa.repeat(pa.scalar(one_lang), len(found)), pa.array(found, pa.string()), pa.repeat(pa.scalar(words, pa.int32()), len(found)), pa.array([*table["n_sum"].to_pylist(), total], pa.int64())],
+            ["lang", "phrase", "size", "n"])
 
     send_code(docs.sparkSession)
-    rows = docs.select(F.coalesce(F.col(lang), F.lit("und")).alias("lang"), F.col(text).cast("binary").alias("text")).where("text IS NOT NULL AND octet_length(text) > 0")
-    return rows.mapInArrow(shards, "lang string, head string, word string, n long")
-
-
-def _phrase() -> Column:
-    return F.when(F.col("head") == "", F.col("word")).otherwise(F.concat_ws(" ", "head", "word"))
-
-
-def frequent(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, **options) -> tuple[DataFrame, DataFrame]:
-    """(lang, phrase, size, n) of every phrase of up to `longest` words that occurs `least` times or more in its language; and (lang, n): all words."""
-    summed = phrases(docs, (1, 2)[:longest], **options).groupBy("lang", "head", "word").agg(F.sum("n").alias("n"))
-    summed = staged(summed.where((F.col("n") >= least) | (F.col("word") == "")).select("lang", _phrase().alias("phrase"), F.when(F.col("head") == "", 1).otherwise(2).alias("size"), "n"))
-    known, totals = [summed.where("phrase <> ''")], summed.where("phrase = ''").select("lang", "n")
-    for size in range(3, longest + 1):
-        release(docs.sparkSession)
-        heads = known[-1].where(F.col("size") == size - 1).select("lang", F.col("phrase").alias("head"))
-        rows = phrases(docs, (size,), **options).join(heads.hint("shuffle_hash"), ["lang", "head"], "left_semi")
-        longer = rows.groupBy("lang", "head", "word").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        known.append(staged(longer.select("lang", _phrase().alias("phrase"), F.lit(size).alias("size"), "n")))
-    found = known[0]
-    for more in known[1:]:
-        found = found.unionByName(more)
-    return found, totals
+    packets = rows.mapInArrow(shards, "packet long, lang string, size int, phrases binary, counts binary")
+    found = staged(packets.groupBy("packet", "lang", "size").applyInArrow(summed, "lang string, phrase string, size int, n long"))
+    return found.where("phrase <> ''"), found.where("phrase = '' AND size = 1").groupBy("lang").agg(F.sum("n").alias("n"))
 
 
 def _parts_of(words: Column, start: Column, length: Column) -> Column:

@@ -74,7 +74,7 @@ def test_equal_to_plain_counts(spark, least, longest, percent, top, shard):
     rows = [*texts(least), (None, None), ("en", ""), ("en", " .\t\n"), ("en", "one piece without an end " * 50_000)]
     rows += [("fr", "A b c d e")] * 30
     docs = spark.createDataFrame([(*r, 1, "x", 0.5) for r in rows], "lang string, text string, n int, phrase string, score double").repartition(3)
-    got = collocations.collocations(docs, least, longest, percent, top, shard_bytes=shard).collect()
+    got = collocations.collocations(docs, least, longest, percent, top, shard_bytes=shard, packet_bytes=shard // 4).collect()
     assert sorted(map(tuple, got)) == plain(rows, least, longest, percent, top)
 
 
