@@ -78,25 +78,48 @@ def kept_visits(appointments: DataFrame) -> DataFrame:
 # --- interchange resources (FHIR R4) ------------------------------------------------------------------
 
 
+def _entries(lines: DataFrame) -> DataFrame:
+    """Lines as they are, but a Bundle's as one line for each of its resources."""
+    bundle = F.when(F.contains("value", F.lit("Bundle")), F.from_json("value", "resourceType string, entry array<struct<resource string>>"))
+    resources = F.transform(F.filter(bundle["entry"], lambda e: e["resource"].isNotNull()), lambda e: e["resource"])
+    return lines.select(F.explode(F.when((bundle["resourceType"] == "Bundle") & bundle["entry"].isNotNull(), resources).otherwise(F.array("value"))).alias("value"))
+
+
 def land_resources(lines: DataFrame, source_system: str, bundle_id: str, ingested_at: Column) -> DataFrame:
-    """Raw landing of NDJSON lines: type and id beside the untouched payload."""
-    return lines.select(
-        F.json_tuple("value", "resourceType", "id").alias("resource_type", "resource_id"),
-        F.lit(source_system).alias("source_system"), F.col("value").alias("payload"),
-        F.lit(bundle_id).alias("bundle_id"), ingested_at.alias("ingested_at"),
+    """Raw landing of NDJSON lines, Bundles resource by resource: type, id, the source's own version time and a digest beside the untouched payload.
+
+    A resource without an id is known by its digest. Lines that are no resource have no type (see `quarantined`).
+    """
+    digest = F.sha2("payload", 256)
+    parsed = _entries(lines).select(F.json_tuple("value", "resourceType", "id", "meta").alias("resource_type", "resource_id", "_meta"), F.col("value").alias("payload"))
+    return parsed.select(
+        "resource_type", F.when(F.col("resource_type").isNotNull(), F.coalesce("resource_id", digest)).alias("resource_id"),
+        F.lit(source_system).alias("source_system"), "payload", F.lit(bundle_id).alias("bundle_id"),
+        F.get_json_object("_meta", "$.lastUpdated").try_cast("timestamp").alias("version_time"), digest.alias("digest"), ingested_at.alias("ingested_at"),
     )
 
 
-def newest_resources(raw: DataFrame) -> DataFrame:
-    """Of every resource the version landed last (equal times: the larger payload, so reruns agree); those without an id all stay."""
-    named = raw.filter(F.col("resource_id").isNotNull())
-    newest = named.groupBy("resource_type", "resource_id").agg(
-        F.max_by(F.struct("source_system", "payload", "bundle_id", "ingested_at"), F.struct("ingested_at", "payload")).alias("newest")
-    )
-    columns = ["resource_type", "resource_id", "source_system", "payload", "bundle_id", "ingested_at"]
-    return newest.select("resource_type", "resource_id", "newest.*").select(*columns).unionByName(
-        raw.filter(F.col("resource_id").isNull()).select(*columns)
-    )
+def quarantined(landed: DataFrame) -> DataFrame:
+    """Landed lines that are no resource, with the reason."""
+    reason = F.when(F.trim("payload") == "", "empty line").when(F.try_parse_json("payload").isNull(), "not JSON").otherwise("no resource type")
+    return landed.filter(F.col("resource_type").isNull()).select("payload", "digest", reason.alias("reason"), "source_system", "bundle_id", "ingested_at")
+
+
+def newest_resources(raw: DataFrame, bundle_id: str | None = None) -> DataFrame:
+    """Of every resource its newest version; with a bundle, only those whose newest version came with it.
+
+    Newer is what the source says is (its version time), else what was landed later; a payload that is sent again with the same bundle isn't landed again,
+    so an old bundle that is repeated undoes nothing. Only fixed-width columns are compared; payloads are read once, for those chosen.
+    """
+    keys = ["resource_type", "resource_id"]
+    named = raw.filter(F.col("resource_type").isNotNull())
+    age = F.struct(F.coalesce("version_time", "ingested_at").alias("t"), "ingested_at", "digest")
+    versions = named.select(*keys, age.alias("age"))
+    if bundle_id is not None:
+        named = named.filter(F.col("bundle_id") == bundle_id)
+        versions = versions.join(named.select(*keys).distinct(), keys, "left_semi")
+    newest = versions.groupBy(*keys).agg(F.max("age").alias("age")).select(*keys, F.col("age.digest").alias("digest"), F.col("age.ingested_at").alias("ingested_at"))
+    return named.join(newest, [*keys, "digest", "ingested_at"], "left_semi").dropDuplicates(keys)
 
 
 def land_rows(rows: DataFrame, source_table: str, key: list[str], batch_id: str, ingested_at: Column) -> DataFrame:
@@ -145,9 +168,16 @@ ENCOUNTER_CLASSES = {
 }
 
 
+# Where a loaded row comes from: the conforming functions carry these columns along when asked to.
+PROVENANCE = ("source_system", "source_id", "source_table_or_resource", "ingested_at")
+
+
 def _resources(raw: DataFrame, kind: str) -> DataFrame:
-    parsed = raw.filter(F.col("resource_type") == kind).select(F.from_json("payload", RESOURCE_SCHEMAS[kind]).alias("r"))
-    return parsed.select("r.*")
+    """The fields of all resources of a type, with the id they were landed under and their provenance."""
+    parsed = raw.filter(F.col("resource_type") == kind).select(
+        F.from_json("payload", RESOURCE_SCHEMAS[kind]).alias("r"), "source_system", F.col("resource_id").alias("source_id"),
+        F.col("resource_type").alias("source_table_or_resource"), "ingested_at")
+    return parsed.select("r.*", *PROVENANCE).withColumn("id", F.col("source_id"))
 
 
 def _own_key(kind: str) -> Column:
@@ -176,7 +206,7 @@ def _first_category() -> Column:
     return F.get(F.get(F.col("category"), F.lit(0))["coding"], F.lit(0))["code"]
 
 
-def conform_patients(raw: DataFrame) -> DataFrame:
+def conform_patients(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     r = _resources(raw, "Patient")
     first_address = F.get("address", F.lit(0))
     return r.select(
@@ -185,31 +215,31 @@ def conform_patients(raw: DataFrame) -> DataFrame:
         F.col("birthDate").alias("birth_date"), F.col("gender").alias("sex"),
         F.coalesce("deceasedBoolean", F.col("deceasedDateTime").isNotNull()).alias("deceased_flag"),
         F.to_date("deceasedDateTime").alias("deceased_date"), first_address["city"].alias("city"),
-        first_address["state"].alias("state"), first_address["postalCode"].alias("zip"),
+        first_address["state"].alias("state"), first_address["postalCode"].alias("zip"), *keep,
     )
 
 
-def conform_encounters(raw: DataFrame) -> DataFrame:
+def conform_encounters(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     classes = F.create_map(*[F.lit(v) for pair in ENCOUNTER_CLASSES.items() for v in pair])
     return _resources(raw, "Encounter").select(
         _own_key("Encounter").alias("encounter_sk"), _key("subject.reference").alias("patient_sk"),
         classes[F.col("class.code")].alias("encounter_class"), F.get("type", F.lit(0))["text"].alias("encounter_type"),
-        "status", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"),
+        "status", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), *keep,
     )
 
 
-def conform_conditions(raw: DataFrame) -> DataFrame:
+def conform_conditions(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return _resources(raw, "Condition").select(
         _own_key("Condition").alias("condition_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"), _first_category().alias("category"),
         _coding("code")["code"].alias("condition_code"), _coding("clinicalStatus")["code"].alias("clinical_status"),
         F.col("onsetDateTime").alias("onset_date"), F.col("recordedDate").alias("recorded_date"),
         F.to_date("abatementDateTime").alias("resolved_date"), _coding("code")["display"].alias("condition_display"),
-        _coding("verificationStatus")["code"].alias("verification_status"),
+        _coding("verificationStatus")["code"].alias("verification_status"), *keep,
     )
 
 
-def conform_observations(raw: DataFrame) -> DataFrame:
+def conform_observations(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Observations; components of a panel become rows that point to it, with keys hashed from its key."""
     r = _resources(raw, "Observation").withColumn("_sk", _own_key("Observation"))
     common = [
@@ -231,14 +261,14 @@ def conform_observations(raw: DataFrame) -> DataFrame:
             part["valueQuantity"]["unit"].alias("unit"), no_limit.alias("low"), no_limit.alias("high"),
         ),
     )
-    rows = r.select("_sk", *common, "effectiveDateTime", F.inline(F.concat(F.array(own), parts)))
+    rows = r.select("_sk", *common, "effectiveDateTime", *keep, F.inline(F.concat(F.array(own), parts)))
     return rows.select(
         F.when(F.col("no") == 0, F.col("_sk")).otherwise(F.xxhash64("_sk", "no")).alias("observation_sk"), "patient_sk", "category",
         F.col("code").alias("observation_code"), F.col("value").alias("value_numeric"),
         F.col("string").alias("value_string"), F.col("effectiveDateTime").alias("effective_datetime"),
         F.when(F.col("no") > 0, F.col("_sk")).alias("parent_observation_sk"),
         "encounter_sk", F.col("display").alias("observation_display"), "unit", F.col("low").alias("reference_range_low"),
-        F.col("high").alias("reference_range_high"),
+        F.col("high").alias("reference_range_high"), *keep,
     )
 
 
@@ -246,25 +276,25 @@ def _component_type() -> T.DataType:
     return T.StructType.fromDDL(RESOURCE_SCHEMAS["Observation"])["component"].dataType.elementType
 
 
-def conform_medication_orders(raw: DataFrame) -> DataFrame:
+def conform_medication_orders(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return _resources(raw, "MedicationRequest").select(
         _own_key("MedicationRequest").alias("med_order_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"),
         _coding("medicationCodeableConcept")["code"].alias("med_code"),
         F.when(F.col("status") == "stopped", "discontinued").otherwise(F.col("status")).alias("order_status"),
-        F.col("authoredOn").alias("start_datetime"), _coding("medicationCodeableConcept")["display"].alias("med_display"),
+        F.col("authoredOn").alias("start_datetime"), _coding("medicationCodeableConcept")["display"].alias("med_display"), *keep,
     )
 
 
-def conform_procedures(raw: DataFrame) -> DataFrame:
+def conform_procedures(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     return _resources(raw, "Procedure").select(
         _own_key("Procedure").alias("procedure_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"), _coding("code")["code"].alias("procedure_code"), "status",
-        F.col("performedDateTime").alias("performed_datetime"), _coding("code")["display"].alias("procedure_display"),
+        F.col("performedDateTime").alias("performed_datetime"), _coding("code")["display"].alias("procedure_display"), *keep,
     )
 
 
-def conform_notes(raw: DataFrame) -> DataFrame:
+def conform_notes(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Document references with inline attachments: base64 to text; HTML is stripped, plain text kept."""
     attachment = F.get("content", F.lit(0))["attachment"]
     resources = _resources(raw, "DocumentReference").withColumn("_encounter", F.get("context.encounter", F.lit(0))["reference"])
@@ -273,13 +303,13 @@ def conform_notes(raw: DataFrame) -> DataFrame:
         _first_category().alias("note_category"), F.col("date").alias("service_date"),
         attachment["contentType"].alias("content_type"), _coding("type")["code"].alias("note_type_code"),
         _coding("type")["display"].alias("note_type_display"), _key("_encounter").alias("encounter_sk"),
-        F.decode(F.unbase64(attachment["data"]), "UTF-8").alias("_body"),
+        F.decode(F.unbase64(attachment["data"]), "UTF-8").alias("_body"), *keep,
     )
     is_html = F.col("content_type") == "text/html"
     return decoded.select(
         "note_sk", "patient_sk", "encounter_sk", "note_category", "note_type_code", "note_type_display", "service_date", "content_type",
         F.when(is_html, html_to_text(F.col("_body"))).otherwise(F.col("_body")).alias("note_text"),
-        F.when(is_html, "html_stripped").otherwise("structured_text").alias("text_extraction_method"),
+        F.when(is_html, "html_stripped").otherwise("structured_text").alias("text_extraction_method"), *keep,
     ).withColumn("text_char_length", F.length("note_text"))
 
 
@@ -288,6 +318,20 @@ CONFORMED = {
     "observation": conform_observations, "medication_order": conform_medication_orders,
     "procedure": conform_procedures, "clinical_note": conform_notes,
 }
+RESOURCE_TYPES = {
+    "patient": "Patient", "encounter": "Encounter", "condition": "Condition", "observation": "Observation",
+    "medication_order": "MedicationRequest", "procedure": "Procedure", "clinical_note": "DocumentReference",
+}
+# What stands for the resource in a table where a resource makes several rows.
+OWNERS = {"observation": "coalesce(parent_observation_sk, observation_sk)"}
+
+
+# The field in which a resource of each table gives its date.
+_DATE_FIELDS = {"recordedDate": ["condition"], "authoredOn": ["medication_order"], "effectiveDateTime": ["observation", "note_nlp_entity"], "performedDateTime": ["procedure"]}
+
+
+def _coded_as(table: Column, field: str) -> Column:
+    return (table == "medication_order") == F.lit(field == "medicationCodeableConcept")
 
 
 def cohort_bundles(members: DataFrame, patients: DataFrame) -> DataFrame:
@@ -308,10 +352,12 @@ def cohort_bundles(members: DataFrame, patients: DataFrame) -> DataFrame:
     facts = F.transform(
         F.coalesce("qualifying_evidence", F.array().cast(members.schema["qualifying_evidence"].dataType)),
         lambda e: F.struct(F.to_json(F.struct(
-            resource_types[e["table"]].alias("resourceType"), e["ref_sk"].cast("string").alias("id"),
+            resource_types[e["table"]].alias("resourceType"),
+            # Mentions become observations of their own: their keys must not meet those of stored observations.
+            F.concat(F.when(e["table"] == "note_nlp_entity", "mention-").otherwise(""), e["ref_sk"].cast("string")).alias("id"),
             F.struct(subject.alias("reference")).alias("subject"),
-            F.struct(F.array(F.struct(e["code"].alias("code"))).alias("coding")).alias("code"),
-            e["event_date"].cast("string").alias("date"),
+            *[F.when(_coded_as(e["table"], field), F.struct(F.array(F.struct(e["code"].alias("code"))).alias("coding"))).alias(field) for field in ("code", "medicationCodeableConcept")],
+            *[F.when(e["table"].isin(*tables), e["event_date"].cast("string")).alias(field) for field, tables in _DATE_FIELDS.items()],
         )).alias("resource")),
     )
     entries = F.array_join(F.transform(F.concat(F.array(patient), facts), lambda entry: F.concat(

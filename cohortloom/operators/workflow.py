@@ -8,10 +8,12 @@ half-way leaves nothing that is read, and can simply be started again.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cohortloom.operators import analysis, cohort, features, ingest, notes, review
@@ -21,6 +23,7 @@ from cohortloom.operators.evidence import event_date, evidence_rows, with_note_d
 from cohortloom.schemas import TABLES
 from cohortloom.session import checkpoint_folder
 from cohortloom.sources.lake import Lake, conform, export_folder, hash_key, new_key
+from cohortloom.sources.snapshots import Conflict
 
 CLINICAL = ("patient", "condition", "medication_order", "observation", "note_nlp_entity")
 
@@ -56,12 +59,11 @@ def save_cohort(
     """
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     same_name = lake.table("cohort_definition").filter(F.col("name") == name)
-    version = (same_name.agg(F.max("version")).first()[0] or 0) + 1
+    version = _next_version(lake, name, same_name.agg(F.max("version")).first()[0] or 0)
     cohort_sk = new_key(name, version, uuid.uuid4().hex)
     code, system = lake.spark.range(1).select(
         *primary_concept(*[F.lit(text) for text in (record.icd_codes, record.med_codes, record.lab_code, record.nlp_concept, record.nlp_terms)])
     ).first()
-    older = _staged(same_name.select("cohort_sk", F.lit("archived").alias("status")))
     is_control = cohort_type == "control" and comparison_cohort_sk is not None
     spec = cohort.control_spec(record, as_of) if is_control else cohort_spec(record, as_of)
     # Members first, then the definition, then the end of the older versions: a save that dies leaves those as they were.
@@ -74,11 +76,27 @@ def save_cohort(
         follow_up_days=follow_up_days, min_age_years=record.min_age, max_age_years=record.max_age,
         comparison_cohort_sk=comparison_cohort_sk, status="active", version=version, created_by=created_by, created_at=now,
     )
-    if version > 1:
-        lake.append(older, "cohort_status_change")
+    _archive_older(lake, name)
     return cohort_sk
 
 
+def _next_version(lake: Lake, name: str, newest: int) -> int:
+    """A version number that nobody else has taken: of two saves at once each gets its own. A save that dies leaves its number unused."""
+    own = hashlib.sha256(name.encode()).hexdigest()
+    while not lake.log("cohort_definition").claim(f"{own}-{newest + 1}"):
+        newest += 1
+    return newest + 1
+
+
+def _archive_older(lake: Lake, name: str) -> None:
+    """Ends all versions but the newest of those that are there; of two saves at once, the one that finishes last sees both."""
+    versions = current_definitions(lake).filter(F.col("name") == name).select("cohort_sk", "version", "status").collect()  # a cohort's own versions
+    newest = max(r["version"] for r in versions)
+    ended = [(r["cohort_sk"], "archived") for r in versions if r["version"] < newest and r["status"] != "archived"]
+    if ended:
+        lake.append(lake.spark.createDataFrame(ended, "cohort_sk long, status string").coalesce(1), "cohort_status_change")
+
+
 def save_control(lake: Lake, case_cohort_sk: int, name: str, as_of=None, created_by: str = "unknown") -> int:
     """The control cohort of a stored case cohort, linked to it."""
     case = review.definition_detail(lake.table("cohort_definition"), case_cohort_sk).first()
@@ -129,21 +147,38 @@ def _store_run(lake: Lake, cohort_sk: int, spec: CohortSpec, tables: dict[str, D
     members = _staged(cohort.members_with_evidence(tables, spec, own))
     if required := spec.expression.required():
         wanted = own.filter(F.col("criterion").isin(required)).join(members.select("patient_sk"), "patient_sk", "left_semi")
-        lake.append(wanted.withColumns(labels), "cohort_evidence", ordered=True)
+        lake.append(wanted.withColumns(labels), "cohort_evidence", ordered=True, cohort_sk=cohort_sk, run_id=run_id)
     members = members.withColumns(labels).withColumn("cohort_member_sk", hash_key("run_id", "cohort_sk", "patient_sk"))
-    n_members = lake.append(members, "cohort_member", ordered=True)
+    n_members = lake.append(members, "cohort_member", ordered=True, cohort_sk=cohort_sk, run_id=run_id)
     lake.append_record("cohort_run", cohort_sk=cohort_sk, run_id=run_id, n_members=n_members)
     return run_id
 
 
-def _newest_runs(lake: Lake) -> DataFrame:
+def _newest_runs(lake: Lake, cohort_sks: list[int] | None = None) -> dict[int, str]:
+    """The newest finished run of every cohort (or of those named): one short row a cohort definition."""
     newest = F.max(F.struct("finished_at", "run_id"))["run_id"]
-    return lake.table("cohort_run").groupBy("cohort_sk").agg(newest.alias("run_id"))
+    runs = lake.table("cohort_run")
+    if cohort_sks is not None:
+        runs = runs.filter(F.col("cohort_sk").isin(cohort_sks))
+    return {row["cohort_sk"]: row["run_id"] for row in runs.groupBy("cohort_sk").agg(newest.alias("run_id")).collect()}
+
+
+def current_members(lake: Lake, cohort_sks: list[int] | None = None) -> DataFrame:
+    """Members of the newest finished run of every cohort (or of those named); files of other runs are not even listed."""
+    return lake.table("cohort_member", run_id=set(_newest_runs(lake, cohort_sks).values()))
 
 
-def current_members(lake: Lake) -> DataFrame:
-    """Members of the newest finished run of every cohort."""
-    return lake.table("cohort_member").join(_newest_runs(lake), ["cohort_sk", "run_id"], "left_semi")
+def expire_runs(lake: Lake, keep: int = 2) -> int:
+    """Takes all but the newest `keep` finished runs of each cohort out of the history; returns how many went. Their files go with the logs' next vacuum."""
+    place = Window.partitionBy("cohort_sk").orderBy(F.col("finished_at").desc(), F.col("run_id").desc())
+    ranked = lake.table("cohort_run").withColumn("_place", F.row_number().over(place))
+    gone = {row["run_id"] for row in ranked.filter(F.col("_place") > keep).select("run_id").collect()}  # one short row a run
+    if gone:
+        rest = _staged(ranked.filter(F.col("_place") <= keep).drop("_place"))
+        for table in ("cohort_member", "cohort_evidence"):
+            lake.log(table).commit(lambda there: [folder for folder in there if folder.rpartition("run_id=")[2] not in gone])
+        lake.overwrite(rest.coalesce(1), "cohort_run")
+    return len(gone)
 
 
 def current_definitions(lake: Lake) -> DataFrame:
@@ -158,9 +193,9 @@ def change_status(lake: Lake, cohort_sk: int, status: str) -> None:
 
 def refresh_cohorts(lake: Lake, cohort_sks: list[int], as_of=None) -> DataFrame:
     """Re-run the stored logic of cohorts; per cohort who was added, dropped and kept against the prior run."""
-    prior = _staged(current_members(lake).filter(F.col("cohort_sk").isin(cohort_sks)).select("cohort_sk", "patient_sk"))
+    prior = _staged(current_members(lake, cohort_sks).select("cohort_sk", "patient_sk"))
     runs = run_cohorts(lake, cohort_sks, as_of)
-    members = lake.table("cohort_member").filter(F.col("run_id").isin(list(runs.values()))).select("cohort_sk", "patient_sk")
+    members = lake.table("cohort_member", run_id=set(runs.values())).select("cohort_sk", "patient_sk")
     return analysis.membership_difference(prior, members, ("cohort_sk", "patient_sk"))
 
 
@@ -177,7 +212,7 @@ def refresh_prospective(lake: Lake, as_of=None) -> DataFrame:
 def member_events(lake: Lake, cohort_sk: int, table: str) -> DataFrame:
     """Rows of a clinical table for the members, within the definition's look-back and follow-up days."""
     days = review.definition_detail(lake.table("cohort_definition"), cohort_sk).select("lookback_days", "follow_up_days").first()
-    members = current_members(lake).filter(F.col("cohort_sk") == cohort_sk)
+    members = current_members(lake, [cohort_sk])
     rows = lake.table(table)
     return cohort.events_around_index(members, rows, event_date(table, rows), days["lookback_days"], days["follow_up_days"])
 
@@ -185,13 +220,13 @@ def member_events(lake: Lake, cohort_sk: int, table: str) -> DataFrame:
 def export_members(lake: Lake, cohort_sk: int, folder: str, limit: int | None = None) -> str:
     """CSV of the member list by MRN, named after the cohort: all members unless a limit is given."""
     name = review.definition_detail(lake.table("cohort_definition"), cohort_sk).select("name").first()["name"]
-    rows = review.export_rows(current_members(lake), lake.table("patient"), cohort_sk, limit)
+    rows = review.export_rows(current_members(lake, [cohort_sk]), lake.table("patient"), cohort_sk, limit)
     return lake.export_csv(rows, f"{folder}/{export_folder(cohort_sk, name)}", "mrn", "patient_sk")
 
 
 def export_bundles(lake: Lake, cohort_sk: int, folder: str) -> str:
     """One FHIR Bundle per line and member, written by all tasks."""
-    members = current_members(lake).filter(F.col("cohort_sk") == cohort_sk)
+    members = current_members(lake, [cohort_sk])
     return lake.export_lines(ingest.cohort_bundles(members, lake.table("patient")), folder)
 
 
@@ -205,31 +240,54 @@ def preview(lake: Lake, record: CriteriaRecord, as_of=None) -> tuple[int, DataFr
 
 
 def load_resources(lake: Lake, folder: str, source_system: str, bundle_id: str) -> dict[str, int]:
-    """Land the NDJSON files of a folder and conform them into the clinical tables; rows per table."""
-    lines = lake.spark.read.text(folder)
-    lake.append(ingest.land_resources(lines, source_system, bundle_id, F.current_timestamp()), "raw_fhir_resource")
-    raw = _staged(ingest.newest_resources(lake.table("raw_fhir_resource").filter(F.col("bundle_id") == bundle_id)))
-    return {table: _merge(lake, conform_resources(raw), table) for table, conform_resources in ingest.CONFORMED.items()}
+    """Land the NDJSON files of a folder (resources, or Bundles of them) and conform them into the clinical tables; rows written per table.
+
+    Every payload is landed once a bundle, and only the newest version of a resource (over all bundles) is conformed: repeating any load changes nothing, and
+    starting again completes one that died. Lines that are no resource go to raw_quarantine.
+    """
+    landed = _staged(ingest.land_resources(lake.spark.read.text(folder), source_system, bundle_id, F.current_timestamp()))
+    counts = {"raw_quarantine": lake.append(_not_landed(lake, ingest.quarantined(landed), "raw_quarantine", bundle_id), "raw_quarantine")}
+    lake.append(_not_landed(lake, landed.filter(F.col("resource_type").isNotNull()), "raw_fhir_resource", bundle_id), "raw_fhir_resource")
+    raw = _staged(ingest.newest_resources(lake.table("raw_fhir_resource"), bundle_id))
+    there = {row[0] for row in raw.select("resource_type").distinct().collect()}  # a few names
+    for table, conform_resources in ingest.CONFORMED.items():
+        counts[table] = _merge(lake, conform_resources(raw, ingest.PROVENANCE), table) if ingest.RESOURCE_TYPES[table] in there else 0
+    return counts
+
+
+def _not_landed(lake: Lake, rows: DataFrame, table: str, bundle_id: str) -> DataFrame:
+    there = lake.table(table).filter(F.col("bundle_id") == bundle_id).select("digest")
+    return rows.dropDuplicates(["digest"]).join(there, "digest", "left_anti")
 
 
 def _merge(lake: Lake, rows: DataFrame, table: str) -> int:
-    """Rows whose key is new are added, rows that changed take the place of the stored ones, equal rows are left; returns how many were written.
+    """Rows of new resources are added, those of changed ones take the place of the stored ones, equal ones are left; returns how many were written.
 
-    A load that is repeated therefore changes nothing, and one that died half-way is completed by starting it again. Only a changed row makes
-    the table be written anew.
+    Resources are compared as a whole (all rows of each), so rows that a newer version no longer has go. Stored rows are looked at by key first: only those of the
+    load are digested, and only the files of writes that hold changed rows are written anew, in one step that readers see whole or not at all.
     """
     spec = TABLES[table]
-    columns = [name for name in spec.schema.names if name != "loaded_at"]
+    owner = F.expr(ingest.OWNERS.get(table, spec.key))
+    columns = [name for name in spec.schema.names if name not in ("loaded_at", "ingested_at")]
     digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
-    rows = conform(rows, spec).withColumn("_digest", digest)
-    there = lake.table(table).select(spec.key, digest.alias("_digest"))
-    fresh = _staged(rows.join(there, [spec.key, "_digest"], "left_anti").drop("_digest"))
-    keys = fresh.select(spec.key)
-    if not there.join(keys, spec.key, "left_semi").isEmpty():
-        kept = _staged(lake.table(table).join(keys, spec.key, "left_anti"))
-        lake.overwrite(kept.unionByName(fresh), table)
-        return fresh.count()
-    return lake.append(fresh, table, ordered=True)
+
+    def by_owner(df: DataFrame) -> DataFrame:
+        return df.groupBy("_owner").agg(F.sort_array(F.collect_list(digest)).alias("_digests"))
+
+    rows = _staged(conform(rows, spec).withColumn("_owner", owner)).filter("_owner IS NOT NULL")
+    while True:
+        stored = lake.table(table).withColumn("_owner", owner).join(rows.select("_owner").distinct(), "_owner", "left_semi")
+        there = by_owner(stored).withColumnRenamed("_digests", "_stored")
+        changed = _staged(by_owner(rows).join(there, "_owner", "left").filter(~F.col("_digests").eqNullSafe(F.col("_stored"))).select("_owner", F.col("_stored").isNotNull().alias("_known")))
+        fresh = rows.join(changed, "_owner", "left_semi").drop("_owner")
+        known = changed.filter("_known").select("_owner")
+        try:
+            if known.isEmpty():
+                return lake.append(fresh, table, ordered=True)
+            lake.replace_rows(fresh, table, known, ingest.OWNERS.get(table))
+            return fresh.count()
+        except Conflict:  # the table has changed meanwhile: compare again
+            continue
 
 
 def load_extract(lake: Lake, rows: DataFrame, source_table: str, key: list[str], batch_id: str) -> int:

@@ -168,7 +168,7 @@ def conformed_patients(spark, sf_dir):
     rows = clinical_view(spark, sf_dir, "patient").withColumns({
         "_phenotype": F.lit("general"), "city": F.lit(None), "primary_language": F.when(F.col("sex") == "male", "Spanish"),
     })
-    return conform(without_internal_columns(rows), TABLES["patient"]).drop("loaded_at")
+    return conform(without_internal_columns(rows), TABLES["patient"]).drop("loaded_at", *ingest.PROVENANCE)
 
 
 @query("cleaned_lab_results", with_views("lab_result", then="""

@@ -16,7 +16,7 @@ def _struct(**columns: T.DataType) -> T.StructType:
 
 @dataclass(frozen=True)
 class Table:
-    """A table: schema, primary key, columns its files are laid out by, column defaults, NOT NULL columns."""
+    """A table: schema, primary key, columns its files are laid out by, column defaults, NOT NULL columns, columns whose values name a folder."""
 
     layer: str
     schema: T.StructType
@@ -24,6 +24,7 @@ class Table:
     layout: tuple[str, ...]
     defaults: dict
     required: tuple[str, ...] = ()
+    partitions: tuple[str, ...] = ()
 
 
 # One row of evidence that made a patient a member. The array holds one entry per criterion, so its
@@ -40,7 +41,7 @@ TABLES: dict[str, Table] = {
         _struct(
             patient_sk=LONG, mrn=STRING, birth_date=DATE, sex=STRING, gender_identity=STRING, race=STRING,
             ethnicity=STRING, deceased_flag=BOOL, deceased_date=DATE, city=STRING, state=STRING, zip=STRING,
-            primary_language=STRING, marital_status=STRING, loaded_at=TS,
+            primary_language=STRING, marital_status=STRING, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "patient_sk", ("patient_sk",),
         {"deceased_flag": False, "primary_language": "English", "loaded_at": NOW},
@@ -51,7 +52,7 @@ TABLES: dict[str, Table] = {
         _struct(
             encounter_sk=LONG, patient_sk=LONG, encounter_class=STRING, encounter_type=STRING, status=STRING,
             period_start=TS, period_end=TS, admit_source=STRING, discharge_disposition=STRING,
-            attending_provider_name=STRING, facility_name=STRING, loaded_at=TS,
+            attending_provider_name=STRING, facility_name=STRING, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "encounter_sk", ("patient_sk", "period_start"), {"loaded_at": NOW}, ("patient_sk",),
     ),
@@ -60,7 +61,7 @@ TABLES: dict[str, Table] = {
         _struct(
             condition_sk=LONG, patient_sk=LONG, encounter_sk=LONG, category=STRING, condition_code=STRING,
             condition_system=STRING, condition_display=STRING, clinical_status=STRING, verification_status=STRING,
-            rank=INT, is_chronic=BOOL, onset_date=DATE, recorded_date=DATE, resolved_date=DATE, loaded_at=TS,
+            rank=INT, is_chronic=BOOL, onset_date=DATE, recorded_date=DATE, resolved_date=DATE, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "condition_sk", ("patient_sk", "recorded_date"),
         {"condition_system": "ICD-10-CM", "is_chronic": False, "loaded_at": NOW}, ("patient_sk",),
@@ -71,7 +72,7 @@ TABLES: dict[str, Table] = {
             observation_sk=LONG, patient_sk=LONG, encounter_sk=LONG, category=STRING, observation_code=STRING,
             observation_system=STRING, observation_display=STRING, value_numeric=DOUBLE, value_string=STRING,
             unit=STRING, reference_range_low=DOUBLE, reference_range_high=DOUBLE, interpretation=STRING,
-            effective_datetime=TS, parent_observation_sk=LONG, loaded_at=TS,
+            effective_datetime=TS, parent_observation_sk=LONG, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "observation_sk", ("patient_sk", "effective_datetime"),
         {"observation_system": "LOINC", "loaded_at": NOW}, ("patient_sk", "category"),
@@ -82,7 +83,7 @@ TABLES: dict[str, Table] = {
             med_order_sk=LONG, patient_sk=LONG, encounter_sk=LONG, med_code=STRING, med_system=STRING,
             med_display=STRING, ndc_code=STRING, order_class=STRING, dose_quantity=STRING, dose_unit=STRING,
             route=STRING, frequency=STRING, sig_text=STRING, order_status=STRING, start_datetime=TS,
-            end_datetime=TS, loaded_at=TS,
+            end_datetime=TS, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "med_order_sk", ("patient_sk", "start_datetime"),
         {"med_system": "RxNorm", "loaded_at": NOW}, ("patient_sk",),
@@ -91,7 +92,7 @@ TABLES: dict[str, Table] = {
         "silver",
         _struct(
             procedure_sk=LONG, patient_sk=LONG, encounter_sk=LONG, procedure_code=STRING, procedure_system=STRING,
-            procedure_display=STRING, procedure_category=STRING, status=STRING, performed_datetime=TS, loaded_at=TS,
+            procedure_display=STRING, procedure_category=STRING, status=STRING, performed_datetime=TS, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "procedure_sk", ("patient_sk", "performed_datetime"),
         {"procedure_system": "CPT", "loaded_at": NOW}, ("patient_sk",),
@@ -101,7 +102,7 @@ TABLES: dict[str, Table] = {
         _struct(
             note_sk=LONG, patient_sk=LONG, encounter_sk=LONG, note_type_code=STRING, note_type_system=STRING,
             note_type_display=STRING, note_category=STRING, author_name=STRING, service_date=TS, status=STRING,
-            note_text=STRING, loaded_at=TS,
+            note_text=STRING, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "note_sk", ("patient_sk", "service_date"),
         {"note_type_system": "LOINC", "status": "signed", "loaded_at": NOW}, ("patient_sk",),
@@ -154,7 +155,7 @@ TABLES: dict[str, Table] = {
             qualified_at=TS, qualifying_source=STRING, qualifying_evidence=TRIGGER, loaded_at=TS,
         ),
         "cohort_member_sk", ("cohort_sk", "patient_sk"), {"qualified_at": NOW, "loaded_at": NOW},
-        ("cohort_sk", "patient_sk"),
+        ("cohort_sk", "patient_sk"), ("cohort_sk", "run_id"),
     ),
     "cohort_evidence": Table(
         "gold",
@@ -162,7 +163,7 @@ TABLES: dict[str, Table] = {
             cohort_sk=LONG, run_id=STRING, patient_sk=LONG, criterion=STRING, source=STRING, table=STRING,
             ref_sk=LONG, code=STRING, event_date=DATE,
         ),
-        "ref_sk", ("cohort_sk", "patient_sk", "ref_sk"), {}, ("cohort_sk", "patient_sk"),
+        "ref_sk", ("cohort_sk", "patient_sk", "ref_sk"), {}, ("cohort_sk", "patient_sk"), ("cohort_sk", "run_id"),
     ),
     # One row per evaluation of a cohort; the newest finished run of a cohort holds its members.
     "cohort_run": Table(
@@ -184,10 +185,16 @@ TABLES: dict[str, Table] = {
         "bronze",
         _struct(
             resource_type=STRING, resource_id=STRING, source_system=STRING, payload=STRING, bundle_id=STRING,
-            ingested_at=TS,
+            version_time=TS, digest=STRING, ingested_at=TS,
         ),
         "resource_id", (), {"ingested_at": NOW},
     ),
+    # Lines of a load that are no resource.
+    "raw_quarantine": Table(
+        "bronze",
+        _struct(payload=STRING, digest=STRING, reason=STRING, source_system=STRING, bundle_id=STRING, ingested_at=TS),
+        "digest", (), {"ingested_at": NOW},
+    ),
     # Raw landing of rows extracted from a relational source, whatever their table.
     "raw_extract_row": Table(
         "bronze",

@@ -4,6 +4,7 @@ import csv
 import glob
 import json
 import tempfile
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 import pytest
@@ -17,6 +18,7 @@ from cohortloom.plans.cohorts import FIRST, LAST
 from cohortloom.schemas import TABLES
 from cohortloom.sources.fixtures import load
 from cohortloom.sources.lake import Lake, conform, export_folder, without_internal_columns
+from cohortloom.sources.snapshots import Conflict
 from cohortloom.streaming import capture
 
 AS_OF = "2001-12-31"
@@ -115,7 +117,7 @@ def test_refresh_without_new_data_keeps_everybody(lake, saved):
 def test_unfinished_run_is_not_read(lake, saved):
     before = workflow.current_members(lake).count()
     broken = workflow.current_members(lake).limit(3).withColumn("run_id", F.lit("broken"))
-    lake.append(broken, "cohort_member")
+    lake.append(broken, "cohort_member", cohort_sk=saved, run_id="broken")
     assert workflow.current_members(lake).count() == before
 
 
@@ -267,7 +269,7 @@ def test_filters_and_columns_reach_the_scan(lake):
     tables = lake.tables("patient", "condition", "medication_order", "observation")
     record = CriteriaRecord(icd_codes="E11.9", med_codes="860975", lab_code="4548-4", lab_min=6.5, date_from=FIRST, date_to=LAST)
     plan = build_cohort(tables, cohort_spec(record, AS_OF))._jdf.queryExecution().executedPlan().toString()
-    scans = {name: next(line for line in plan.splitlines() if "FileScan" in line and f".{name}[" in line) for name in tables}
+    scans = {name: next(line for line in plan.splitlines() if "FileScan" in line and f"/{name}/data" in line) for name in tables}
     assert "In(condition_code" in scans["condition"] or "EqualTo(condition_code" in scans["condition"]
     assert "GreaterThanOrEqual(recorded_date" in scans["condition"]
     assert "GreaterThanOrEqual(start_datetime" in scans["medication_order"] and "LessThan(start_datetime" in scans["medication_order"]
@@ -291,7 +293,7 @@ def test_resources_are_landed_and_conformed(lake, spark):
     with open(f"{folder}/a.ndjson", "w") as file:
         file.write("\n".join(map(json.dumps, lines)))
     counts = workflow.load_resources(other, folder, "clinic", "b1")
-    assert counts == {"patient": 1, "encounter": 1, "condition": 1, "observation": 2, "medication_order": 1, "procedure": 1, "clinical_note": 1}
+    assert counts == {"raw_quarantine": 0, "patient": 1, "encounter": 1, "condition": 1, "observation": 2, "medication_order": 1, "procedure": 1, "clinical_note": 1}
     patient_sk = other.table("patient").first().patient_sk
     for table in ("encounter", "condition", "observation", "medication_order", "procedure", "clinical_note"):
         assert other.table(table).filter(F.col("patient_sk") != patient_sk).count() == 0
@@ -302,6 +304,8 @@ def test_resources_are_landed_and_conformed(lake, spark):
     assert other.table("observation").filter("value_numeric = 120").first().parent_observation_sk == panel
     assert other.table("medication_order").first().order_status == "discontinued"
     assert other.table("clinical_note").first().note_text == "No fever."
+    loaded = other.table("observation").select(*ingest.PROVENANCE[:3]).distinct().collect()
+    assert [tuple(r) for r in loaded] == [("clinic", "o-1", "Observation")] and other.table("patient").filter("ingested_at IS NULL OR loaded_at < ingested_at").count() == 0
     before = {table: other.table(table).count() for table in counts}
     assert set(workflow.load_resources(other, folder, "clinic", "b1").values()) == {0}  # the same load again changes nothing
     lines[0]["gender"], lines[2]["verificationStatus"] = "male", {"coding": [{"code": "confirmed"}]}
@@ -317,6 +321,122 @@ def test_resources_are_landed_and_conformed(lake, spark):
     assert own.encounter_sk == other.table("encounter").first().encounter_sk
 
 
+@pytest.fixture
+def own_lake(spark):
+    lake = Lake(spark, root=tempfile.mkdtemp(prefix="run-lake-", dir="/tmp"))
+    lake.create()
+    return lake
+
+
+def written(lines):
+    folder = tempfile.mkdtemp(prefix="run-load-", dir="/tmp")
+    with open(f"{folder}/a.ndjson", "w") as file:
+        file.write("\n".join(x if isinstance(x, str) else json.dumps(x) for x in lines))
+    return folder
+
+
+def patient_line(city, **more):
+    return {"resourceType": "Patient", "id": "7", "identifier": [{"system": "mrn", "value": "M7"}], "address": [{"city": city}], **more}
+
+
+def test_failed_overwrite_keeps_the_table(own_lake, spark):
+    own_lake.overwrite(spark.createDataFrame([(1, "M1")], "patient_sk long, mrn string"), "patient")
+    bad = spark.range(1000).select(F.col("id").alias("patient_sk"), F.when(F.col("id") == 990, F.raise_error(F.lit("lost"))).otherwise("x").alias("mrn"))
+    with pytest.raises(Exception, match="lost"):
+        own_lake.overwrite(bad, "patient")
+    assert [r.mrn for r in own_lake.table("patient").collect()] == ["M1"]
+    opened = own_lake.table("patient")
+    own_lake.overwrite(own_lake.table("patient").withColumn("mrn", F.lit("M2")), "patient")  # rows of the table itself
+    assert [r.mrn for r in own_lake.table("patient").collect()] == ["M2"] and [r.mrn for r in opened.collect()] == ["M1"]
+    assert [r.mrn for r in own_lake.table("patient", version=1).collect()] == ["M1"]
+    assert own_lake.log("patient").vacuum(keep=1) >= 1 and [r.mrn for r in own_lake.table("patient").collect()] == ["M2"]
+
+
+def test_of_two_writers_one_looks_again(own_lake, spark):
+    log = own_lake.log("patient")
+    assert log.publish(1, ["a"]) and not log.publish(1, ["b"]) and log.read().folders == ("a",)
+    with pytest.raises(Conflict):
+        log.commit(lambda there: there, based_on=0)
+    assert log.commit(lambda there: [*there, "b"], based_on=1) == 2 and log.read().folders == ("a", "b")
+
+
+def test_appends_at_once_are_all_kept(own_lake):
+    with ThreadPoolExecutor(4) as pool:
+        list(pool.map(lambda i: own_lake.append_record("cohort_status_change", cohort_sk=i, status="draft"), range(12)))
+    assert sorted(r.cohort_sk for r in own_lake.table("cohort_status_change").collect()) == list(range(12))
+
+
+def test_many_records_are_put_together(own_lake, monkeypatch):
+    monkeypatch.setattr("cohortloom.sources.lake.MOST_FOLDERS", 5)
+    for i in range(13):
+        own_lake.append_record("cohort_status_change", cohort_sk=i, status="draft")
+    assert own_lake.table("cohort_status_change").count() == 13 and len(own_lake.log("cohort_status_change").read().folders) < 6
+
+
+def test_repeated_older_load_undoes_nothing(own_lake):
+    first, second = written([patient_line("Old")]), written([patient_line("New")])
+    city = lambda: [r.city for r in own_lake.table("patient").collect()]
+    assert workflow.load_resources(own_lake, first, "clinic", "b1")["patient"] == 1 and city() == ["Old"]
+    assert workflow.load_resources(own_lake, second, "clinic", "b2")["patient"] == 1 and city() == ["New"]
+    assert set(workflow.load_resources(own_lake, first, "clinic", "b1").values()) == {0} and city() == ["New"]
+    workflow.load_resources(own_lake, first, "clinic", "b3")  # a new bundle that says so takes it back
+    assert city() == ["Old"]
+    late = written([patient_line("Late", meta={"lastUpdated": "1999-01-01T00:00:00Z"})])
+    assert workflow.load_resources(own_lake, late, "clinic", "b4")["patient"] == 0 and city() == ["Old"]
+
+
+def test_changed_resources_replace_all_their_rows_and_only_touched_files(own_lake):
+    part = lambda code, value: {"code": {"coding": [{"code": code}]}, "valueQuantity": {"value": value}}
+    panel = lambda *parts: {"resourceType": "Observation", "id": "o1", "subject": {"reference": "Patient/7"}, "code": {"coding": [{"code": "85354-9"}]}, "component": list(parts)}
+    other = {"resourceType": "Observation", "id": "o2", "subject": {"reference": "Patient/7"}, "code": {"coding": [{"code": "x"}]}}
+    assert workflow.load_resources(own_lake, written([panel(part("a", 1), part("b", 2))]), "clinic", "b1")["observation"] == 3
+    assert workflow.load_resources(own_lake, written([other]), "clinic", "b2")["observation"] == 1
+    kept = own_lake.log("observation").read().folders[1]
+    assert workflow.load_resources(own_lake, written([panel(part("a", 5))]), "clinic", "b3")["observation"] == 2
+    assert sorted((r.observation_code, r.value_numeric) for r in own_lake.table("observation").collect()) == [("85354-9", None), ("a", 5.0), ("x", None)]
+    assert own_lake.log("observation").read().folders[0] == kept
+
+
+def test_bundles_are_loaded_and_other_lines_kept_apart(own_lake, lake, saved, spark):
+    members = workflow.current_members(lake).filter(F.col("cohort_sk") == saved)
+    lines = [r.value for r in ingest.cohort_bundles(members, lake.table("patient")).collect()]
+    counts = workflow.load_resources(own_lake, written([*lines, "{broken", '{"a": 1}', "", {"resourceType": "Procedure", "code": {"coding": [{"code": "1"}]}}]), "clinic", "b1")
+    assert (counts["patient"], counts["condition"], counts["raw_quarantine"], counts["procedure"]) == (members.count(), members.count(), 3, 1)
+    assert {r.reason for r in own_lake.table("raw_quarantine").collect()} == {"not JSON", "no resource type", "empty line"}
+    trigger = members.select(F.explode("qualifying_evidence").alias("e"), "patient_sk").select("e.ref_sk", "patient_sk", "e.code", "e.event_date")
+    loaded = own_lake.table("condition").select("condition_sk", "patient_sk", "condition_code", "recorded_date")
+    assert loaded.exceptAll(trigger).count() == 0 and trigger.exceptAll(loaded).count() == 0
+    people = ["patient_sk", "mrn", "birth_date", "sex"]
+    assert own_lake.table("patient").select(*people).exceptAll(lake.table("patient").select(*people)).count() == 0
+    assert set(workflow.load_resources(own_lake, written(lines), "clinic", "b1").values()) == {0}
+
+
+def test_two_saves_at_once_get_versions_of_their_own(own_lake, lake):
+    for name in FILLED:
+        own_lake.overwrite(lake.table(name), name)
+    with ThreadPoolExecutor(2) as pool:
+        saves = list(pool.map(lambda _: workflow.save_cohort(own_lake, RECORD, "twice", "condition", "retrospective", as_of=AS_OF), range(2)))
+    found = {r.cohort_sk: (r.version, r.status) for r in workflow.current_definitions(own_lake).collect()}
+    assert sorted(found) == sorted(saves) and sorted(found.values()) == [(1, "archived"), (2, "active")]
+
+
+def test_members_of_other_runs_are_not_read(own_lake, lake):
+    for name in FILLED:
+        own_lake.overwrite(lake.table(name), name)
+    cohort_sk = workflow.save_cohort(own_lake, RECORD, "pruned", "condition", "retrospective", as_of=AS_OF)
+    workflow.refresh_cohort(own_lake, cohort_sk, AS_OF)
+    newest, older = (r.run_id for r in own_lake.table("cohort_run").orderBy(F.col("finished_at").desc()).collect())
+    files = workflow.current_members(own_lake).inputFiles()
+    assert files and all(f"run_id={newest}" in file for file in files)
+    evidence = own_lake.table("cohort_evidence").filter(F.col("run_id") == older)  # a filter prunes the folders as well
+    assert "PartitionFilters: [isnotnull(run_id" in evidence._jdf.queryExecution().executedPlan().toString()
+    n = workflow.current_members(own_lake).count()
+    assert workflow.expire_runs(own_lake, keep=1) == 1 and workflow.expire_runs(own_lake, keep=1) == 0
+    assert [r.run_id for r in own_lake.table("cohort_run").collect()] == [newest] and workflow.current_members(own_lake).count() == n
+    assert own_lake.table("cohort_evidence").filter(F.col("run_id") == older).count() == 0
+    assert own_lake.log("cohort_member").vacuum(keep=1) == 1
+
+
 def test_extracted_rows_are_landed(lake, spark):
     rows = spark.createDataFrame([(1, 2, "a", None), (1, 3, None, 2.5)], "id int, line int, text string, value double")
     assert workflow.load_extract(lake, rows, "NOTE_LINE", ["id", "line"], "b1") == 2
