@@ -8,9 +8,6 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 # Term, entity type, code, code system, concept name.
 LEXICON = [
     ("type 2 diabetes mellitus", "problem", "E11.9", "ICD-10-CM", "Type 2 diabetes mellitus"),
@@ -64,110 +61,57 @@ LEXICON_SCHEMA = "term string, entity_type string, concept_code string, concept_
 
 # A line that opens with a heading in capitals starts a section, and so does a blank line, but for blank
 # lines right below a heading.
-SECTION_START = r"(?m)(^[A-Z][A-Z /&()]{3,}(?::?[ \t\r]*\n\s*)?|^[ \t\r]*\n)"
-HEADING = r"^([A-Z][A-Z /&()]{3,})"
-SECTION_MARK = "\u0002"
-# A sentence ends with its mark and the blank after it, or with the line.
-SENTENCE_END = r"([.!?;][ \t\n]|\n)"
-SENTENCE_MARK = "\u0001"
-
-# Cue words. A cue acts within its clause, however long that is. A clause word ends the scope of any cue before it.
-CLAUSE = r"(?i)\b(?:but|however|although|though|except|apart from|aside from)\b"
-# Verbs that assert something end the scope of an earlier negation only.
-ASSERTING = r"(?i)\b(?:has|have|had|reports|presents|complains|takes|continues)\b"
-# Phrases that look like a negation and are none; "rule out" is a question, not a finding.
-NOT_A_NEGATION = r"(?i)\b(?:no change|no increase|no further|no dose adjustment|not only|not certain|no doubt)\b"
-NEGATED_BEFORE = (
-    r"(?i)\b(?:no|not|denies|denied|denying|without|negative for|ruled out|absence of|free of|never|neither|nor|"
-    r"contraindicated)\b"
-)
-NEGATED_AFTER = (
-    r"(?i)^[^.,]*\b(?:ruled out|not initiated|not restarted|not started|not present|not seen|is absent|"
-    r"was negative|were negative|is contraindicated|contraindicated)\b"
-)
-UNCERTAIN_BEFORE = (
-    r"(?i)\b(?:rule out|r/o|possible|possibly|probable|suspected|suspicion of|suspicious for|cannot exclude|"
-    r"may represent|may be|may have|concern for|differential includes|questionable)\b"
-)
-UNCERTAIN_AFTER = r"(?i)^[^.,]*\b(?:suspected|cannot be excluded|is possible|not excluded|rule-out)\b"
-HYPOTHETICAL_BEFORE = (
-    r"(?i)\b(?:if|should|will consider|would consider|consider|in case of|risk of|risk for|progression to|"
-    r"warning signs of|signs of|to screen for|to prevent|defined as)\b"
-)
-HYPOTHETICAL_AFTER = r"(?i)^[^.,]*\b(?:develops|develop|defined as)\b"
-# "Signs of" is hypothetical in advice ("warning signs of") and a finding in "no signs of": negation wins anyway.
-# A history that still runs: these are taken out before the past is looked for.
-STILL_CURRENT = r"(?i)(?:\b\d+[- ]year history of|\bknown history of|\blong history of|\bhistory of present illness)"
-HISTORICAL_BEFORE = (
-    r"(?i)\b(?:history of|remote history|past|prior|previous|previously|former|formerly|years ago|status post)\b"
-)
-HISTORICAL_AFTER = r"(?i)^[^.,]*\b(?:in the past|years ago|years prior|resolved|fully healed)\b"
-FAMILY = (
-    r"(?i)\b(?:family history|family|mother|father|brother|sister|sibling|aunt|uncle|maternal|paternal|"
-    r"grandmother|grandfather|cousin|parents)\b"
-)
-FAMILY_AFTER = r"(?i)^[^.]*\bin (?:his|her|their) (?:mother|father|brother|sister|aunt|uncle|family)\b"
-OTHER_PERSON = r"(?i)\b(?:spouse|husband|wife|partner|roommate|friend|donor)\b"
+SECTION_START = re.compile(r"^[A-Z][A-Z /&()]{3,}(?::?[ \t\r]*\n\s*)?|^[ \t\r]*\n", re.M)
+HEADING = re.compile(r"[A-Z][A-Z /&()]{3,}")
+# A sentence ends with its mark and the blank after it, or with a line if the next one is an item of a list or opens with a label. Other line ends are blanks.
+SENTENCE_END = re.compile(r"[.!?;][ \t\r\n]|\n(?=[ \t]*(?:[-*\u2022\u2013]|\d+[.)]|[A-Z][A-Za-z /&()]{0,40}:))")
+
+
+def _any(*phrases: str) -> tuple[re.Pattern, frozenset[str]]:
+    """Any of the phrases as whole words, longer ones first (a blank stands for any white space); and the words they begin with."""
+    ordered = sorted(phrases, key=len, reverse=True)
+    pattern = re.compile(r"(?i)\b(?:" + "|".join(re.escape(p).replace(r"\ ", r"\s+") for p in ordered) + r")\b")
+    return pattern, frozenset(re.match(r"\w+", p).group() for p in phrases)
+
+
+# Cue words. A cue acts within its clause, however long that is. A clause word ends the scope of any cue before it. Cues behind a mention must
+# come before the next comma or full stop.
+_CUES = {
+    "clause": _any("but", "however", "although", "though", "except", "apart from", "aside from"),
+    # Verbs that assert something end the scope of an earlier negation only.
+    "asserting": _any("has", "have", "had", "reports", "presents", "complains", "takes", "continues"),
+    # Phrases that look like a negation and are none; "rule out" is a question, not a finding.
+    "not_a_negation": _any("no change", "no increase", "no further", "no dose adjustment", "not only", "not certain", "no doubt"),
+    "negated_before": _any(
+        "no", "not", "denies", "denied", "denying", "without", "negative for", "ruled out", "absence of", "free of", "never", "neither", "nor", "contraindicated"),
+    "negated_after": _any(
+        "ruled out", "not initiated", "not restarted", "not started", "not present", "not seen", "is absent", "was negative", "were negative", "is contraindicated",
+        "contraindicated"),
+    "uncertain_before": _any(
+        "rule out", "r/o", "possible", "possibly", "probable", "suspected", "suspicion of", "suspicious for", "cannot exclude", "may represent", "may be", "may have",
+        "concern for", "differential includes", "questionable"),
+    "uncertain_after": _any("suspected", "cannot be excluded", "is possible", "not excluded", "rule-out"),
+    # "Signs of" is hypothetical in advice ("warning signs of") and a finding in "no signs of": negation wins anyway.
+    "hypothetical_before": _any(
+        "if", "should", "will consider", "would consider", "consider", "in case of", "risk of", "risk for", "progression to", "warning signs of", "signs of",
+        "to screen for", "to prevent", "defined as"),
+    "hypothetical_after": _any("develops", "develop", "defined as"),
+    # A history that still runs isn't the past.
+    "still_current": (re.compile(r"(?i)\b(?:\d+[-\s]year\s+history\s+of|(?:known|long)\s+history\s+of|history\s+of\s+present\s+illness)"), frozenset(["history"])),
+    "historical_before": _any("history of", "remote history", "past", "prior", "previous", "previously", "former", "formerly", "years ago", "status post"),
+    "historical_after": _any("in the past", "years ago", "years prior", "resolved", "fully healed"),
+    "family": _any(
+        "family history", "family", "mother", "father", "brother", "sister", "sibling", "aunt", "uncle", "maternal", "paternal", "grandmother", "grandfather", "cousin",
+        "parents"),
+    "family_after": (re.compile(r"(?i)\bin\s+(?:his|her|their)\s+(?:mother|father|brother|sister|aunt|uncle|family)\b"), frozenset(["in"])),
+    "other_person": _any("spouse", "husband", "wife", "partner", "roommate", "friend", "donor"),
+    "stop": (re.compile(r"[.,]"), None),
+    "dot": (re.compile(r"\."), None),
+}
+CUES = {name: pattern for name, (pattern, _) in _CUES.items()}
+# Words of which a sentence must hold one for a kind of cue to be looked for.
+CUE_WORDS = {name: words for name, (_, words) in _CUES.items() if words is not None}
+# Cues that don't count inside a match of another kind.
+VOID_INSIDE = {"negated_before": "not_a_negation", "historical_before": "still_current"}
 FAMILY_SECTION = "FAMILY"
 NEGATIVE_SECTION = "NEGATIVE"
-
-
-def is_word_character(character: str) -> bool:
-    return character.isalnum() or character == "_"
-
-
-def term_pattern(terms: list[str]) -> str:
-    """Pattern for any of the terms; the longest term at a place wins.
-
-    Where a term begins or ends with a letter or digit, none may stand next to it; a term's edge of another kind needs no boundary.
-    Terms are grouped by their first letter, so at most words only one letter is compared per group. Terms without any letter or digit are left out.
-    Case is ignored, beyond ASCII only where a term needs it. Without terms nothing matches.
-    """
-    groups: dict[str, list[str]] = {}
-    for term in sorted(set(terms), key=lambda t: (-len(t), t)):
-        if any(map(is_word_character, term)):
-            plain = [re.sub(r"([.^$*+?{}\[\]\\|()])", r"\\\1", part) for part in (term[0], term[1:])]
-            first = (r"\b" if is_word_character(term[0]) else "") + plain[0]
-            groups.setdefault(first, []).append(plain[1] + (r"\b" if is_word_character(term[-1]) else ""))
-    if not groups:
-        return r"[^\s\S]"
-    alternatives = [first + "(?:" + "|".join(rest) + ")" for first, rest in sorted(groups.items())]
-    flags = "(?i)" if all(term.isascii() for term in terms) else "(?iu)"
-    return flags + "(?:" + "|".join(alternatives) + ")"
-
-
-def after_last(text: Column, pattern: str) -> Column:
-    """The part of a text behind the last match of a pattern; the whole text without a match."""
-    return F.element_at(F.split(text, pattern, -1), -1)
-
-
-def before_first(text: Column, pattern: str) -> Column:
-    return F.split(text, pattern, 2)[0]
-
-
-def assertion(left: Column, right: Column, section: Column) -> dict[str, Column]:
-    """negation, certainty, temporality and subject of a mention.
-
-    `left` and `right` are what stands before and after it in its clause, `section` the section heading.
-    """
-    negation_scope = F.regexp_replace(after_last(left, ASSERTING), NOT_A_NEGATION, " ")
-    negated = (
-        F.regexp_like(negation_scope, F.lit(NEGATED_BEFORE)) | F.regexp_like(right, F.lit(NEGATED_AFTER))
-        | F.startswith(section, F.lit(NEGATIVE_SECTION))
-    )
-    hypothetical = F.regexp_like(left, F.lit(HYPOTHETICAL_BEFORE)) | F.regexp_like(right, F.lit(HYPOTHETICAL_AFTER))
-    uncertain = F.regexp_like(left, F.lit(UNCERTAIN_BEFORE)) | F.regexp_like(right, F.lit(UNCERTAIN_AFTER))
-    family = (
-        F.regexp_like(left, F.lit(FAMILY)) | F.regexp_like(right, F.lit(FAMILY_AFTER))
-        | F.contains(section, F.lit(FAMILY_SECTION))
-    )
-    historical = (
-        F.regexp_like(F.regexp_replace(left, STILL_CURRENT, " "), F.lit(HISTORICAL_BEFORE))
-        | F.regexp_like(right, F.lit(HISTORICAL_AFTER))
-    )
-    return {
-        "negation": negated,
-        "certainty": F.when(negated, "negated").when(hypothetical, "hypothetical").when(uncertain, "uncertain").otherwise("positive"),
-        "temporality": F.when(family, "family").when(historical, "historical").otherwise("current"),
-        "subject": F.when(family, "family").when(F.regexp_like(left, F.lit(OTHER_PERSON)), "other").otherwise("patient"),
-    }

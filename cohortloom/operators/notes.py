@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
+import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from cohortloom.functions import assertion as ctx
+from cohortloom.functions.mentions import Lexicon, mentions
 from cohortloom.operators.criteria import trusted_mention
 from cohortloom.schemas import MENTION, PAGE_SIZE, RESPONSE_BODY
+from cohortloom.session import ship_package
 
 DEFAULT_CONFIDENCE = 0.8
-# Up to this many terms the lexicon is matched as one pattern; a longer one is joined on word windows.
-PATTERN_TERMS = 2000
-# Up to this many terms (some tens of MB) the joined lexicon is broadcast.
-BROADCAST_TERMS = 500_000
 
 
 # --- which notes, and what is asked -----------------------------------------------------------------
@@ -143,184 +143,76 @@ def run_user_function(notes: DataFrame, extract: Callable[[Iterable[pd.DataFrame
     return notes.select("note_sk", "note_category", "note_text").mapInPandas(extract, ANSWER_SCHEMA)
 
 
-def _pieces(text: Column, pattern: str, mark: str) -> Column:
-    """Cut a text behind every match of the pattern; the pieces put together give the text again."""
-    return F.split(F.regexp_replace(text, pattern, "$1" + mark), mark, -1)
-
-
-# Pieces are numbered in chunks of this many, so the work grows with the number of pieces, not its square.
-_CHUNK = 256
-
-
-def _with_starts(pieces: Column, element: str, length: Callable[[Column], Column], wanted: Callable[[Column], Column] | None = None) -> Column:
-    """Array of (piece, start): every piece with the total length before it, or only the wanted ones."""
-    nothing = F.array().cast(f"array<struct<piece:{element},start:int>>")
-
-    def step(state: Column, piece: Column) -> Column:
-        out = F.array_append(state["out"], F.struct(piece.alias("piece"), state["at"].alias("start")))
-        if wanted is not None:
-            out = F.when(wanted(piece), out).otherwise(state["out"])
-        return F.struct((state["at"] + length(piece)).alias("at"), out.alias("out"))
-
-    return F.aggregate(pieces, F.struct(F.lit(0).alias("at"), nothing.alias("out")), step)["out"]
-
+# Notes are matched against one lexicon that every Python worker holds: at most so many terms.
+MOST_TERMS = 2_000_000
+# Concepts of up to this many terms (some tens of MB) are broadcast to the mentions found.
+BROADCAST_TERMS = 500_000
+_FOUND = "_term string, covered_text string, span_start int, span_end int, negation boolean, certainty string, temporality string, subject string"
+# Mentions handed on at a time.
+_ROWS = 20_000
+# The lexicon a Python worker has prepared last.
+_PREPARED: dict[int, Lexicon] = {}
 
-def _placed(
-    df: DataFrame, keep: list[str], pieces: str, element: str = "string", length: Callable[[Column], Column] = F.length,
-    wanted: Callable[[Column], Column] | None = None,
-) -> DataFrame:
-    """One row per piece (or per wanted piece) of the array column `pieces`, with its start."""
-    all_pieces = F.col(pieces)
-    firsts = F.sequence(F.lit(1), F.size(all_pieces), F.lit(_CHUNK))
-    chunks = F.transform(firsts, lambda first: F.slice(all_pieces, first, _CHUNK))
-    total = lambda chunk: F.aggregate(chunk, F.lit(0), lambda so_far, piece: so_far + length(piece))
-    sized = F.transform(F.col("_chunks"), lambda chunk: F.struct(chunk.alias("chunk"), total(chunk).alias("size")))
-    by_chunk = (
-        df.select(*keep, chunks.alias("_chunks")).select(*keep, sized.alias("_sized"))
-        .select(*keep, F.inline(_with_starts(F.col("_sized"), f"struct<chunk:array<{element}>,size:int>", lambda c: c["size"])))
-        .select(*keep, F.col("piece.chunk").alias("_chunk"), F.col("start").alias("_chunk_start"))
-    )
-    return by_chunk.select(
-        *keep, "_chunk_start", F.inline(_with_starts(F.col("_chunk"), element, length, wanted))
-    ).select(*keep, "piece", (F.col("_chunk_start") + F.col("start")).alias("start"))
 
+def _prepared(terms: Broadcast) -> Lexicon:
+    if id(terms.value) not in _PREPARED:
+        _PREPARED.clear()
+        _PREPARED[id(terms.value)] = Lexicon(terms.value)
+    return _PREPARED[id(terms.value)]
 
-def sentences(notes: DataFrame, containing: str | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Sentences of each note with their offset and section heading, and the note columns to carry along.
 
-    With `containing`, only sentences that match the pattern (their offsets are those in the whole note).
-    """
-    sections = F.split(F.regexp_replace("note_text", ctx.SECTION_START, ctx.SECTION_MARK + "$1"), ctx.SECTION_MARK, -1)
+def find_mentions(notes: DataFrame, terms: list[str], carry: tuple[str, ...] = ()) -> DataFrame:
+    """note_sk, the note columns in `carry`, and the columns of _FOUND of every mention of the terms. Notes without text have none."""
+    shipped = notes.sparkSession.sparkContext.broadcast(terms)
     keys = ["note_sk", *carry]
-    by_section = _placed(notes.select(*keys, sections.alias("_sections")), keys, "_sections").select(
-        *keys, F.col("start").alias("section_start"), F.trim(F.regexp_extract("piece", ctx.HEADING, 1)).alias("section"),
-        _pieces(F.col("piece"), ctx.SENTENCE_END, ctx.SENTENCE_MARK).alias("_sentences"),
-    )
-    wanted = None if containing is None else (lambda sentence: F.regexp_like(sentence, F.lit(containing)))
-    return _placed(by_section, [*keys, "section", "section_start"], "_sentences", wanted=wanted).select(
-        *keys, "section", (F.col("section_start") + F.col("start")).alias("sentence_start"), F.col("piece").alias("sentence")
-    )
-
-
-_PAIR = "struct<found:string,gap:string>"
-
-
-def _pairs(text: str, pattern: str) -> Column:
-    """Each match with the text before it; the text after the last match comes with an empty match."""
-    return F.zip_with(
-        F.regexp_extract_all(text, F.lit(pattern), 0), F.split(text, pattern, -1),
-        lambda found, gap: F.struct(F.coalesce(found, F.lit("")).alias("found"), gap.alias("gap")),
-    )
 
-
-def _pair_length(pair: Column) -> Column:
-    return F.length(pair["gap"]) + F.length(pair["found"])
-
-
-def _found_by_pattern(notes: DataFrame, pattern: str, carry: tuple[str, ...]) -> DataFrame:
-    """Mentions by one pattern over all terms: (note_sk, section, sentence_start, sentence, offset, found)."""
-    hits = sentences(notes.filter(F.regexp_like("note_text", F.lit(pattern))), pattern, carry)
-    keep = ["note_sk", *carry, "section", "sentence_start", "sentence"]
-    placed = _placed(
-        hits.withColumn("_pairs", _pairs("sentence", pattern)), keep, "_pairs", _PAIR, _pair_length,
-        lambda pair: pair["found"] != "",
-    )
-    return placed.select(*keep, "piece.found", (F.col("start") + F.length("piece.gap")).alias("offset"))
-
-
-# Letters and digits of any script, as the word boundary of the pattern sees them.
-_WORD_CHARACTER = r"[\p{L}\p{Nd}_]"
-_WORD = _WORD_CHARACTER + "+"
-
-
-def _found_by_join(notes: DataFrame, lexicon: DataFrame, carry: tuple[str, ...]) -> DataFrame:
-    """The same mentions for a lexicon of any length: words joined to the first word of the terms.
-
-    The terms are broadcast up to a counted limit and shuffled beyond it. Overlapping candidates are
-    settled per sentence from left to right, longest first.
-    """
-    term = F.lower("term")
-    terms = lexicon.select(
-        term.alias("_term"), F.regexp_extract(term, _WORD, 0).alias("_first"), F.length(F.split(term, _WORD, 2)[0]).alias("_lead"),
-        F.regexp_like(F.substring(term, -1, 1), F.lit(_WORD_CHARACTER)).alias("_closed"),
-    ).filter("_first <> ''").distinct()
-    if terms.limit(BROADCAST_TERMS + 1).count() <= BROADCAST_TERMS:
-        terms = F.broadcast(terms)
-    keep = ["note_sk", *carry, "section", "sentence_start", "sentence"]
-    words = F.regexp_extract_all("sentence", F.lit(_WORD), 0)
-    before = F.slice(F.col("_pairs"), 1, F.col("_place"))
-    candidates = (
-        sentences(notes, carry=carry).select(*keep, F.posexplode(words).alias("_place", "_word"))
-        .join(terms, F.lower("_word") == F.col("_first"))
-        .withColumn("_pairs", _pairs("sentence", _WORD))
-        .withColumn(
-            "offset",
-            F.aggregate(before, F.lit(0), lambda total, pair: total + _pair_length(pair))
-            + F.length(F.get(F.col("_pairs"), F.col("_place"))["gap"]) - F.col("_lead"),
-        )
-        .filter("offset >= 0")
-        .withColumn("_end", F.col("offset") + F.length("_term"))
-        .filter(
-            (F.lower(F.substring("sentence", F.col("offset") + 1, F.length("_term"))) == F.col("_term"))
-            & ~(F.col("_closed") & F.regexp_like(F.substring("sentence", F.col("_end") + 1, F.lit(1)), F.lit(_WORD_CHARACTER)))
-        )
-    )
-    ordered = F.array_sort(F.collect_list(F.struct("offset", (-F.col("_end")).alias("_negative_end"))))
-    kept = F.aggregate(
-        "_candidates",
-        F.struct(F.lit(0).alias("until"), F.array().cast("array<struct<offset:int,_negative_end:int>>").alias("out")),
-        lambda state, c: F.when(
-            c["offset"] >= state["until"],
-            F.struct((-c["_negative_end"]).alias("until"), F.array_append(state["out"], c).alias("out")),
-        ).otherwise(state),
-    )["out"]
-    return (
-        candidates.groupBy("note_sk", *carry, "sentence_start")
-        .agg(F.first("section").alias("section"), F.first("sentence").alias("sentence"), ordered.alias("_candidates"))
-        .select(*keep, F.inline(kept))
-        .select(
-            *keep,
-            F.substring("sentence", F.col("offset") + 1, -F.col("_negative_end") - F.col("offset")).alias("found"), "offset",
-        )
-    )
-
-
-def extract_mentions(
-    notes: DataFrame, lexicon: DataFrame | None = None, pattern_terms: int = PATTERN_TERMS, carry: tuple[str, ...] = ()
-) -> DataFrame:
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = _prepared(shipped)
+        for batch in batches:
+            at, found = [], []
+            for i, text in enumerate(batch.column("note_text").to_pylist()):
+                for mention in mentions(text, lexicon):
+                    at.append(i)
+                    found.append(mention)
+                    if len(found) == _ROWS:
+                        yield _batch(batch, keys, at, found)
+                        at, found = [], []
+            if found:
+                yield _batch(batch, keys, at, found)
+
+    texts = notes.filter(F.col("note_text").isNotNull()).select(*keys, "note_text")
+    schema = T.StructType([*[texts.schema[name] for name in keys], *T.StructType.fromDDL(_FOUND)])
+    return texts.mapInArrow(find, schema)
+
+
+def _batch(batch: pa.RecordBatch, keys: list[str], at: list[int], found: list[tuple]) -> pa.RecordBatch:
+    kinds = [pa.string(), pa.string(), pa.int32(), pa.int32(), pa.bool_(), pa.string(), pa.string(), pa.string()]
+    names = [name.split()[0] for name in _FOUND.split(", ")]
+    columns = [batch.column(name).take(pa.array(at)) for name in keys] + [pa.array(values, kind) for values, kind in zip(zip(*found), kinds)]
+    return pa.RecordBatch.from_arrays(columns, [*keys, *names])
+
+
+def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, carry: tuple[str, ...] = ()) -> DataFrame:
     """Mentions of lexicon terms with offsets, code and assertion attributes, and the note columns in `carry` (such as patient_sk).
 
-    Longest term first, left to right, within sentences. All work is per note: nothing is shuffled
-    unless the lexicon is too long for one pattern.
+    Longest term first, left to right, within sentences; one way for lexicons of every length up to MOST_TERMS (more is an error). All work is per note: nothing
+    is shuffled unless the lexicon has too many concepts to be broadcast. Terms that differ in case or white space only are one term with several concepts;
+    null and blank terms and those without any letter or digit are left out.
     """
     spark = notes.sparkSession
+    ship_package(spark)
     if lexicon is None:
         lexicon = spark.createDataFrame(ctx.LEXICON, ctx.LEXICON_SCHEMA).coalesce(1)
-    lexicon = lexicon.filter(F.trim("term") != "")
-    terms = [row["term"] for row in lexicon.select(F.lower("term").alias("term")).limit(pattern_terms + 1).collect()]
-    concepts = lexicon.select(
-        F.lower("term").alias("_term"), "entity_type", "concept_code", "concept_system", "concept_display"
-    )
-    if len(terms) <= pattern_terms:
-        found = _found_by_pattern(notes, ctx.term_pattern(terms), carry)
+    term = F.lower(F.regexp_replace(F.trim("term"), r"\s+", " "))
+    concepts = lexicon.select(term.alias("_term"), "entity_type", "concept_code", "concept_system", "concept_display").filter("_term <> ''")
+    terms = [row["_term"] for row in concepts.select("_term").distinct().limit(MOST_TERMS + 1).collect()]
+    if len(terms) > MOST_TERMS:
+        raise ValueError(f"a lexicon holds at most {MOST_TERMS} terms")
+    if len(terms) <= BROADCAST_TERMS:
         concepts = F.broadcast(concepts)
-    else:
-        found = _found_by_join(notes, lexicon, carry)
-    before = F.substring("sentence", F.lit(1), F.col("offset"))
-    after = F.substring("sentence", F.col("offset") + F.length("found") + 1, F.length("sentence"))
-    scoped = found.withColumns({
-        "_left": ctx.after_last(before, ctx.CLAUSE), "_right": ctx.before_first(after, ctx.CLAUSE)
-    })
-    start = F.col("sentence_start") + F.col("offset")
-    return (
-        scoped.withColumns(ctx.assertion(F.col("_left"), F.col("_right"), F.col("section")))
-        .join(concepts, F.lower("found") == F.col("_term"))
-        .select(
-            "note_sk", *carry, "entity_type", F.col("found").alias("covered_text"), start.cast("int").alias("span_start"),
-            (start + F.length("found")).cast("int").alias("span_end"), "concept_code", "concept_system",
-            "concept_display", "negation", "certainty", "temporality", "subject",
-            F.lit(DEFAULT_CONFIDENCE).alias("confidence"),
-        )
+    return find_mentions(notes, terms, carry).join(concepts, "_term").select(
+        "note_sk", *carry, "entity_type", "covered_text", "span_start", "span_end", "concept_code", "concept_system", "concept_display", "negation", "certainty",
+        "temporality", "subject", F.lit(DEFAULT_CONFIDENCE).alias("confidence"),
     )
 
 

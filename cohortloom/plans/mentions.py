@@ -138,49 +138,71 @@ def trusted_listing(spark, sf_dir):
 
 # --- the rule-based extractor ----------------------------------------------------------------------------
 
-_TERMS = ctx.term_pattern([row[0] for row in ctx.LEXICON])
-
-
-def _re(pattern: str) -> str:
-    """A pattern as SQL text for an engine whose patterns know no look-around (none is used)."""
-    return sql_text(pattern)
-
+# The oracle's own words and patterns, stated apart from those of the extractor, so that the two can disagree. Here cues are looked for in the text before
+# and behind each mention; the extractor lists those of a sentence once. Patterns of this engine know no look-around.
+_W = "[[:space:]]+"
+_TERMS = "(?i)(?:" + "|".join(rf"\b{term.replace(' ', _W)}\b" for term in sorted((row[0] for row in ctx.LEXICON), key=len, reverse=True)) + ")"
+_SECTION = r"(?m)(^[A-Z][A-Z /&()]{3,}(?::?[ \t\r]*\n\s*)?|^[ \t\r]*\n)"
+_MARKED_END = r"([.!?;][ \t\r\n])"
+_LISTED = r"\n([ \t]*(?:[-*•–]|[0-9]+[.)]|[A-Z][A-Za-z /&()]{0,40}:))"
+
+
+def _cues(words: str, behind: str = "") -> str:
+    """Any of the words (divided by bars, blanks are any white space), as SQL text."""
+    return sql_text(rf"(?i){behind}\b(?:{words.replace(' ', _W)})\b")
+
+
+_CLAUSE = _cues("but|however|although|though|except|apart from|aside from")
+_ASSERTING = _cues("has|have|had|reports|presents|complains|takes|continues")
+_NO_NEGATION = _cues("no change|no increase|no further|no dose adjustment|not only|not certain|no doubt")
+_NEGATED = _cues("no|not|denies|denied|denying|without|negative for|ruled out|absence of|free of|never|neither|nor|contraindicated")
+_NEGATED_BEHIND = _cues("ruled out|not (?:initiated|restarted|started|present|seen)|is absent|(?:was|were) negative|is contraindicated|contraindicated", "^[^.,]*")
+_UNCERTAIN = _cues("rule out|r/o|possible|possibly|probable|suspected|suspicion of|suspicious for|cannot exclude|may (?:represent|be|have)|concern for|differential includes|questionable")
+_UNCERTAIN_BEHIND = _cues("suspected|cannot be excluded|is possible|not excluded|rule-out", "^[^.,]*")
+_HYPOTHETICAL = _cues("if|should|will consider|would consider|consider|in case of|risk (?:of|for)|progression to|(?:warning )?signs of|to screen for|to prevent|defined as")
+_HYPOTHETICAL_BEHIND = _cues("develops|develop|defined as", "^[^.,]*")
+_RUNNING = _cues("[0-9]+-year history of|[0-9]+ year history of|known history of|long history of|history of present illness")
+_PAST = _cues("history of|remote history|past|prior|previous|previously|former|formerly|years ago|status post")
+_PAST_BEHIND = _cues("in the past|years (?:ago|prior)|resolved|fully healed", "^[^.,]*")
+_FAMILY = _cues("family history|family|mother|father|brother|sister|sibling|aunt|uncle|maternal|paternal|grandmother|grandfather|cousin|parents")
+_FAMILY_BEHIND = _cues("in (?:his|her|their) (?:mother|father|brother|sister|aunt|uncle|family)", "^[^.]*")
+_OTHER = _cues("spouse|husband|wife|partner|roommate|friend|donor")
 
 # Whole notes: sections, sentences, then every match of the term pattern with its place.
 _FOUND_SQL = ", " + values_view("lexicon", "term, entity_type, concept_code, concept_system, concept_display", ctx.LEXICON) + f""", section AS (
   SELECT note_sk, pieces, unnest(range(len(pieces))) AS i
-  FROM (SELECT note_sk, string_split(regexp_replace(note_text, {_re(ctx.SECTION_START)}, chr(2) || '\\1', 'g'), chr(2)) AS pieces
+  FROM (SELECT note_sk, string_split(regexp_replace(note_text, {sql_text(_SECTION)}, chr(2) || '\\1', 'g'), chr(2)) AS pieces
         FROM clinical_note) AS s),
 sentence AS (
   SELECT note_sk, section_start, section, parts, unnest(range(len(parts))) AS j
   FROM (SELECT note_sk, coalesce(list_sum(list_transform(pieces[1:i], lambda x: length(x))), 0) AS section_start,
-               trim(regexp_extract(pieces[i + 1], {_re(ctx.HEADING)}, 1)) AS section,
-               string_split(regexp_replace(pieces[i + 1], {_re(ctx.SENTENCE_END)}, '\\1' || chr(1), 'g'), chr(1)) AS parts
+               trim(regexp_extract(pieces[i + 1], '^([A-Z][A-Z /&()]{{3,}})', 1)) AS section,
+               string_split(regexp_replace(regexp_replace(pieces[i + 1], {sql_text(_MARKED_END)}, '\\1' || chr(1), 'g'), {sql_text(_LISTED)}, chr(10) || chr(1) || '\\1', 'g'), chr(1)) AS parts
         FROM section) AS t),
 hit AS (
   SELECT note_sk, section, parts[j + 1] AS sentence,
          section_start + coalesce(list_sum(list_transform(parts[1:j], lambda x: length(x))), 0) AS sentence_start
-  FROM sentence WHERE regexp_matches(parts[j + 1], {_re(_TERMS)})),
+  FROM sentence WHERE regexp_matches(parts[j + 1], {sql_text(_TERMS)})),
 place AS (
   SELECT *, unnest(range(len(found))) AS k
-  FROM (SELECT *, regexp_extract_all(sentence, {_re(_TERMS)}) AS found, string_split_regex(sentence, {_re(_TERMS)}) AS gaps FROM hit) AS h),
+  FROM (SELECT *, regexp_extract_all(sentence, {sql_text(_TERMS)}) AS found, string_split_regex(sentence, {sql_text(_TERMS)}) AS gaps FROM hit) AS h),
 mention AS (
   SELECT note_sk, section, sentence, sentence_start, found[k + 1] AS covered_text,
          list_sum(list_transform(gaps[1:k + 1], lambda x: length(x))) + coalesce(list_sum(list_transform(found[1:k], lambda x: length(x))), 0) AS place
   FROM place),
 scoped AS (
-  SELECT *, string_split_regex(substr(sentence, 1, CAST(place AS BIGINT)), {_re(ctx.CLAUSE)})[-1] AS lft,
-         string_split_regex(substr(sentence, CAST(place AS BIGINT) + length(covered_text) + 1), {_re(ctx.CLAUSE)})[1] AS rgt
+  SELECT *, string_split_regex(substr(sentence, 1, CAST(place AS BIGINT)), {_CLAUSE})[-1] AS lft,
+         string_split_regex(substr(sentence, CAST(place AS BIGINT) + length(covered_text) + 1), {_CLAUSE})[1] AS rgt
   FROM mention),
 flagged AS (
-  SELECT *, regexp_matches(regexp_replace(string_split_regex(lft, {_re(ctx.ASSERTING)})[-1], {_re(ctx.NOT_A_NEGATION)}, ' ', 'g'), {_re(ctx.NEGATED_BEFORE)})
-           OR regexp_matches(rgt, {_re(ctx.NEGATED_AFTER)}) OR starts_with(section, 'NEGATIVE') AS negation,
-         regexp_matches(lft, {_re(ctx.HYPOTHETICAL_BEFORE)}) OR regexp_matches(rgt, {_re(ctx.HYPOTHETICAL_AFTER)}) AS hypothetical,
-         regexp_matches(lft, {_re(ctx.UNCERTAIN_BEFORE)}) OR regexp_matches(rgt, {_re(ctx.UNCERTAIN_AFTER)}) AS uncertain,
-         regexp_matches(lft, {_re(ctx.FAMILY)}) OR regexp_matches(rgt, {_re(ctx.FAMILY_AFTER)}) OR contains(section, 'FAMILY') AS family,
-         regexp_matches(regexp_replace(lft, {_re(ctx.STILL_CURRENT)}, ' ', 'g'), {_re(ctx.HISTORICAL_BEFORE)})
-           OR regexp_matches(rgt, {_re(ctx.HISTORICAL_AFTER)}) AS historical,
-         regexp_matches(lft, {_re(ctx.OTHER_PERSON)}) AS other_person
+  SELECT *, regexp_matches(regexp_replace(string_split_regex(lft, {_ASSERTING})[-1], {_NO_NEGATION}, ' ', 'g'), {_NEGATED})
+           OR regexp_matches(rgt, {_NEGATED_BEHIND}) OR starts_with(section, 'NEGATIVE') AS negation,
+         regexp_matches(lft, {_HYPOTHETICAL}) OR regexp_matches(rgt, {_HYPOTHETICAL_BEHIND}) AS hypothetical,
+         regexp_matches(lft, {_UNCERTAIN}) OR regexp_matches(rgt, {_UNCERTAIN_BEHIND}) AS uncertain,
+         regexp_matches(lft, {_FAMILY}) OR regexp_matches(rgt, {_FAMILY_BEHIND}) OR contains(section, 'FAMILY') AS family,
+         regexp_matches(regexp_replace(lft, {_RUNNING}, ' ', 'g'), {_PAST})
+           OR regexp_matches(rgt, {_PAST_BEHIND}) AS historical,
+         regexp_matches(lft, {_OTHER}) AS other_person
   FROM scoped),
 extracted AS (
   SELECT note_sk, entity_type, covered_text, CAST(sentence_start + place AS INT) AS span_start,
@@ -188,7 +210,7 @@ extracted AS (
          negation, CASE WHEN negation THEN 'negated' WHEN hypothetical THEN 'hypothetical' WHEN uncertain THEN 'uncertain' ELSE 'positive' END AS certainty,
          CASE WHEN family THEN 'family' WHEN historical THEN 'historical' ELSE 'current' END AS temporality,
          CASE WHEN family THEN 'family' WHEN other_person THEN 'other' ELSE 'patient' END AS subject, CAST(0.8 AS DOUBLE) AS confidence
-  FROM flagged JOIN lexicon ON lower(covered_text) = term)"""
+  FROM flagged JOIN lexicon ON lower(regexp_replace(covered_text, '\\s+', ' ', 'g')) = term)"""
 
 
 @query("extracted_mentions", with_views("clinical_note", then=_FOUND_SQL + "\nSELECT * FROM extracted"))
@@ -199,8 +221,11 @@ def extracted_mentions(spark, sf_dir):
 
 @query("mentions_of_long_lexicon", with_views("clinical_note", then=_FOUND_SQL + "\nSELECT * FROM extracted"))
 def mentions_of_long_lexicon(spark, sf_dir):
-    """The same mentions by joining words to terms, as is done for a lexicon too long for one pattern."""
-    return notes.extract_mentions(clinical_view(spark, sf_dir, "clinical_note"), pattern_terms=0)
+    """The same mentions with a lexicon of 600,000 terms more that no note holds, though they begin like some that are found."""
+    lexicon = spark.createDataFrame(ctx.LEXICON, ctx.LEXICON_SCHEMA)
+    more = spark.range(600_000).selectExpr(
+        "concat('diabetes grade', id % 1000, ' stage', id) AS term", "'problem' AS entity_type", "concat('X', id) AS concept_code", "'own' AS concept_system", "'none' AS concept_display")
+    return notes.extract_mentions(clinical_view(spark, sf_dir, "clinical_note"), lexicon.unionByName(more))
 
 
 @query("cohort_from_notes", with_views("clinical_note", "patient", then=_FOUND_SQL + """

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -52,3 +54,20 @@ def checkpoint_folder(spark: SparkSession) -> str:
     folder = "file://" + tempfile.mkdtemp(prefix="run-checkpoint-", dir="/tmp")
     spark.sparkContext.setCheckpointDir(folder)
     return folder
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors' Python workers this package (as --py-files would), once for each application."""
+    context = spark.sparkContext
+    if context.applicationId in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    archive = Path(context._temp_dir) / f"{package.name}-core.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted(package.rglob("*.py")):
+            out.write(path, path.relative_to(package.parent))
+    context.addPyFile(str(archive))
+    _SHIPPED.add(context.applicationId)

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -194,9 +195,9 @@ def test_golden_sentences(spark):
 
 
 def test_mentions_by_brute_force(spark):
-    """Both ways of finding terms against a plain scan, on texts with overlapping terms and odd separators."""
+    """Terms found against a plain scan, on texts with overlapping terms and odd separators."""
     rng = random.Random(7)
-    words = ["diabetes", "type 2", "mellitus", "Type 2 Diabetes", "prediabetes", "cough", "dry cough", "coughs", "x", ".", ";", "\n", "é", "insulin", "glargine", "-", "DRY"]
+    words = ["diabetes", "type 2", "mellitus", "Type 2 Diabetes", "prediabetes", "cough", "dry cough", "coughs", "x", ".", ";", "é", "insulin", "glargine", "-", "DRY"]
     texts = ["".join(rng.choice(words) + rng.choice([" ", " ", "", ". ", "\n"]) for _ in range(rng.randrange(0, 60))) for _ in range(60)]
     terms = sorted((row[0] for row in assertion.LEXICON), key=len, reverse=True)
 
@@ -205,9 +206,10 @@ def test_mentions_by_brute_force(spark):
         letter = lambda i: 0 <= i < len(note) and (note[i].isalnum() or note[i] == "_")
         while at < len(note):
             for term in terms:
-                if note[at:at + len(term)].lower() == term and not letter(at - 1) and not letter(at + len(term)):
-                    found.append((note[at:at + len(term)], at))
-                    at += len(term)
+                here = re.compile(term.replace(" ", r"\s+"), re.I).match(note, at)
+                if here and not letter(at - 1) and not letter(here.end()):
+                    found.append((here.group(), at))
+                    at = here.end()
                     break
             else:
                 at += 1
@@ -215,9 +217,8 @@ def test_mentions_by_brute_force(spark):
 
     df = spark.createDataFrame(list(enumerate(texts)), "note_sk long, note_text string")
     want = sorted((i, t, a) for i, note in enumerate(texts) for t, a in scan(note))
-    for limit in (2000, 0):
-        got = sorted((r.note_sk, r.covered_text, r.span_start) for r in notes.extract_mentions(df, pattern_terms=limit).collect())
-        assert set(got) ^ set(want) == set() and got == want and len(want) > 100
+    got = sorted((r.note_sk, r.covered_text, r.span_start) for r in notes.extract_mentions(df).collect())
+    assert set(got) ^ set(want) == set() and got == want and len(want) > 100
 
 
 # --- answers ------------------------------------------------------------------------------------------
@@ -532,9 +533,8 @@ def test_own_lexicons(spark):
         ("épilepsie", "problem", "G40", "x", "a"), ("bêta-bloquant", "medication", "B", "x", "b"), ("HTA", "problem", "I10", "x", "c"),
         ("hta", "problem", "I10.0", "x", "d"), (None, "problem", "?", "x", "e"), ("  ", "problem", "?", "x", "f"),
     ], schema)
-    for limit in (2000, 0):
-        got = rows(notes.extract_mentions(df, lexicon, limit).select("covered_text", "span_start", "concept_code", "certainty"))
-        assert got == [("Bêta-bloquant", 20, "B", "positive"), ("HTA", 36, "I10", "positive"), ("HTA", 36, "I10.0", "positive"), ("ÉPILEPSIE", 3, "G40", "negated")]
+    got = rows(notes.extract_mentions(df, lexicon).select("covered_text", "span_start", "concept_code", "certainty"))
+    assert got == [("Bêta-bloquant", 20, "B", "positive"), ("HTA", 36, "I10", "positive"), ("HTA", 36, "I10.0", "positive"), ("ÉPILEPSIE", 3, "G40", "negated")]
     assert notes.extract_mentions(df, lexicon.limit(0)).count() == 0
 
 
@@ -558,30 +558,74 @@ def test_long_notes_take_time_in_proportion(spark):
 # --- the whole sentence counts, for every lexicon and every way an expression is written ----------------------------
 
 
-def found_by_both(spark, text, lexicon=None):
+def found_in(spark, text, lexicon=None):
     frame = None if lexicon is None else spark.createDataFrame([(t, "x", t, "own", t) for t in lexicon], assertion.LEXICON_SCHEMA)
     rows = spark.createDataFrame([(1, text)], "note_sk long, note_text string")
-    both = [sorted(map(tuple, notes.extract_mentions(rows, frame, n).collect()), key=str) for n in (2000, 0)]
-    assert both[0] == both[1]
-    return both[0]
+    return sorted(map(tuple, notes.extract_mentions(rows, frame).collect()), key=str)
 
 
 def test_a_cue_acts_over_a_whole_sentence_however_long(spark):
     for items in (1, 80):
         text = "Patient denies " + ", ".join(f"complaint number {i}" for i in range(items)) + ", chest pain and fever."
-        found = found_by_both(spark, text)
+        found = found_in(spark, text)
         assert len(found) == 2 and all(row[8] for row in found)
     after = "Pneumonia " + "as it was thought of at the time of the first visit to the ward by the doctor " * 2 + "was negative"
-    assert found_by_both(spark, after)[0][8]
+    assert found_in(spark, after)[0][8]
 
 
 def test_terms_with_edges_that_are_no_letters(spark):
     text = "On vitamin b12 (cyanocobalamin), hba1c % high, (hiv) and coughs, cough."
-    found = found_by_both(spark, text, ["vitamin b12 (cyanocobalamin)", "hba1c %", "(hiv)", "cough", "%%"])
+    found = found_in(spark, text, ["vitamin b12 (cyanocobalamin)", "hba1c %", "(hiv)", "cough", "%%"])
     assert [(row[2], text[row[3]:row[4]]) for row in found] == [(row[2], row[2]) for row in found]
     assert sorted(row[2] for row in found) == ["(hiv)", "cough", "hba1c %", "vitamin b12 (cyanocobalamin)"]
 
 
+def test_line_ends_within_sentences(spark):
+    text = "Patient denies fatigue, dyspnea, polyuria,\nfever, cough or chest\n  pain and heart\r\nfailure\n- Cough since May\nPlan: insulin"
+    found = {row[2]: (row[8], text[row[3]:row[4]] == row[2]) for row in found_in(spark, text)}
+    assert {k for k, v in found.items() if v == (True, True)} == {"fatigue", "dyspnea", "polyuria", "fever", "cough", "chest\n  pain", "heart\r\nfailure"}
+    assert found["Cough"] == found["insulin"] == (False, True)
+
+
+def test_marks_in_texts_shift_nothing(spark):
+    text = "\u0001a\u0002\u0001 fever.\u0001 \u0002no cough 😀 and \u0002stroke"
+    assert sorted((row[2], text[row[3]:row[4]]) for row in found_in(spark, text)) == [(t, t) for t in ("cough", "fever", "stroke")]
+
+
+def test_one_folding_and_one_word_edge(spark):
+    text = "Known \u212aidney pain, FEVER, fever\u0301, \u0130 fever2 fever_ _fever fever"
+    assert sorted((row[2], row[3]) for row in found_in(spark, text, ["kidney pain", "fever"])) == [
+        ("FEVER", text.index("FEVER")), ("fever", len(text) - 5), ("\u212aidney pain", 6)]
+
+
+@pytest.mark.parametrize("more", [0, 5_000, 600_000])
+def test_lexicons_of_every_length_find_the_same(spark, more):
+    text = "No acute kidney pain today but acute grade 7 fever, acute grade 7 grade."
+    terms = ["kidney pain", "acute", "fever", "acute grade 7 fever"]
+    frame = spark.createDataFrame([(t, "x", t, "own", t) for t in terms], assertion.LEXICON_SCHEMA).unionByName(
+        spark.range(more).selectExpr("concat('acute grade ', id + 1000) AS term", "'x' AS entity_type", "'y' AS concept_code", "'own' AS concept_system", "'z' AS concept_display"))
+    rows = spark.createDataFrame([(1, text)], "note_sk long, note_text string")
+    got = sorted((r.span_start, r.covered_text, r.negation) for r in notes.extract_mentions(rows, frame).collect())
+    assert got == [(3, "acute", True), (9, "kidney pain", True), (31, "acute grade 7 fever", False), (52, "acute", False)]
+
+
+def test_many_mentions_in_a_sentence_cost_in_proportion():
+    import time
+
+    from cohortloom.functions import mentions
+
+    lexicon = mentions.Lexicon(["fever", "cough"])
+
+    def seconds(n):
+        start = time.process_time()
+        assert len(list(mentions.mentions("Denies " + "fever, no cough but has " * n, lexicon))) == 2 * n
+        return time.process_time() - start
+
+    seconds(500)
+    few, many = min(seconds(2_000) for _ in range(3)), min(seconds(20_000) for _ in range(2))
+    assert many < 25 * few
+
+
 def test_negations_written_twice_change_nothing(spark, sf_dir):
     from cohortloom.plans.cohorts import CLINICAL
     tables = load(spark, sf_dir, *CLINICAL)
