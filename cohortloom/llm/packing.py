@@ -110,11 +110,14 @@ def pack(rows: DataFrame, capacity: int = CAPACITY, block_pieces: int = BLOCK_PI
     """The rows of pieces() with sequence_id and offset (gapless from 0 in each sequence).
 
     Sequence ids are unique, not dense: block number times 2^32 plus bin number. A block's bins depend on its rows only (in the order of doc_id, piece,
-    checksum), so a task that runs again gives the same. Repeated rows are pieces of their own. Empty input: empty result.
+    checksum), so a task that runs again gives the same. Repeated rows are pieces of their own: they are counted, and the copies dealt over all blocks.
+    Empty input: empty result.
     """
     send_code(rows.sparkSession)
     blocks = rows.count() // block_pieces + 1
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit("block")), F.lit(blocks)).cast("int"))
+    counted = rows.groupBy("doc_id", "piece", "start", "length", "ids_crc32").agg(F.count("*").alias("copies"))
+    rows = counted.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), "copies")))
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", "copy", F.lit("block")), F.lit(blocks)).cast("int"))
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
     def fill(block: pa.Table) -> pa.Table:

@@ -75,6 +75,12 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_folder(spark).rstrip('/')}/llm-{label}-{uuid.uuid4().hex}"
 
 
+def delete_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder that new_folder named, when nothing reads it any more."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def documents(docs: DataFrame, *extra: str, text: str = "text", key: str = "doc_id") -> DataFrame:
     """doc_id (long), text (null: empty) and the extra columns named; all other columns are dropped, so that none can clash."""
     return docs.select(

@@ -30,6 +30,8 @@ from cohortloom.llm.tokens import crc, default_tokenizer, encoder, slices, texts
 
 MAGIC, HEADER = b"TOKPACK1", struct.Struct("<8sIIQQQ")
 BLOCK_IDS = 65_536
+# Ids that one task reads back.
+RANGE_IDS = 8_000_000
 
 
 def bits_for(vocabulary: int) -> int:
@@ -141,13 +143,13 @@ def write_tokens(
 ) -> DataFrame:
     """Writes the ids of every whole text (null: empty; end_id behind each) and returns the manifest, one row per file:
 
-    file, part, n_docs, n_ids, start (ids of all files before). Documents are dealt by ranges of (doc_id, text hash), so a repeated id
-    doesn't fill one file, and sorted within; null ids come first. The manifest has no row for an empty table.
+    file, part, n_docs, n_ids, start (ids of all files before). Documents are dealt by ranges of (doc_id, text hash, place in the input), so neither a
+    repeated id nor rows that repeat whole fill one file, and sorted within; null ids come first. The manifest has no row for an empty table.
     """
     path = tokenizer or default_tokenizer()
     send_code(docs.sparkSession)
-    rows = documents(docs).withColumn("tie", F.xxhash64("text"))
-    rows = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
+    rows = documents(docs).withColumns({"tie": F.xxhash64("text"), "place": F.monotonically_increasing_id()})
+    rows = rows.repartitionByRange("doc_id", "tie", "place").sortWithinPartitions("doc_id", "tie", "place").drop("tie", "place")
     store, at = _store(folder)
     store.create_dir(at)
 
@@ -169,15 +171,18 @@ def write_tokens(
 
 
 def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
-    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids) of every document, from the files."""
+    """doc_id, start (ids of all documents before it), n_tokens, ids_crc32 (and ids) of every document, from the files.
+
+    Files are read in ranges of about RANGE_IDS ids (one document at least), each by a task of its own. An empty manifest gives no rows.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for name, start in zip(batch.column("file").to_pylist(), batch.column("start").to_pylist()):
+            for name, start, begin, end in zip(*(batch.column(c).to_pylist() for c in ("file", "start", "begin", "end"))):
                 file = TokenFile(name)
-                for low in range(0, file.documents, 1000):
-                    span = range(low, min(low + 1000, file.documents))
+                for low in range(begin, end, 1000):
+                    span = range(low, min(low + 1000, end))
                     first = int(file.firsts[low])
                     ids = file.read(first, int(file.firsts[span[-1]] + file.counts[span[-1]]) - first)
                     own = [ids[int(file.firsts[i]) - first :][: int(file.counts[i])] for i in span]
@@ -190,7 +195,14 @@ def read_tokens(manifest: DataFrame, with_ids: bool = False) -> DataFrame:
                         columns.append(pa.array([x.astype(np.int32) for x in own], pa.list_(pa.int32())))
                     yield pa.RecordBatch.from_arrays(columns, [part.split()[0] for part in schema.split(", ")])
 
-    return manifest.select("file", "start", "part").repartitionByRange("part").select("file", "start").mapInArrow(read, schema)
+    send_code(manifest.sparkSession)
+    step = F.greatest(F.lit(1), F.floor(F.lit(RANGE_IDS) * F.col("n_docs") / F.greatest("n_ids", F.lit(1)))).cast("long")
+    begins = F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_docs") - 1, step)).alias("begin")
+    ranges = manifest.select("file", "part", "start", "n_docs", step.alias("step"), begins)
+    ranges = ranges.select("file", "part", "start", "begin", F.least(F.col("begin") + F.col("step"), "n_docs").alias("end"))
+    # A number that is given isn't merged by adaptive execution: as many tasks as ranges.
+    dealt = ranges.repartitionByRange(max(1, ranges.count()), "part", "begin")
+    return dealt.select("file", "start", "begin", "end").mapInArrow(read, schema)
 
 
 def token_folder(spark: SparkSession) -> str:

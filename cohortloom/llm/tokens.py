@@ -18,8 +18,9 @@ import pyarrow.compute as pc
 
 # Characters that str.split() takes for white space and the tokenizer's pattern doesn't.
 _UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f")
-# Units a worker remembers before it starts anew (about 250 MB), and units encoded by one call.
-REMEMBERED, TOGETHER = 1_200_000, 512
+# Units, characters of units and ids a worker remembers before it starts anew (about 250 MB whatever the script; text without spaces makes long units that never
+# repeat), and units encoded by one call.
+REMEMBERED, REMEMBERED_CHARS, REMEMBERED_IDS, TOGETHER = 1_200_000, 12_000_000, 12_000_000, 512
 # Characters of text handled at a time.
 SLICE_CHARS = 1_000_000
 
@@ -49,7 +50,7 @@ class WordEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known = _Units()
+        self.known, self.chars = _Units(), 0
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.counts = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
         self.stops = {}  # ids of a comma and a full stop, where they are one each
@@ -88,6 +89,7 @@ class WordEncoder:
             else:
                 alike.append((number + at, self.known[simple], stop))
         self.known.new = []
+        self.chars += sum(map(len, new))
         self._reserve(0)
         for low in range(0, len(plain), TOGETHER):
             rows = plain[low : low + TOGETHER]
@@ -121,7 +123,7 @@ class WordEncoder:
 
     def encode_many(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as unsigned 32-bit integers."""
-        if len(self.known) > REMEMBERED:
+        if len(self.known) > REMEMBERED or self.chars > REMEMBERED_CHARS or self.used > REMEMBERED_IDS:
             self._forget()
         unsure = [any(c in t for c in _UNSURE) for t in texts]
         units = [[] if odd else t.split() for t, odd in zip(texts, unsure)]

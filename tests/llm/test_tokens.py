@@ -9,6 +9,7 @@ import pytest
 from brute import TOKENIZER, crc_of, ids_of, piece_rows, token_rows
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from cohortloom.llm import packing, queries, token_counts, token_files, tokens
 from cohortloom.llm.shared import new_folder, staged
@@ -83,6 +84,44 @@ def plain_table(lengths):
     }
 
 
+def test_files_are_read_by_as_many_tasks_as_ranges(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    manifest = token_files.write_tokens(docs, new_folder(spark, "test"), block_ids=1000)
+    whole = sorted(map(tuple, token_files.read_tokens(manifest).collect()))
+    monkeypatch.setattr(token_files, "RANGE_IDS", 5000)
+    rows = token_files.read_tokens(manifest)
+    total = sum(r.n_ids for r in manifest.collect())
+    assert rows.rdd.getNumPartitions() >= total // 5000 > 4 and sorted(map(tuple, rows.collect())) == whole
+    used = rows.select(F.spark_partition_id().alias("p")).distinct().count()
+    assert used > total // 10_000
+
+
+def test_repeated_rows_are_spread_over_files_and_blocks(spark):
+    docs = spark.range(0, 40_000, 1, 8).select(F.lit(7).cast("long").alias("doc_id"), F.lit("the same few words").alias("text"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # the texts are short
+    files = token_files.write_tokens(docs, new_folder(spark, "test")).collect()
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert sum(r.n_docs for r in files) == 40_000 and max(r.n_docs for r in files) < 20_000
+    rows = packing.pack(staged(packing.pieces(docs)), 4096, block_pieces=4000)
+    blocks = rows.groupBy(F.shiftright("sequence_id", 32).alias("block")).count().collect()
+    assert len(blocks) == 11 and max(r["count"] for r in blocks) < 4500
+    places(rows.collect(), 4096)
+
+
+def test_memory_of_texts_without_spaces(monkeypatch):
+    """Units that never repeat are forgotten by their characters and ids, long before there are many."""
+    from cohortloom.llm import tokens
+
+    monkeypatch.setattr(tokens, "REMEMBERED_CHARS", 20_000)
+    monkeypatch.setattr(tokens, "REMEMBERED_IDS", 40_000)
+    encode = tokens.WordEncoder(tokens.default_tokenizer())
+    for i in range(60):
+        text = "".join(chr(0x4E00 + (i * 2000 + k * 7) % 20_000) for k in range(2000)) + " some words"
+        assert encode.encode(text).tolist() == ids_of(text)
+        assert encode.chars <= 20_000 + 2100 and encode.used <= 40_000 + 8100
+    assert len(encode.known) < 60
+
+
 def test_length_table(spark, sf_dir, odd_docs, no_docs, monkeypatch):
     for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_docs):
         lengths = [len(ids_of(r.text)) for r in docs.collect()]
