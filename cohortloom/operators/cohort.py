@@ -84,14 +84,18 @@ def members_with_evidence(tables: Tables, spec: CohortSpec, rows: DataFrame | No
     read once. `rows` may be stored evidence rows of all criteria.
     """
     if not spec.criteria:
-        return qualified_members(tables, spec).withColumn("qualifying_evidence", F.lit(None).cast(TRIGGER))
-    triggers = trigger_rows(evidence_rows(tables, spec.criteria) if rows is None else rows)
+        return qualified_members(tables, spec).dropDuplicates(["patient_sk"]).withColumn("qualifying_evidence", F.lit(None).cast(TRIGGER))
+    return members_from_triggers(tables, spec, trigger_rows(evidence_rows(tables, spec.criteria) if rows is None else rows))
+
+
+def members_from_triggers(tables: Tables, spec: CohortSpec, triggers: DataFrame) -> DataFrame:
+    """The same from one row per patient and criterion (the row that first met it, and how many did); one row for a patient whose row repeats."""
     state = state_and_evidence(triggers, spec.criteria, spec.expression.required())
     first = spec.expression.first_met()
     return evaluate(tables, spec, state).select(
         "patient_sk", (F.lit(None).cast("date") if first is None else first).alias("index_date"),
         qualifying_source(spec).alias("qualifying_source"), "qualifying_evidence",
-    )
+    ).dropDuplicates(["patient_sk"])
 
 
 def events_around_index(

@@ -110,6 +110,15 @@ def trigger_rows(rows: DataFrame, keys: tuple[str, ...] = ("patient_sk",)) -> Da
     )
 
 
+def folded(earlier: DataFrame, later: DataFrame, keys: tuple[str, ...] = ("patient_sk",)) -> DataFrame:
+    """Trigger rows of two disjoint sets of evidence as those of both."""
+    first = F.min(F.struct(F.coalesce("event_date", F.lit("9999-12-31").cast("date")).alias("d"), "ref_sk", "code", "event_date"))
+    columns = [*keys, "criterion", "source", "table", "ref_sk", "code", "event_date", "n_rows"]
+    both = earlier.select(*columns).unionByName(later.select(*columns))
+    return both.groupBy(*keys, "criterion", "source", "table").agg(first.alias("_first"), F.sum("n_rows").alias("n_rows")).select(
+        *keys, "criterion", "source", "table", "_first.ref_sk", "_first.code", "_first.event_date", "n_rows")
+
+
 def state_and_evidence(triggers: DataFrame, criteria: list[Criterion], required: list[str]) -> DataFrame:
     """Criterion state and sorted array of the required triggers per patient, from the trigger rows.
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import datetime as dt
 import hashlib
+import json
 import uuid
 from collections.abc import Callable
 
@@ -19,7 +20,7 @@ from pyspark.sql import functions as F
 from cohortloom.operators import analysis, cohort, features, ingest, notes, review
 from cohortloom.operators.criteria import CohortSpec, Criterion, CriteriaRecord, cohort_spec, primary_concept
 from cohortloom.operators.criteria_sql import cohort_sql
-from cohortloom.operators.evidence import event_date, evidence_rows, with_note_date
+from cohortloom.operators.evidence import event_date, evidence_rows, folded, trigger_rows, with_note_date
 from cohortloom.schemas import TABLES
 from cohortloom.session import checkpoint_folder
 from cohortloom.sources.lake import Lake, conform, export_folder, hash_key, new_key
@@ -122,8 +123,16 @@ def run_cohorts(lake: Lake, cohort_sks: list[int], as_of=None) -> dict[int, str]
     return _run_specs(lake, {cohort_sk: _stored_spec(lake, cohort_sk, as_of) for cohort_sk in cohort_sks})
 
 
+def _pinned(lake: Lake) -> tuple[dict[str, DataFrame], dict[str, int]]:
+    """The clinical tables and the versions they are read at."""
+    versions = {name: lake.log(name).read().version for name in (*CLINICAL, "clinical_note")}
+    tables = {name: lake.table(name, version) for name, version in versions.items()}
+    tables["note_nlp_entity"] = with_note_date(tables["note_nlp_entity"], tables.pop("clinical_note"))
+    return tables, versions
+
+
 def _run_specs(lake: Lake, specs: dict[int, CohortSpec]) -> dict[int, str]:
-    tables = _clinical_tables(lake)
+    tables, versions = _pinned(lake)
     criteria = [
         Criterion(f"{cohort_sk}/{c.id}", c.table, c.matches, c.source, c.codes) for cohort_sk, spec in specs.items() for c in spec.criteria
     ]
@@ -133,27 +142,96 @@ def _run_specs(lake: Lake, specs: dict[int, CohortSpec]) -> dict[int, str]:
         rows = _staged(
             evidence_rows(tables, criteria).withColumns({"cohort_sk": label[0].cast("long"), "criterion": label[1]}), "cohort_sk"
         )
-    return {cohort_sk: _store_run(lake, cohort_sk, spec, tables, rows) for cohort_sk, spec in specs.items()}
+    runs = {}
+    for cohort_sk, spec in specs.items():
+        own = rows.filter(F.col("cohort_sk") == cohort_sk).drop("cohort_sk") if spec.criteria else None
+        runs[cohort_sk] = _store_run(lake, cohort_sk, spec, tables, versions, own)
+    return runs
 
 
 def run_cohort(lake: Lake, cohort_sk: int, as_of=None) -> str:
     return run_cohorts(lake, [cohort_sk], as_of)[cohort_sk]
 
 
-def _store_run(lake: Lake, cohort_sk: int, spec: CohortSpec, tables: dict[str, DataFrame], rows: DataFrame | None) -> str:
+def _store_run(
+    lake: Lake, cohort_sk: int, spec: CohortSpec, tables: dict[str, DataFrame], versions: dict[str, int], rows: DataFrame | None,
+    state: DataFrame | None = None, based_on: str | None = None,
+) -> str:
+    """Store what the evidence rows found, folded into an earlier run's state if one is given."""
     run_id = uuid.uuid4().hex
-    labels = {"cohort_sk": F.lit(cohort_sk), "run_id": F.lit(run_id)}
-    own = rows.filter(F.col("cohort_sk") == cohort_sk).drop("cohort_sk") if spec.criteria else None
-    members = _staged(cohort.members_with_evidence(tables, spec, own))
-    if required := spec.expression.required():
-        wanted = own.filter(F.col("criterion").isin(required)).join(members.select("patient_sk"), "patient_sk", "left_semi")
-        lake.append(wanted.withColumns(labels), "cohort_evidence", ordered=True, cohort_sk=cohort_sk, run_id=run_id)
-    members = members.withColumns(labels).withColumn("cohort_member_sk", hash_key("run_id", "cohort_sk", "patient_sk"))
-    n_members = lake.append(members, "cohort_member", ordered=True, cohort_sk=cohort_sk, run_id=run_id)
-    lake.append_record("cohort_run", cohort_sk=cohort_sk, run_id=run_id, n_members=n_members)
+    place = {"cohort_sk": cohort_sk, "run_id": run_id}
+    if spec.criteria:
+        found = None if rows is None else trigger_rows(rows)
+        triggers = _staged(state if found is None else found if state is None else folded(state, found))
+        lake.append(triggers, "cohort_state", ordered=True, **place)
+        members = _staged(cohort.members_from_triggers(tables, spec, triggers))
+    else:
+        members = _staged(cohort.members_with_evidence(tables, spec))
+    required = spec.expression.required()
+    if required and rows is not None:
+        # Rows of patients who aren't members are kept as well: a later run may find what makes them so. A run writes only what it has read.
+        lake.append(rows.filter(F.col("criterion").isin(required)), "cohort_evidence", ordered=True, **place)
+    members = members.withColumn("cohort_member_sk", F.xxhash64(F.lit(run_id), F.lit(cohort_sk), "patient_sk"))
+    n_members = lake.append(members, "cohort_member", ordered=True, **place)
+    lake.append_record("cohort_run", cohort_sk=cohort_sk, run_id=run_id, n_members=n_members, read_versions=json.dumps(versions), based_on=based_on)
     return run_id
 
 
+# A refresh that folds new rows into the state of the last run may follow another at most so often before all rows are read again.
+MOST_STEPS = 30
+
+
+def _chain(runs: dict[str, str | None], run_id: str) -> list[str]:
+    """A run and those it was based on, newest first."""
+    out = []
+    while run_id in runs:
+        out.append(run_id)
+        run_id = runs[run_id]
+    return out
+
+
+def _all_runs(lake: Lake) -> dict[str, str | None]:
+    """What each run was based on: one short row a run."""
+    return {row["run_id"]: row["based_on"] for row in lake.table("cohort_run").select("run_id", "based_on").collect()}
+
+
+def run_evidence(lake: Lake, cohort_sk: int) -> DataFrame:
+    """All evidence rows of the members of a cohort's newest run, whichever run read them."""
+    run_id = _newest_runs(lake, [cohort_sk])[cohort_sk]
+    rows = lake.table("cohort_evidence", run_id=set(_chain(_all_runs(lake), run_id)))
+    return rows.join(lake.table("cohort_member", run_id=run_id).select("patient_sk"), "patient_sk", "left_semi")
+
+
+def refresh_incremental(lake: Lake, cohort_sk: int, as_of=None) -> str:
+    """A run that reads only the rows added to the clinical tables since the cohort's last one and folds them into its state; equal to a full run.
+
+    It is a full run instead if there is no usable earlier one, if rows that one has read have gone or were replaced, or if notes have come that mentions
+    without a date may belong to. Patients are always read: age and death are as of the day of the run.
+    """
+    last = lake.table("cohort_run").filter(F.col("cohort_sk") == cohort_sk).orderBy(F.col("finished_at").desc(), F.col("run_id").desc()).first()
+    spec = _stored_spec(lake, cohort_sk, as_of)
+    if last is None or last["read_versions"] is None or not spec.criteria or len(_chain(_all_runs(lake), last["run_id"])) >= MOST_STEPS:
+        return run_cohort(lake, cohort_sk, as_of)
+    tables, versions = _pinned(lake)
+    marks = json.loads(last["read_versions"])
+    state = lake.table("cohort_state", run_id=last["run_id"])
+    fresh = {}
+    new_notes, notes_gone = lake.added_since("clinical_note", marks["clinical_note"])
+    for name in {c.table for c in spec.criteria}:
+        added, gone = lake.added_since(name, marks[name])
+        if name == "note_nlp_entity":
+            undated = F.col("event_date").isNull() & (F.col("table") == name)
+            gone = gone or notes_gone or (new_notes is not None and not state.filter(undated).isEmpty())
+            added = None if added is None else with_note_date(added, lake.table("clinical_note", versions["clinical_note"]))
+        if gone:
+            return run_cohort(lake, cohort_sk, as_of)
+        if added is not None:
+            fresh[name] = added
+    criteria = [c for c in spec.criteria if c.table in fresh]
+    rows = _staged(evidence_rows(fresh, criteria)) if criteria else None
+    return _store_run(lake, cohort_sk, spec, tables, versions, rows, state, last["run_id"])
+
+
 def _newest_runs(lake: Lake, cohort_sks: list[int] | None = None) -> dict[int, str]:
     """The newest finished run of every cohort (or of those named): one short row a cohort definition."""
     newest = F.max(F.struct("finished_at", "run_id"))["run_id"]
@@ -169,16 +247,22 @@ def current_members(lake: Lake, cohort_sks: list[int] | None = None) -> DataFram
 
 
 def expire_runs(lake: Lake, keep: int = 2) -> int:
-    """Takes all but the newest `keep` finished runs of each cohort out of the history; returns how many went. Their files go with the logs' next vacuum."""
+    """Takes all but the newest `keep` finished runs of each cohort out of the history; returns how many went for good. Their files go with the logs' next vacuum.
+
+    Evidence that a kept run is based on stays, and the rows of the runs that read it.
+    """
     place = Window.partitionBy("cohort_sk").orderBy(F.col("finished_at").desc(), F.col("run_id").desc())
     ranked = lake.table("cohort_run").withColumn("_place", F.row_number().over(place))
-    gone = {row["run_id"] for row in ranked.filter(F.col("_place") > keep).select("run_id").collect()}  # one short row a run
-    if gone:
-        rest = _staged(ranked.filter(F.col("_place") <= keep).drop("_place"))
-        for table in ("cohort_member", "cohort_evidence"):
-            lake.log(table).commit(lambda there: [folder for folder in there if folder.rpartition("run_id=")[2] not in gone])
-        lake.overwrite(rest.coalesce(1), "cohort_run")
-    return len(gone)
+    newest = {row["run_id"]: row["_place"] <= keep for row in ranked.select("run_id", "_place").collect()}  # one short row a run
+    based_on = _all_runs(lake)
+    needed = {run for kept, stays in newest.items() if stays for run in _chain(based_on, kept)}  # evidence of a run lies with those it was based on
+    gone = [run for run, stays in newest.items() if not stays]
+    for table, without in (("cohort_member", gone), ("cohort_state", gone), ("cohort_evidence", [run for run in gone if run not in needed])):
+        lake.log(table).commit(lambda there: [folder for folder in there if folder.rpartition("run_id=")[2] not in without])
+    dropped = [run for run in gone if run not in needed]
+    if dropped:
+        lake.overwrite(_staged(lake.table("cohort_run").filter(~F.col("run_id").isin(dropped))).coalesce(1), "cohort_run")
+    return len(dropped)
 
 
 def current_definitions(lake: Lake) -> DataFrame:
@@ -191,10 +275,13 @@ def change_status(lake: Lake, cohort_sk: int, status: str) -> None:
     lake.append_record("cohort_status_change", cohort_sk=cohort_sk, status=status)
 
 
-def refresh_cohorts(lake: Lake, cohort_sks: list[int], as_of=None) -> DataFrame:
-    """Re-run the stored logic of cohorts; per cohort who was added, dropped and kept against the prior run."""
+def refresh_cohorts(lake: Lake, cohort_sks: list[int], as_of=None, incremental: bool = False) -> DataFrame:
+    """Re-run the stored logic of cohorts; per cohort who was added, dropped and kept against the prior run.
+
+    All of them in one pass over the clinical tables, or each from the rows added since its last run.
+    """
     prior = _staged(current_members(lake, cohort_sks).select("cohort_sk", "patient_sk"))
-    runs = run_cohorts(lake, cohort_sks, as_of)
+    runs = {sk: refresh_incremental(lake, sk, as_of) for sk in cohort_sks} if incremental else run_cohorts(lake, cohort_sks, as_of)
     members = lake.table("cohort_member", run_id=set(runs.values())).select("cohort_sk", "patient_sk")
     return analysis.membership_difference(prior, members, ("cohort_sk", "patient_sk"))
 

@@ -165,9 +165,28 @@ TABLES: dict[str, Table] = {
         ),
         "ref_sk", ("cohort_sk", "patient_sk", "ref_sk"), {}, ("cohort_sk", "patient_sk"), ("cohort_sk", "run_id"),
     ),
-    # One row per evaluation of a cohort; the newest finished run of a cohort holds its members.
+    # For every patient and criterion of a run (members or not) the row that first met it and how many did: what a later run folds new rows into.
+    "cohort_state": Table(
+        "gold",
+        _struct(
+            cohort_sk=LONG, run_id=STRING, patient_sk=LONG, criterion=STRING, source=STRING, table=STRING,
+            ref_sk=LONG, code=STRING, event_date=DATE, n_rows=LONG,
+        ),
+        "ref_sk", ("cohort_sk", "patient_sk"), {}, ("cohort_sk", "patient_sk"), ("cohort_sk", "run_id"),
+    ),
+    # The same of a stream, after its newest batch: the batch number in the folder's name is the ledger.
+    "captured_state": Table(
+        "gold",
+        _struct(
+            stream=STRING, batch=LONG, patient_sk=LONG, criterion=STRING, source=STRING, table=STRING, ref_sk=LONG,
+            code=STRING, event_date=DATE, n_rows=LONG,
+        ),
+        "ref_sk", ("patient_sk",), {}, ("patient_sk",), ("stream", "batch"),
+    ),
+    # One row per evaluation of a cohort; the newest finished run of a cohort holds its members. `read_versions` are the versions of the tables it read;
+    # a run that is `based_on` another read only what had been added since.
     "cohort_run": Table(
-        "gold", _struct(cohort_sk=LONG, run_id=STRING, n_members=LONG, finished_at=TS), "run_id", (),
+        "gold", _struct(cohort_sk=LONG, run_id=STRING, n_members=LONG, read_versions=STRING, based_on=STRING, finished_at=TS), "run_id", (),
         {"finished_at": NOW}, ("cohort_sk", "run_id"),
     ),
     "patient_feature": Table(

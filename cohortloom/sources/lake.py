@@ -127,6 +127,35 @@ class Lake:
             self.log(table).commit(lambda there: [*there, folder])
         return n
 
+    def added_since(self, table: str, version: int) -> tuple[DataFrame | None, bool]:
+        """Rows written since a version (None if there are none), and whether rows of that version have gone (replaced, or its log is gone)."""
+        log, spec = self.log(table), TABLES[table]
+        if version not in log.versions():
+            return None, True
+        then, now = set(log.read(version).folders), log.read().folders
+        added = [folder for folder in now if folder not in then]
+        return self._read(log, spec, added) if added else None, not then <= set(now)
+
+    def supersede(self, df: DataFrame, table: str, **partition) -> bool:
+        """Put rows in place of all that were written under the same values but the last one, a number that must be higher than theirs; False (and no change) if it isn't."""
+        log = self.log(table)
+        *own, (counter, number) = partition.items()
+        own = {f"{name}={value}" for name, value in own}
+        mine = lambda folder: own <= set(folder.split("/"))
+        behind = lambda there: all(int(f.rpartition(f"{counter}=")[2]) < number for f in there if mine(f))
+        newest = log.read()
+        if not behind(newest.folders):
+            return False
+        folder, _ = self._write(df, table, True, partition)
+        changed: list[bool] = []
+
+        def change(there: list[str]) -> list[str]:
+            changed[:] = [behind(there)]
+            return [*[f for f in there if not mine(f)], folder] if changed[0] else there
+
+        log.commit(change)
+        return changed[0]
+
     def replace_rows(self, df: DataFrame, table: str, gone: DataFrame, owner: str | None = None) -> int:
         """Put rows in the place of those whose key (or `owner` expression) is in `gone`, in one version; returns how many were written.
 

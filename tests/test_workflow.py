@@ -85,7 +85,7 @@ def test_saved_cohort(lake, saved):
     n = lake.table("cohort_run").filter(F.col("cohort_sk") == saved).first().n_members
     assert members.count() == n > 0
     assert members.filter("index_date IS NULL OR qualifying_source <> 'coded' OR size(qualifying_evidence) <> 1").count() == 0
-    evidence = lake.table("cohort_evidence").filter(F.col("cohort_sk") == saved)
+    evidence = workflow.run_evidence(lake, saved)
     totals = members.select(F.explode("qualifying_evidence").alias("e")).agg(F.sum("e.n_rows")).first()[0]
     assert evidence.count() == totals
     index = members.join(evidence, "patient_sk").groupBy("patient_sk").agg(F.min("event_date").alias("d"), F.first("index_date").alias("i"))
@@ -437,6 +437,52 @@ def test_members_of_other_runs_are_not_read(own_lake, lake):
     assert own_lake.log("cohort_member").vacuum(keep=1) == 1
 
 
+def test_incremental_refresh_reads_new_rows_only_and_equals_a_full_run(own_lake, lake, spark):
+    record = CriteriaRecord(icd_codes="E11.9,I10", med_codes="860975", exc_icd="I50.9", date_from=FIRST, date_to=LAST)
+    for name in FILLED:
+        df = lake.table(name)
+        own_lake.overwrite(df.filter(f"{TABLES[name].key} % 3 > 0") if name in ("condition", "medication_order") else df, name)
+    cohort_sk = workflow.save_cohort(own_lake, record, "grows", "condition", "prospective", as_of=AS_OF)
+
+    def state():
+        columns = [c for c in TABLES["cohort_member"].schema.names if c not in ("cohort_member_sk", "run_id", "loaded_at", "qualified_at")]
+        return sorted(map(str, workflow.current_members(own_lake, [cohort_sk]).select(*columns).collect())), sorted(map(str, workflow.run_evidence(own_lake, cohort_sk).drop("run_id").collect()))
+
+    assert workflow.refresh_incremental(own_lake, cohort_sk, AS_OF) != cohort_sk  # nothing new
+    for part in (own_lake.append(lake.table(n).filter(f"{TABLES[n].key} % 3 = 0"), n) for n in ("condition", "medication_order")):
+        assert part > 0
+        newest = workflow.refresh_incremental(own_lake, cohort_sk, AS_OF)
+    run = own_lake.table("cohort_run").filter(F.col("run_id") == newest).first()
+    assert run.based_on is not None
+    by_parts = state()
+    workflow.run_cohort(own_lake, cohort_sk, AS_OF)
+    assert state() == by_parts and len(by_parts[0]) > 0
+    own_lake.overwrite(lake.table("condition").filter("condition_sk % 2 = 0"), "condition")  # rows have gone: all are read again
+    newest = workflow.refresh_incremental(own_lake, cohort_sk, AS_OF)
+    assert own_lake.table("cohort_run").filter(F.col("run_id") == newest).first().based_on is None
+    shrunk = state()
+    workflow.run_cohort(own_lake, cohort_sk, AS_OF)
+    assert state() == shrunk != by_parts
+
+
+def test_replayed_batches_change_nothing(own_lake, lake, spark):
+    spec = CohortSpec(
+        [Criterion("t2dm", "condition", F.col("condition_code") == "E11.9"), Criterion("hf", "condition", F.col("condition_code") == "I50.9")],
+        AllOf(Has("t2dm"), Not(Has("hf"))), F.lit(True))
+    root = tempfile.mkdtemp(prefix="run-stream-", dir="/tmp")
+    conditions, patients = lake.table("condition"), lake.table("patient")
+    for part in range(2):
+        conditions.filter(F.col("condition_sk") % 2 == part).write.mode("append").parquet(f"{root}/in")
+        rows = capture.new_rows(spark, "condition", f"{root}/in")
+        capture.merge_members(rows, own_lake, "conditions", "condition", spec.criteria, f"{root}/checkpoint").awaitTermination()
+    last = own_lake.table("captured_state").agg(F.max("batch")).first()[0]
+    assert not capture.fold_batch(own_lake, "conditions", "condition", spec.criteria, conditions, last)  # comes again
+    members = lambda: sorted(map(tuple, capture.streamed_members(own_lake, ["conditions"], patients, spec).select("patient_sk", "index_date", "qualifying_source").collect()))
+    batch = sorted(map(tuple, qualified_members({"patient": patients, "condition": conditions}, spec).collect()))
+    assert members() == batch and len(batch) > 0
+    assert own_lake.table("captured_state").select("batch").distinct().count() == 1
+
+
 def test_extracted_rows_are_landed(lake, spark):
     rows = spark.createDataFrame([(1, 2, "a", None), (1, 3, None, 2.5)], "id int, line int, text string, value double")
     assert workflow.load_extract(lake, rows, "NOTE_LINE", ["id", "line"], "b1") == 2
