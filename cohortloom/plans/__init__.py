@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from cohortloom.plans import cohorts, facts, mentions, records, reviews, studies  # noqa: F401  (each module registers its queries)
+from cohortloom.plans import cohorts, facts, mentions, records, reviews, stored, studies  # noqa: F401  (each module registers its queries)
 from cohortloom.plans.registry import JOBS, ORACLE, Job
 
 
