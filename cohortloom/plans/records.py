@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cohortloom.functions import clinical, codes, text
-from cohortloom.operators import cohort, enrich, ingest
+from cohortloom.operators import cohort, enrich, ingest, linkage
 from cohortloom.plans.cohorts import _EVIDENCE_SQL, _NESTED_SQL, _NESTED_VIEWS, _nested_tables, nested_spec
 from cohortloom.plans.registry import query, sql_text, values_view
 from cohortloom.schemas import TABLES
@@ -83,6 +83,21 @@ def linked_identities(spark, sf_dir):
     return ingest.link_identities(clinical_view(spark, sf_dir, "identifier"))
 
 
+@query("linked_people", with_views("identifier", then="""
+, tie AS (
+  SELECT DISTINCT a.source_key AS a, b.source_key AS b FROM identifier AS a JOIN identifier AS b
+    ON a.identifier_type = b.identifier_type AND a.assigning_authority = b.assigning_authority AND a.identifier_value = b.identifier_value
+  WHERE (a.identifier_type, a.assigning_authority, a.identifier_value) IN (
+    SELECT (identifier_type, assigning_authority, identifier_value) FROM identifier GROUP BY ALL HAVING count(DISTINCT source_key) <= 100)),
+reached AS (
+  WITH RECURSIVE step(a, b) AS (SELECT a, b FROM tie UNION SELECT step.a, tie.b FROM step JOIN tie ON step.b = tie.a) SELECT * FROM step)
+SELECT i.source_key, least(i.source_key, coalesce(min(b), i.source_key)) AS patient_sk
+FROM (SELECT DISTINCT source_key FROM identifier) AS i LEFT JOIN reached ON a = i.source_key GROUP BY i.source_key"""))
+def linked_people(spark, sf_dir):
+    """Records tied by shared identifiers through any number of others."""
+    return linkage.linked_people(clinical_view(spark, sf_dir, "identifier"))
+
+
 @query("drugs_given", with_views("medication_order", "administration", then="""
 SELECT o.med_order_sk, o.patient_sk, o.med_code, count(*) AS n_given, min(admin_datetime) AS first_given, max(admin_datetime) AS last_given
 FROM medication_order AS o JOIN administration AS a ON o.med_order_sk = a.med_order_sk

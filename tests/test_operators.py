@@ -518,6 +518,46 @@ def test_lab_distribution_sketch_is_close(spark):
     assert profile.lab_distribution(df, "none").first().n == 0
 
 
+@pytest.mark.parametrize("values", [
+    [0.1 * i for i in range(1001)], [5.0] * 50, [1.0, 2.0], [-1e308, 0.0, 1e-300, 1e308, 1.5e308], [1.0, 1.0 + 2**-52, 1.0 + 2**-51, 1.0] * 7,
+    [1e300] + [i / 7 for i in range(3000)], [3.5],
+])
+def test_exact_quartiles_of_any_values(spark, values):
+    df = spark.createDataFrame([("x", v) for v in values] + [("x", None), ("x", float("nan")), ("y", 1.0)], "observation_code string, value_numeric double")
+    counted = df.filter("observation_code = 'x' AND value_numeric < double('inf')").groupBy("value_numeric").count()
+    ranks = sorted({0, len(values) - 1, len(values) // 2, len(values) // 3})
+    assert profile.values_at(counted, "value_numeric", "count", ranks) == {r: sorted(values)[r] for r in ranks}
+    assert profile.lab_distribution(df, "x").first().n == len(values)
+
+
+def test_people_are_linked_through_others_but_not_by_placeholders(spark):
+    from cohortloom.operators import linkage
+
+    chain = [(k, "ssn" if k % 2 else "mpi", "a", str((k + 1) // 2)) for k in range(100, 160)] + [(k, "mpi" if k % 2 else "ssn", "a", str(k // 2)) for k in range(100, 160)]
+    others = [(k, "ssn", "a", "000-00-0000") for k in range(120)] + [(1, "x", None, "7"), (2, "x", None, "7"), (3, "x", "b", "7"), (90, "x", "b", "7"), (None, "x", "b", "7"), (300, None, None, None)]
+    rows = chain + others
+    df = spark.createDataFrame(rows, "source_key long, identifier_type string, assigning_authority string, identifier_value string")
+    holders, parent = {}, {}
+    for k, *i in rows:
+        if k is not None:
+            parent.setdefault(k, k)
+            if None not in i:
+                holders.setdefault(tuple(i), set()).add(k)
+
+    def root(k):
+        while parent[k] != k:
+            k = parent[k]
+        return k
+
+    for own in holders.values():
+        if len(own) <= 100:
+            for k in own:
+                a, b = sorted((root(k), root(min(own))))
+                parent[b] = a
+    assert {r.source_key: r.patient_sk for r in linkage.linked_people(df).collect()} == {k: root(k) for k in parent}
+    assert linkage.linked_people(df.limit(0)).collect() == []
+
+
 def test_cohort_without_members_counts_zero(spark):
     definitions = spark.createDataFrame([(1, "a", "active"), (2, "b", "active"), (3, "c", "draft")], "cohort_sk long, name string, status string")
     for column in ("cohort_type", "cohort_category", "primary_concept_display", "version", "created_by", "created_at"):
