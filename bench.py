@@ -20,7 +20,7 @@ HEADLINES = [
     "flagship_slice", "cohort_members", "cohort_and_or_groups", "cohort_index_dates", "cohort_evidence_triggers",
     "three_way_cohort", "control_cohort", "cohort_list", "cohort_condition_listing", "timeline_condition",
     "timelines_condition", "timelines_observation", "encounter_index", "patient_features", "phenotype_histogram",
-    "hba1c_distribution", "referential_integrity", "extracted_mentions", "cohort_from_notes", "parsed_entities",
+    "hba1c_distribution", "referential_integrity", "extracted_mentions", "mentions_of_long_lexicon", "cohort_from_notes", "parsed_entities",
     "user_function_mentions", "reassembled_notes", "html_notes", "deidentified_notes", "linked_identities",
     "condition_then_medication", "cohort_comparison", "matched_controls", "kaplan_meier", "fhir_conditions",
 ]

@@ -205,7 +205,7 @@ def extract_mentions(notes: DataFrame, lexicon: DataFrame | None = None, carry:
         lexicon = spark.createDataFrame(ctx.LEXICON, ctx.LEXICON_SCHEMA).coalesce(1)
     term = F.lower(F.regexp_replace(F.trim("term"), r"\s+", " "))
     concepts = lexicon.select(term.alias("_term"), "entity_type", "concept_code", "concept_system", "concept_display").filter("_term <> ''")
-    terms = [row["_term"] for row in concepts.select("_term").distinct().limit(MOST_TERMS + 1).collect()]
+    terms = concepts.select("_term").distinct().limit(MOST_TERMS + 1).toArrow().column(0).to_pylist()
     if len(terms) > MOST_TERMS:
         raise ValueError(f"a lexicon holds at most {MOST_TERMS} terms")
     if len(terms) <= BROADCAST_TERMS:
