@@ -54,6 +54,23 @@ def table_plan(n: int, similarity: float = SIMILARITY, recall: float = RECALL) -
     return bits, math.ceil(math.log(1 - recall) / math.log(1 - hit))
 
 
+def _tables(apart: list[np.ndarray], bits: int, recall: float, least: int) -> int:
+    """The fewest tables, `least` or more, of `bits` bits drawn from a code that find pairs at these Hamming distances with the recall."""
+    hits = [np.prod([(WIDTH - distances - i).clip(0) / (WIDTH - i) for i in range(bits)], axis=0) for distances in apart]
+
+    def enough(tables: int) -> bool:
+        return all(np.mean(1 - (1 - hit) ** tables) >= recall for hit in hits)
+
+    high = least
+    while not enough(high) and high < 1 << 20:
+        high *= 2
+    low = least if high == least else high // 2
+    while low < high:
+        middle = (low + high) // 2
+        low, high = (low, middle) if enough(middle) else (middle + 1, high)
+    return high
+
+
 class Codes:
     """How vectors become codes and codes the keys of tables, and how far apart the codes of linked vectors lie."""
 
@@ -63,13 +80,13 @@ class Codes:
         rotations = learn_rotations(sample, math.ceil(WIDTH / dims))
         self.rotation = rotations[:, rng.permutation(rotations.shape[1])[:WIDTH]]
         self.cut = np.median(sample @ self.rotation, axis=0) if len(sample) else np.zeros(WIDTH)
-        bits, tables = table_plan(n, similarity, recall)
+        bits, planned = table_plan(n, similarity, recall)
         apart = self._distances(sample[rng.permutation(len(sample))[:MEASURED]], similarity, rng)
         self.radius = int(max((d.max() for d in apart), default=WIDTH))
-        for distances in apart:
-            hit = np.prod([(WIDTH - distances - i).clip(0) / (WIDTH - i) for i in range(bits)], axis=0)
-            while np.mean(1 - (1 - hit) ** tables) < recall and tables < 64 * bits:
-                tables += 1
+        # Where linked codes lie far apart (vectors in a narrow cone), tables of fewer bits find them; the radius sifts the larger buckets.
+        while (tables := _tables(apart, bits, recall, planned)) > 4 * planned and bits > 8:
+            bits -= 1
+        tables = min(tables, 1 << 16)  # reached only where distances pass WIDTH - 8
         self.tables = tables
         # Column t holds the powers of two of the bits that table t takes.
         self.places = np.zeros((WIDTH, tables))
