@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,23 +18,61 @@ def render_template(template: Column, values: Mapping[str, Column], defaults: Ma
     return text
 
 
-# Order matters: whole blocks go first, then breaks, then any other tag, then entities, then spaces.
+_ENTITY = r"&(#[0-9]{1,7}|#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,31});"
+# Numbers 128 to 159 stand for the characters of Windows' Western code page, as browsers read them.
+_WESTERN = {n: text for n in range(128, 160) if (text := bytes([n]).decode("cp1252", "ignore"))}
+
+
+def _entity_names() -> Column:
+    """All named entities of HTML 5 as a map of maps: first letter, name, text."""
+    names: dict[str, dict[str, str]] = {}
+    for name, shown in html5.items():
+        if name.endswith(";"):
+            names.setdefault(name[0], {})[name[:-1]] = shown
+    return F.from_json(F.lit(json.dumps(names)), "map<string,map<string,string>>")
+
+
+def _decoded(name: Column, names: Column) -> Column:
+    """Text of one entity, given without & and ;."""
+    digits = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substring(name, 3, 6), 16, 10)).otherwise(F.substring(name, 2, 7))
+    number = digits.try_cast("int")
+    western = F.try_element_at(F.create_map(*[F.lit(v) for pair in _WESTERN.items() for v in pair]), number)
+    valid = number.between(1, 0xD7FF) | number.between(0xE000, 0x10FFFF)
+    letter = F.when(valid, F.decode(F.unhex(F.lpad(F.hex(number), 8, "0")), "UTF-32")).otherwise("\ufffd")
+    named = F.try_element_at(F.try_element_at(names, F.substring(name, 1, 1)), name)
+    return F.when(F.startswith(name, F.lit("#")), F.coalesce(western, letter)).otherwise(F.coalesce(named, F.concat(F.lit("&"), name, F.lit(";"))))
+
+
+def decode_entities(text: Column) -> Column:
+    """Text with each named (HTML 5) or numeric entity replaced by its characters, in one pass: what an entity gives isn't decoded again.
+
+    Unknown names stay; numbers that are no character become U+FFFD. An entity must end in a semicolon.
+    """
+    names = _entity_names()
+    found = F.transform(F.regexp_extract_all(text, F.lit(_ENTITY), F.lit(1)), lambda name: _decoded(name, names))
+    parts = F.zip_with(F.split(text, _ENTITY, -1), found, lambda before, shown: F.concat(before, F.coalesce(shown, F.lit(""))))
+    return F.when(F.contains(text, F.lit("&")), F.array_join(parts, "")).otherwise(text)
+
+
+# Order matters: whole blocks go first, then breaks, then any other tag; entities and spaces follow.
 _HTML_STEPS = (
     (r"(?is)<!--.*?-->", " "),
     (r"(?is)<script\b.*?</script\s*>", " "),
     (r"(?is)<style\b.*?</style\s*>", " "),
     (r"(?i)<(br|/p|/div|/h[1-6]|/li|/tr)\b[^>]*>", "\n"),
     (r"(?s)<[^>]*>", " "),
-    ("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&"),
-    (r"[ \t\r]+", " "),
-    (r" ?\n[ \n]*", "\n"),
 )
+_SPACE_STEPS = ((r"[ \t\r\x{a0}]+", " "), (r" ?\n[ \n]*", "\n"))
 
 
 def html_to_text(html: Column) -> Column:
+    """Plain text of HTML: comments, scripts, styles and tags out, blocks on lines of their own, entities decoded, white space merged."""
     text = html
     for pattern, replacement in _HTML_STEPS:
         text = F.regexp_replace(text, pattern, replacement)
+    text = decode_entities(text)
+    for pattern, replacement in _SPACE_STEPS:
+        text = F.regexp_replace(text, pattern, replacement)
     return F.trim(F.regexp_replace(text, r"^\s+|\s+$", ""))
 
 

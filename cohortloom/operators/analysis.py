@@ -50,7 +50,8 @@ def compare_cohorts(arms: DataFrame, patients: DataFrame, conditions: DataFrame,
             F.struct(F.lit("sex").alias("dimension"), F.coalesce("sex", F.lit("unknown")).alias("value")),
         ))
     ).groupBy("arm", "dimension", "value").agg(F.count("*").alias("n"))
-    diagnoses = conditions.select("patient_sk", F.col("condition_code").alias("value")).distinct()
+    members = arms.select("patient_sk").distinct()
+    diagnoses = conditions.select("patient_sk", F.col("condition_code").alias("value")).join(members, "patient_sk", "left_semi").distinct()
     comorbidity = (
         arms.join(diagnoses, "patient_sk").groupBy("arm", "value").agg(F.count("*").alias("n"))
         .select("arm", F.lit("comorbidity").alias("dimension"), "value", "n")

@@ -49,9 +49,15 @@ def drugs_given(orders: DataFrame, administrations: DataFrame) -> DataFrame:
 
 
 def reports_with_narrative(reports: DataFrame, notes: DataFrame) -> DataFrame:
-    """Diagnostic reports with the text of the note that holds their narrative, if any."""
+    """Diagnostic reports with the text of the note that holds their narrative, if any.
+
+    Only texts that a report names are moved, and reports without a narrative aren't joined.
+    """
+    named = reports.filter(F.col("narrative_note_sk").isNotNull())
     texts = notes.select(F.col("note_sk").alias("narrative_note_sk"), F.col("note_text").alias("narrative"))
-    return reports.join(texts, "narrative_note_sk", "left")
+    texts = texts.join(named.select("narrative_note_sk").distinct(), "narrative_note_sk", "left_semi")
+    others = reports.filter(F.col("narrative_note_sk").isNull()).withColumn("narrative", F.lit(None).cast("string"))
+    return named.join(texts, "narrative_note_sk", "left").unionByName(others)
 
 
 def lookup_concepts(rows: DataFrame, code_column: str, system: str, concepts: DataFrame) -> DataFrame:
@@ -142,6 +148,7 @@ _CODING = "array<struct<system:string,code:string,display:string>>"
 _CONCEPT = f"struct<coding:{_CODING},text:string>"
 _REF = "struct<reference:string>"
 _QUANTITY = "struct<value:double,unit:string>"
+_ATTACHMENT = "struct<contentType:string,data:string,url:string>"
 _RANGE = "array<struct<low:struct<value:double>,high:struct<value:double>>>"
 
 RESOURCE_SCHEMAS: dict[str, str] = {
@@ -155,11 +162,18 @@ RESOURCE_SCHEMAS: dict[str, str] = {
     f"valueQuantity {_QUANTITY}, valueString string, referenceRange {_RANGE}, effectiveDateTime timestamp, "
     f"component array<struct<code:{_CONCEPT},valueQuantity:{_QUANTITY}>>",
     "MedicationRequest": f"id string, subject {_REF}, encounter {_REF}, status string, "
-    f"medicationCodeableConcept {_CONCEPT}, authoredOn timestamp",
+    f"medicationCodeableConcept {_CONCEPT}, authoredOn timestamp, category array<{_CONCEPT}>, "
+    f"dosageInstruction array<struct<text:string,timing:struct<code:{_CONCEPT}>,route:{_CONCEPT},doseAndRate:array<struct<doseQuantity:{_QUANTITY}>>>>, "
+    "dispenseRequest struct<validityPeriod:struct<end:timestamp>>",
+    "MedicationAdministration": f"id string, subject {_REF}, context {_REF}, request {_REF}, status string, effectiveDateTime timestamp, "
+    f"effectivePeriod struct<start:timestamp>, dosage struct<dose:{_QUANTITY},route:{_CONCEPT},rateQuantity:{_QUANTITY}>",
+    "DiagnosticReport": f"id string, subject {_REF}, encounter {_REF}, status string, category array<{_CONCEPT}>, code {_CONCEPT}, "
+    f"effectiveDateTime timestamp, presentedForm array<{_ATTACHMENT}>",
+    "Binary": "id string, contentType string, data string",
     "Procedure": f"id string, subject {_REF}, encounter {_REF}, status string, code {_CONCEPT}, "
     "performedDateTime timestamp",
     "DocumentReference": f"id string, subject {_REF}, type {_CONCEPT}, category array<{_CONCEPT}>, date timestamp, "
-    f"content array<struct<attachment:struct<contentType:string,data:string>>>, context struct<encounter:array<{_REF}>>",
+    f"content array<struct<attachment:{_ATTACHMENT}>>, context struct<encounter:array<{_REF}>>",
 }
 
 # Encounter class codes of the interchange standard.
@@ -168,6 +182,10 @@ ENCOUNTER_CLASSES = {
 }
 
 
+# Statuses of an administration, and service sections of a report, in the interchange standard.
+ADMINISTRATION_ACTIONS = {"completed": "given", "in-progress": "given", "stopped": "given", "on-hold": "held", "not-done": "refused"}
+REPORT_CATEGORIES = {"LAB": "LAB", "HM": "LAB", "CH": "LAB", "PAT": "PATHOLOGY", "SP": "PATHOLOGY", "RAD": "RADIOLOGY", "MB": "MICRO"}
+
 # Where a loaded row comes from: the conforming functions carry these columns along when asked to.
 PROVENANCE = ("source_system", "source_id", "source_table_or_resource", "ingested_at")
 
@@ -191,7 +209,11 @@ def _key_of(kind: str, identifier: Column) -> Column:
 
 def _key(reference: str) -> Column:
     """Key of the resource a reference such as Patient/17 points to."""
-    parts = F.split(F.col(reference), "/")
+    return _key_in(F.col(reference))
+
+
+def _key_in(reference: Column) -> Column:
+    parts = F.split(reference, "/")
     kind, identifier = F.element_at(parts, -2), F.element_at(parts, -1)
     return F.when(
         F.size(parts) >= 2, F.coalesce(identifier.try_cast("long"), F.xxhash64(kind, identifier))
@@ -277,12 +299,52 @@ def _component_type() -> T.DataType:
 
 
 def conform_medication_orders(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    dosage = F.get("dosageInstruction", F.lit(0))
+    dose = F.get(dosage["doseAndRate"], F.lit(0))["doseQuantity"]
     return _resources(raw, "MedicationRequest").select(
         _own_key("MedicationRequest").alias("med_order_sk"), _key("subject.reference").alias("patient_sk"),
         _key("encounter.reference").alias("encounter_sk"),
         _coding("medicationCodeableConcept")["code"].alias("med_code"),
         F.when(F.col("status") == "stopped", "discontinued").otherwise(F.col("status")).alias("order_status"),
-        F.col("authoredOn").alias("start_datetime"), _coding("medicationCodeableConcept")["display"].alias("med_display"), *keep,
+        F.col("authoredOn").alias("start_datetime"), _coding("medicationCodeableConcept")["display"].alias("med_display"),
+        dose["value"].cast("string").alias("dose_quantity"), dose["unit"].alias("dose_unit"), _shown(dosage["route"]).alias("route"),
+        _shown(dosage["timing"]["code"]).alias("frequency"), dosage["text"].alias("sig_text"),
+        F.when(_first_category() == "inpatient", "inpatient").when(_first_category().isNotNull(), "outpatient").alias("order_class"),
+        F.col("dispenseRequest.validityPeriod.end").alias("end_datetime"), *keep,
+    )
+
+
+def conform_administrations(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Doses given, held or refused; what was begun counts as given, entries made in error have no action."""
+    actions = F.create_map(*[F.lit(v) for pair in ADMINISTRATION_ACTIONS.items() for v in pair])
+    return _resources(raw, "MedicationAdministration").select(
+        _own_key("MedicationAdministration").alias("med_admin_sk"), _key("request.reference").alias("med_order_sk"),
+        _key("subject.reference").alias("patient_sk"), _key("context.reference").alias("encounter_sk"),
+        F.coalesce("effectiveDateTime", "effectivePeriod.start").alias("admin_datetime"), actions[F.col("status")].alias("admin_action"),
+        F.col("dosage.dose.value").alias("dose_given"), F.col("dosage.dose.unit").alias("dose_unit"), _shown(F.col("dosage.route")).alias("route"),
+        F.col("dosage.rateQuantity.value").alias("infusion_rate"), *keep,
+    )
+
+
+def _shown(concept: Column) -> Column:
+    first = F.get(concept["coding"], F.lit(0))
+    return F.coalesce(concept["text"], first["display"], first["code"])
+
+
+def _report_note(form: Column) -> Column:
+    """Key of the note with a report's narrative: the document its form points to, else one made of the text within the report."""
+    pointed = F.when(F.contains(form["url"], F.lit("DocumentReference/")), _key_in(form["url"]))
+    return F.coalesce(pointed, F.when(form["data"].isNotNull() | form["url"].isNotNull(), F.xxhash64(F.lit("DiagnosticReport"), F.col("id"))))
+
+
+def conform_reports(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Diagnostic reports and the note that holds their narrative (see conform_notes for narratives within reports)."""
+    categories = F.create_map(*[F.lit(v) for pair in REPORT_CATEGORIES.items() for v in pair])
+    return _resources(raw, "DiagnosticReport").select(
+        _own_key("DiagnosticReport").alias("diagnostic_report_sk"), _key("subject.reference").alias("patient_sk"),
+        _key("encounter.reference").alias("encounter_sk"), _coding("code")["code"].alias("report_code"), _coding("code")["display"].alias("report_display"),
+        categories[_first_category()].alias("report_category"), "status", F.col("effectiveDateTime").alias("effective_datetime"),
+        _report_note(F.get("presentedForm", F.lit(0))).alias("narrative_note_sk"), *keep,
     )
 
 
@@ -294,34 +356,90 @@ def conform_procedures(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def conform_notes(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """Document references with inline attachments: base64 to text; HTML is stripped, plain text kept."""
-    attachment = F.get("content", F.lit(0))["attachment"]
-    resources = _resources(raw, "DocumentReference").withColumn("_encounter", F.get("context.encounter", F.lit(0))["reference"])
-    decoded = resources.select(
+def _documents(raw: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+    """Attachments of document references, and of reports that hold their narrative themselves, in the columns of a note."""
+    references = _resources(raw, "DocumentReference").withColumn("_encounter", F.get("context.encounter", F.lit(0))["reference"])
+    own = references.select(
         _own_key("DocumentReference").alias("note_sk"), _key("subject.reference").alias("patient_sk"),
-        _first_category().alias("note_category"), F.col("date").alias("service_date"),
-        attachment["contentType"].alias("content_type"), _coding("type")["code"].alias("note_type_code"),
+        _first_category().alias("note_category"), F.col("date").alias("service_date"), _coding("type")["code"].alias("note_type_code"),
         _coding("type")["display"].alias("note_type_display"), _key("_encounter").alias("encounter_sk"),
-        F.decode(F.unbase64(attachment["data"]), "UTF-8").alias("_body"), *keep,
+        F.get("content", F.lit(0))["attachment"].alias("_form"), *keep,
     )
+    reports = _resources(raw, "DiagnosticReport").withColumn("_form", F.get("presentedForm", F.lit(0)))
+    categories = F.create_map(F.lit("PATHOLOGY"), F.lit("pathology"), F.lit("RADIOLOGY"), F.lit("radiology"))
+    sections = F.create_map(*[F.lit(v) for pair in REPORT_CATEGORIES.items() for v in pair])
+    within = reports.withColumn("note_sk", _report_note(F.col("_form"))).filter(
+        F.col("note_sk").isNotNull() & ~F.contains(F.coalesce("_form.url", F.lit("")), F.lit("DocumentReference/")))
+    return own.unionByName(within.select(
+        "note_sk", _key("subject.reference").alias("patient_sk"), F.coalesce(categories[sections[_first_category()]], F.lit("other")).alias("note_category"),
+        F.col("effectiveDateTime").alias("service_date"), _coding("code")["code"].alias("note_type_code"),
+        _coding("code")["display"].alias("note_type_display"), _key("encounter.reference").alias("encounter_sk"), "_form", *keep,
+    ))
+
+
+def _binary_id(url: Column) -> Column:
+    """Id of the Binary that an attachment's address names (relative or whole, with or without a version)."""
+    return F.nullif(F.regexp_extract(url, "(?:^|/)Binary/([^/?#]+)", 1), F.lit(""))
+
+
+def with_attachments(raw: DataFrame, landed: DataFrame, binaries: bool = True) -> DataFrame:
+    """The documents, reports and Binaries that the notes of a load are made of: `raw` (its newest resources), stored documents that point
+    to a Binary of it (looked for if `binaries` says that it may hold some), and the newest of every Binary pointed to, in whatever bundle (`landed`) they came.
+    """
+    kinds, named = ("DocumentReference", "DiagnosticReport"), ["resource_type", "resource_id"]
+    address = F.when(F.col("resource_type") == "DiagnosticReport", F.get_json_object("payload", "$.presentedForm[0].url")).otherwise(
+        F.get_json_object("payload", "$.content[0].attachment.url"))
+
+    def holders(df: DataFrame) -> DataFrame:
+        return df.filter(F.col("resource_type").isin(*kinds)).withColumn("_binary", _binary_id(address))
+
+    found = holders(raw)
+    if binaries:
+        sent = raw.filter(F.col("resource_type") == "Binary").select(F.col("resource_id").alias("_binary"))
+        pointing = holders(landed).join(sent, "_binary", "left_semi").select(*named).distinct().join(found.select(*named), named, "left_anti")
+        older = holders(newest_resources(landed.join(pointing, named, "left_semi"))).join(sent, "_binary", "left_semi")
+        found = found.unionByName(older.select(*found.columns))
+    wanted = found.select(F.lit("Binary").alias("resource_type"), F.col("_binary").alias("resource_id")).dropna().distinct()
+    bodies = newest_resources(landed.filter(F.col("resource_type") == "Binary").join(wanted, named, "left_semi"))
+    return found.select(*raw.columns).unionByName(bodies.select(*raw.columns))
+
+
+def conform_notes(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Documents, and narratives within reports: base64 to text; HTML is stripped, other text kept. A document may hold its body or point to a Binary
+    of `raw` (see with_attachments); without either its text is null. Bodies that are no text (PDF, images) have no text either.
+    """
+    documents = _documents(raw, keep).withColumn("_binary", _binary_id(F.col("_form.url")))
+    bodies = raw.filter(F.col("resource_type") == "Binary").select(
+        F.col("resource_id").alias("_binary"), F.from_json("payload", RESOURCE_SCHEMAS["Binary"]).alias("_body"))
+    pointing = documents.filter(F.col("_binary").isNotNull()).join(bodies, "_binary", "left")
+    held = documents.filter(F.col("_binary").isNull()).withColumn("_body", F.lit(None).cast("struct<id:string,contentType:string,data:string>"))
+    decoded = held.unionByName(pointing).select(
+        "*", F.lower(F.trim(F.split(F.coalesce("_form.contentType", "_body.contentType"), ";")[0])).alias("content_type"),
+        F.try_to_binary(F.coalesce("_form.data", "_body.data"), F.lit("base64")).alias("_bytes"))
     is_html = F.col("content_type") == "text/html"
+    is_text = F.col("content_type").isNull() | F.startswith("content_type", F.lit("text/"))
+    plain = F.when(is_text, F.try_validate_utf8(F.col("_bytes").cast("string")))
     return decoded.select(
         "note_sk", "patient_sk", "encounter_sk", "note_category", "note_type_code", "note_type_display", "service_date", "content_type",
-        F.when(is_html, html_to_text(F.col("_body"))).otherwise(F.col("_body")).alias("note_text"),
-        F.when(is_html, "html_stripped").otherwise("structured_text").alias("text_extraction_method"), *keep,
+        F.when(is_html, html_to_text(plain)).otherwise(plain).alias("note_text"),
+        F.when(is_html, "html_stripped").when(is_text, "structured_text").alias("text_extraction_method"), *keep,
     ).withColumn("text_char_length", F.length("note_text"))
 
 
 CONFORMED = {
     "patient": conform_patients, "encounter": conform_encounters, "condition": conform_conditions,
     "observation": conform_observations, "medication_order": conform_medication_orders,
-    "procedure": conform_procedures, "clinical_note": conform_notes,
+    "procedure": conform_procedures, "medication_administration": conform_administrations, "diagnostic_report": conform_reports,
+    "clinical_note": conform_notes,
 }
 RESOURCE_TYPES = {
     "patient": "Patient", "encounter": "Encounter", "condition": "Condition", "observation": "Observation",
-    "medication_order": "MedicationRequest", "procedure": "Procedure", "clinical_note": "DocumentReference",
+    "medication_order": "MedicationRequest", "procedure": "Procedure", "medication_administration": "MedicationAdministration",
+    "diagnostic_report": "DiagnosticReport", "clinical_note": "DocumentReference",
 }
+# Tables that a load's counts name only where it holds such resources, and the resource types that notes are made of.
+OPTIONAL = {"medication_administration", "diagnostic_report"}
+NOTE_TYPES = {"DocumentReference", "DiagnosticReport", "Binary"}
 # What stands for the resource in a table where a resource makes several rows.
 OWNERS = {"observation": "coalesce(parent_observation_sk, observation_sk)"}
 

@@ -16,13 +16,19 @@ def top_per_group(df: DataFrame, keys: list[str], order: list[Column], k: int) -
     return df.withColumn("_position", position).filter(F.col("_position") <= k).drop("_position")
 
 
-def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str) -> DataFrame:
+def key_block(day: Column, key: Column) -> Column:
+    """Bucket of a row in the order of (day, key), days that are null first: its day, else a block of 1,000 keys that follow one another."""
+    place = F.lpad((key.cast("decimal(20,0)") + F.lit("9223372036854775808").cast("decimal(20,0)")).cast("string"), 20, "0")
+    return F.coalesce(day.cast("string"), F.concat(F.lit(" "), F.substr(place, F.lit(1), F.lit(17))))
+
+
+def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column], name: str, before_name: str | None = None) -> DataFrame:
     """row_number() within each group, without sorting a whole group in one task.
 
     `bucket` must be a text that follows the order (the day of the ordering time, leading digits of
     a hash); rows without one come first. Rows are numbered within (group, bucket); the number of rows
     in earlier buckets is added. Counting them needs one small row per group and bucket, and the join
-    runs on the partitioning the numbering already made. Keys must not be null.
+    runs on the partitioning the numbering already made. Keys must not be null. `before_name` also gives the number of rows in earlier buckets.
     """
     rows = df.withColumn("_bucket", F.coalesce(bucket.cast("string"), F.lit("")))
     counts = rows.groupBy(*keys, "_bucket").agg(F.count("*").alias("_n"))
@@ -33,6 +39,7 @@ def numbered(df: DataFrame, keys: list[str], bucket: Column, order: list[Column]
         rows.withColumn("_local", local)
         .join(offsets, [*keys, "_bucket"])
         .withColumn(name, (F.col("_before") + F.col("_local")).cast("long"))
+        .withColumn(before_name or "_before", F.col("_before"))
         .drop("_bucket", "_local", "_before")
     )
 
@@ -56,7 +63,7 @@ def latest_per_key(df: DataFrame, keys: list[str], order: list[str]) -> DataFram
 def encounter_index(encounters: DataFrame) -> DataFrame:
     """Position of each encounter in its patient's history from 0, and whether it is the first."""
     ordered = numbered(
-        encounters, ["patient_sk"], F.col("period_start").cast("date"),
+        encounters, ["patient_sk"], key_block(F.col("period_start").cast("date"), F.col("encounter_sk")),
         [F.col("period_start").asc_nulls_first(), F.col("encounter_sk")], "_position",
     )
     return (
@@ -73,15 +80,14 @@ def diagnosis_rank(conditions: DataFrame, background: list[str]) -> DataFrame:
     """
     is_background = F.coalesce(F.col("condition_code").isin(background), F.lit(False))
     outside = conditions.filter(F.col("encounter_sk").isNull()).withColumn("diagnosis_rank", F.lit(None).cast("long"))
-    conditions = conditions.filter(F.col("encounter_sk").isNotNull())
-    primary = numbered(
-        conditions.filter(~is_background), ["encounter_sk"], F.col("recorded_date"),
-        [F.col("recorded_date").asc_nulls_first(), F.col("condition_sk")], "diagnosis_rank",
+    # Background findings form the last buckets of an encounter: what lies before the first of these are its primary diagnoses.
+    place = F.concat(F.lit("a"), key_block(F.col("recorded_date").cast("date"), F.col("condition_sk")))
+    inside = numbered(
+        conditions.filter(F.col("encounter_sk").isNotNull()), ["encounter_sk"], F.when(is_background, "b").otherwise(place),
+        [F.col("recorded_date").asc_nulls_first(), F.col("condition_sk")], "_position", "_earlier",
     )
-    n_primary = conditions.filter(~is_background).groupBy("encounter_sk").agg((F.count("*") + 1).alias("diagnosis_rank"))
-    others = conditions.filter(is_background).join(n_primary, "encounter_sk", "left")
-    others = others.withColumn("diagnosis_rank", F.coalesce("diagnosis_rank", F.lit(1)).cast("long"))
-    return primary.unionByName(others).unionByName(outside)
+    ranked = inside.withColumn("diagnosis_rank", F.when(is_background, F.col("_earlier") + 1).otherwise(F.col("_position")).cast("long"))
+    return ranked.drop("_position", "_earlier").unionByName(outside)
 
 
 def latest_values(observations: DataFrame, codes: dict[str, str], extra_keys: tuple[str, ...] = ()) -> DataFrame:

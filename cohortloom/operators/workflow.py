@@ -338,7 +338,14 @@ def load_resources(lake: Lake, folder: str, source_system: str, bundle_id: str)
     raw = _staged(ingest.newest_resources(lake.table("raw_fhir_resource"), bundle_id))
     there = {row[0] for row in raw.select("resource_type").distinct().collect()}  # a few names
     for table, conform_resources in ingest.CONFORMED.items():
-        counts[table] = _merge(lake, conform_resources(raw, ingest.PROVENANCE), table) if ingest.RESOURCE_TYPES[table] in there else 0
+        needed, of = (ingest.NOTE_TYPES, None) if table == "clinical_note" else ({ingest.RESOURCE_TYPES[table]}, raw)
+        if there.isdisjoint(needed):
+            if table not in ingest.OPTIONAL:
+                counts[table] = 0
+            continue
+        if of is None:  # a Binary may come with another bundle than the document that points to it
+            of = _staged(ingest.with_attachments(raw, lake.table("raw_fhir_resource"), "Binary" in there))
+        counts[table] = _merge(lake, conform_resources(of, ingest.PROVENANCE), table)
     return counts
 
 

@@ -303,6 +303,25 @@ def order_details(spark, sf_dir):
     )
 
 
+@query("order_directions", with_views("medication_order", then=", " + values_view("rx", "code, display, dose, unit, route, frequency, sig", codes.MEDICATIONS) + """
+SELECT med_order_sk, med_code, dose AS dose_quantity, unit AS dose_unit, route, frequency, sig AS sig_text
+FROM medication_order LEFT JOIN rx ON med_code = code"""))
+def order_directions(spark, sf_dir):
+    """Dose, unit, route and directions of each order by its drug code; unknown codes keep their order."""
+    take = ("dose_quantity", "dose_unit", "route", "frequency", "sig_text")
+    orders = clinical_view(spark, sf_dir, "medication_order").select("med_order_sk", "med_code")
+    return codes.with_code_details(orders, "med_code", "rxnorm", {name: name for name in take}).select("med_order_sk", "med_code", *take)
+
+
+@query("chronic_conditions", with_views("condition", then=", " + values_view("icd", "code, display, is_chronic", codes.ICD10) + """
+SELECT condition_sk, condition_code, coalesce(icd.is_chronic, false) AS is_chronic FROM condition LEFT JOIN icd ON condition_code = code"""))
+def chronic_conditions(spark, sf_dir):
+    """Whether a diagnosis is a chronic one by its code; unknown codes aren't."""
+    conditions = clinical_view(spark, sf_dir, "condition").select("condition_sk", "condition_code")
+    named = codes.with_code_details(conditions, "condition_code", "icd10", {"is_chronic": "_chronic"})
+    return named.select("condition_sk", "condition_code", F.coalesce("_chronic", F.lit(False)).alias("is_chronic"))
+
+
 @query("procedure_details", with_views("procedure", then=", " + values_view("cpt", "code, display, category", codes.CPT) + """
 SELECT procedure_sk, procedure_code, display AS procedure_display, category AS known_category
 FROM procedure LEFT JOIN cpt ON procedure_code = code"""))

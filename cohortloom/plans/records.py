@@ -24,16 +24,19 @@ def reassembled_notes(spark, sf_dir):
     return whole.select("doc_id", F.md5("text").alias("text_md5"), F.size(F.split("text", "\n", -1)).alias("n_lines"))
 
 
-def _html_sql() -> str:
-    out = "html"
-    for pattern, replacement in text._HTML_STEPS:
-        out = f"regexp_replace({out}, {sql_text(pattern)}, {sql_text(replacement)}, 'g')"
-    return f"trim(regexp_replace({out}, '^\\s+|\\s+$', '', 'g'))"
-
-
-@query("html_notes", f"""
-SELECT page_id, plain AS note_text, length(plain) AS text_char_length, 'html_stripped' AS text_extraction_method
-FROM (SELECT page_id, {_html_sql()} AS plain FROM pages) AS p""")
+# Lines trimmed one by one; the entities are those that the given pages hold, the ampersand last.
+@query("html_notes", r"""
+WITH lines AS (
+  SELECT page_id, string_split(regexp_replace(regexp_replace(regexp_replace(html,
+    '(?is)<!--.*?-->|<script\b.*?</script\s*>|<style\b.*?</style\s*>', ' ', 'g'),
+    '(?i)<br\b[^>]*>|</(?:p|div|li|tr|h[1-6])\b[^>]*>', chr(10), 'g'), '<[^>]*>', ' ', 'g'), chr(10)) AS parts
+  FROM pages),
+shown AS (
+  SELECT page_id, [trim(regexp_replace(
+    replace(replace(replace(replace(replace(part, '&middot;', '·'), '&copy;', '©'), '&quot;', '"'), '&nbsp;', ' '), '&amp;', '&'), '\s+', ' ', 'g')) FOR part IN parts] AS parts
+  FROM lines),
+whole AS (SELECT page_id, array_to_string([part FOR part IN parts IF part <> ''], chr(10)) AS note_text FROM shown)
+SELECT page_id, note_text, length(note_text) AS text_char_length, 'html_stripped' AS text_extraction_method FROM whole""")
 def html_notes(spark, sf_dir):
     plain = text.html_to_text(F.col("html"))
     return read_driver_table(spark, sf_dir, "pages").select("page_id", plain.alias("note_text")).select(
@@ -110,12 +113,12 @@ def drugs_given(spark, sf_dir):
 
 
 @query("reports_with_narrative", with_views("diagnostic_report", "clinical_note", then="""
-SELECT diagnostic_report_sk, r.patient_sk, narrative_note_sk, length(note_text) AS narrative_length
+SELECT diagnostic_report_sk, r.patient_sk, narrative_note_sk, length(note_text) AS narrative_length, md5(note_text) AS narrative_md5
 FROM diagnostic_report AS r LEFT JOIN clinical_note AS n ON r.narrative_note_sk = n.note_sk"""))
 def reports_with_narrative(spark, sf_dir):
     tables = load(spark, sf_dir, "diagnostic_report", "clinical_note")
     return ingest.reports_with_narrative(tables["diagnostic_report"], tables["clinical_note"]).select(
-        "diagnostic_report_sk", "patient_sk", "narrative_note_sk", F.length("narrative").alias("narrative_length")
+        "diagnostic_report_sk", "patient_sk", "narrative_note_sk", F.length("narrative").alias("narrative_length"), F.md5("narrative").alias("narrative_md5"),
     )
 
 
@@ -343,6 +346,55 @@ def fhir_notes(spark, sf_dir):
     return decoded.withColumn("text_md5", F.md5("note_text")).drop("note_text", "encounter_sk", "note_type_code", "note_type_display")
 
 
+@query("fhir_administrations", with_views("medication_order", "administration", then="""
+SELECT a.med_order_sk * 10 + a.line AS med_admin_sk, a.med_order_sk, patient_sk, encounter_sk, admin_datetime, admin_action,
+       CAST(a.line + 1 AS DOUBLE) AS dose_given, 'mg' AS dose_unit, 'oral' AS route
+FROM administration AS a JOIN medication_order AS o ON a.med_order_sk = o.med_order_sk"""))
+def fhir_administrations(spark, sf_dir):
+    """Doses as they were given, with the order each belongs to."""
+    tables = load(spark, sf_dir, "administration", "medication_order")
+    rows = tables["administration"].join(tables["medication_order"].select("med_order_sk", "patient_sk", "encounter_sk"), "med_order_sk")
+    status = F.create_map(*[F.lit(v) for v in ("given", "completed", "held", "on-hold", "refused", "not-done")])
+    lines = _lines(
+        rows.withColumn("med_admin_sk", F.col("med_order_sk") * 10 + F.col("line")), "MedicationAdministration", "med_admin_sk",
+        subject=_ref("Patient", "patient_sk"), context=_ref("Encounter", "encounter_sk"), request=_ref("MedicationRequest", "med_order_sk"),
+        status=status[F.col("admin_action")], effectiveDateTime=F.col("admin_datetime"),
+        dosage=F.struct(F.struct((F.col("line") + 1).alias("value"), F.lit("mg").alias("unit")).alias("dose"), F.struct(F.lit("oral").alias("text")).alias("route")),
+    )
+    return ingest.conform_administrations(_landed(lines)).select(
+        "med_admin_sk", "med_order_sk", "patient_sk", "encounter_sk", F.col("admin_datetime").cast("timestamp_ntz").alias("admin_datetime"),
+        "admin_action", "dose_given", "dose_unit", "route")
+
+
+@query("fhir_reports", with_views("diagnostic_report", then="""
+SELECT diagnostic_report_sk, patient_sk, narrative_note_sk, 'RADIOLOGY' AS report_category, '18748-4' AS report_code, 'final' AS status FROM diagnostic_report"""))
+def fhir_reports(spark, sf_dir):
+    """Reports and the document that holds their narrative."""
+    form = F.struct(F.lit("text/plain").alias("contentType"), F.concat(F.lit("DocumentReference/"), F.col("narrative_note_sk").cast("string")).alias("url"))
+    lines = _lines(
+        clinical_view(spark, sf_dir, "diagnostic_report"), "DiagnosticReport", "diagnostic_report_sk", subject=_ref("Patient", "patient_sk"),
+        category=F.array(_concept(F.lit("RAD"))), code=_concept(F.lit("18748-4")), status=F.lit("final"),
+        presentedForm=F.when(F.col("narrative_note_sk").isNotNull(), F.array(form)),
+    )
+    return ingest.conform_reports(_landed(lines)).select("diagnostic_report_sk", "patient_sk", "narrative_note_sk", "report_category", "report_code", "status")
+
+
+@query("fhir_binary_notes", with_views("clinical_note", then="""
+SELECT note_sk, patient_sk, 'text/plain' AS content_type, md5(note_text) AS text_md5, length(note_text) AS text_char_length FROM clinical_note"""))
+def fhir_binary_notes(spark, sf_dir):
+    """Documents whose bodies are resources of their own, sent in an earlier bundle."""
+    texts = clinical_view(spark, sf_dir, "clinical_note")
+    pointed = F.struct(F.struct(F.concat(F.lit("https://fhir.example.org/r4/Binary/b"), F.col("note_sk").cast("string")).alias("url")).alias("attachment"))
+    documents = _lines(texts, "DocumentReference", "note_sk", subject=_ref("Patient", "patient_sk"), content=F.array(pointed))
+    bodies = _lines(
+        texts.withColumn("_id", F.concat(F.lit("b"), F.col("note_sk").cast("string"))), "Binary", "_id",
+        contentType=F.lit("text/plain"), data=F.base64(F.encode("note_text", "UTF-8")))
+    first = ingest.land_resources(bodies, "clinic", "bundle-0", F.lit("2001-12-01").cast("timestamp"))
+    second = _landed(documents)
+    notes = ingest.conform_notes(ingest.with_attachments(second, first.unionByName(second), binaries=False))
+    return notes.select("note_sk", "patient_sk", "content_type", F.md5("note_text").alias("text_md5"), "text_char_length")
+
+
 @query("cohort_bundles", with_views(*_NESTED_VIEWS, then=_NESTED_SQL + _EVIDENCE_SQL + """
 SELECT 7 AS cohort_sk, patient_sk, 'Bundle' AS resource_type, 1 + count(DISTINCT criterion) AS n_entries
 FROM kept GROUP BY patient_sk"""))

@@ -88,6 +88,24 @@ TABLES: dict[str, Table] = {
         "med_order_sk", ("patient_sk", "start_datetime"),
         {"med_system": "RxNorm", "loaded_at": NOW}, ("patient_sk",),
     ),
+    "medication_administration": Table(
+        "silver",
+        _struct(
+            med_admin_sk=LONG, med_order_sk=LONG, patient_sk=LONG, encounter_sk=LONG, admin_datetime=TS, scheduled_datetime=TS,
+            admin_action=STRING, dose_given=DOUBLE, dose_unit=STRING, route=STRING, infusion_rate=DOUBLE,
+            source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
+        ),
+        "med_admin_sk", ("patient_sk", "admin_datetime"), {"loaded_at": NOW}, ("patient_sk",),
+    ),
+    "diagnostic_report": Table(
+        "silver",
+        _struct(
+            diagnostic_report_sk=LONG, patient_sk=LONG, encounter_sk=LONG, report_code=STRING, report_system=STRING,
+            report_display=STRING, report_category=STRING, status=STRING, effective_datetime=TS, narrative_note_sk=LONG,
+            source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
+        ),
+        "diagnostic_report_sk", ("patient_sk", "effective_datetime"), {"report_system": "LOINC", "loaded_at": NOW}, ("patient_sk",),
+    ),
     "procedure": Table(
         "silver",
         _struct(
@@ -230,6 +248,10 @@ FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
     ("medication_order", "patient_sk", "patient", "patient_sk"),
     ("procedure", "patient_sk", "patient", "patient_sk"),
     ("clinical_note", "patient_sk", "patient", "patient_sk"),
+    ("medication_administration", "patient_sk", "patient", "patient_sk"),
+    ("medication_administration", "med_order_sk", "medication_order", "med_order_sk"),
+    ("diagnostic_report", "patient_sk", "patient", "patient_sk"),
+    ("diagnostic_report", "narrative_note_sk", "clinical_note", "note_sk"),
     ("note_nlp_entity", "note_sk", "clinical_note", "note_sk"),
     ("note_nlp_entity", "patient_sk", "patient", "patient_sk"),
     ("note_nlp_entity", "nlp_run_sk", "nlp_run", "nlp_run_sk"),
@@ -250,6 +272,8 @@ VALUE_SETS: dict[tuple[str, str], tuple[str, ...]] = {
     ("observation", "interpretation"): ("normal", "high", "low", "critical", "abnormal"),
     ("medication_order", "order_class"): ("inpatient", "outpatient"),
     ("medication_order", "order_status"): ("active", "completed", "discontinued"),
+    ("medication_administration", "admin_action"): ("given", "held", "refused"),
+    ("diagnostic_report", "report_category"): ("LAB", "PATHOLOGY", "RADIOLOGY", "MICRO"),
     ("procedure", "procedure_category"): ("surgical", "diagnostic", "therapeutic"),
     ("procedure", "status"): ("completed", "in-progress"),
     ("clinical_note", "note_category"): (

@@ -112,6 +112,21 @@ def test_html(spark):
     assert one(spark, text.html_to_text(F.lit(html))) == "A & B\nx y\nz"
 
 
+def test_entities_are_decoded_once(spark):
+    cases = {
+        "a &amp;lt; b": "a &lt; b", "&lt;p&gt; &quot;x&quot; &apos;y&apos;": "<p> \"x\" 'y'", "&eacute;&Eacute;&hellip;&#8364;&#x20AC;&#X1F600;": "éÉ…€€😀",
+        "&#150;&#x92;": "–’", "&unknown; &amp &;": "&unknown; &amp &;", "&#0;&#xD800;&#1114112;&#9999999;": "\ufffd" * 4, "&NotEqualTilde;": "≂̸",
+        "&CounterClockwiseContourIntegral;": "∳", "no entity": "no entity", "": "", "&amp;": "&", "x&nbsp;y": "x\u00a0y", "$1&copy;\\": "$1©\\", None: None,
+    }
+    rows = spark.createDataFrame(list(enumerate(cases)), "i int, t string").select("i", text.decode_entities(F.col("t")).alias("out")).collect()
+    assert [r.out for r in sorted(rows, key=lambda r: r.i)] == list(cases.values())
+
+
+def test_html_by_hand(spark):
+    html = "<div>caf&eacute;&nbsp; &mdash;  x</div>\r\n\t<p>1 &lt; 2 &amp;amp; 3</p><ul><li>a</li><li>b</li></ul>"
+    assert one(spark, text.html_to_text(F.lit(html))) == "café — x\n1 < 2 &amp; 3\na\nb"
+
+
 def test_deidentification(spark):
     raw = "Mail a.b@c.example.com or éx@y.org, call +1 (499) 555-6503, MRN-000042, see https://x.y/z?a=1 now. BP 120/80."
     clean, counts = text.deidentify(F.lit(raw))

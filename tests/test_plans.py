@@ -64,6 +64,13 @@ def test_numbering_joins_on_its_own_partitioning(spark, no_broadcast):
     assert plan.count("Exchange hashpartitioning") == 4
 
 
+def test_ranks_read_their_input_at_most_three_times(spark, no_broadcast):
+    folder = tempfile.mkdtemp(prefix="run-plans-", dir="/tmp") + "/condition"
+    spark.range(50).selectExpr("id % 9 AS encounter_sk", "id AS condition_sk", "'I10' AS condition_code", "current_date() AS recorded_date").write.parquet(folder)
+    plan = physical(ranking.diagnosis_rank(spark.read.parquet(folder), ["J06.9"]))
+    assert plan.count("FileScan") <= 3
+
+
 def test_long_code_lists_are_joined(spark, sf_dir):
     plan = cohorts.cohort_of_long_code_lists(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "E11.9-04999" not in plan and "CartesianProduct" not in plan and "NestedLoop" not in plan

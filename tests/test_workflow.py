@@ -1,5 +1,6 @@
 """Jobs that write: tables, cohorts, extraction runs, exports, streaming capture."""
 
+import base64
 import csv
 import glob
 import json
@@ -411,6 +412,41 @@ def test_bundles_are_loaded_and_other_lines_kept_apart(own_lake, lake, saved, sp
     assert set(workflow.load_resources(own_lake, written(lines), "clinic", "b1").values()) == {0}
 
 
+def test_administrations_reports_and_bodies_of_their_own(own_lake):
+    encoded = lambda text: base64.b64encode(text.encode()).decode()
+    who = {"subject": {"reference": "Patient/1"}}
+    given = {"resourceType": "MedicationAdministration", **who, "request": {"reference": "MedicationRequest/7"}}
+    dosage = {"text": "one a day", "timing": {"code": {"text": "daily"}}, "route": {"coding": [{"code": "PO", "display": "oral"}]}, "doseAndRate": [{"doseQuantity": {"value": 2.5, "unit": "mg"}}]}
+    report = {"resourceType": "DiagnosticReport", **who, "status": "final", "category": [{"coding": [{"code": "SP"}]}]}
+    pointing = {"resourceType": "DocumentReference", "id": "30", **who, "content": [{"attachment": {"url": "Binary/b1"}}]}
+    counts = workflow.load_resources(own_lake, written([
+        {"resourceType": "MedicationRequest", "id": "7", **who, "status": "active", "category": [{"coding": [{"code": "inpatient"}]}], "dosageInstruction": [dosage], "dispenseRequest": {"validityPeriod": {"end": "2001-02-03T00:00:00Z"}}},
+        {**given, "id": "11", "status": "completed", "effectiveDateTime": "2001-01-02T03:04:05Z", "dosage": {"dose": {"value": 5, "unit": "mg"}, "route": {"text": "oral"}}},
+        {**given, "id": "12", "status": "on-hold", "effectivePeriod": {"start": "2001-01-03T00:00:00Z"}}, {**given, "id": "13", "status": "not-done"}, {**given, "id": "14", "status": "entered-in-error"},
+        {**report, "id": "21", "presentedForm": [{"url": "https://x.org/DocumentReference/30"}]}, {**report, "id": "22"},
+        {**report, "id": "23", "presentedForm": [{"contentType": "text/html; charset=utf-8", "data": encoded("<p>Benign &mdash; no atypia</p>")}]},
+        pointing, {"resourceType": "DocumentReference", "id": "31", **who, "content": [{"attachment": {"contentType": "application/pdf", "data": encoded("%PDF")}}]},
+    ]), "clinic", "b1")
+    assert (counts["medication_order"], counts["medication_administration"], counts["diagnostic_report"], counts["clinical_note"]) == (1, 4, 3, 3)
+    order = own_lake.table("medication_order").first()
+    assert (order.dose_quantity, order.dose_unit, order.route, order.frequency, order.sig_text, order.order_class) == ("2.5", "mg", "oral", "daily", "one a day", "inpatient") and order.end_datetime is not None
+    doses = {r.med_admin_sk: r for r in own_lake.table("medication_administration").collect()}
+    assert {k: r.admin_action for k, r in doses.items()} == {11: "given", 12: "held", 13: "refused", 14: None}
+    assert (doses[11].med_order_sk, doses[11].dose_given, doses[11].route, doses[11].source_id) == (7, 5.0, "oral", "11") and doses[12].admin_datetime is not None
+    texts = lambda: {r.note_sk: r.note_text for r in own_lake.table("clinical_note").collect()}
+    notes = {r.diagnostic_report_sk: r.narrative_note_sk for r in own_lake.table("diagnostic_report").collect()}
+    assert notes[21] == 30 and notes[22] is None and texts() == {30: None, 31: None, notes[23]: "Benign — no atypia"}
+    body = {"resourceType": "Binary", "id": "b1", "contentType": "text/plain", "data": encoded("No fever.")}
+    counts = workflow.load_resources(own_lake, written([body, {**body, "id": "b2"}]), "clinic", "b2")  # the body comes later than its document
+    assert counts["clinical_note"] == 1 and texts()[30] == "No fever."
+    read = ingest.reports_with_narrative(own_lake.table("diagnostic_report"), own_lake.table("clinical_note")).collect()
+    assert {r.diagnostic_report_sk: r.narrative for r in read} == {21: "No fever.", 22: None, 23: "Benign — no atypia"}
+    assert {r.med_order_sk: r.n_given for r in ingest.drugs_given(own_lake.table("medication_order"), own_lake.table("medication_administration")).collect()} == {7: 1}
+    changed = {**body, "data": encoded("Fever."), "meta": {"lastUpdated": "2100-01-01T00:00:00Z"}}
+    assert workflow.load_resources(own_lake, written([changed]), "clinic", "b3")["clinical_note"] == 1 and texts()[30] == "Fever."
+    assert set(workflow.load_resources(own_lake, written([body]), "clinic", "b4").values()) == {0} and texts()[30] == "Fever."
+
+
 def test_two_saves_at_once_get_versions_of_their_own(own_lake, lake):
     for name in FILLED:
         own_lake.overwrite(lake.table(name), name)
