@@ -391,7 +391,8 @@ def fhir_binary_notes(spark, sf_dir):
         contentType=F.lit("text/plain"), data=F.base64(F.encode("note_text", "UTF-8")))
     first = ingest.land_resources(bodies, "clinic", "bundle-0", F.lit("2001-12-01").cast("timestamp"))
     second = _landed(documents)
-    notes = ingest.conform_notes(ingest.with_attachments(second, first.unionByName(second), binaries=False))
+    landed = linkage._staged(first.unionByName(second))  # as a load reads them: from the landing table
+    notes = ingest.conform_notes(ingest.with_attachments(landed.filter("bundle_id = 'bundle-1'"), landed, binaries=False))
     return notes.select("note_sk", "patient_sk", "content_type", F.md5("note_text").alias("text_md5"), "text_char_length")
 
 
