@@ -68,6 +68,12 @@ def lookup_concepts(rows: DataFrame, code_column: str, system: str, concepts: Da
     return rows.join(known, rows[code_column] == known["_code"], "left").drop("_code")
 
 
+def newest_concepts(rows: DataFrame) -> DataFrame:
+    """Concepts as rows of the terminology table, one per system and code; of several that differ the last in the order of their columns."""
+    named = rows.dropna(subset=["code_system", "code"]).groupBy("code_system", "code").agg(F.max(F.struct("display", "concept_class", "maps_to")).alias("c"))
+    return named.select(F.xxhash64("code_system", "code").alias("concept_sk"), "code_system", "code", "c.*")
+
+
 def clinical_and_billed(clinical: DataFrame, billed: DataFrame, key: list[str]) -> DataFrame:
     """Union of clinical and billed facts, one row per key, with a flag for what was billed."""
     both = clinical.select(*key).withColumn("is_billed", F.lit(False)).unionByName(
@@ -147,15 +153,23 @@ def landed_rows(raw: DataFrame, source_table: str, schema: str) -> DataFrame:
 _CODING = "array<struct<system:string,code:string,display:string>>"
 _CONCEPT = f"struct<coding:{_CODING},text:string>"
 _REF = "struct<reference:string>"
+_NAMED = "struct<reference:string,display:string>"
+_IDENTIFIERS = "array<struct<system:string,value:string>>"
 _QUANTITY = "struct<value:double,unit:string>"
 _ATTACHMENT = "struct<contentType:string,data:string,url:string>"
 _RANGE = "array<struct<low:struct<value:double>,high:struct<value:double>>>"
 
 RESOURCE_SCHEMAS: dict[str, str] = {
-    "Patient": "id string, identifier array<struct<system:string,value:string>>, birthDate date, gender string, "
+    "Patient": f"id string, identifier array<struct<system:string,value:string,type:{_CONCEPT},assigner:struct<display:string>>>, birthDate date, gender string, "
     "deceasedBoolean boolean, deceasedDateTime timestamp, address array<struct<city:string,state:string,postalCode:string>>",
     "Encounter": f"id string, subject {_REF}, status string, class struct<code:string>, type array<{_CONCEPT}>, "
-    "period struct<start:timestamp,end:timestamp>",
+    f"period struct<start:timestamp,end:timestamp>, participant array<struct<type:array<{_CONCEPT}>,individual:{_NAMED}>>, "
+    f"serviceProvider {_NAMED}, location array<struct<location:{_NAMED}>>, "
+    f"hospitalization struct<admitSource:{_CONCEPT},dischargeDisposition:{_CONCEPT}>",
+    "Practitioner": f"id string, identifier {_IDENTIFIERS}, name array<struct<text:string,family:string,given:array<string>>>, "
+    f"qualification array<struct<code:{_CONCEPT}>>",
+    "Organization": f"id string, identifier {_IDENTIFIERS}, name string, type array<{_CONCEPT}>",
+    "Location": f"id string, name string, type array<{_CONCEPT}>, managingOrganization {_REF}",
     "Condition": f"id string, subject {_REF}, encounter {_REF}, category array<{_CONCEPT}>, code {_CONCEPT}, "
     f"clinicalStatus {_CONCEPT}, verificationStatus {_CONCEPT}, onsetDateTime date, recordedDate date, abatementDateTime timestamp",
     "Observation": f"id string, subject {_REF}, encounter {_REF}, category array<{_CONCEPT}>, code {_CONCEPT}, "
@@ -241,12 +255,75 @@ def conform_patients(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
+# Identifier types of the interchange standard, as the clinical tables name them.
+IDENTIFIER_TYPES = {"MR": "MRN", "PI": "source_pat_id", "SS": "SSN-last4", "MB": "member_id"}
+
+
+def conform_identifiers(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Identifiers of patients, one row each however often a patient names it; the issuer is the authority, else the number's system.
+
+    Of social security numbers only the last four digits are kept. A patient without any (usable) identifier gives one row without a key:
+    it isn't stored, but says that identifiers of an older version have gone.
+    """
+    types = F.create_map(*[F.lit(v) for pair in IDENTIFIER_TYPES.items() for v in pair])
+
+    def known(i: Column) -> Column:
+        code = F.get(i["type"]["coding"], F.lit(0))["code"]
+        kind = F.coalesce(types[code], F.when(F.lower(i["system"]) == "mrn", "MRN"), i["type"]["text"], code, i["system"])
+        value = F.nullif(F.trim(i["value"]), F.lit(""))
+        value = F.when(kind == "SSN-last4", F.nullif(F.right(F.regexp_replace(value, "[^0-9]", ""), F.lit(4)), F.lit(""))).otherwise(value)
+        return F.struct(kind.alias("kind"), value.alias("value"), F.coalesce(i["assigner"]["display"], i["system"]).alias("authority"))
+
+    usable = F.array_distinct(F.filter(F.transform("identifier", known), lambda i: i["value"].isNotNull()))
+    rows = _resources(raw, "Patient").select(_own_key("Patient").alias("patient_sk"), F.explode_outer(usable).alias("i"), *keep)
+    return rows.select(
+        F.when(F.col("i").isNotNull(), F.xxhash64("patient_sk", "i.kind", "i.authority", "i.value")).alias("identifier_sk"), "patient_sk",
+        F.col("i.kind").alias("identifier_type"), F.col("i.value").alias("identifier_value"), F.col("i.authority").alias("assigning_authority"), *keep,
+    )
+
+
+def _number_of(system: str) -> Column:
+    """The first identifier of a system, named whole or by the last part of its address."""
+    return F.get(F.filter("identifier", lambda i: F.lower(F.element_at(F.split(i["system"], "[/:]"), -1)) == system), F.lit(0))["value"]
+
+
+def conform_providers(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Practitioners: the name as written, else given names and family name; the first qualification is the specialty."""
+    name = F.get("name", F.lit(0))
+    parts = F.nullif(F.trim(F.concat_ws(" ", name["given"], name["family"])), F.lit(""))
+    return _resources(raw, "Practitioner").select(
+        _own_key("Practitioner").alias("provider_sk"), _number_of("us-npi").alias("npi"), F.coalesce(name["text"], parts).alias("full_name"),
+        _shown(F.get("qualification", F.lit(0))["code"]).alias("specialty"), *keep,
+    )
+
+
+def conform_organizations(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _resources(raw, "Organization").select(
+        _own_key("Organization").alias("organization_sk"), "name", _shown(F.get("type", F.lit(0))).alias("type"),
+        _number_of("practiceid").alias("practice_id"), *keep,
+    )
+
+
+def conform_locations(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    return _resources(raw, "Location").select(
+        _own_key("Location").alias("location_sk"), "name", _shown(F.get("type", F.lit(0))).alias("type"),
+        _key("managingOrganization.reference").alias("organization_sk"), *keep,
+    )
+
+
 def conform_encounters(raw: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """Encounters with who attended (the participant said to, else the first), where, and how they began and ended."""
+    attends = lambda p: F.exists(p["type"], lambda t: F.exists(t["coding"], lambda c: c["code"] == "ATND"))
+    attending = F.coalesce(F.get(F.filter("participant", attends), F.lit(0)), F.get("participant", F.lit(0)))["individual"]
     classes = F.create_map(*[F.lit(v) for pair in ENCOUNTER_CLASSES.items() for v in pair])
     return _resources(raw, "Encounter").select(
         _own_key("Encounter").alias("encounter_sk"), _key("subject.reference").alias("patient_sk"),
         classes[F.col("class.code")].alias("encounter_class"), F.get("type", F.lit(0))["text"].alias("encounter_type"),
-        "status", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"), *keep,
+        "status", F.col("period.start").alias("period_start"), F.col("period.end").alias("period_end"),
+        _shown(F.col("hospitalization.admitSource")).alias("admit_source"), _shown(F.col("hospitalization.dischargeDisposition")).alias("discharge_disposition"),
+        attending["display"].alias("attending_provider_name"), F.col("serviceProvider.display").alias("facility_name"),
+        _key_in(attending["reference"]).alias("attending_provider_sk"), _key("serviceProvider.reference").alias("organization_sk"),
+        _key_in(F.get("location", F.lit(0))["location"]["reference"]).alias("location_sk"), *keep,
     )
 
 
@@ -430,18 +507,22 @@ CONFORMED = {
     "patient": conform_patients, "encounter": conform_encounters, "condition": conform_conditions,
     "observation": conform_observations, "medication_order": conform_medication_orders,
     "procedure": conform_procedures, "medication_administration": conform_administrations, "diagnostic_report": conform_reports,
-    "clinical_note": conform_notes,
+    "clinical_note": conform_notes, "patient_identifier": conform_identifiers, "provider": conform_providers,
+    "organization": conform_organizations, "location": conform_locations,
 }
 RESOURCE_TYPES = {
     "patient": "Patient", "encounter": "Encounter", "condition": "Condition", "observation": "Observation",
     "medication_order": "MedicationRequest", "procedure": "Procedure", "medication_administration": "MedicationAdministration",
-    "diagnostic_report": "DiagnosticReport", "clinical_note": "DocumentReference",
+    "diagnostic_report": "DiagnosticReport", "clinical_note": "DocumentReference", "patient_identifier": "Patient",
+    "provider": "Practitioner", "organization": "Organization", "location": "Location",
 }
 # Tables that a load's counts name only where it holds such resources, and the resource types that notes are made of.
-OPTIONAL = {"medication_administration", "diagnostic_report"}
+OPTIONAL = {"medication_administration", "diagnostic_report", "provider", "organization", "location"}
 NOTE_TYPES = {"DocumentReference", "DiagnosticReport", "Binary"}
+# Tables of parts of resources that are counted as rows of another table.
+PARTS = {"patient_identifier"}
 # What stands for the resource in a table where a resource makes several rows.
-OWNERS = {"observation": "coalesce(parent_observation_sk, observation_sk)"}
+OWNERS = {"observation": "coalesce(parent_observation_sk, observation_sk)", "patient_identifier": "patient_sk"}
 
 
 # The field in which a resource of each table gives its date.

@@ -340,15 +340,22 @@ def load_resources(lake: Lake, folder: str, source_system: str, bundle_id: str)
     for table, conform_resources in ingest.CONFORMED.items():
         needed, of = (ingest.NOTE_TYPES, None) if table == "clinical_note" else ({ingest.RESOURCE_TYPES[table]}, raw)
         if there.isdisjoint(needed):
-            if table not in ingest.OPTIONAL:
+            if table not in ingest.OPTIONAL | ingest.PARTS:
                 counts[table] = 0
             continue
         if of is None:  # a Binary may come with another bundle than the document that points to it
             of = _staged(ingest.with_attachments(raw, lake.table("raw_fhir_resource"), "Binary" in there))
-        counts[table] = _merge(lake, conform_resources(of, ingest.PROVENANCE), table)
+        written = _merge(lake, conform_resources(of, ingest.PROVENANCE), table)
+        if table not in ingest.PARTS:
+            counts[table] = written
     return counts
 
 
+def load_concepts(lake: Lake, rows: DataFrame) -> int:
+    """Add terminology, or change it: rows of code_system, code, display, concept_class, maps_to. Equal rows are left; returns how many were written."""
+    return _merge(lake, ingest.newest_concepts(rows), "concept")
+
+
 def _not_landed(lake: Lake, rows: DataFrame, table: str, bundle_id: str) -> DataFrame:
     there = lake.table(table).filter(F.col("bundle_id") == bundle_id).select("digest")
     return rows.dropDuplicates(["digest"]).join(there, "digest", "left_anti")
@@ -357,7 +364,7 @@ def _not_landed(lake: Lake, rows: DataFrame, table: str, bundle_id: str) -> Data
 def _merge(lake: Lake, rows: DataFrame, table: str) -> int:
     """Rows of new resources are added, those of changed ones take the place of the stored ones, equal ones are left; returns how many were written.
 
-    Resources are compared as a whole (all rows of each), so rows that a newer version no longer has go. Stored rows are looked at by key first: only those of the
+    Resources are compared as a whole (all rows of each), so rows that a newer version no longer has go; one that has none is given by a row without a key. Stored rows are looked at by key first: only those of the
     load are digested, and only the files of writes that hold changed rows are written anew, in one step that readers see whole or not at all.
     """
     spec = TABLES[table]
@@ -366,14 +373,14 @@ def _merge(lake: Lake, rows: DataFrame, table: str) -> int:
     digest = F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256)
 
     def by_owner(df: DataFrame) -> DataFrame:
-        return df.groupBy("_owner").agg(F.sort_array(F.collect_list(digest)).alias("_digests"))
+        return df.groupBy("_owner").agg(F.sort_array(F.collect_list(F.when(F.col(spec.key).isNotNull(), digest))).alias("_digests"))
 
     rows = _staged(conform(rows, spec).withColumn("_owner", owner)).filter("_owner IS NOT NULL")
     while True:
         stored = lake.table(table).withColumn("_owner", owner).join(rows.select("_owner").distinct(), "_owner", "left_semi")
         there = by_owner(stored).withColumnRenamed("_digests", "_stored")
-        changed = _staged(by_owner(rows).join(there, "_owner", "left").filter(~F.col("_digests").eqNullSafe(F.col("_stored"))).select("_owner", F.col("_stored").isNotNull().alias("_known")))
-        fresh = rows.join(changed, "_owner", "left_semi").drop("_owner")
+        changed = _staged(by_owner(rows).join(there, "_owner", "left").filter(F.col("_digests") != F.coalesce("_stored", F.array().cast("array<string>"))).select("_owner", F.col("_stored").isNotNull().alias("_known")))
+        fresh = rows.filter(F.col(spec.key).isNotNull()).join(changed, "_owner", "left_semi").drop("_owner")
         known = changed.filter("_known").select("_owner")
         try:
             if known.isEmpty():

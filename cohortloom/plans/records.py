@@ -273,7 +273,83 @@ def fhir_encounters(spark, sf_dir):
         period=F.struct(F.col("period_start").alias("start"), F.col("period_end").alias("end")),
         **{"class": F.struct(classes[F.col("encounter_class")].alias("code"))},
     )
-    return ingest.conform_encounters(_landed(lines))
+    return ingest.conform_encounters(_landed(lines)).select(
+        "encounter_sk", "patient_sk", "encounter_class", "encounter_type", "status", "period_start", "period_end")
+
+
+@query("fhir_attended_encounters", with_views("encounter", then="""
+SELECT encounter_sk, attending_provider_name, facility_name, encounter_sk % 12 AS attending_provider_sk, encounter_sk % 7 AS organization_sk,
+       encounter_sk % 5 AS location_sk, CASE WHEN encounter_class = 'emergency' THEN 'emd' END AS admit_source, 'Home' AS discharge_disposition FROM encounter"""))
+def fhir_attended_encounters(spark, sf_dir):
+    """Who attended, where, and how a stay began and ended; every second encounter names a referrer before the one who attended."""
+    role = lambda code: F.array(_concept(F.lit(code)))
+    who = F.struct(
+        F.concat(F.lit("Practitioner/"), (F.col("encounter_sk") % 12).cast("string")).alias("reference"), F.col("attending_provider_name").alias("display"))
+    other = F.struct(F.lit("Practitioner/999").alias("reference"), F.lit("Dr. Who Sent").alias("display"))
+    attended, referred = F.struct(role("ATND").alias("type"), who.alias("individual")), F.struct(role("REF").alias("type"), other.alias("individual"))
+    place = lambda kind, n: F.concat(F.lit(f"{kind}/"), (F.col("encounter_sk") % n).cast("string")).alias("reference")
+    lines = _lines(
+        clinical_view(spark, sf_dir, "encounter"), "Encounter", "encounter_sk", subject=_ref("Patient", "patient_sk"),
+        participant=F.when(F.col("encounter_sk") % 2 == 0, F.array(referred, attended)).otherwise(F.array(attended)),
+        serviceProvider=F.struct(place("Organization", 7), F.col("facility_name").alias("display")),
+        location=F.array(F.struct(F.struct(place("Location", 5)).alias("location"))),
+        hospitalization=F.struct(
+            F.when(F.col("encounter_class") == "emergency", _concept(F.lit("emd"))).alias("admitSource"),
+            F.struct(F.lit("Home").alias("text")).alias("dischargeDisposition")),
+    )
+    return ingest.conform_encounters(_landed(lines)).select(
+        "encounter_sk", "attending_provider_name", "facility_name", "attending_provider_sk", "organization_sk", "location_sk", "admit_source",
+        "discharge_disposition")
+
+
+def _identifier_lines(spark, sf_dir):
+    """Patients with all their identifiers, the first of them twice."""
+    i = F.struct(
+        F.col("identifier_value").alias("value"), F.struct(F.col("identifier_type").alias("text")).alias("type"),
+        F.struct(F.col("assigning_authority").alias("display")).alias("assigner"))
+    held = clinical_view(spark, sf_dir, "identifier").groupBy("source_key").agg(F.array_sort(F.collect_list(i)).alias("held"))
+    return _lines(held, "Patient", "source_key", identifier=F.concat("held", F.slice("held", 1, 1)))
+
+
+@query("fhir_patient_identifiers", with_views("identifier", then="""
+SELECT source_key AS patient_sk, identifier_type, identifier_value, assigning_authority FROM identifier"""))
+def fhir_patient_identifiers(spark, sf_dir):
+    conformed = ingest.conform_identifiers(_landed(_identifier_lines(spark, sf_dir)))
+    return conformed.select("patient_sk", "identifier_type", "identifier_value", "assigning_authority")
+
+
+@query("fhir_providers", """
+SELECT s_suppkey AS provider_sk, CAST(1000000000 + s_suppkey AS VARCHAR) AS npi, concat('Ann ', s_name) AS full_name, n_name AS specialty
+FROM supplier JOIN nation ON s_nationkey = n_nationkey""")
+def fhir_providers(spark, sf_dir):
+    rows = ingest.resolve_category(
+        read_driver_table(spark, sf_dir, "supplier"), "s_nationkey",
+        read_driver_table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("code"), F.col("n_name").alias("name")), "specialty")
+    number = lambda system, value: F.struct(F.lit(system).alias("system"), value.cast("string").alias("value"))
+    lines = _lines(
+        rows, "Practitioner", "s_suppkey",
+        identifier=F.array(number("local", F.lit(0)), number("http://hl7.org/fhir/sid/us-npi", 1000000000 + F.col("s_suppkey"))),
+        name=F.array(F.struct(F.array(F.lit("Ann")).alias("given"), F.col("s_name").alias("family"))),
+        qualification=F.array(F.struct(_concept(F.col("specialty")).alias("code"))),
+    )
+    return ingest.conform_providers(_landed(lines)).select("provider_sk", "npi", "full_name", "specialty")
+
+
+@query("fhir_locations", """
+SELECT p_partkey AS location_sk, p_name AS location_name, p_type AS location_type, n_name AS organization_name, 'prov' AS organization_type,
+       CAST(n_nationkey AS VARCHAR) AS practice_id
+FROM part JOIN nation ON p_partkey % 25 = n_nationkey""")
+def fhir_locations(spark, sf_dir):
+    """Places with the organizations they belong to."""
+    organizations = _lines(
+        read_driver_table(spark, sf_dir, "nation"), "Organization", "n_nationkey", name=F.col("n_name"), type=F.array(_concept(F.lit("prov"))),
+        identifier=F.array(F.struct(F.lit("urn:practiceid").alias("system"), F.col("n_nationkey").cast("string").alias("value"))))
+    places = read_driver_table(spark, sf_dir, "part").withColumn("_org", F.col("p_partkey") % 25)
+    locations = _lines(
+        places, "Location", "p_partkey", name=F.col("p_name"), type=F.array(_concept(F.col("p_type"))), managingOrganization=_ref("Organization", "_org"))
+    held = ingest.conform_locations(_landed(locations)).select("location_sk", F.col("name").alias("location_name"), F.col("type").alias("location_type"), "organization_sk")
+    by = ingest.conform_organizations(_landed(organizations)).select("organization_sk", F.col("name").alias("organization_name"), F.col("type").alias("organization_type"), "practice_id")
+    return held.join(by, "organization_sk").drop("organization_sk")
 
 
 @query("fhir_conditions", with_views("condition", then="""

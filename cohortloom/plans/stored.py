@@ -6,12 +6,12 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from cohortloom.operators import workflow
+from cohortloom.operators import ingest, workflow
 from cohortloom.operators.cohort import MEMBER_COLUMNS
 from cohortloom.operators.criteria import AllOf, CohortSpec, Criterion, Has, Not
 from cohortloom.plans.cohorts import RECORD, RECORD_SQL
-from cohortloom.plans.records import _patient_lines
-from cohortloom.plans.registry import AS_OF, query
+from cohortloom.plans.records import CONCEPTS, _identifier_lines, _patient_lines
+from cohortloom.plans.registry import AS_OF, query, values_view
 from cohortloom.schemas import TABLES
 from cohortloom.session import checkpoint_folder
 from cohortloom.sources.fixtures import clinical_view, load, with_views
@@ -61,6 +61,39 @@ def reloaded_patients(spark, sf_dir):
         "patient_sk", "mrn", "birth_date", "sex", "deceased_flag", "city", "state", "primary_language", "source_system", "source_id", "source_table_or_resource")
 
 
+@query("reloaded_identifiers", with_views("identifier", then="""
+, kept AS (SELECT * FROM identifier WHERE source_key % 3 <> 0 OR (source_key % 2 = 1 AND identifier_type <> 'member_id'))
+SELECT source_key AS patient_sk, identifier_type, identifier_value, assigning_authority, 'Patient' AS source_table_or_resource FROM kept"""))
+def reloaded_identifiers(spark, sf_dir):
+    """Identifiers after a load, a load in which every third patient has fewer (or none), and the first load again."""
+    lake = _own_lake(spark, sf_dir)
+    lines = _identifier_lines(spark, sf_dir)
+    r = F.from_json("value", "id string, identifier array<struct<value:string,type:struct<text:string>,assigner:struct<display:string>>>")
+    fewer = F.filter("r.identifier", lambda i: (F.col("r.id").cast("long") % 2 == 1) & (i["type"]["text"] != "member_id"))
+    changed = lines.select(r.alias("r")).filter(F.col("r.id").cast("long") % 3 == 0).select(
+        F.to_json(F.struct(F.lit("Patient").alias("resourceType"), F.col("r.id").alias("id"), fewer.alias("identifier"))).alias("value"))
+    first, second = (f"{checkpoint_folder(spark)}/load-{uuid.uuid4().hex}" for _ in range(2))
+    lines.write.text(first)
+    changed.write.text(second)
+    for folder, bundle in ((first, "b1"), (second, "b2"), (first, "b1")):
+        workflow.load_resources(lake, folder, "clinic", bundle)
+    return lake.table("patient_identifier").select(
+        "patient_sk", "identifier_type", "identifier_value", "assigning_authority", "source_table_or_resource")
+
+
+@query("stored_concepts", with_views("condition", then=", " + values_view("concept", "code_system, code, display, maps_to", CONCEPTS) + """
+SELECT condition_sk, condition_code, 'Known as ' || display AS concept_display, maps_to
+FROM condition LEFT JOIN concept ON code_system = 'ICD-10-CM' AND code = condition_code"""))
+def stored_concepts(spark, sf_dir):
+    """Codes looked up in the stored terminology, after its displays were changed by a second load."""
+    lake = _own_lake(spark, sf_dir)
+    rows = spark.createDataFrame(CONCEPTS, "code_system string, code string, display string, maps_to string").withColumn("concept_class", F.lit("code"))
+    workflow.load_concepts(lake, rows)
+    workflow.load_concepts(lake, rows.withColumn("display", F.concat(F.lit("Known as "), "display")))
+    found = ingest.lookup_concepts(clinical_view(spark, sf_dir, "condition"), "condition_code", "ICD-10-CM", lake.table("concept"))
+    return found.select("condition_sk", "condition_code", "concept_display", "maps_to")
+
+
 @query("stored_cohort_versions", with_views(*_RECORD_VIEWS, then=f"""
 , size AS (SELECT count(*) AS n_members FROM (SELECT DISTINCT patient_sk FROM ({RECORD_SQL}) AS m) AS d)
 SELECT 'kept' AS name, v.version, v.status, n_members FROM size, (VALUES (1, 'archived'), (2, 'active')) AS v(version, status)"""))

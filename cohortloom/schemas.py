@@ -16,7 +16,8 @@ def _struct(**columns: T.DataType) -> T.StructType:
 
 @dataclass(frozen=True)
 class Table:
-    """A table: schema, primary key, columns its files are laid out by, column defaults, NOT NULL columns, columns whose values name a folder."""
+    """A table: schema, primary key, columns its files are laid out by, column defaults, NOT NULL columns, columns whose values name a folder,
+    and columns that rows are looked up by though the layout is another: files hold a Bloom filter of them."""
 
     layer: str
     schema: T.StructType
@@ -25,6 +26,7 @@ class Table:
     defaults: dict
     required: tuple[str, ...] = ()
     partitions: tuple[str, ...] = ()
+    lookups: tuple[str, ...] = ()
 
 
 # One row of evidence that made a patient a member. The array holds one entry per criterion, so its
@@ -45,14 +47,53 @@ TABLES: dict[str, Table] = {
         ),
         "patient_sk", ("patient_sk",),
         {"deceased_flag": False, "primary_language": "English", "loaded_at": NOW},
-        ("mrn",),
+        ("mrn",), lookups=("mrn",),
+    ),
+    # Every identifier a source gives a patient; linkage across sources starts here.
+    "patient_identifier": Table(
+        "silver",
+        _struct(
+            identifier_sk=LONG, patient_sk=LONG, identifier_type=STRING, identifier_value=STRING, assigning_authority=STRING,
+            source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
+        ),
+        "identifier_sk", ("patient_sk",), {"loaded_at": NOW}, ("patient_sk",), lookups=("identifier_value",),
+    ),
+    "provider": Table(
+        "silver",
+        _struct(
+            provider_sk=LONG, npi=STRING, full_name=STRING, specialty=STRING,
+            source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
+        ),
+        "provider_sk", ("provider_sk",), {"loaded_at": NOW}, lookups=("npi",),
+    ),
+    "organization": Table(
+        "silver",
+        _struct(
+            organization_sk=LONG, name=STRING, type=STRING, practice_id=STRING,
+            source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
+        ),
+        "organization_sk", ("organization_sk",), {"loaded_at": NOW},
+    ),
+    "location": Table(
+        "silver",
+        _struct(
+            location_sk=LONG, name=STRING, type=STRING, organization_sk=LONG,
+            source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
+        ),
+        "location_sk", ("location_sk",), {"loaded_at": NOW},
+    ),
+    "concept": Table(
+        "terminology",
+        _struct(concept_sk=LONG, code_system=STRING, code=STRING, display=STRING, concept_class=STRING, maps_to=STRING, loaded_at=TS),
+        "concept_sk", ("code_system", "code"), {"loaded_at": NOW}, ("code_system", "code"),
     ),
     "encounter": Table(
         "silver",
         _struct(
             encounter_sk=LONG, patient_sk=LONG, encounter_class=STRING, encounter_type=STRING, status=STRING,
             period_start=TS, period_end=TS, admit_source=STRING, discharge_disposition=STRING,
-            attending_provider_name=STRING, facility_name=STRING, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
+            attending_provider_name=STRING, facility_name=STRING, attending_provider_sk=LONG, organization_sk=LONG, location_sk=LONG,
+            source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "encounter_sk", ("patient_sk", "period_start"), {"loaded_at": NOW}, ("patient_sk",),
     ),
@@ -123,7 +164,7 @@ TABLES: dict[str, Table] = {
             note_text=STRING, source_system=STRING, source_id=STRING, source_table_or_resource=STRING, ingested_at=TS, loaded_at=TS,
         ),
         "note_sk", ("patient_sk", "service_date"),
-        {"note_type_system": "LOINC", "status": "signed", "loaded_at": NOW}, ("patient_sk",),
+        {"note_type_system": "LOINC", "status": "signed", "loaded_at": NOW}, ("patient_sk",), lookups=("note_sk",),
     ),
     "nlp_run": Table(
         "silver",
@@ -142,7 +183,7 @@ TABLES: dict[str, Table] = {
             confidence=DOUBLE, loaded_at=TS,
         ),
         "entity_sk", ("patient_sk", "entity_type", "entity_sk"),
-        {"negation": False, "subject": "patient", "loaded_at": NOW}, ("note_sk", "patient_sk", "nlp_run_sk"),
+        {"negation": False, "subject": "patient", "loaded_at": NOW}, ("note_sk", "patient_sk", "nlp_run_sk"), lookups=("note_sk",),
     ),
     # Notes that an NLP run has answered, with the outcome: a note without any mention is done as well.
     "note_nlp_outcome": Table(
@@ -243,6 +284,11 @@ TABLES: dict[str, Table] = {
 # Foreign keys: (child table, child column, parent table, parent column).
 FOREIGN_KEYS: list[tuple[str, str, str, str]] = [
     ("encounter", "patient_sk", "patient", "patient_sk"),
+    ("encounter", "attending_provider_sk", "provider", "provider_sk"),
+    ("encounter", "organization_sk", "organization", "organization_sk"),
+    ("encounter", "location_sk", "location", "location_sk"),
+    ("location", "organization_sk", "organization", "organization_sk"),
+    ("patient_identifier", "patient_sk", "patient", "patient_sk"),
     ("condition", "patient_sk", "patient", "patient_sk"),
     ("observation", "patient_sk", "patient", "patient_sk"),
     ("medication_order", "patient_sk", "patient", "patient_sk"),

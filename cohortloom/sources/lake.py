@@ -53,9 +53,20 @@ def without_internal_columns(df: DataFrame) -> DataFrame:
     return df.withColumns(untyped) if untyped else df
 
 
+def _lookup_options(spec: Table) -> dict[str, str]:
+    """Bloom filters, as large as the rows of a file need, of the columns rows are looked up by: a reader skips row groups that can't hold the value.
+
+    These columns are (nearly) unique, so a dictionary of them would only take the filter's place and grow too large to be of use.
+    """
+    options = {"parquet.bloom.filter.adaptive.enabled": "true"} if spec.lookups else {}
+    for name in spec.lookups:
+        options |= {f"parquet.bloom.filter.enabled#{name}": "true", f"parquet.enable.dictionary#{name}": "false"}
+    return options
+
+
 @dataclass
 class Lake:
-    """Names and operations of the tables in their three schemas (bronze, silver, gold)."""
+    """Names and operations of the tables in their schemas; a layer that isn't named keeps its own name."""
 
     spark: SparkSession
     schemas: Mapping[str, str] = field(
@@ -66,7 +77,7 @@ class Lake:
 
     def log(self, table: str) -> SnapshotLog:
         root = self.root or self.spark.conf.get("spark.sql.warehouse.dir")
-        return SnapshotLog(self.spark, f"{root.rstrip('/')}/{self.schemas[TABLES[table].layer]}/{table}")
+        return SnapshotLog(self.spark, f"{root.rstrip('/')}/{self.schemas.get(TABLES[table].layer, TABLES[table].layer)}/{table}")
 
     def create(self) -> None:
         """Every table as an empty one, where it is missing."""
@@ -107,7 +118,7 @@ class Lake:
             # The range covers time or key as well, so one patient with very many rows is spread out.
             out = out.repartitionByRange(*layout).sortWithinPartitions(*layout)
         folder = "/".join([log.new_write(), *[f"{name}={value}" for name, value in partition.items()]])
-        out.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(f"{log.data}/{folder}")
+        out.observe(seen, F.count(F.lit(1)).alias("n")).write.options(**_lookup_options(spec)).parquet(f"{log.data}/{folder}")
         return folder, seen.get["n"]
 
     def overwrite(self, df: DataFrame, table: str, ordered: bool = True, **partition) -> int:

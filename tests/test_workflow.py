@@ -3,6 +3,7 @@
 import base64
 import csv
 import glob
+import hashlib
 import json
 import tempfile
 from concurrent.futures import ThreadPoolExecutor
@@ -11,7 +12,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from cohortloom.operators import criteria, ingest, notes, workflow
+from cohortloom.operators import criteria, ingest, notes, timeline, workflow
 from cohortloom.operators.cohort import build_cohort, qualified_members
 from cohortloom.operators.criteria import AllOf, CohortSpec, Criterion, CriteriaRecord, Has, Not, cohort_spec
 from cohortloom.operators.criteria_sql import cohort_sql
@@ -447,6 +448,66 @@ def test_administrations_reports_and_bodies_of_their_own(own_lake):
     assert set(workflow.load_resources(own_lake, written([body]), "clinic", "b4").values()) == {0} and texts()[30] == "Fever."
 
 
+def test_identifiers_providers_and_places(own_lake):
+    who = {"identifier": [
+        {"system": "mrn", "value": " M7 "}, {"system": "mrn", "value": "M7"}, {"type": {"coding": [{"code": "SS"}]}, "value": "123-45-6789", "system": "ssa"},
+        {"type": {"text": "enterprise_id"}, "value": "E1", "assigner": {"display": "group"}}, {"system": "mrn", "value": ""}, {"system": "empty"}]}
+    sent = [
+        patient_line("Here", **who), {"resourceType": "Patient", "id": "8"},
+        {"resourceType": "Practitioner", "id": "dr-1", "identifier": [{"system": "http://hl7.org/fhir/sid/us-npi", "value": "99"}], "name": [{"family": "Day", "given": ["Ann", "B."]}]},
+        {"resourceType": "Practitioner", "id": "dr-2", "name": [{"text": "Dr. Bo"}], "qualification": [{"code": {"text": "Cardiology"}}]}, {"resourceType": "Practitioner", "id": "dr-3"},
+        {"resourceType": "Organization", "id": "o1", "name": "North", "type": [{"coding": [{"code": "prov", "display": "Provider"}]}], "identifier": [{"system": "practiceid", "value": "195"}]},
+        {"resourceType": "Location", "id": "l1", "name": "Ward 1", "managingOrganization": {"reference": "Organization/o1"}},
+        {"resourceType": "Encounter", "id": "5", "subject": {"reference": "Patient/7"}, "participant": [{"individual": {"reference": "Practitioner/dr-2", "display": "Dr. Bo"}}],
+         "serviceProvider": {"reference": "https://x.org/Organization/o1", "display": "North"}, "location": [{"location": {"reference": "Location/l1"}}]},
+    ]
+    counts = workflow.load_resources(own_lake, written(sent), "clinic", "b1")
+    assert (counts["patient"], counts["provider"], counts["organization"], counts["location"], counts["encounter"]) == (2, 3, 1, 1, 1)
+    held = lambda: sorted((r.patient_sk, r.identifier_type, r.identifier_value, r.assigning_authority) for r in own_lake.table("patient_identifier").collect())
+    first = [(7, "MRN", "M7", "mrn"), (7, "SSN-last4", "6789", "ssa"), (7, "enterprise_id", "E1", "group")]
+    assert held() == first
+    people = {r.source_id: (r.npi, r.full_name, r.specialty) for r in own_lake.table("provider").collect()}
+    assert people == {"dr-1": ("99", "Ann B. Day", None), "dr-2": (None, "Dr. Bo", "Cardiology"), "dr-3": (None, None, None)}
+    visit = own_lake.table("encounter").join(own_lake.table("organization").select("organization_sk", "practice_id", "type"), "organization_sk").join(own_lake.table("location").select("location_sk"), "location_sk")
+    attended = visit.join(own_lake.table("provider").select("provider_sk", "full_name"), F.col("attending_provider_sk") == F.col("provider_sk")).select("full_name", "facility_name", "practice_id", "type").collect()
+    assert [tuple(r) for r in attended] == [("Dr. Bo", "North", "195", "Provider")]
+    gone = own_lake.table("location").join(own_lake.table("organization"), "organization_sk").count()
+    assert gone == 1 and set(workflow.load_resources(own_lake, written(sent), "clinic", "b1").values()) == {0} and held() == first
+    fewer = {"resourceType": "Patient", "id": "7", "meta": {"lastUpdated": "2100-01-01T00:00:00Z"}}
+    workflow.load_resources(own_lake, written([fewer]), "clinic", "b2")  # the newest version has no identifiers at all
+    assert held() == []
+
+
+def test_terminology_is_added_to_and_changed(own_lake, spark):
+    columns = "code_system string, code string, display string, concept_class string, maps_to string"
+    rows = [("ICD-10-CM", "I10", "Hypertension", "code", "59621000"), ("LOINC", "I10", "other", None, None), ("LOINC", None, "no code", None, None)]
+    assert workflow.load_concepts(own_lake, spark.createDataFrame(rows + rows[:1], columns)) == 2
+    assert workflow.load_concepts(own_lake, spark.createDataFrame(rows, columns)) == 0
+    assert workflow.load_concepts(own_lake, spark.createDataFrame([("ICD-10-CM", "I10", "Raised pressure", "code", None)], columns)) == 1
+    known = {(r.code_system, r.code): (r.display, r.maps_to) for r in own_lake.table("concept").collect()}
+    assert known == {("ICD-10-CM", "I10"): ("Raised pressure", None), ("LOINC", "I10"): ("other", None)}
+
+
+def test_lookups_by_other_columns_skip_files(own_lake, spark):
+    patients = spark.range(20000).select(F.col("id").alias("patient_sk"), F.md5(F.col("id").cast("string")).alias("mrn"))
+    own_lake.overwrite(patients.repartition(8), "patient", ordered=False)
+    stored = own_lake.table("patient")
+
+    def rows_read(mrn):
+        """Rows that the scan hands on: those of row groups that may hold the number."""
+        found = timeline.find_patient(stored, mrn).select("patient_sk")
+        found = found._jdf.queryExecution()  # the executed plan keeps its metrics
+        rows, scans = found.executedPlan().executeCollectPublic(), [found.executedPlan()]
+        while scans and "numFiles" not in str(scans[-1].metrics().keys()):
+            plan = scans.pop()
+            scans += [plan.children().apply(i) for i in range(plan.children().size())]
+        return [r.getLong(0) for r in rows], scans[-1].metrics().get("numOutputRows").get().value()
+
+    found, read = rows_read(hashlib.md5(b"777").hexdigest())
+    assert found == [777] and 0 < read <= 5000
+    assert rows_read(hashlib.md5(b"absent").hexdigest()) == ([], 0)  # within the range of every file
+
+
 def test_two_saves_at_once_get_versions_of_their_own(own_lake, lake):
     for name in FILLED:
         own_lake.overwrite(lake.table(name), name)
