@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from cohortloom.llm import bag_minhash
 from cohortloom.llm.components import components
-from cohortloom.llm.shared import documents, new_folder, release, send_code, staged
+from cohortloom.llm.shared import documents, gathered, new_folder, release, send_code, staged
 from cohortloom.llm.shingles import bags, similarity
 from cohortloom.llm.tokens import slices, texts_of
 
@@ -33,6 +33,8 @@ LEAST, BANDS, ROWS = 0.8, 20, 5
 GROWTH = 32
 # 64-bit words of a bag's parity sketch.
 SKETCH = 16
+# Members of buckets (some 400 bytes) of one task, about, and labels or pivots' keys that are broadcast at most (under 1 MB).
+TASK_MEMBERS, BROADCAST_ROWS = 10_000, 20_000
 
 
 _WORDS = tuple(f"s{i}" for i in range(SKETCH))
@@ -61,7 +63,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
-    """(a, b) of the pairs whose texts' bags overlap by `least` or more. texts: node, text."""
+    """(a, b) of the pairs whose texts' bags overlap by `least` or more, once for each two texts. texts: node, text."""
     right = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b")
     both = right.join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "text", "b", "other")
 
@@ -78,25 +80,32 @@ def verified(pairs: DataFrame, texts: DataFrame, least: float) -> DataFrame:
                     kept.append(i)
             yield pa.RecordBatch.from_arrays([batch.column(c).take(pa.array(kept, pa.int32())) for c in ("a", "b")], ["a", "b"])
 
-    return both.mapInArrow(compare, "a long, b long").distinct()
+    return both.mapInArrow(compare, "a long, b long")
+
+
+def _small(rows: DataFrame, n: int) -> DataFrame:
+    """n rows, broadcast if these are few."""
+    return F.broadcast(rows) if n <= BROADCAST_ROWS else rows
 
 
 def _links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
     """(node, component) of the members (band, key, node, size, sketch words) of all buckets, by the rounds described above."""
-    links, labels, pivots_each, number = None, None, 1, 0
+    labels, pivots_each, number, tasks = None, 1, 0, None
     while True:
         if labels is not None:
-            members = members.drop("label").join(labels, "node", "left").select(
+            members = members.drop("label").join(_small(labels, labels.count()), "node", "left").select(
                 "band", "key", "node", "size", "keys", *_WORDS, F.coalesce("component", "node").alias("label"))
         else:
             members = members.withColumn("label", F.col("node"))
         mixed = members.groupBy("band", "key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-        members = staged(members.join(mixed.select("band", "key"), ["band", "key"], "left_semi"))
-        if members.isEmpty():
+        members = members.join(mixed.select("band", "key"), ["band", "key"], "left_semi")
+        # No round has more members than the one before.
+        members, n, tasks = gathered(staged(members.coalesce(tasks) if tasks else members), TASK_MEMBERS)
+        if not n:
             return labels if labels is not None else members.select("node", F.col("label").alias("component"))
         slot = F.pmod(F.xxhash64("node", F.lit(number)), F.lit(pivots_each))
         pivots = members.groupBy("band", "key", slot.alias("slot")).agg(F.min(F.struct("node", "size", "label", "keys", *_WORDS)).alias("p"))
-        pivots = staged(pivots.select("band", "key", "p.*"))
+        pivots = staged(pivots.select("band", "key", "p.*").coalesce(tasks))
         p = pivots.select("band", "key", F.col("node").alias("a"), F.col("size").alias("a_size"), F.col("label").alias("a_label"), F.col("keys").alias("a_keys"), *(F.col(w).alias(f"a_{w}") for w in _WORDS))
         near = F.least("size", "a_size") >= F.lit(least - 1e-9) * F.greatest("size", "a_size")
         differing = sum((F.bit_count(F.col(w).bitwiseXOR(F.col(f"a_{w}"))) for w in _WORDS), F.lit(0))
@@ -105,10 +114,11 @@ def _links(members: DataFrame, texts: DataFrame, least: float) -> DataFrame:
         first = ~F.arrays_overlap(F.slice("keys", 1, F.col("band")), F.slice("a_keys", 1, F.col("band")))
         pairs = members.join(p, ["band", "key"]).where((F.col("label") != F.col("a_label")) & near & first)
         pairs = pairs.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        found = staged(verified(pairs, texts, least))
-        links = found if links is None else links.unionByName(found)
+        links = verified(pairs, texts, least)
+        if labels is not None:  # they stand for all links so far
+            links = links.unionByName(labels.select(F.col("node").alias("a"), F.col("component").alias("b")))
         labels = components(links)
-        members = members.join(pivots.select("band", "key", "node"), ["band", "key", "node"], "left_anti")
+        members = members.join(_small(pivots.select("band", "key", "node"), pivots.count()), ["band", "key", "node"], "left_anti")
         pivots_each, number = pivots_each * GROWTH, number + 1
         release(members.sparkSession)
 

@@ -61,6 +61,16 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def gathered(rows: DataFrame, each: int) -> tuple[DataFrame, int, int]:
+    """Staged rows in as many partitions as hold about `each` of them (never more than they have), their number, and that of the partitions.
+
+    Small frames of many partitions would cost their every reader a task for each.
+    """
+    n = rows.count()
+    parts = max(1, -(-n // each))
+    return rows.coalesce(parts), n, parts
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark's cleaner delete the shuffle and checkpoint files that nothing refers to any more.
 

@@ -110,6 +110,20 @@ def test_unlike_members_of_one_bucket_are_all_compared(spark, monkeypatch):
     assert got == plain_classes(rows)
 
 
+def test_few_edges_stay_in_few_tasks(spark):
+    """Partitions follow the number of edges: else each step costs a task for each partition, however few edges there are."""
+    parts, merged = spark.conf.get("spark.sql.shuffle.partitions"), "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set("spark.sql.shuffle.partitions", "60")
+    spark.conf.set(merged, "false")
+    try:
+        labels = components(spark.createDataFrame([(i, (i + 1) % 200) for i in range(200)], "a long, b long"))
+        assert {(r.node, r.component) for r in labels.collect()} == {(i, 0) for i in range(1, 200)}
+        assert labels.rdd.getNumPartitions() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.set(merged, "true")
+
+
 def plain_vectors(rows, least=0.95):
     ids = [i for i, _ in rows]
     use = [v is not None and len(v) > 0 and None not in v and np.isfinite(np.array(v, float)).all() and any(v) for _, v in rows]
