@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import tempfile
 import uuid
 import zipfile
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -61,6 +63,26 @@ def staged(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+_HELD: dict[str, dict] = {}
+
+
+def held(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one operator. What it kept for another is let go, as workers live through many stages."""
+    if owner not in _HELD:
+        _HELD.clear()
+        give_back()
+        _HELD[owner] = {}
+    return _HELD[owner]
+
+
+def give_back() -> None:
+    """Returns what this process's allocators hold unused to the system: a worker that waits, or goes on to another operator, should hold what it keeps only."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def gathered(rows: DataFrame, each: int) -> tuple[DataFrame, int, int]:
     """Staged rows in as many partitions as hold about `each` of them (never more than they have), their number, and that of the partitions.
 

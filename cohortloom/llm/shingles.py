@@ -10,6 +10,8 @@ import sys
 
 import numpy as np
 
+from cohortloom.llm.shared import held
+
 WORDS = 5
 _ODD = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
@@ -19,21 +21,20 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(c).isalnum() for c in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-_TABLES: dict[str, np.ndarray] = {}
-
-
 def _table(name: str, make) -> np.ndarray:
-    if name not in _TABLES:
-        _TABLES[name] = make()
-    return _TABLES[name]
+    tables = held("shingles")
+    if name not in tables:
+        tables[name] = make()
+    return tables[name]
 
 
 def _powers(name: str, base: int, n: int) -> np.ndarray:
-    if name not in _TABLES or len(_TABLES[name]) < n:
+    tables = held("shingles")
+    if name not in tables or len(tables[name]) < n:
         steps = np.full(max(n, 1 << 16), base, np.uint64)
         steps[0] = 1
-        _TABLES[name] = np.cumprod(steps)  # modulo 2^64
-    return _TABLES[name][:n]
+        tables[name] = np.cumprod(steps)  # modulo 2^64
+    return tables[name][:n]
 
 
 def scrambled(x: np.ndarray) -> np.ndarray:

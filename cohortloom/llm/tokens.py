@@ -16,13 +16,15 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from cohortloom.llm.shared import give_back, held
+
 # Characters that str.split() takes for white space and the tokenizer's pattern doesn't.
 _UNSURE = ("\x1c", "\x1d", "\x1e", "\x1f")
 # Units, characters of units and ids a worker remembers before it starts anew (about 250 MB whatever the script; text without spaces makes long units that never
 # repeat), and units encoded by one call.
 REMEMBERED, REMEMBERED_CHARS, REMEMBERED_IDS, TOGETHER = 1_200_000, 12_000_000, 12_000_000, 512
 # Characters of text handled at a time.
-SLICE_CHARS = 1_000_000
+SLICE_CHARS = 500_000
 
 
 class _Units(dict):
@@ -52,7 +54,7 @@ class WordEncoder:
     def _forget(self) -> None:
         self.known, self.chars = _Units(), 0
         self.ids, self.used = np.zeros(1 << 20, np.uint32), 0
-        self.starts, self.counts = np.zeros(1 << 18, np.int64), np.zeros(1 << 18, np.int64)
+        self.starts, self.counts = np.zeros(1 << 18, np.int32), np.zeros(1 << 18, np.int32)
         self.stops = {}  # ids of a comma and a full stop, where they are one each
         for mark in ",.":
             ids = self.tokenizer.encode(mark, add_special_tokens=False).ids
@@ -143,18 +145,16 @@ class WordEncoder:
         return self.encode_many([text])[0]
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
-
-
 def encoder(path: str) -> WordEncoder:
-    """The worker's encoder for a file, made once."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    """The worker's encoder for a file, made once and kept until another operator keeps something."""
+    encoders = held("encoders")
+    if path not in encoders:
+        encoders[path] = WordEncoder(path)
+    return encoders[path]
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[pa.RecordBatch]:
-    """Record batches cut so that each has about SLICE_CHARS bytes of text (one text at least)."""
+    """Record batches cut so that each has about SLICE_CHARS bytes of text (one text at least); memory is given back behind the last."""
     for batch in batches:
         if not batch.num_rows:
             continue
@@ -163,6 +163,8 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text") -> Iterator[
         edges = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), batch.num_rows]
         for a, b in zip(edges, edges[1:]):
             yield batch.slice(a, b - a)
+    batch = None
+    give_back()
 
 
 def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[str]:

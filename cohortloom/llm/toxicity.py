@@ -22,7 +22,7 @@ from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cohortloom.llm.shared import send_code, staged
+from cohortloom.llm.shared import held, send_code, staged
 from cohortloom.llm.tokens import slices, texts_of
 
 THRESHOLD = 0.7
@@ -76,7 +76,6 @@ def _classes() -> np.ndarray:
     return table
 
 
-_TABLE: list[np.ndarray] = []
 
 
 def terms(text: str) -> dict[str, Counter]:
@@ -92,10 +91,11 @@ def terms(text: str) -> dict[str, Counter]:
 
 def _rates(text: str) -> list[float]:
     """Rates of the characters of a text: capitals, shouted words, punctuation, bangs, asks, digits, stretched letters."""
-    if not _TABLE:
-        _TABLE.append(_classes())
+    tables = held("toxicity")
+    if "classes" not in tables:
+        tables["classes"] = _classes()
     points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    kinds = _TABLE[0][points]
+    kinds = tables["classes"][points]
     counts = np.bincount(kinds, minlength=8)
     letters, size = max(counts[_UPPER] + counts[_LETTER], 1), max(len(points), 1)
     same = points[1:] == points[:-1]

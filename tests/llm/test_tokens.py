@@ -122,6 +122,21 @@ def test_memory_of_texts_without_spaces(monkeypatch):
     assert len(encode.known) < 60
 
 
+def test_workers_keep_tables_of_one_operator():
+    """Workers live through the stages of a pipeline: what one stage's operator keeps in them must not add to the next one's."""
+    from cohortloom.llm import shared, shingles, tokens, toxicity
+
+    path = tokens.default_tokenizer()
+    first = tokens.encoder(path)
+    assert tokens.encoder(path) is first and set(shared._HELD) == {"encoders"}
+    bag = shingles.bags(["one two three four five six"])[0]
+    assert set(shared._HELD) == {"shingles"}
+    toxicity.features("You idiot!!", {"word": {}, "beginning": {}})
+    assert set(shared._HELD) == {"toxicity"}
+    assert tokens.encoder(path) is not first and tokens.encoder(path).encode("some words").tolist() == ids_of("some words")
+    assert shingles.bags(["one two three four five six"])[0][0].tolist() == bag[0].tolist()
+
+
 def test_length_table(spark, sf_dir, odd_docs, no_docs, monkeypatch):
     for docs in (spark.read.parquet(f"{sf_dir}/documents.parquet"), odd_docs):
         lengths = [len(ids_of(r.text)) for r in docs.collect()]
